@@ -2,8 +2,9 @@
 
 A shard is a file of records in ascending doc_id order. A record is the framing that TFRecord readers know:
 8 bytes length, 4 bytes masked CRC-32C of the length, the payload, 4 bytes masked CRC-32C of the payload, all
-little-endian. The payload is 8 bytes doc_id (signed; null has the flag byte 1), the flag byte, and the ids as
-unsigned 32-bit integers. Beside `shard-N.rec` lies `shard-N.idx`: 24 bytes a record (offset, bytes,
+little-endian. The payload is 8 bytes doc_id (signed; null sets flag byte 1), the flag byte, and the ids as
+unsigned integers of 16 bits, or of 32 if the
+tokenizer has ids beyond 16 bits (flag byte 2 is set then). Beside `shard-N.rec` lies `shard-N.idx`: 24 bytes a record (offset, bytes,
 doc_id), so a reader can visit records in any order without a scan.
 """
 
@@ -114,7 +115,7 @@ def crc32c_each(items: list[bytes]) -> np.ndarray:
 
 
 class Encoder:
-    """Token ids of whole texts by the tokenizers library, as little-endian unsigned 32-bit integers.
+    """Token ids of whole texts by the tokenizers library, as little-endian unsigned integers of 16 or 32 bits.
 
     A byte-level tokenizer never joins what a single space between two non-spaces, or a single line feed, parts. So a
     text whose white space is all of that kind is cut there, and each piece is encoded once per worker. Other texts,
@@ -129,21 +130,22 @@ class Encoder:
         vocab = self.tok.get_vocab(with_added_tokens=True)
         self.added = [t.content for t in self.tok.get_added_tokens_decoder().values()]
         self.starts = np.zeros(max(vocab.values()) + 1, bool)
+        self.code = "H" if len(self.starts) <= 1 << 16 else "I"
         for t, i in vocab.items():
             self.starts[i] = t.startswith("Ġ")  # the byte-level alphabet's space
         self.newline = self._ids("\n")
         self.spaced, self.bare = {}, {}
 
     def _ids(self, text: str) -> bytes:
-        return array.array("I", self.tok.encode_batch_fast([text], add_special_tokens=False)[0].ids).tobytes()
+        return array.array(self.code, self.tok.encode_batch_fast([text], add_special_tokens=False)[0].ids).tobytes()
 
     def _learn(self, pieces: list[str]) -> None:
         """One call for many pieces: only a piece's first token starts with a space."""
-        ids = np.array(self.tok.encode_batch_fast([" " + " ".join(pieces)], add_special_tokens=False)[0].ids, np.uint32)
+        ids = np.array(self.tok.encode_batch_fast([" " + " ".join(pieces)], add_special_tokens=False)[0].ids, f"<{self.code}")
         at = np.flatnonzero(self.starts[ids])
         if len(at) != len(pieces):
             raise ValueError("the tokenizer joined pieces that a space parts")
-        raw, at = ids.tobytes(), (np.append(at, len(ids)) * 4).tolist()
+        raw, at = ids.tobytes(), (np.append(at, len(ids)) * ids.itemsize).tolist()
         self.spaced.update(zip(pieces, (raw[a:b] for a, b in zip(at, at[1:]))))
 
     def __call__(self, texts: list[str]) -> list[bytes]:
@@ -233,7 +235,8 @@ def write_token_records(docs: DataFrame, tokenizer: str, folder: str, *, shards:
 
         name = f"shard-{TaskContext.get().partitionId():07d}"
         enc, index, total = encoder(tokenizer), [], 0
-        end = struct.pack("<I", end_id)
+        width, wide = (2, 0) if enc.code == "H" else (4, 2)
+        end = struct.pack("<" + enc.code, end_id)
         first = next((b for b in batches if b.num_rows), None)
         if first is None:
             return
@@ -249,11 +252,11 @@ def write_token_records(docs: DataFrame, tokenizer: str, folder: str, *, shards:
             for b in in_blocks(all_batches(), 500):
                 ids = b.column(0).to_pylist()
                 raws = enc([t or "" for t in b.column(1).to_pylist()])
-                for doc_id, raw, frame in zip(ids, raws, frames([struct.pack("<qB", i or 0, i is None) + r + end for i, r in zip(ids, raws)])):
+                for doc_id, raw, frame in zip(ids, raws, frames([struct.pack("<qB", i or 0, (i is None) + wide) + r + end for i, r in zip(ids, raws)])):
                     out.write(frame)
                     index.append((at, len(frame), doc_id or 0))
                     at += len(frame)
-                    total += len(raw) // 4 + 1
+                    total += len(raw) // width + 1
 
         put_file(folder, f"{name}.rec", records)
         put_file(folder, f"{name}.idx", lambda out: out.write(np.array(index, "<i8").tobytes()))
@@ -283,11 +286,11 @@ def read_token_records(manifest: DataFrame, folder: str) -> DataFrame:
                         data = f.read_at(int(part[-1].sum() - part[-1, 2]) - base, base)
                         rows = {k: [] for k in ("doc_id", "start", "n_tokens", "ids_crc32", "offset")}
                         for (at, _, doc_id), payload in zip(part.tolist(), unframed(data, [(a - base, n) for a, n, _ in part.tolist()])):
-                            own, null = struct.unpack_from("<qB", payload)
+                            own, flags = struct.unpack_from("<qB", payload)
                             if own != doc_id:
                                 raise ValueError("the index names another document")
-                            ids = payload[9:]
-                            for k, v in zip(rows, (None if null else own, start, len(ids) // 4, zlib.crc32(ids), at)):
+                            ids = payload[9:] if flags & 2 else np.frombuffer(payload, "<u2", offset=9).astype("<u4").tobytes()
+                            for k, v in zip(rows, (None if flags & 1 else own, start, len(ids) // 4, zlib.crc32(ids), at)):
                                 rows[k].append(v)
                             start += len(ids) // 4
                         yield pa.RecordBatch.from_pydict(rows | {"shard": [name] * len(part)}, schema=pa.schema([(k, pa.int64()) for k in rows] + [("shard", pa.string())]))
