@@ -5,12 +5,14 @@ from __future__ import annotations
 import functools
 
 from plumeledger.llm.decontaminate import op8_decontaminate
+from plumeledger.llm.fingerprints import op3_fingerprints
 from plumeledger.llm.shared import importable
 from plumeledger.llm.token_records import op2_token_records
+from plumeledger.llm.toxicity import op4_toxicity
 from plumeledger.llm.warc_records import op10_warc_chunks
 
 
-QUERIES = (op2_token_records, op8_decontaminate, op10_warc_chunks)
+QUERIES = (op2_token_records, op3_fingerprints, op4_toxicity, op8_decontaminate, op10_warc_chunks)
 
 
 def _ready(query):
