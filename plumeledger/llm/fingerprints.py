@@ -66,7 +66,7 @@ def likeness(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.where(none_a | none_b, (none_a & none_b).astype(float), j)
 
 
-def in_order(docs: DataFrame, rows_each: int = 20_000) -> DataFrame:
+def in_order(docs: DataFrame, rows_each: int = 2000) -> DataFrame:
     """(bucket, extra, key, doc_id, text) dealt so that each bucket, sorted, is a run of the table by descending doc_id.
 
     extra 1 marks a copy of the row that follows the bucket's last one, which is the first row of the next lower bucket
@@ -99,7 +99,7 @@ RESULT = pa.schema(
 )
 
 
-def fingerprint_rows(docs: DataFrame, k: int = SHINGLE, rows_each: int = 20_000) -> DataFrame:
+def fingerprint_rows(docs: DataFrame, k: int = SHINGLE, rows_each: int = 2000) -> DataFrame:
     """A row for each document with its fingerprint, that of its edited text, and the likenesses.
 
     Words are what white space parts; a text of fewer than k words is one shingle. Null text counts as empty. Texts
