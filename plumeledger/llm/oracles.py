@@ -28,4 +28,20 @@ SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, s AS payload_digest,
 FROM l
 """
 
-SQL = {"op8_decontaminate": OP8, "op10_warc_chunks": OP10}
+#: All pairs by brute force: shingles shared by two different sets, links, and the components by recursion.
+OP9 = rf"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all({_LOWER}, '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+      ELSE list_sort(list_distinct([array_to_string(list_slice(w, i, i + 2), ' ') for i in range(1, len(w) - 1)])) END AS g FROM d),
+u AS (SELECT min(doc_id) AS id, g, len(g) AS n FROM s WHERE len(g) > 0 GROUP BY g),
+e AS (SELECT id, n, unnest(g) AS x FROM u),
+p AS (SELECT a.id AS a, b.id AS b, count(*) AS i, any_value(a.n) AS na, any_value(b.n) AS nb FROM e a JOIN e b ON a.x = b.x AND a.id < b.id AND 10 * least(a.n, b.n) >= 9 * greatest(a.n, b.n) GROUP BY 1, 2),
+l AS (SELECT a, b FROM p WHERE 190 * i >= 90 * (na + nb)),
+b2 AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r AS (SELECT id AS node, id AS root FROM u UNION SELECT b2.b, r.root FROM r JOIN b2 ON b2.a = r.node),
+c AS (SELECT node, min(root) AS root FROM r GROUP BY node)
+SELECT s.doc_id, CAST(len(s.g) AS BIGINT) AS n_shingles, coalesce(c.root, s.doc_id) AS component_id
+FROM s LEFT JOIN u ON s.g = u.g LEFT JOIN c ON c.node = u.id
+"""
+
+SQL = {"op9_jaccard_join": OP9, "op8_decontaminate": OP8, "op10_warc_chunks": OP10}

@@ -6,13 +6,16 @@ import functools
 
 from plumeledger.llm.decontaminate import op8_decontaminate
 from plumeledger.llm.fingerprints import op3_fingerprints
+from plumeledger.llm.jaccard_join import op9_jaccard_join
+from plumeledger.llm.line_dedup import op1_line_dedup
+from plumeledger.llm.packing import op6_best_fit_packing
 from plumeledger.llm.shared import importable
 from plumeledger.llm.token_records import op2_token_records
 from plumeledger.llm.toxicity import op4_toxicity
 from plumeledger.llm.warc_records import op10_warc_chunks
 
 
-QUERIES = (op2_token_records, op3_fingerprints, op4_toxicity, op8_decontaminate, op10_warc_chunks)
+QUERIES = (op1_line_dedup, op2_token_records, op3_fingerprints, op4_toxicity, op6_best_fit_packing, op8_decontaminate, op9_jaccard_join, op10_warc_chunks)
 
 
 def _ready(query):
