@@ -146,8 +146,11 @@ class CountTree:
         return self.order[at]
 
 
-def _tree_pairs(rows: DataFrame, num: int, den: int) -> DataFrame:
-    """Candidate pairs of rows (key, set_id, n, point, root) of one bucket but different roots."""
+def _tree_pairs(rows: DataFrame, num: int, den: int, best: bool) -> DataFrame:
+    """Candidate pairs of rows (key, set_id, n, point, root) of one bucket but different roots.
+
+    best: of each other root only the candidate with the highest bound.
+    """
     counts = rows.groupBy("key").agg(F.ceil(F.count("*") / F.lit(BLOCK)).cast("int").alias("blocks")).select(F.col("key").alias("k"), "blocks")
     r = rows.join(counts.hint("merge"), rows.key == counts.k).withColumn("own", F.pmod(F.xxhash64("set_id"), F.col("blocks")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
@@ -164,7 +167,12 @@ def _tree_pairs(rows: DataFrame, num: int, den: int) -> DataFrame:
             tree = CountTree(points[right], sizes[right])
             for x in left:
                 y = right[tree.search(points[x], sizes[x], num, den)]
-                y = y[(roots[y] != roots[x]) & ((ids[y] > ids[x]) if i == j else (ids[y] != ids[x]))]
+                y = y[(roots[y] != roots[x]) & (ids[y] != ids[x])]
+                if best and len(y) > 1:
+                    y = y[np.lexsort((-np.minimum(points[y], points[x]).sum(axis=1), roots[y]))]
+                    y = y[np.flatnonzero(np.diff(roots[y], prepend=roots[y[0]] - 1))]
+                elif i == j:
+                    y = y[ids[y] > ids[x]]
                 a.append(np.minimum(ids[x], ids[y]))
                 b.append(np.maximum(ids[x], ids[y]))
         cat = lambda z: np.concatenate(z) if z else np.zeros(0, np.int64)
@@ -201,22 +209,27 @@ def linked_components(docs: DataFrame, *, k: int = SHINGLE, similarity: tuple[in
     shared = written(shared.select(F.col("key").alias("k"), "hub"), "jaccard-shared")
     members = join_counted(keys, shared, keys.key == shared.k, limit=2 * 10**6).select("key", "hub", "set_id").distinct()
     members = written(members, "jaccard-members")
-    tried = written(members.where("set_id <> hub").select(F.col("hub").alias("a"), F.col("set_id").alias("b")).distinct(), "jaccard-pairs")
+    tried = written(members.where("set_id <> hub").select(F.least("hub", "set_id").alias("a"), F.greatest("hub", "set_id").alias("b")).distinct(), "jaccard-pairs")
     needed = members.select("set_id").distinct()
     reps = written(tops.join(needed.hint("merge"), "set_id", "left_semi").select(F.col("top").alias("rep")).distinct(), "jaccard-reps")
     sought = join_counted(d, reps, d.doc_id.eqNullSafe(reps.rep), "left_semi")
     sets = written(_contents(sought, k), "jaccard-contents")
     links = written(_verified(tried, sets, num, den), "jaccard-links")
 
-    # Sets of one bucket that are still in different components are searched in the bucket's tree.
+    # Sets of one bucket that are still in different components are searched in the bucket's tree: first for the best
+    # candidate in each other component, which joins most of what belongs together, then for all that are left.
     roots = written(components(links), "jaccard-roots")
-    m = members.join(roots.hint("merge"), members.set_id == roots.node, "left").select("key", "hub", "set_id", F.coalesce("root", "set_id").alias("root"))
-    split = m.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1").select(F.col("key").alias("k"))
-    open_ = m.where("set_id <> hub").join(split.hint("merge"), F.col("key") == F.col("k"), "left_semi")
     points = sets.select(F.col("set_id").alias("s"), "n", "point")
-    open_ = written(open_.join(points.hint("merge"), F.col("set_id") == F.col("s")).select("key", "set_id", "n", "point", "root"), "jaccard-open")
-    rest = written(_tree_pairs(open_, num, den), "jaccard-tree")
-    roots = written(components(links.unionAll(_verified(rest, sets, num, den))), "jaccard-roots")
+    for best in (True, False):
+        m = members.join(roots.hint("merge"), members.set_id == roots.node, "left").select("key", "hub", "set_id", F.coalesce("root", "set_id").alias("root"))
+        split = m.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1").select(F.col("key").alias("k"))
+        open_ = m.where("set_id <> hub").join(split.hint("merge"), F.col("key") == F.col("k"), "left_semi")
+        open_ = written(open_.join(points.hint("merge"), F.col("set_id") == F.col("s")).select("key", "set_id", "n", "point", "root"), "jaccard-open")
+        rest = _tree_pairs(open_, num, den, best).join(tried.hint("merge"), ["a", "b"], "left_anti")
+        rest = written(rest, "jaccard-tree")
+        tried = tried.unionAll(rest)
+        links = written(links.unionAll(_verified(rest, sets, num, den)), "jaccard-links")
+        roots = written(components(links), "jaccard-roots")
 
     named = tops.join(roots.hint("merge"), tops.set_id == roots.node, "left").select("set_id", "top", F.coalesce("root", "set_id").alias("root"))
     least = named.groupBy("root").agg(F.min("top").alias("component_id")).select(F.col("root").alias("r"), "component_id")
