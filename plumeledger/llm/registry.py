@@ -6,8 +6,10 @@ import functools
 
 from plumeledger.llm.decontaminate import op8_decontaminate
 from plumeledger.llm.fingerprints import op3_fingerprints
+from plumeledger.llm.html_extract import op5_html_extract
 from plumeledger.llm.jaccard_join import op9_jaccard_join
 from plumeledger.llm.line_dedup import op1_line_dedup
+from plumeledger.llm.ngram_trie import op7_ngram_trie
 from plumeledger.llm.packing import op6_best_fit_packing
 from plumeledger.llm.shared import importable
 from plumeledger.llm.token_records import op2_token_records
@@ -15,7 +17,7 @@ from plumeledger.llm.toxicity import op4_toxicity
 from plumeledger.llm.warc_records import op10_warc_chunks
 
 
-QUERIES = (op1_line_dedup, op2_token_records, op3_fingerprints, op4_toxicity, op6_best_fit_packing, op8_decontaminate, op9_jaccard_join, op10_warc_chunks)
+QUERIES = (op1_line_dedup, op2_token_records, op3_fingerprints, op4_toxicity, op5_html_extract, op6_best_fit_packing, op7_ngram_trie, op8_decontaminate, op9_jaccard_join, op10_warc_chunks)
 
 
 def _ready(query):
