@@ -108,14 +108,18 @@ class EliasFano:
         if first is not None:
             at, end = np.maximum(at, first), np.minimum(end, stop)
         low = values & _U((1 << self.l) - 1)
+        lo, hi = at.copy(), np.maximum(at, end)
+        live = np.flatnonzero(lo < hi)
+        while len(live):  # entries of one bucket ascend by their low bits
+            mid = (lo[live] + hi[live]) >> 1
+            less = self.low_of(mid) < low[live]
+            lo[live[less]] = mid[less] + 1
+            hi[live[~less]] = mid[~less]
+            live = live[lo[live] < hi[live]]
         out = np.full(len(values), -1, np.int64)
-        live = np.flatnonzero(at < end)
-        while len(live):
-            got = self.low_of(at[live])
-            hit = got == low[live]
-            out[live[hit]] = at[live[hit]]
-            at[live] += 1
-            live = live[(got < low[live]) & (at[live] < end[live])]
+        some = np.flatnonzero(lo < end)
+        hit = some[self.low_of(lo[some]) == low[some]]
+        out[hit] = lo[hit]
         return out
 
     def arrays(self):
@@ -427,7 +431,7 @@ def lm_scores(docs: DataFrame) -> DataFrame:
         vocab = Vocabulary(*vocabulary)
         words, bigrams = _Words(vocab), Bigrams(vocab, shards)
         size = vocab.size
-        for b in in_blocks(batches, 500):
+        for b in in_blocks(batches, 1500):
             texts = [tokens(t) for t in b.column("text").to_pylist()]
             lengths = np.array([len(t) for t in texts], np.int64)
             flat = [END]
