@@ -61,7 +61,8 @@ def site_risk(df: DataFrame, quantified_flow: float | None = None) -> DataFrame:
     g = df.groupBy("site").agg(F.sum(ok.cast("long")).alias("n_valid"), F.sum(hit.cast("long")).alias("n_detect"), F.round(F.avg(F.when(hit, F.col("sc_cfar"))), 3).alias("mean_sc"))
     lo, hi = S.wilson(F.col("n_detect"), F.col("n_valid"))
     g = g.withColumn("p", F.round(F.when(F.col("n_valid") > 0, F.col("n_detect") / F.col("n_valid")).otherwise(0.0), 4)).withColumn("p_lo", F.round(lo, 4)).withColumn("p_hi", F.round(hi, 4))
-    g = g.withColumn("flow", F.round(F.round(F.greatest(F.lit(0.0), F.coalesce("mean_sc", F.lit(1.0)) - 1) * 25, 6), 1))  # half up on the decimal value
+    flow = F.greatest(F.lit(0.0), F.coalesce("mean_sc", F.lit(1.0)) - 1) * 25
+    g = g.withColumn("flow", F.floor(flow * 10 + 0.5) / 10)  # one place, half up on the scaled double
     g = g.withColumn("t_co2e", F.round(F.col("p") * F.col("flow") * 8760 * 0.85 * 29.8 / 1000, 1)).withColumn("eur", F.round(F.col("t_co2e") * 65, 0))
     return g.withColumn("tier", S.risk_tier(F.col("n_valid"), F.col("p")))
 
