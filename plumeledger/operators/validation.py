@@ -2,42 +2,82 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumeledger.functions import scalars as S
+from plumeledger.functions.running import running_totals
+
+
+def _counts(df: DataFrame, y: str, score: str) -> DataFrame:
+    """(s, p, q): positives and negatives at each distinct score."""
+    return df.groupBy(F.col(score).alias("s")).agg(F.sum((F.col(y) == 1).cast("long")).alias("p"), F.sum((F.col(y) == 0).cast("long")).alias("q"))
 
 
 def roc_curve(df: DataFrame, y: str = "y", score: str = "score") -> DataFrame:
     """Counts at each distinct threshold (score >= threshold is positive); equal scores are combined first."""
-    c = df.groupBy(F.col(score).alias("threshold")).agg(F.sum((F.col(y) == 1).cast("long")).alias("p"), F.sum((F.col(y) == 0).cast("long")).alias("q"))
-    w, a = W.orderBy(F.col("threshold").desc()), W.orderBy(F.lit(1)).rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
-    c = c.select("threshold", F.sum("p").over(w).alias("tp"), F.sum("q").over(w).alias("fp"), F.sum("p").over(a).alias("n1"), F.sum("q").over(a).alias("n0"))
+    return _curve(df, y, score).drop("p", "q", "n1", "n0")
+
+
+def _curve(df: DataFrame, y: str, score: str) -> DataFrame:
+    c = _counts(df, y, score)
+    all_ = c.agg(F.sum("p").alias("n1"), F.sum("q").alias("n0"))
+    c = running_totals(c, "s", ["p", "q"]).crossJoin(F.broadcast(all_))  # one row
+    c = c.select(F.col("s").alias("threshold"), "p", "q", F.col("upto_p").alias("tp"), F.col("upto_q").alias("fp"), "n1", "n0")
     rate = lambda k, n: F.when(F.col(n) > 0, F.col(k) / F.col(n)).otherwise(0.0)
-    return c.select("threshold", "tp", "fp", (F.col("n1") - F.col("tp")).alias("fn"), (F.col("n0") - F.col("fp")).alias("tn"), rate("tp", "n1").alias("tpr"), rate("fp", "n0").alias("fpr"))
+    more = {"fn": F.col("n1") - F.col("tp"), "tn": F.col("n0") - F.col("fp"), "tpr": rate("tp", "n1"), "fpr": rate("fp", "n0")}
+    return c.withColumns(more)
 
 
-def auc(df: DataFrame) -> DataFrame:
-    """AUC by the trapezoid rule over roc_curve()."""
-    r, w = roc_curve(df), W.orderBy(F.col("threshold").desc())
-    r = r.select("tpr", "fpr", F.coalesce(F.lag("tpr").over(w), F.lit(0.0)).alias("t0"), F.coalesce(F.lag("fpr").over(w), F.lit(0.0)).alias("f0"))
-    return r.agg(F.round(F.sum((F.col("fpr") - F.col("f0")) * (F.col("tpr") + F.col("t0")) / 2), 6).alias("auc"))
+def auc(df: DataFrame, y: str = "y", score: str = "score") -> DataFrame:
+    """AUC by the trapezoid rule over roc_curve(). The point before has this one's counts less its own p and q."""
+    wide = F.when(F.col("n0") > 0, F.col("q") / F.col("n0")).otherwise(0.0)
+    before = F.when(F.col("n1") > 0, (F.col("tp") - F.col("p")) / F.col("n1")).otherwise(0.0)
+    return _curve(df, y, score).agg(F.round(F.sum(wide * (F.col("tpr") + before) / 2), 6).alias("auc"))
 
 
 def auroc(df: DataFrame, y: str = "y", score: str = "score") -> DataFrame:
-    """Concordant pairs and half of the ties, from ranks of distinct scores; null with one class only."""
-    c = df.groupBy(F.col(score).alias("s")).agg(F.sum((F.col(y) == 1).cast("long")).alias("p"), F.sum((F.col(y) == 0).cast("long")).alias("q"))
-    below = F.coalesce(F.sum("q").over(W.orderBy("s").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    g = c.select("p", "q", below.alias("below")).agg(F.sum(F.col("p") * (F.col("below") + F.col("q") / 2)).alias("u"), F.sum("p").alias("n1"), F.sum("q").alias("n0"))
+    """Concordant pairs and half of the ties, from counts at distinct scores; null with one class only."""
+    c = running_totals(_counts(df, y, score), "s", ["q"], descending=False)
+    below = F.col("upto_q") - F.col("q")
+    g = c.agg(F.sum(F.col("p") * (below + F.col("q") / 2)).alias("u"), F.sum("p").alias("n1"), F.sum("q").alias("n0"))
     return g.select(F.round(F.try_divide(F.col("u"), F.col("n1") * F.col("n0")), 6).alias("auroc"))
 
 
+def _reciprocals(start: Column, n: Column, exact: int = 1000) -> Column:
+    """1/(start+1) + ... + 1/(start+n): the first terms one by one, the rest by the expansion of harmonic numbers."""
+    first = F.aggregate(F.sequence(F.lit(1).cast("long"), F.least(n, F.lit(exact))), F.lit(0.0), lambda a, i: a + 1 / (start + i))
+    harmonic = lambda m: F.log(m) + 1 / (2 * m) - 1 / (12.0 * m * m)
+    return first + F.when(n > exact, harmonic((start + n).cast("double")) - harmonic((start + exact).cast("double"))).otherwise(0.0)
+
+
 def average_precision(df: DataFrame, y: str = "y", score: str = "score") -> DataFrame:
-    """Ties go to positives."""
-    w = W.orderBy(F.col(score).desc(), F.col(y).desc(), "doc_id").rowsBetween(W.unboundedPreceding, W.currentRow)
-    r = df.select(y, F.sum(y).over(w).alias("tp"), F.count("*").over(w).alias("k"))
-    return r.agg(F.round(F.sum(F.when(F.col(y) == 1, F.col("tp") / F.col("k"))) / F.sum(y), 6).alias("ap"))
+    """Ties go to positives; null without positives.
+
+    Of p positives with equal score the i-th has precision (t + i) / (t + f + i), t and f being the positives and
+    negatives above, so the rows need no order of their own.
+    """
+    c = _curve(df, y, score).where("p > 0")
+    t, f = F.col("tp") - F.col("p"), F.col("fp") - F.col("q")
+    return c.agg(F.round(F.sum(F.col("p") - f * _reciprocals(t + f, F.col("p"))) / F.sum("p"), 6).alias("ap"))
+
+
+def optimal_threshold(df: DataFrame, y: str = "y", score: str = "score") -> DataFrame:
+    """(threshold, f1): the threshold of the greatest F1; of equal ones the least."""
+    c = _curve(df, y, score).withColumn("f1", F.coalesce(F.try_divide(2 * F.col("tp"), 2 * F.col("tp") + F.col("fp") + F.col("fn")), F.lit(0.0)))
+    best = c.agg(F.min_by("threshold", F.struct(-F.col("f1"), F.col("threshold"))).alias("threshold"), F.max("f1").alias("f1"))
+    return best.select("threshold", F.round("f1", 6).alias("f1"))
+
+
+def auc_interval(df: DataFrame, y: str = "y", score: str = "score", z: float = 1.645) -> DataFrame:
+    """(auc, se, lo, hi) with the closed-form standard error of the area; bounds clipped to 0..1."""
+    n = df.agg(F.sum((F.col(y) == 1).cast("long")).alias("n1"), F.sum((F.col(y) == 0).cast("long")).alias("n0"))
+    a, n1, n0 = F.col("auroc"), F.col("n1"), F.col("n0")
+    q1, q2 = a / (2 - a), 2 * a * a / (1 + a)
+    var = (a * (1 - a) + (n1 - 1) * (q1 - a * a) + (n0 - 1) * (q2 - a * a)) / (n1 * n0)
+    g = auroc(df, y, score).crossJoin(n).withColumn("se", F.sqrt(F.greatest(var, F.lit(0.0))))  # one row each
+    lo, hi = F.greatest(F.lit(0.0), a - z * F.col("se")), F.least(F.lit(1.0), a + z * F.col("se"))
+    return g.select(a.alias("auc"), F.round("se", 6).alias("se"), F.round(lo, 6).alias("lo"), F.round(hi, 6).alias("hi"))
 
 
 def calibration_bins(df: DataFrame, n: int = 5) -> DataFrame:
