@@ -9,6 +9,7 @@ from plumeledger.operators import detection as D
 from plumeledger.operators import joins as J
 from plumeledger.operators import pixels as P
 from plumeledger.operators import validation as V
+from plumeledger.plans import screening
 from plumeledger.sources import fixtures as X
 
 FLAGSHIP = "b13_e14_production_rule_audit"
@@ -65,6 +66,7 @@ def queries() -> dict:
         "d1_nearest_site": lambda s, d: J.nearest_within(X.sites(s, d), X.sites(s, d), 60.0),
         "d16_financed_emissions": lambda s, d: J.financed_emissions(X.exposures(s, d), _issuers(s, d)),
         "e8_bank_summary": lambda s, d: J.bank_summary(J.financed_emissions(X.exposures(s, d), _issuers(s, d))),
+        **screening.QUERIES,
     }
 
 
@@ -121,5 +123,13 @@ _BODY = {
 }
 
 
+# Queries of the other module whose SQL builds on what is here.
+_BODY |= screening.SQL
+_BODY["k2_k8_online_rule"] = _BODY["b13_production_rule"]
+_TIERS = "['HIGH', 'MEDIUM', 'LOW', 'UNDETECTED', 'NO_DATA']"
+_BODY["e7_portfolio_risk"] = f""", ri AS ({_BODY["e1_site_risk"].replace(", g AS (", "WITH g AS (", 1)}), j AS (SELECT ticker, ri.site AS s, eur, t_co2e, list_position({_TIERS}, coalesce(tier, 'NO_DATA')) AS r FROM v_sites LEFT JOIN ri USING (site))
+ SELECT ticker, count(*) AS n_sites, count(s) AS n_covered, round(sum(coalesce(eur, 0)), 0) AS eur, round(sum(coalesce(t_co2e, 0)), 1) AS t_co2e, {_TIERS}[CAST(min(r) AS INT)] AS tier, round(100 * count(s) / count(*)::DOUBLE, 2) AS coverage_pct FROM j GROUP BY ticker"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {k: X.SQL + v for k, v in _BODY.items()}

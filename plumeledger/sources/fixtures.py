@@ -11,9 +11,13 @@ def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
 
 
 def scores(spark, d) -> DataFrame:
+    return score_columns(_t(spark, d, "events"))
+
+
+def score_columns(e: DataFrame) -> DataFrame:
+    """Events, a table or a stream, as scene scores."""
     k = F.get_json_object("props", "$.k").cast("int")
     sc, cv = F.col("value") / 20.0, (k % 17) / 10.0
-    e = _t(spark, d, "events")
     return e.select("event_id", (F.col("user_id") % 10).alias("site"), F.to_date("ts").alias("acq_date"), sc.alias("sc_cfar"), k.alias("cloud"), cv.alias("cv"),
                     (sc > 1.15 + 3 * cv).alias("cfar_detect"), F.when(F.col("event_type") == "error", "failed").otherwise("ok").alias("status"))
 
