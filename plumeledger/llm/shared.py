@@ -8,6 +8,7 @@ import uuid
 from pathlib import Path
 
 import numpy as np
+import pyarrow.compute as pc
 import pyarrow.fs as pafs
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
@@ -130,6 +131,16 @@ def in_blocks(batches, rows: int):
             yield b.slice(i, rows)
 
 
+def by_bytes(batch, column: str, most: int):
+    """The batch cut into runs of rows whose texts in the column have about `most` bytes at most; one row at least."""
+    sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+    ends, start = np.cumsum(sizes), 0
+    while start < batch.num_rows:
+        end = max(start + 1, int(np.searchsorted(ends, ends[start] - sizes[start] + most, "right")))
+        yield batch.slice(start, end - start)
+        start = end
+
+
 def parts_for(df: DataFrame, rows_each: int, n: int) -> int:
     """Partitions so that each has about rows_each of n rows, one at least."""
     return max(1, -(-n // rows_each))
