@@ -214,3 +214,29 @@ def test_warc(spark):
     assert last[2].payload_digest == hashlib.sha1(big.encode()).hexdigest() == last[1].payload_digest and last[1].payload_bytes == len(big.encode())
     assert b"".join(r.chunk for r in sorted((r for r in table if r.page_id == 2), key=lambda r: r.chunk_no)) == big.encode()
     assert max(len(r.chunk) for r in table) <= warc_records.CHUNK and last[3].url == "http://c%\n" and last[5].payload_bytes == 0
+
+
+def test_line_hashes_and_edit_distance():
+    texts = ["Ab, cd éf—x_y 1\n\nab cd ÉF x y 1", "", "q " * 700 + "\n" + " ".join(str(i * i) for i in range(300)), "a b c d", "a b c d e!\n"]
+    rows, places, hashes, sims = line_dedup._hashed_lines(texts, 5)
+    assert list(zip(rows.tolist(), places.tolist())) == [(0, 0), (0, 2), (2, 0), (2, 1), (4, 0)]
+    assert hashes[0] == hashes[1] and sims[0] == sims[1] and len(set(hashes.tolist())) == 4
+    line = texts[2].split("\n")[1].split()
+    words = [int(line_dedup._run_hashes(np.array([ord(c) + 1 for c in w], np.uint64), np.array([0]), np.array([len(w)]))[0]) for w in line]
+    bits = [2 * sum(w >> (j + 8 * k) & 1 for w in words) > len(words) for j in range(8) for k in range(8)]
+    assert np.packbits(bits).view(np.int64)[0] == sims[3]
+
+    def distance(x, y):
+        row = list(range(len(y) + 1))
+        for i, a in enumerate(x, 1):
+            new = [i]
+            for j, b in enumerate(y, 1):
+                new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (a != b)))
+            row = new
+        return row[-1]
+
+    pool = ["", "abc", "kitten sitting", "sitting kitten", "a" * 70 + "b", "b" + "a" * 70, "é𝄞 x", "é𝄞x y"]
+    for x in pool:
+        for y in pool:
+            d = distance(x, y)
+            assert all(line_dedup.within(x, y, k) == (d <= k) for k in (0, max(0, d - 1), d, d + 1))
