@@ -58,3 +58,26 @@ def logistic(x: Column, k: float, x0: float) -> Column:
 
 def flow_kgh(mass_kg: Column, length_m: Column, wind_ms: Column) -> Column:
     return mass_kg / (length_m / F.greatest(wind_ms, F.lit(0.5))) * 3600
+
+
+def uncertainty_pct(wind_source: Column) -> Column:
+    """Per cent of a flow rate that is uncertain: 30 where the wind is reanalysis, else, and where it is unknown, 50."""
+    return F.when(F.lower(wind_source).contains("era5"), 30.0).otherwise(50.0)
+
+
+def annual_tonnes(kg_per_hour: Column) -> Column:
+    return kg_per_hour * 8760 / 1000
+
+
+def circular_mean(degrees: Column) -> Column:
+    """Aggregate: the mean direction in [0, 360); null without rows."""
+    r = F.radians(degrees)
+    return F.pmod(F.degrees(F.atan2(F.avg(F.sin(r)), F.avg(F.cos(r)))), F.lit(360.0))
+
+
+def box_text(lat: Column, lon: Column, half: float) -> Column:
+    """The closed polygon, as text, of half degrees around a point; null where a coordinate is."""
+    w, e, s, n = (F.format_number(x, 4) for x in (lon - half, lon + half, lat - half, lat + half))
+    corner = lambda x, y: F.concat(x, F.lit(" "), y)
+    ring = [F.lit("POLYGON(("), corner(w, s), F.lit(","), corner(e, s), F.lit(","), corner(e, n), F.lit(","), corner(w, n), F.lit(","), corner(w, s), F.lit("))")]
+    return F.concat(*ring)

@@ -7,7 +7,7 @@ import pytest
 from plumeledger.operators import detection, validation
 from plumeledger.plans import registry
 
-DATA = "/root/testdata/sf0.001"
+DATA = os.environ.get("QUERY_TEST_DIR", "/root/testdata/sf0.001")
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 
