@@ -240,3 +240,25 @@ def test_line_hashes_and_edit_distance():
         for y in pool:
             d = distance(x, y)
             assert all(line_dedup.within(x, y, k) == (d <= k) for k in (0, max(0, d - 1), d, d + 1))
+
+
+def test_line_dedup_recall_by_length(spark):
+    rng = np.random.default_rng(8)
+    word = lambda: "".join(chr(97 + i) for i in rng.integers(0, 26, rng.integers(3, 10)))
+    rows, of = [], {}
+    for n in (5, 8, 10, 15, 20, 40, 100):
+        for _ in range(40):
+            a = [word() for _ in range(n)]
+            b = list(a)
+            b[rng.integers(n)] = word()
+            x, y = " ".join(a), " ".join(b)
+            if line_dedup.within(x, y, int(0.2 * max(len(x), len(y)) + 1e-9)):
+                of[len(rows) + 1] = n
+                rows += [(len(rows), x), (len(rows) + 1, y)]
+    got = {r.doc_id: r.n_dropped for r in line_dedup.line_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(v == 0 for k, v in got.items() if k not in of)
+    found, sought = Counter(), Counter()
+    for k, n in of.items():
+        sought[n] += 1
+        found[n] += got[k]
+    assert all(found[n] >= 0.95 * sought[n] for n in sought), (found, sought)
