@@ -31,7 +31,7 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def line_deduplication(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of duplicate lines one occurrence stays; n_chars follows the text. A document that loses its whole text goes."""
-    got = line_dedup(docs)
+    got = line_dedup(docs, min_words=0)
     lost = (F.col("n_dropped") > 0) & (F.trim("text") == "")
     got = got.where(~lost)
     if "n_chars" in docs.columns:

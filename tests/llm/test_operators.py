@@ -262,3 +262,10 @@ def test_line_dedup_recall_by_length(spark):
         sought[n] += 1
         found[n] += got[k]
     assert all(found[n] >= 0.95 * sought[n] for n in sought), (found, sought)
+
+
+def test_line_dedup_of_every_line(spark, tmp_path):
+    rows = [(1, "Share this\n今日は天気がいいですね\n---\n\nonly here"), (2, "share this\n今日は天気がいいですね\n***"), (3, "\nshare this!\n---\nonly there")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: (r.n_dropped, r.text) for r in line_dedup.op1_line_dedup(spark, str(tmp_path)).collect()}
+    assert got == {1: (0, rows[0][1]), 2: (2, "***"), 3: (2, "\nonly there")}
