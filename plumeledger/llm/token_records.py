@@ -154,7 +154,7 @@ class Encoder:
             lines = None
             if t and not any(a in t for a in self.added):
                 lines = [x.split(" ") for x in t.split("\n")]
-                if sum(map(len, lines)) != len(t.split()):
+                if [p for x in lines for p in x] != t.split():  # other white space, or separators that touch, lead or trail
                     lines = None
             cut.append(lines)
             if lines:

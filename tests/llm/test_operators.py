@@ -269,3 +269,11 @@ def test_line_dedup_of_every_line(spark, tmp_path):
     spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     got = {r.doc_id: (r.n_dropped, r.text) for r in line_dedup.op1_line_dedup(spark, str(tmp_path)).collect()}
     assert got == {1: (0, rows[0][1]), 2: (2, "***"), 3: (2, "\nonly there")}
+
+
+def test_token_ids_of_other_white_space():
+    P = pytest.importorskip("public_tokenizers")
+    enc = tr.encoder(P.path("byte_bpe_50k.json"))
+    texts = ["a\tb\tc\n\n", "un\u00a0mot\u00a0: oui  non ", "a b\nc d", "a\n\nb\rc", " a", "a \nb\tc", "\n", " ", "a\u2028b\n"]
+    want = [enc.tok.encode(t, add_special_tokens=False).ids for t in texts]
+    assert [np.frombuffer(x, f"<{enc.code}").tolist() for x in enc(texts)] == want
