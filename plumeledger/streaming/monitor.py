@@ -21,8 +21,13 @@ def event_stream(spark: SparkSession, path: str, files_per_batch: int = 64) -> D
     return stream.parquet(f"{path[:-1]}[{path[-1]}]")  # as a pattern: a plain path must be a folder
 
 
-def first_of_each(events: DataFrame, delay: str = "1 day") -> DataFrame:
-    """Events without repeats of an event_id within the delay; state older than that is let go."""
+def first_of_each(events: DataFrame, delay: str | None = "1 day") -> DataFrame:
+    """Events without repeats of an event_id within the delay; state older than that is let go, and later events with it.
+
+    Without a delay no event is late, in whatever order they come, and the state keeps every event_id: for a bounded replay.
+    """
+    if delay is None:
+        return events.dropDuplicates(["event_id"])
     timed = events.withColumn("seen_at", F.col("ts").cast("timestamp"))
     return timed.withWatermark("seen_at", delay).dropDuplicatesWithinWatermark(["event_id"])
 
@@ -35,10 +40,10 @@ def drain(stream: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(stream.schema).parquet(out)
 
 
-def online_rule(spark: SparkSession, sf_dir: str) -> DataFrame:
+def online_rule(spark: SparkSession, sf_dir: str, files_per_batch: int = 64) -> DataFrame:
     """(event_id, class) of every event: stream without repeats, joined with the present threshold (one row)."""
     tau = D.conformal_threshold(X.scores(spark, sf_dir), [0.1])
-    stream = X.score_columns(first_of_each(event_stream(spark, f"{sf_dir}/events.parquet")))
+    stream = X.score_columns(first_of_each(event_stream(spark, f"{sf_dir}/events.parquet", files_per_batch), delay=None))
     return drain(D.production_rule(stream, tau).select("event_id", "class"), "online-rule")
 
 

@@ -7,6 +7,7 @@ from plumeledger.functions.running import running_totals
 from plumeledger.operators import screening as C
 from plumeledger.operators import summaries as M
 from plumeledger.operators import validation as V
+from plumeledger.streaming import monitor
 
 SCORES = "event_id int, site int, acq_date date, sc_cfar double, cloud int, cfar_detect boolean, status string"
 
@@ -58,3 +59,15 @@ def test_governance_counts(spark):
     got = C.governance(df)
     assert [(len(r.flags), r.excluded) for r in got.collect()] == [(5, True), (0, False), (0, False)]
     assert {r.flag: r.n for r in C.governance_summary(got).collect()}["TOTAL"] == 3
+
+
+def test_online_rule_of_files_out_of_order(spark, tmp_path):
+    events = spark.read.parquet("/root/testdata/sf0.001/events.parquet")
+    days = sorted(r.d for r in events.select(F.to_date("ts").alias("d")).distinct().collect())
+    newest = [(days[-7:], "a"), (days[:-14], "b"), (days[-14:-7], "c")]  # the latest days come first
+    for some, name in newest:
+        part = events.where(F.to_date("ts").isin(some)).coalesce(1)
+        part.write.mode("append").parquet(str(tmp_path / "events.parquet"))
+    got = monitor.online_rule(spark, str(tmp_path), files_per_batch=1)
+    assert len(days) > 14 and got.count() == events.select("event_id").distinct().count()
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, monitor.online_rule(spark, str(tmp_path)).collect()))
