@@ -1,4 +1,4 @@
-"""Connected components of a table of links by alternating large-star and small-star steps, each a grouped minimum."""
+"""Connected components of a table of links by contraction: every node takes the name of its least neighbour, again and again."""
 
 from __future__ import annotations
 
@@ -9,37 +9,46 @@ from plumeledger.llm.shared import written
 
 #: Rows up to which a side whose rows were counted is sent to every task; beyond that the join shuffles both sides.
 SMALL_ROWS = 500_000
+#: Links of a task, where a table's rows were counted.
+TASK_ROWS = 200_000
 
 
-def join_counted(big: DataFrame, small: DataFrame, on, how: str = "inner", limit: int = SMALL_ROWS) -> DataFrame:
-    """Join with a written table: broadcast if its counted rows are few, else by sorted merge, whose hot keys adaptive execution splits."""
-    few = small.count() <= limit
+def join_counted(big: DataFrame, small: DataFrame, on, how: str = "inner", limit: int = SMALL_ROWS, rows: int | None = None) -> DataFrame:
+    """Join with a written table of that many rows (None: count them): broadcast if they are few, else by sorted merge, whose hot keys adaptive execution splits."""
+    few = (small.count() if rows is None else rows) <= limit
     return big.join(F.broadcast(small) if few else small.hint("merge"), on, how)
 
 
-def _star(pairs: DataFrame) -> DataFrame:
-    """(u, v, m): m is the least of u and its neighbours. The minimum is combined before the shuffle, and joined back."""
-    least = pairs.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("k"), F.least("u", "m").alias("m"))
-    return pairs.join(least.hint("merge"), F.col("u") == F.col("k")).select("u", "v", "m")
-
-
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, root) for every node of a link (two bigint columns); root is the least node of its component.
 
-    Each step writes its links to the shared folder, so lineage stays short and a lost executor costs one step. Links
-    of a node to itself and nulls are left out; an empty table gives no rows. Every step leaves at most as
-    many links as before; it ends when two steps change nothing.
+    In each round a node is renamed to the least of itself and its neighbours, links to links of the new names, and
+    links within one name go. The least node of a component never changes its name, so when no link is left all have it. A star
+    takes two rounds at most, a chain about as many as its length has bits. The minimum is combined before
+    its shuffle, so a node with any number of links is no burden to one task. Each round is written to the shared folder:
+    lineage stays short, and a lost executor costs one round. Links of a node to itself and nulls are left
+    out; an empty table gives no rows.
     """
     e = links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct()
-    e, before = written(e, "links"), None
+    e = written(e, "links")
+    names, n = None, e.count()
     while True:
+        parts = n // TASK_ROWS + 1
         both = e.unionAll(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = _star(both).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        small = _star(large)
-        new = small.select(F.col("v").alias("u"), F.col("m").alias("v")).unionAll(small.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
-        e = written(new, "links")
-        now = tuple(e.agg(F.count("*"), F.coalesce(F.sum(F.hash("u", "v").cast("long")), F.lit(0)), F.coalesce(F.bit_xor(F.xxhash64("u", "v")), F.lit(0))).first())
-        if now == before:
-            break
-        before = now
-    return e.select(F.col("u").alias("node"), F.col("v").alias("root")).unionAll(e.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
+        least = both.groupBy(F.col("u").alias("k")).agg(F.min("v").alias("m")).select("k", F.least("k", "m").alias("m"))
+        least = written(least.coalesce(parts), "links-least")
+        rows = min(2 * n, least.count())
+        if names is None:
+            names = least.select(F.col("k").alias("node"), F.col("m").alias("root"))
+        else:
+            renamed = join_counted(names, least, names.root == least.k, "left", rows=rows)
+            names = written(renamed.select("node", F.coalesce("m", "root").alias("root")), "links-names")
+        if not n:
+            return names
+        x, y = least.select(F.col("k").alias("ku"), F.col("m").alias("mu")), least.select(F.col("k").alias("kv"), F.col("m").alias("mv"))
+        e = join_counted(join_counted(e, x, F.col("u") == F.col("ku"), rows=rows), y, F.col("v") == F.col("kv"), rows=rows)
+        e = e.select(F.greatest("mu", "mv").alias("u"), F.least("mu", "mv").alias("v")).where("u <> v").distinct()
+        e = written(e.coalesce(parts), "links")
+        n = e.count()
+        if not n:
+            return names

@@ -18,8 +18,11 @@ import math
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from plumeledger.llm.components import components, join_counted
@@ -44,9 +47,15 @@ def _largest(j: int) -> int:
     return n
 
 
+def differing(j: int, num: int, den: int) -> int:
+    """The most shingles in which two similar sets, the larger of size band j, can differ."""
+    return 2 * _largest(j) * (den - num) // (den + num)
+
+
 def groups_of(j: int, num: int, den: int) -> int:
-    """Groups of size band j: one more than the shingles in which two similar sets, the larger of the band, can differ."""
-    return 2 * _largest(j) * (den - num) // (den + num) + 1
+    """Groups of size band j: one more than the shingles in which similar sets can differ, and as many as may stay empty."""
+    least = differing(j, num, den) + 1
+    return least + int(1.5 * least * math.exp(-_largest(j) / 1.25 / least)) + 1
 
 
 def words(text: str | None) -> list[bytes]:
@@ -75,28 +84,48 @@ def set_id(s: np.ndarray) -> int:
 
 
 def point(s: np.ndarray) -> np.ndarray:
-    return np.bincount((mix(s) >> np.uint64(58)).astype(np.int64), minlength=COORDINATES).astype(np.int32)
+    """Counts of the set's shingles by the top bits of their hashes: COORDINATES numbers, or as many more as leave some four shingles for each."""
+    bits = max(COORDINATES.bit_length() - 1, min(13, (len(s) // 4).bit_length()))
+    return np.bincount((mix(s) >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits).astype(np.int32)
+
+
+def folded(values: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Points of these sizes, end to end, as rows of the least size: neighbouring counts are added up."""
+    least = int(sizes.min())
+    if (sizes == least).all():
+        return values.reshape(-1, least)
+    ends = np.cumsum(sizes)
+    return np.stack([values[e - n : e].reshape(least, -1).sum(axis=1) for e, n in zip(ends, sizes)])
 
 
 def group_keys(s: np.ndarray, num: int, den: int, plan: dict) -> np.ndarray:
-    """A key for each group of each band in which a partner of the set can be the larger one."""
+    """A key for the contents of each group, for each band in which a partner of the set can be the larger one.
+
+    Empty groups agree between most unlike sets. They have no key, unless the set has too few others: similar sets
+    differ in r shingles at most, so if one of them has more than r groups with contents, both have one of these in common.
+    """
     n, out = len(s), []
-    for j in {band(n), band(n * den // num)}:
-        m = plan.get(j)
-        if m is None:
-            m = plan[j] = groups_of(j, num, den)
+    y = mix(s)
+    for j in range(band(n), band(n * den // num) + 1):
+        if j not in plan:
+            plan[j] = groups_of(j, num, den), differing(j, num, den)
+        m, r = plan[j]
+        group = ((y >> np.uint64(20)) % np.uint64(m)).astype(np.int64)
         contents = np.zeros(m, np.uint64)
-        y = mix(s)
-        np.add.at(contents, ((y >> np.uint64(20)) % np.uint64(m)).astype(np.int64), y)
-        out.append(mix(contents + mix(np.arange(m, dtype=np.uint64) + np.uint64(j << 32))))
+        np.add.at(contents, group, y)
+        keys = mix(contents + mix(np.arange(m, dtype=np.uint64) + np.uint64(j << 32)))
+        some = np.bincount(group, minlength=m) > 0
+        out.append(keys[some] if some.sum() > r else keys)
     return np.concatenate(out).view(np.int64)
 
 
 def _sets(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
-    """(doc_id, n, set_id, keys), a row a document; no keys and a null set_id for those without words."""
+    """(row, doc_id, n, set_id, keys), a row a document; no keys and a null set_id for those without words. row tells rows apart."""
+    kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches):
-        plan: dict[int, int] = {}
+        plan: dict[int, tuple[int, int]] = {}
+        first = TaskContext.get().partitionId() << 40
         for b in in_blocks(batches, 400):
             sets = shingle_sets(b.column("text").to_pylist(), k)
             ids = [set_id(s) if len(s) else None for s in sets]
@@ -104,9 +133,11 @@ def _sets(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
             sizes = np.cumsum([0] + [0 if x is None else len(x) for x in keys])
             flat = np.concatenate([x for x in keys if x is not None]) if sizes[-1] else np.zeros(0, np.int64)
             lists = pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), pa.array(flat))
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(ids, pa.int64()), lists], names=["doc_id", "n", "set_id", "keys"])
+            rows = pa.array(np.arange(first, first + b.num_rows))
+            first += b.num_rows
+            yield pa.RecordBatch.from_arrays([rows, b.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(ids, pa.int64()), lists], names=["row", "doc_id", "n", "set_id", "keys"])
 
-    return docs.mapInArrow(run, "doc_id long, n long, set_id long, keys array<long>")
+    return docs.mapInArrow(run, f"row long, doc_id {kind}, n long, set_id long, keys array<long>")
 
 
 def _contents(docs: DataFrame, k: int) -> DataFrame:
@@ -158,8 +189,9 @@ def _tree_pairs(rows: DataFrame, num: int, den: int, best: bool) -> DataFrame:
     r = r.select("key", "set_id", "n", "point", "root", "own", F.least("own", "o").alias("i"), F.greatest("own", "o").alias("j"))
 
     def run(key, table):
-        ids, sizes, roots, own = (np.array(table.column(c).to_pylist(), np.int64) for c in ("set_id", "n", "root", "own"))
-        points = np.array(table.column("point").to_pylist(), np.int32).reshape(-1, COORDINATES)
+        ids, sizes, roots, own = (table.column(c).to_numpy().astype(np.int64) for c in ("set_id", "n", "root", "own"))
+        lists = table.column("point").combine_chunks()
+        points = folded(lists.flatten().to_numpy(), pc.list_value_length(lists).to_numpy())
         i, j = key[1].as_py(), key[2].as_py()
         left, right = np.flatnonzero(own == i), np.flatnonzero(own == j)
         a, b = [], []
@@ -202,34 +234,41 @@ def linked_components(docs: DataFrame, *, k: int = SHINGLE, similarity: tuple[in
     d = with_columns_of(docs, "doc_id", "text")
     everything = written(_sets(d, k, num, den), "jaccard-sets")
     rows = everything.select("doc_id", "n", "set_id")
-    # Of copies one set remains: combined before the shuffle, however many copies there are.
-    tops = written(rows.where("set_id is not null").groupBy("set_id").agg(F.min("doc_id").alias("top")), "jaccard-tops")
-    keys = everything.where("set_id is not null").select("set_id", F.explode("keys").alias("key"))
-    shared = keys.groupBy("key").agg(F.min("set_id").alias("hub"), F.max("set_id").alias("last")).where("hub <> last")
-    shared = written(shared.select(F.col("key").alias("k"), "hub"), "jaccard-shared")
-    members = join_counted(keys, shared, keys.key == shared.k, limit=2 * 10**6).select("key", "hub", "set_id").distinct()
+    # Of copies one set remains, and one row gives its keys: combined before the shuffle, however many copies there are.
+    tops = everything.where("set_id is not null").groupBy("set_id").agg(F.min("doc_id").alias("top"), F.min("row").alias("first"), F.count("*").alias("copies"))
+    tops = written(tops, "jaccard-tops")
+    copied = tops.where("copies > 1").select(F.col("set_id").alias("s"), "first")
+    once = join_counted(everything.where("set_id is not null"), copied, F.col("set_id") == F.col("s"), "left")
+    keys = once.where(F.coalesce(F.col("row") == F.col("first"), F.lit(True))).select("set_id", F.explode("keys").alias("key"))
+    # One shuffle deals the keys out; the bucket's least set, its hub, is the first that comes.
+    members = keys.withColumn("hub", F.first("set_id").over(W.partitionBy("key").orderBy("set_id"))).where("set_id <> hub")
     members = written(members, "jaccard-members")
-    tried = written(members.where("set_id <> hub").select(F.least("hub", "set_id").alias("a"), F.greatest("hub", "set_id").alias("b")).distinct(), "jaccard-pairs")
-    needed = members.select("set_id").distinct()
+    tried = written(members.select(F.col("hub").alias("a"), F.col("set_id").alias("b")).distinct(), "jaccard-pairs")
+    needed = tried.select(F.col("a").alias("set_id")).unionAll(tried.select("b")).distinct()
     reps = written(tops.join(needed.hint("merge"), "set_id", "left_semi").select(F.col("top").alias("rep")).distinct(), "jaccard-reps")
     sought = join_counted(d, reps, d.doc_id.eqNullSafe(reps.rep), "left_semi")
     sets = written(_contents(sought, k), "jaccard-contents")
-    links = written(_verified(tried, sets, num, den), "jaccard-links")
+    roots = written(components(written(_verified(tried, sets, num, den), "jaccard-links")), "jaccard-roots")
 
     # Sets of one bucket that are still in different components are searched in the bucket's tree: first for the best
     # candidate in each other component, which joins most of what belongs together, then for all that are left.
-    roots = written(components(links), "jaccard-roots")
     points = sets.select(F.col("set_id").alias("s"), "n", "point")
     for best in (True, False):
-        m = members.join(roots.hint("merge"), members.set_id == roots.node, "left").select("key", "hub", "set_id", F.coalesce("root", "set_id").alias("root"))
+        named = roots.select(F.col("node").alias("s"), "root")
+        hubs = roots.select(F.col("node").alias("h"), F.col("root").alias("hub_root"))
+        known = roots.count()
+        m = join_counted(members, named, F.col("set_id") == F.col("s"), "left", rows=known)
+        m = join_counted(m, hubs, F.col("hub") == F.col("h"), "left", rows=known)
+        m = m.select("key", "set_id", F.coalesce("root", "set_id").alias("root"), F.coalesce("hub_root", "hub").alias("hub_root"))
         split = m.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1").select(F.col("key").alias("k"))
-        open_ = m.where("set_id <> hub").join(split.hint("merge"), F.col("key") == F.col("k"), "left_semi")
+        open_ = join_counted(m, written(split, "jaccard-split"), F.col("key") == F.col("k"), "left_semi")
         open_ = written(open_.join(points.hint("merge"), F.col("set_id") == F.col("s")).select("key", "set_id", "n", "point", "root"), "jaccard-open")
-        rest = _tree_pairs(open_, num, den, best).join(tried.hint("merge"), ["a", "b"], "left_anti")
-        rest = written(rest, "jaccard-tree")
+        rest = written(_tree_pairs(open_, num, den, best).join(tried.hint("merge"), ["a", "b"], "left_anti"), "jaccard-tree")
+        if rest.isEmpty():
+            break
         tried = tried.unionAll(rest)
-        links = written(links.unionAll(_verified(rest, sets, num, den)), "jaccard-links")
-        roots = written(components(links), "jaccard-roots")
+        more = written(_verified(rest, sets, num, den), "jaccard-links")
+        roots = written(components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionAll(more)), "jaccard-roots")
 
     named = tops.join(roots.hint("merge"), tops.set_id == roots.node, "left").select("set_id", "top", F.coalesce("root", "set_id").alias("root"))
     least = named.groupBy("root").agg(F.min("top").alias("component_id")).select(F.col("root").alias("r"), "component_id")
