@@ -6,7 +6,8 @@ search; what survives is verified on the sets themselves.
 
 One tree over all points would not prune: the boxes of unlike documents overlap in nearly every coordinate, and the
 search would hold each document against all of similar size. So points are first dealt out by the contents of
-their groups. Sets of a and b shingles that are similar enough differ in at most r = (a + b) * (1 - t) / (1 + t) shingles;
+their groups. (A node of the tree has 64 coordinates; what it lets through is bounded once more by the minima over all
+coordinates of 16 or 22 bits, which is close to the overlap itself, so little but links is left to verify.) Sets of a and b shingles that are similar enough differ in at most r = (a + b) * (1 - t) / (1 + t) shingles;
 cut into r + 1 groups by hash they agree in one group at least. Documents that agree in a group of their size band meet
 in a bucket. Of a bucket, every set is verified against the least one first; only sets that this leaves in
 different components are searched against each other, in a tree over the bucket, large buckets in pairs of blocks.
@@ -18,7 +19,6 @@ import math
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -31,6 +31,8 @@ from plumeledger.llm.shared import WordHashes, importable, in_blocks, mix, shing
 SHINGLE = 3
 SIMILARITY = (90, 100)
 COORDINATES = 64
+#: Shingles up to which a set's coordinates have 16 bits.
+FINE = 2048
 BLOCK = 1024
 NODE = 16
 _RATIO = math.log(1.25)
@@ -83,19 +85,38 @@ def set_id(s: np.ndarray) -> int:
     return xxhash.xxh3_64_intdigest(s.tobytes()) - (1 << 63)
 
 
-def point(s: np.ndarray) -> np.ndarray:
-    """Counts of the set's shingles by the top bits of their hashes: COORDINATES numbers, or as many more as leave some four shingles for each."""
-    bits = max(COORDINATES.bit_length() - 1, min(13, (len(s) // 4).bit_length()))
-    return np.bincount((mix(s) >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits).astype(np.int32)
-
-
-def folded(values: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """Points of these sizes, end to end, as rows of the least size: neighbouring counts are added up."""
-    least = int(sizes.min())
-    if (sizes == least).all():
-        return values.reshape(-1, least)
-    ends = np.cumsum(sizes)
-    return np.stack([values[e - n : e].reshape(least, -1).sum(axis=1) for e, n in zip(ends, sizes)])
+def coordinates(s: np.ndarray) -> bytes:
+    """The set's coordinates, one a shingle, ascending: the top 16 bits of the shingles' hashes, of large sets the top 22."""
+    bits, kind = (16, "<u2") if len(s) <= FINE else (22, "<u4")
+    return np.sort((mix(s) >> np.uint64(64 - bits)).astype(kind)).tobytes()
+
+
+class Points:
+    """Count points of a table's sets: coarse ones for the tree, and all coordinates that occur for the last bound."""
+
+    def __init__(self, raw: list[bytes], sizes: np.ndarray):
+        narrow = np.array([len(x) == 2 * n for x, n in zip(raw, sizes)], bool)
+        self.bits = 16 if narrow.any() else 22
+        each = [np.frombuffer(x, "<u2" if s else "<u4").astype(np.int64) for x, s in zip(raw, narrow)]
+        if self.bits == 16:
+            each = [x if s else x >> 6 for x, s in zip(each, narrow)]
+        self.coarse = np.stack([np.bincount(x >> (self.bits - 6), minlength=COORDINATES) for x in each]).astype(np.int32)
+        fine = [np.unique(x, return_counts=True) for x in each]
+        self.at, self.counts = np.concatenate([c for c, _ in fine]), np.concatenate([n for _, n in fine])
+        self.many = np.array([len(c) for c, _ in fine], np.int64)
+        self.first = np.cumsum(self.many) - self.many
+        self.table = np.zeros(1 << self.bits, np.int64)
+
+    def bounds(self, x: int, y: np.ndarray) -> np.ndarray:
+        """The summed minima over all coordinates of the set x and each set of y."""
+        own = slice(self.first[x], self.first[x] + self.many[x])
+        self.table[self.at[own]] = self.counts[own]
+        many = self.many[y]
+        starts = np.cumsum(many) - many
+        i = np.arange(many.sum()) + np.repeat(self.first[y] - starts, many)
+        out = np.add.reduceat(np.minimum(self.table[self.at[i]], self.counts[i]), starts)
+        self.table[self.at[own]] = 0
+        return out
 
 
 def group_keys(s: np.ndarray, num: int, den: int, plan: dict) -> np.ndarray:
@@ -141,16 +162,16 @@ def _sets(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
 
 
 def _contents(docs: DataFrame, k: int) -> DataFrame:
-    """(set_id, n, shingles, point) of each row that has words."""
+    """(set_id, n, shingles, point) of each row that has words; point has its coordinates."""
 
     def run(batches):
         for b in in_blocks(batches, 400):
             sets = [s for s in shingle_sets(b.column("text").to_pylist(), k) if len(s)]
-            rows = [set_id(s) for s in sets], [len(s) for s in sets], [s.view(np.int64) for s in sets], [point(s) for s in sets]
-            types = pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int32())
+            rows = [set_id(s) for s in sets], [len(s) for s in sets], [s.view(np.int64) for s in sets], [coordinates(s) for s in sets]
+            types = pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary()
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(rows, types)], names=["set_id", "n", "shingles", "point"])
 
-    return docs.mapInArrow(run, "set_id long, n long, shingles array<long>, point array<int>")
+    return docs.mapInArrow(run, "set_id long, n long, shingles array<long>, point binary")
 
 
 class CountTree:
@@ -190,18 +211,23 @@ def _tree_pairs(rows: DataFrame, num: int, den: int, best: bool) -> DataFrame:
 
     def run(key, table):
         ids, sizes, roots, own = (table.column(c).to_numpy().astype(np.int64) for c in ("set_id", "n", "root", "own"))
-        lists = table.column("point").combine_chunks()
-        points = folded(lists.flatten().to_numpy(), pc.list_value_length(lists).to_numpy())
         i, j = key[1].as_py(), key[2].as_py()
         left, right = np.flatnonzero(own == i), np.flatnonzero(own == j)
         a, b = [], []
         if len(left) and len(right) and len(np.unique(roots)) > 1:
-            tree = CountTree(points[right], sizes[right])
+            points = Points(table.column("point").to_pylist(), sizes)
+            tree = CountTree(points.coarse[right], sizes[right])
             for x in left:
-                y = right[tree.search(points[x], sizes[x], num, den)]
+                y = right[tree.search(points.coarse[x], sizes[x], num, den)]
                 y = y[(roots[y] != roots[x]) & (ids[y] != ids[x])]
+                if not len(y):
+                    continue
+                bound = points.bounds(x, y)
+                ok = (den + num) * bound >= num * (sizes[y] + sizes[x])
+                y, bound = y[ok], bound[ok]
                 if best and len(y) > 1:
-                    y = y[np.lexsort((-np.minimum(points[y], points[x]).sum(axis=1), roots[y]))]
+                    order = np.lexsort((-bound, roots[y]))
+                    y = y[order]
                     y = y[np.flatnonzero(np.diff(roots[y], prepend=roots[y[0]] - 1))]
                 elif i == j:
                     y = y[ids[y] > ids[x]]
