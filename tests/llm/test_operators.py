@@ -216,30 +216,28 @@ def test_warc(spark):
     assert max(len(r.chunk) for r in table) <= warc_records.CHUNK and last[3].url == "http://c%\n" and last[5].payload_bytes == 0
 
 
-def test_line_hashes_and_edit_distance():
-    texts = ["Ab, cd éf—x_y 1\n\nab cd ÉF x y 1", "", "q " * 700 + "\n" + " ".join(str(i * i) for i in range(300)), "a b c d", "a b c d e!\n"]
-    rows, places, hashes, sims = line_dedup._hashed_lines(texts, 5)
-    assert list(zip(rows.tolist(), places.tolist())) == [(0, 0), (0, 2), (2, 0), (2, 1), (4, 0)]
-    assert hashes[0] == hashes[1] and sims[0] == sims[1] and len(set(hashes.tolist())) == 4
-    line = texts[2].split("\n")[1].split()
-    words = [int(line_dedup._run_hashes(np.array([ord(c) + 1 for c in w], np.uint64), np.array([0]), np.array([len(w)]))[0]) for w in line]
-    bits = [2 * sum(w >> (j + 8 * k) & 1 for w in words) > len(words) for j in range(8) for k in range(8)]
-    assert np.packbits(bits).view(np.int64)[0] == sims[3]
-
-    def distance(x, y):
-        row = list(range(len(y) + 1))
-        for i, a in enumerate(x, 1):
-            new = [i]
-            for j, b in enumerate(y, 1):
-                new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (a != b)))
-            row = new
-        return row[-1]
-
-    pool = ["", "abc", "kitten sitting", "sitting kitten", "a" * 70 + "b", "b" + "a" * 70, "é𝄞 x", "é𝄞x y"]
-    for x in pool:
-        for y in pool:
-            d = distance(x, y)
-            assert all(line_dedup.within(x, y, k) == (d <= k) for k in (0, max(0, d - 1), d, d + 1))
+def _distance(x, y):
+    row = list(range(len(y) + 1))
+    for i, a in enumerate(x, 1):
+        new = [i]
+        for j, b in enumerate(y, 1):
+            new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (a != b)))
+        row = new
+    return row[-1]
+
+
+def test_simhash_and_edit_similarity(spark):
+    lists = [[], ["a"], ["a", "b"], list("abcde") * 3, [str(i * i) for i in range(63)], [str(i) for i in range(64)], [f"w{i % 400}" for i in range(17_000)]]
+    df = spark.createDataFrame([(i, w) for i, w in enumerate(lists)], "i int, w array<string>")
+    got = {r.i: r for r in df.select("i", line_dedup.simhash(F.col("w")).alias("s"), F.transform("w", lambda x: F.xxhash64(x)).alias("h")).collect()}
+    for i, w in enumerate(lists):
+        bits = [2 * sum(h >> j & 1 for h in got[i].h) > len(w) for j in range(64)]
+        assert got[i].s == sum(b << j for j, b in enumerate(bits[:63])) - (bits[63] << 63)
+
+    pool = ["", "abc", "kitten sitting", "sitting kitten", "a b c d e f g h", "x b c d e f g h", "a b c d e f g x", "b c d e f g h", "a b c d d e f g h", "é𝄞 x", "é𝄞x y", "one two three four five", "one two thre four five", "one two four five"]
+    pairs = spark.createDataFrame([(i, j, x.split(), y.split()) for i, x in enumerate(pool) for j, y in enumerate(pool)], "a long, b long, x array<string>, y array<string>")
+    got = {(r.a, r.b) for r in line_dedup._edit_similar(pairs, 0.8).collect()}
+    assert got == {(i, j) for i, x in enumerate(pool) for j, y in enumerate(pool) if _distance(x, y) <= int(0.2 * max(len(x), len(y)) + 1e-9)}
 
 
 def test_line_dedup_recall_by_length(spark):
@@ -252,7 +250,7 @@ def test_line_dedup_recall_by_length(spark):
             b = list(a)
             b[rng.integers(n)] = word()
             x, y = " ".join(a), " ".join(b)
-            if line_dedup.within(x, y, int(0.2 * max(len(x), len(y)) + 1e-9)):
+            if _distance(x, y) <= int(0.2 * max(len(x), len(y)) + 1e-9):
                 of[len(rows) + 1] = n
                 rows += [(len(rows), x), (len(rows) + 1, y)]
     got = {r.doc_id: r.n_dropped for r in line_dedup.line_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
@@ -268,7 +266,8 @@ def test_line_dedup_of_every_line(spark, tmp_path):
     rows = [(1, "Share this\n今日は天気がいいですね\n---\n\nonly here"), (2, "share this\n今日は天気がいいですね\n***"), (3, "\nshare this!\n---\nonly there")]
     spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     got = {r.doc_id: (r.n_dropped, r.text) for r in line_dedup.op1_line_dedup(spark, str(tmp_path)).collect()}
-    assert got == {1: (0, rows[0][1]), 2: (2, "***"), 3: (2, "\nonly there")}
+    # "only there" is "only here" but for one of ten characters: a duplicate at similarity 0.8.
+    assert got == {1: (0, rows[0][1]), 2: (2, "***"), 3: (3, "")}
 
 
 def test_token_ids_of_other_white_space():
