@@ -6,8 +6,8 @@ search; what survives is verified on the sets themselves.
 
 One tree over all points would not prune: the boxes of unlike documents overlap in nearly every coordinate, and the
 search would hold each document against all of similar size. So points are first dealt out by the contents of
-their groups. (A node of the tree has 64 coordinates; what it lets through is bounded once more by the minima over all
-coordinates of 16 or 22 bits, which is close to the overlap itself, so little but links is left to verify.) Sets of a and b shingles that are similar enough differ in at most r = (a + b) * (1 - t) / (1 + t) shingles;
+their groups. (A node of the tree has 64 coordinates; what it lets through is bounded once more by the minima over 256
+coordinates or more, so little but links is left to verify.) Sets of a and b shingles that are similar enough differ in at most r = (a + b) * (1 - t) / (1 + t) shingles;
 cut into r + 1 groups by hash they agree in one group at least. Documents that agree in a group of their size band meet
 in a bucket. Of a bucket, every set is verified against the least one first; only sets that this leaves in
 different components are searched against each other, in a tree over the bucket, large buckets in pairs of blocks.
@@ -31,8 +31,8 @@ from plumeledger.llm.shared import WordHashes, importable, in_blocks, mix, shing
 SHINGLE = 3
 SIMILARITY = (90, 100)
 COORDINATES = 64
-#: Shingles up to which a set's coordinates have 16 bits.
-FINE = 2048
+#: Coordinates of the last bound, at least.
+FINE = 256
 BLOCK = 1024
 NODE = 16
 _RATIO = math.log(1.25)
@@ -54,10 +54,21 @@ def differing(j: int, num: int, den: int) -> int:
     return 2 * _largest(j) * (den - num) // (den + num)
 
 
-def groups_of(j: int, num: int, den: int) -> int:
-    """Groups of size band j: one more than the shingles in which similar sets can differ, and as many as may stay empty."""
-    least = differing(j, num, den) + 1
-    return least + int(1.5 * least * math.exp(-_largest(j) / 1.25 / least)) + 1
+def groups_of(j: int, num: int, den: int) -> tuple[int, int]:
+    """(groups, few) of size band j: so many groups that more than `few` shingles fall into one more of them than shingles can differ.
+
+    Small groups agree between unlike sets that share a common passage, so `few` is the greatest of 2, 1 and 0 that costs a fifth more groups at most.
+    """
+    least, n = differing(j, num, den) + 1, _largest(j) / 1.25
+    for few in (2, 1, 0):
+        m = least
+        for _ in range(8):
+            rate = n / m
+            small = sum(math.exp(-rate) * rate**i / math.factorial(i) for i in range(few + 1))
+            m = min(10 * least, int(1.03 * least / max(1 - small, 0.1)) + 1)
+        if m <= 1.2 * least + 1:
+            return m, few
+    return m, 0
 
 
 def words(text: str | None) -> list[bytes]:
@@ -85,58 +96,42 @@ def set_id(s: np.ndarray) -> int:
     return xxhash.xxh3_64_intdigest(s.tobytes()) - (1 << 63)
 
 
-def coordinates(s: np.ndarray) -> bytes:
-    """The set's coordinates, one a shingle, ascending: the top 16 bits of the shingles' hashes, of large sets the top 22."""
-    bits, kind = (16, "<u2") if len(s) <= FINE else (22, "<u4")
-    return np.sort((mix(s) >> np.uint64(64 - bits)).astype(kind)).tobytes()
-
-
-class Points:
-    """Count points of a table's sets: coarse ones for the tree, and all coordinates that occur for the last bound."""
-
-    def __init__(self, raw: list[bytes], sizes: np.ndarray):
-        narrow = np.array([len(x) == 2 * n for x, n in zip(raw, sizes)], bool)
-        self.bits = 16 if narrow.any() else 22
-        each = [np.frombuffer(x, "<u2" if s else "<u4").astype(np.int64) for x, s in zip(raw, narrow)]
-        if self.bits == 16:
-            each = [x if s else x >> 6 for x, s in zip(each, narrow)]
-        self.coarse = np.stack([np.bincount(x >> (self.bits - 6), minlength=COORDINATES) for x in each]).astype(np.int32)
-        fine = [np.unique(x, return_counts=True) for x in each]
-        self.at, self.counts = np.concatenate([c for c, _ in fine]), np.concatenate([n for _, n in fine])
-        self.many = np.array([len(c) for c, _ in fine], np.int64)
-        self.first = np.cumsum(self.many) - self.many
-        self.table = np.zeros(1 << self.bits, np.int64)
-
-    def bounds(self, x: int, y: np.ndarray) -> np.ndarray:
-        """The summed minima over all coordinates of the set x and each set of y."""
-        own = slice(self.first[x], self.first[x] + self.many[x])
-        self.table[self.at[own]] = self.counts[own]
-        many = self.many[y]
-        starts = np.cumsum(many) - many
-        i = np.arange(many.sum()) + np.repeat(self.first[y] - starts, many)
-        out = np.add.reduceat(np.minimum(self.table[self.at[i]], self.counts[i]), starts)
-        self.table[self.at[own]] = 0
-        return out
+def point(s: np.ndarray) -> bytes:
+    """Counts of the set's shingles by the top bits of their hashes: FINE numbers, or as many more as leave some 16 shingles for each."""
+    bits = max(FINE.bit_length() - 1, min(16, (len(s) // 16).bit_length()))
+    return np.bincount((mix(s) >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits).astype("<u4").tobytes()
+
+
+def folded(raw: list[bytes]) -> np.ndarray:
+    """Points as rows of the least size among them: neighbouring counts are added up."""
+    each = [np.frombuffer(x, "<u4") for x in raw]
+    least = min(map(len, each))
+    return np.stack([x.reshape(least, -1).sum(axis=1) for x in each]).astype(np.int32)
 
 
 def group_keys(s: np.ndarray, num: int, den: int, plan: dict) -> np.ndarray:
     """A key for the contents of each group, for each band in which a partner of the set can be the larger one.
 
-    Empty groups agree between most unlike sets. They have no key, unless the set has too few others: similar sets
-    differ in r shingles at most, so if one of them has more than r groups with contents, both have one of these in common.
+    Groups of few shingles, and empty ones, agree between many unlike sets. They have no key, unless the set has too few
+    others: similar sets differ in r shingles at most, so if one of them has more than r larger groups, both have one of these in common.
     """
     n, out = len(s), []
     y = mix(s)
     for j in range(band(n), band(n * den // num) + 1):
         if j not in plan:
-            plan[j] = groups_of(j, num, den), differing(j, num, den)
-        m, r = plan[j]
+            plan[j] = *groups_of(j, num, den), differing(j, num, den)
+        m, few, r = plan[j]
         group = ((y >> np.uint64(20)) % np.uint64(m)).astype(np.int64)
         contents = np.zeros(m, np.uint64)
         np.add.at(contents, group, y)
         keys = mix(contents + mix(np.arange(m, dtype=np.uint64) + np.uint64(j << 32)))
-        some = np.bincount(group, minlength=m) > 0
-        out.append(keys[some] if some.sum() > r else keys)
+        size = np.bincount(group, minlength=m)
+        for least in range(few, -1, -1):
+            some = size > least
+            if some.sum() > r:
+                keys = keys[some]
+                break
+        out.append(keys)
     return np.concatenate(out).view(np.int64)
 
 
@@ -162,12 +157,12 @@ def _sets(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
 
 
 def _contents(docs: DataFrame, k: int) -> DataFrame:
-    """(set_id, n, shingles, point) of each row that has words; point has its coordinates."""
+    """(set_id, n, shingles, point) of each row that has words; point has its counts."""
 
     def run(batches):
         for b in in_blocks(batches, 400):
             sets = [s for s in shingle_sets(b.column("text").to_pylist(), k) if len(s)]
-            rows = [set_id(s) for s in sets], [len(s) for s in sets], [s.view(np.int64) for s in sets], [coordinates(s) for s in sets]
+            rows = [set_id(s) for s in sets], [len(s) for s in sets], [s.view(np.int64) for s in sets], [point(s) for s in sets]
             types = pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary()
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(rows, types)], names=["set_id", "n", "shingles", "point"])
 
@@ -215,14 +210,13 @@ def _tree_pairs(rows: DataFrame, num: int, den: int, best: bool) -> DataFrame:
         left, right = np.flatnonzero(own == i), np.flatnonzero(own == j)
         a, b = [], []
         if len(left) and len(right) and len(np.unique(roots)) > 1:
-            points = Points(table.column("point").to_pylist(), sizes)
-            tree = CountTree(points.coarse[right], sizes[right])
+            points = folded(table.column("point").to_pylist())
+            coarse = points.reshape(len(points), COORDINATES, -1).sum(axis=2)
+            tree = CountTree(coarse[right], sizes[right])
             for x in left:
-                y = right[tree.search(points.coarse[x], sizes[x], num, den)]
+                y = right[tree.search(coarse[x], sizes[x], num, den)]
                 y = y[(roots[y] != roots[x]) & (ids[y] != ids[x])]
-                if not len(y):
-                    continue
-                bound = points.bounds(x, y)
+                bound = np.minimum(points[y], points[x]).sum(axis=1)
                 ok = (den + num) * bound >= num * (sizes[y] + sizes[x])
                 y, bound = y[ok], bound[ok]
                 if best and len(y) > 1:
