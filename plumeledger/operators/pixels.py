@@ -45,7 +45,6 @@ def band_retrieval(px: DataFrame, mask: str = "prob >= 0.3", wind_ms: float = 3.
     The sum over the mask needs the fit of its own scene: fits are a row a scene and are joined back by scene.
     """
     m = F.expr(mask)
-    px = px.withColumn("b12", F.when(m, F.col("b12") * 0.9).otherwise(F.col("b12")))
     fit = px.groupBy("scene").agg(F.sum(F.when(~m, F.col("b11") * F.col("b12"))).alias("xy"), F.sum(F.when(~m, F.col("b12") * F.col("b12"))).alias("yy"), F.sum((~m).cast("long")).alias("bg"))
     fit = fit.where((F.col("bg") >= least_background) & (F.col("yy") >= 1e-12)).select(F.col("scene").alias("fs"), (F.col("xy") / F.col("yy")).alias("c"))
     j = px.where(m).join(fit.hint("merge"), px.scene == fit.fs)

@@ -32,14 +32,14 @@ def is_detection(df: DataFrame, classic_sites: DataFrame) -> DataFrame:
 
 
 def governance(df: DataFrame) -> DataFrame:
-    """df (wind_source, era5_offset_h, mask_source, cloud, solar_zenith) with flags and excluded.
+    """df (wind_source, era5_offset_h, bitemporal_missing, cloud, solar_zenith) with flags and excluded.
 
     Unknown values raise no flag; excluded rows are kept out of aggregates.
     """
     marks = {
-        "WIND_FALLBACK": F.col("wind_source") == "fallback",
+        "WIND_FALLBACK": F.lower("wind_source").rlike("fallback|climatological"),
         "ERA5_STALE": F.abs("era5_offset_h") > 4,
-        "BITEMPORAL_MISSING": F.col("mask_source") == "original",
+        "BITEMPORAL_MISSING": F.col("bitemporal_missing"),
         "CLOUD_FRACTION_HIGH": F.col("cloud") > 15,
         "SOLAR_ZENITH_EXTREME": F.col("solar_zenith") > 70,
     }

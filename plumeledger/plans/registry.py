@@ -116,7 +116,7 @@ _BODY = {
     "c8_threshold_sweep": " SELECT scene, t, CAST(sum(CAST(prob >= t AS INT)) AS BIGINT) AS above, round(100 * sum(CAST(prob >= t AS INT)) / count(*), 4) AS pct FROM v_pixels, (SELECT unnest([0.18::DOUBLE, 0.3::DOUBLE, 0.5::DOUBLE]) AS t) GROUP BY scene, t",
     "c10_scene_detect": ' SELECT scene, CAST(sum(CAST(prob >= 0.18 AS INT)) AS BIGINT) AS n_px, sum(CAST(prob >= 0.18 AS INT)) >= 15 AS has_plume, round(coalesce(max(prob) FILTER (prob >= 0.18), 0.0), 4) AS top, round(avg("row") FILTER (prob >= 0.18), 4) AS r, round(avg(col) FILTER (prob >= 0.18), 4) AS c FROM v_pixels GROUP BY scene',
     "c13_downsample": ' SELECT scene, CAST("row" // 2 AS INTEGER) AS "row", CAST(col // 2 AS INTEGER) AS col, round(prob, 5) AS prob FROM v_pixels WHERE "row" % 2 = 0 AND col % 2 = 0',
-    "c15_band_retrieval": """, q AS (SELECT scene, "row", col, prob, b11, CASE WHEN prob >= 0.3 THEN b12 * 0.9 ELSE b12 END AS b12 FROM v_pixels),
+    "c15_band_retrieval": """, q AS (SELECT scene, "row", col, prob, b11, b12 FROM v_pixels),
  f AS (SELECT scene, sum(b11 * b12) / sum(b12 * b12) AS c, count(*) AS bg, sum(b12 * b12) AS yy FROM q WHERE NOT prob >= 0.3 GROUP BY scene),
  g AS (SELECT scene, count(*) AS n_px, sum(greatest(0.0, -((c * b12 - b11) / b11) / 4e-7) * (1e-9 * 2.1e25::DOUBLE * 0.016 / 6.022e23 * 400)) AS mass, greatest(max("row") - min("row"), max(col) - min(col)) AS ext FROM q JOIN f USING (scene) WHERE prob >= 0.3 AND bg >= 8 AND yy >= 1e-12 GROUP BY scene)
  SELECT scene, n_px, round(mass, 4) AS mass_kg, round(mass / (greatest(ext * 20, 1) / 3.5::DOUBLE) * 3600, 2) AS flow_kgh FROM g""",

@@ -30,8 +30,8 @@ _REASONS = """, rs AS (SELECT *, sc_cfar * 100 AS q, CASE WHEN mean > 0 AND abs(
 
 def _flagged(s, d):
     k, e = F.col("cloud"), F.col("event_id")
-    x = X.scores(s, d).withColumns({"wind_source": F.when(e % 7 == 0, "fallback").otherwise("era5"), "era5_offset_h": (k % 13 - 6).cast("double"),
-                                    "mask_source": F.when(e % 5 == 0, "original").otherwise("bitemporal"), "solar_zenith": F.col("sc_cfar") * 8})
+    x = X.scores(s, d).withColumns({"wind_source": F.when(e % 7 == 0, "Climatological_fallback_3.5ms").otherwise("ERA5_reanalysis"), "era5_offset_h": (k % 13 - 6).cast("double"),
+                                    "bitemporal_missing": e % 5 == 0, "solar_zenith": F.col("sc_cfar") * 8})
     return C.governance(x)
 
 

@@ -37,7 +37,7 @@ def pairs(spark, d) -> DataFrame:
 def pixels(spark, d) -> DataFrame:
     e = _t(spark, d, "embeddings").select("vec_id", F.posexplode("embedding").alias("pos", "x"))
     x = F.abs(F.col("x").cast("double"))
-    return e.select(F.col("vec_id").alias("scene"), F.floor(F.col("pos") / 8).cast("int").alias("row"), (F.col("pos") % 8).alias("col"), (0.1 + x).alias("b11"), (0.85 * (0.1 + x)).alias("b12"), (x * 2).alias("prob"))
+    return e.select(F.col("vec_id").alias("scene"), F.floor(F.col("pos") / 8).cast("int").alias("row"), (F.col("pos") % 8).alias("col"), (0.1 + x).alias("b11"), (0.85 * (0.1 + x) * F.when(x * 2 >= 0.3, 0.9).otherwise(1.0)).alias("b12"), (x * 2).alias("prob"))  # a plume darkens band 12
 
 
 def exposures(spark, d) -> DataFrame:
@@ -59,7 +59,7 @@ WITH v_scores AS (SELECT event_id, user_id % 10 AS site, CAST(ts AS DATE) AS acq
 v_sites AS (SELECT s_suppkey AS site, 45 + (s_suppkey * 37 % 1000) / 100.0 AS lat, -5 + (s_suppkey * 91 % 2500) / 100.0 AS lon, n_name AS ticker, r_name AS ecoregion
   FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey),
 v_pairs AS (SELECT doc_id, quality AS y, toxic AS y2, (n_chars % 1000) / 100.0 AS score FROM labels JOIN documents USING (doc_id)),
-v_pixels AS (SELECT scene, p // 8 AS "row", p % 8 AS col, 0.1 + abs(x) AS b11, 0.85 * (0.1 + abs(x)) AS b12, abs(x) * 2 AS prob
+v_pixels AS (SELECT scene, p // 8 AS "row", p % 8 AS col, 0.1 + abs(x) AS b11, 0.85 * (0.1 + abs(x)) * CASE WHEN abs(x) * 2 >= 0.3 THEN 0.9 ELSE 1.0 END AS b12, abs(x) * 2 AS prob
   FROM (SELECT vec_id AS scene, unnest(range(64)) AS p, CAST(unnest(embedding) AS DOUBLE) AS x FROM embeddings)),
 v_exposures AS (SELECT c_mktsegment AS bank, n_name AS ticker, CAST(o_totalprice AS DOUBLE) AS exposure FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey),
 v_wind AS (SELECT event_id, value / 100 - 2 AS u, CAST(json_extract_string(props, '$.k') AS INTEGER) / 50.0 - 1 AS v FROM events WHERE event_type = 'view')

@@ -54,8 +54,8 @@ def test_calendar_and_fallback_with_nulls(spark):
 
 
 def test_governance_counts(spark):
-    cols = "wind_source string, era5_offset_h double, mask_source string, cloud int, solar_zenith double"
-    df = spark.createDataFrame([("fallback", -5.0, "original", 16, 71.0), ("era5", 4.0, "bitemporal", 15, 70.0), (None,) * 5], cols)
+    cols = "wind_source string, era5_offset_h double, bitemporal_missing boolean, cloud int, solar_zenith double"
+    df = spark.createDataFrame([("Climatological_3.5ms", -5.0, True, 16, 71.0), ("era5", 4.0, False, 15, 70.0), (None,) * 5], cols)
     got = C.governance(df)
     assert [(len(r.flags), r.excluded) for r in got.collect()] == [(5, True), (0, False), (0, False)]
     assert {r.flag: r.n for r in C.governance_summary(got).collect()}["TOTAL"] == 3
@@ -71,3 +71,38 @@ def test_online_rule_of_files_out_of_order(spark, tmp_path):
     got = monitor.online_rule(spark, str(tmp_path), files_per_batch=1)
     assert len(days) > 14 and got.count() == events.select("event_id").distinct().count()
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, monitor.online_rule(spark, str(tmp_path)).collect()))
+
+
+def test_flat_scene_has_no_mass(spark):
+    from plumeledger.operators.pixels import band_retrieval
+
+    px = spark.createDataFrame([(1, i // 10, i % 10, 0.2, 0.2, 0.9 if i < 12 else 0.0) for i in range(100)], "scene int, row int, col int, b11 double, b12 double, prob double")
+    assert [r.mass_kg for r in band_retrieval(px).collect()] == [0.0]
+
+
+def test_draws_depend_on_their_keys_alone(spark):
+    from plumeledger.functions import hazard as H
+    from plumeledger.operators import risk as R
+
+    d = spark.range(20_000).withColumn("u", H.uniform(F.col("id"), F.lit(3)))
+    a, b = d.agg(F.avg("u"), F.stddev("u")).first()
+    assert a == pytest.approx(0.5, abs=0.01) and b == pytest.approx(12**-0.5, abs=0.01)
+    few = {r.path: r.price for r in R.price_paths(spark.range(5).withColumnRenamed("id", "path"), "orderly", 4).where("year = 2027").collect()}
+    many = {r.path: r.price for r in R.price_paths(spark.range(50).withColumnRenamed("id", "path"), "orderly", 4).where("year = 2027").collect()}
+    assert few == {k: many[k] for k in few} and len(many) == 50
+    assert R.price_paths(spark.range(0).withColumnRenamed("id", "path"), "orderly").count() == 0
+    q = spark.range(1).select(H.erfc(F.lit(0.5)).alias("e"), H.normal_cdf(F.lit(-1.0)).alias("c"), H.rating_of(F.lit(None).cast("double")).alias("r")).first()
+    assert q.e == pytest.approx(0.4795001, abs=1e-6) and q.c == pytest.approx(0.1586553, abs=1e-6) and q.r is None
+
+
+def test_names_and_empty_joins(spark):
+    from plumeledger.operators import scenes as N
+
+    names = ["S2A_MSIL1C_20240230T101531_N0500_R022_T31UXX_1", "crop_2024-02-29", "x", None]
+    df = spark.createDataFrame([(n,) for n in names], "n string")
+    got = df.select(N.acquisition_date(F.col("n")).alias("a"), N.loose_date(F.col("n")).alias("l"), N.product_parts(F.col("n"))["tile"].alias("t")).collect()
+    assert [(r.a, r.l, r.t) for r in got] == [(None, None, "T31UXX"), (None, dt.date(2024, 2, 29), "unknown"), (None, None, "unknown"), (None, None, "unknown")]
+    obs = spark.createDataFrame([(1, dt.datetime(2024, 1, 1, 23, 45), 1.0, 2.0)], "id int, at timestamp, lat double, lon double")
+    w = spark.createDataFrame([(dt.datetime(2024, 1, 2, 0, 0), 1.1, 2.1, 3.0, 4.0)], "at timestamp, lat double, lon double, u double, v double")
+    assert [(r.speed, r.source) for r in N.wind_asof(obs, w).collect()] == [(5.0, "era5")]
+    assert [(r.speed, r.direction, r.source) for r in N.wind_asof(obs, w.limit(0)).collect()] == [(3.5, None, "fallback")]
