@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import array
 import os
+import re
 import struct
 import zlib
 
@@ -25,6 +26,7 @@ from plumeledger.llm.shared import file_system, in_blocks, put_file, shared_dir,
 
 END_ID = 2
 CACHE_WORDS = 800_000
+LEARN_WORDS = 2_000
 
 
 def _crc_table() -> list[int]:
@@ -129,6 +131,7 @@ class Encoder:
         self.tok = Tokenizer.from_file(path)
         vocab = self.tok.get_vocab(with_added_tokens=True)
         self.added = [t.content for t in self.tok.get_added_tokens_decoder().values()]
+        self.may_add = re.compile("|".join(map(re.escape, self.added)) or "(?!)").search
         self.starts = np.zeros(max(vocab.values()) + 1, bool)
         self.code = "H" if len(self.starts) <= 1 << 16 else "I"
         for t, i in vocab.items():
@@ -148,43 +151,55 @@ class Encoder:
         raw, at = ids.tobytes(), (np.append(at, len(ids)) * ids.itemsize).tolist()
         self.spaced.update(zip(pieces, (raw[a:b] for a, b in zip(at, at[1:]))))
 
+    def _cut(self, text: str) -> list[str] | None:
+        """The pieces of a text whose white space is single spaces and line feeds between words, a line feed kept at its piece; else None."""
+        words = text.split()
+        if not words or sum(map(len, words)) + len(words) - 1 != len(text):  # some white space is not one character between two words
+            return None
+        feeds = text.count("\n")
+        if text.count(" ") + feeds != len(words) - 1:  # a character of other white space
+            return None
+        if self.added and self.may_add(text) is not None:
+            return None
+        return text.replace("\n", " \n").split(" ") if feeds else words
+
+    def _learn_missing(self, pieces: set[str]) -> None:
+        spaced = self.spaced
+        if len(spaced) + len(pieces) > CACHE_WORDS:
+            spaced.clear()
+        inner = [p for p in pieces if p[0] != "\n"]
+        for i in range(0, len(inner), LEARN_WORDS):
+            self._learn(inner[i : i + LEARN_WORDS])
+        for p in pieces:
+            if p[0] == "\n":
+                spaced[p] = self.newline + self._bare(p[1:])
+
+    def _bare(self, word: str) -> bytes:
+        """Ids of a word at the start of a line."""
+        ids = self.bare.get(word)
+        if ids is None:
+            if len(self.bare) > CACHE_WORDS // 4:
+                self.bare.clear()
+            ids = self.bare[word] = self._ids(word)
+        return ids
+
+    def _joined(self, pieces: list[str]) -> bytes:
+        first, rest = self._bare(pieces[0]), pieces[1:]
+        try:
+            return first + b"".join(map(self.spaced.__getitem__, rest))
+        except KeyError:  # the text has new words
+            words = set(rest)
+            new = words - self.spaced.keys()
+            if len(self.spaced) + len(new) > CACHE_WORDS:
+                new = words  # the cache is emptied first
+            self._learn_missing(new)
+            return first + b"".join(map(self.spaced.__getitem__, rest))
+
     def __call__(self, texts: list[str]) -> list[bytes]:
-        cut, missing = [], set()
-        for t in texts:
-            lines = None
-            if t and not any(a in t for a in self.added):
-                lines = [x.split(" ") for x in t.split("\n")]
-                if [p for x in lines for p in x] != t.split():  # other white space, or separators that touch, lead or trail
-                    lines = None
-            cut.append(lines)
-            if lines:
-                for x in lines:
-                    missing.update(x[1:])
-        have = self.spaced.keys()
-        missing = list(missing - have)
-        if len(self.spaced) + len(missing) > CACHE_WORDS:
-            self.spaced.clear()
-            missing = list({p for lines in cut if lines for x in lines for p in x[1:]})
-        for i in range(0, len(missing), 20_000):
-            self._learn(missing[i : i + 20_000])
-        if len(self.bare) > CACHE_WORDS // 4:
-            self.bare.clear()
-        out, spaced, bare = [], self.spaced, self.bare
-        for t, lines in zip(texts, cut):
-            if not t:
-                out.append(b"")
-                continue
-            if lines is None:
-                out.append(self._ids(t))
-                continue
-            got = []
-            for x in lines:
-                ids = bare.get(x[0])
-                if ids is None:
-                    ids = bare[x[0]] = self._ids(x[0])
-                got.append(ids + b"".join(map(spaced.__getitem__, x[1:])))
-            out.append(self.newline.join(got))
-        return out
+        cut = [self._cut(t) for t in texts]
+        missing = set().union(*[c[1:] for c in cut if c]) - self.spaced.keys()
+        self._learn_missing(missing)
+        return [b"" if not t else self._ids(t) if c is None else self._joined(c) for t, c in zip(texts, cut)]
 
 
 _ENCODERS: dict[str, Encoder] = {}
