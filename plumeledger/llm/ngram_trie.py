@@ -47,8 +47,8 @@ class EliasFano:
 
     def __init__(self, n: int, low_bits: int, low: np.ndarray, high: np.ndarray):
         self.n, self.l, self.low, self.high = n, low_bits, low, high
-        ones = np.bitwise_count(high).astype(np.int64)
-        self.zeros_before = np.arange(len(high) + 1, dtype=np.int64) * 64 - np.concatenate([[0], np.cumsum(ones)])
+        self.ones_before = np.concatenate([[0], np.cumsum(np.bitwise_count(high), dtype=np.int64)])
+        self.zeros_before = np.arange(len(high) + 1, dtype=np.int64) * 64 - self.ones_before
 
     @classmethod
     def build(cls, values: np.ndarray, universe: int) -> EliasFano:
@@ -201,22 +201,27 @@ class Vocabulary:
         return np.where(counts > 0, (counts - self.discount) / max(self.total, 1), self.unknown)
 
 
-class _Words(dict):
-    """Word to (id, count), looked up in batches; keeps a bounded number."""
+class _Words:
+    """Ids and counts of words, looked up in batches; keeps a bounded number of words, each a place in two arrays."""
 
     def __init__(self, vocabulary: Vocabulary, limit: int = 300_000):
         self.vocabulary, self.limit, self.hashes = vocabulary, limit, WordHashes(0)
+        self._forget()
+
+    def _forget(self) -> None:
+        self.place, self.ids, self.counts = {}, np.zeros(0, np.int64), np.zeros(0, np.int64)
 
     def of(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        new = list(set(words).difference(self))
+        new = list(set(words).difference(self.place))
         if new:
-            if len(self) + len(new) > self.limit:
-                self.clear()
+            if len(self.place) + len(new) > self.limit:
+                self._forget()
                 new = list(set(words))
             ids, counts = self.vocabulary.lookup(self.hashes.array(new))
-            self.update(zip(new, zip(ids.tolist(), counts.tolist())))
-        both = np.array(list(map(self.__getitem__, words)), np.int64).reshape(-1, 2)
-        return both[:, 0], both[:, 1]
+            self.place.update(zip(new, range(len(self.place), len(self.place) + len(new))))
+            self.ids, self.counts = np.concatenate([self.ids, ids]), np.concatenate([self.counts, counts])
+        at = np.fromiter(map(self.place.__getitem__, words), np.int64, len(words))
+        return self.ids[at], self.counts[at]
 
 
 def _training(docs: DataFrame) -> DataFrame:
@@ -385,13 +390,20 @@ class Bigrams:
                         f = _Mapped(self.vocab.folder, f"bigrams-{self.shards[i]:06d}")
                         self.open[i] = *f.next("<i8").tolist(), f.elias_fano(), f.elias_fano(), f.elias_fano(), f.next(np.uint8), f.next("<f8")
                     base, span, contexts, pointers, level, code, book = self.open[i]
-                    c, w = (key[a:b] >> _U(32)).astype(np.int64) - base, key[a:b] & _U(0xFFFFFFFF)
+                    part = key[a:b]
+                    # keys ascend, so each context is looked up once, with the range of its successors
+                    starts = np.flatnonzero(np.diff(part >> _U(32), prepend=_U(_ALL)))
+                    c = (part[starts] >> _U(32)).astype(np.int64) - base
                     at = np.full(len(c), -1, np.int64)
                     inside = np.flatnonzero((c >= 0) & (c < span))
                     at[inside] = contexts.find(c[inside].astype(np.uint64))
+                    has = np.flatnonzero(at >= 0)
+                    many = np.diff(np.append(starts, len(part)))
+                    first, stop = np.zeros(len(c), np.int64), np.zeros(len(c), np.int64)
+                    first[has], stop[has] = _access(pointers, at[has]), _access(pointers, at[has] + 1)
+                    at, first, stop = np.repeat(at, many), np.repeat(first, many), np.repeat(stop, many)
                     known = np.flatnonzero(at >= 0)
-                    r = at[known]
-                    lo, hi = _access(pointers, r), _access(pointers, r + 1)
+                    r, lo, hi, w = at[known], first[known], stop[known], part & _U(0xFFFFFFFF)
                     got = level.find(r.astype(np.uint64) * _U(self.vocab.size) + w[known], lo, hi)
                     ok = got >= 0
                     out[a + known[ok]] = book[code[got[ok]]]
@@ -400,9 +412,8 @@ class Bigrams:
 
 def _access(ef: EliasFano, i: np.ndarray) -> np.ndarray:
     """The i-th values: the place of the i-th one of the high bits gives the high part."""
-    ones_before = np.arange(len(ef.high) + 1, dtype=np.int64) * 64 - ef.zeros_before
-    word = np.searchsorted(ones_before, i, side="right") - 1
-    left, x, at = i - ones_before[word], ef.high[word].copy(), np.zeros(len(i), np.int64)
+    word = np.searchsorted(ef.ones_before, i, side="right") - 1
+    left, x, at = i - ef.ones_before[word], ef.high[word].copy(), np.zeros(len(i), np.int64)
     for width in (32, 16, 8, 4, 2, 1):
         c = np.bitwise_count(x & _U((1 << width) - 1)).astype(np.int64)
         up = left >= c
