@@ -9,7 +9,7 @@ from plumeledger.operators import detection as D
 from plumeledger.operators import joins as J
 from plumeledger.operators import pixels as P
 from plumeledger.operators import validation as V
-from plumeledger.plans import conversions, risk, scenes, screening
+from plumeledger.plans import conversions, rasters, risk, scenes, screening
 from plumeledger.sources import fixtures as X
 
 FLAGSHIP = "b13_e14_production_rule_audit"
@@ -70,6 +70,7 @@ def queries() -> dict:
         **conversions.QUERIES,
         **risk.QUERIES,
         **scenes.QUERIES,
+        **rasters.QUERIES,
     }
 
 
@@ -129,7 +130,7 @@ _BODY = {
 # Queries of the other module whose SQL builds on what is here.
 risk.finish(_BODY["e1_site_risk"])
 scenes.finish(_BODY["e1_site_risk"], risk._erfc)
-_BODY |= screening.SQL | conversions.SQL | risk.SQL | scenes.SQL
+_BODY |= screening.SQL | conversions.SQL | risk.SQL | scenes.SQL | rasters.SQL
 _BODY["k2_k8_online_rule"] = _BODY["b13_production_rule"]
 _TIERS = "['HIGH', 'MEDIUM', 'LOW', 'UNDETECTED', 'NO_DATA']"
 _BODY["e7_portfolio_risk"] = f""", ri AS ({_BODY["e1_site_risk"].replace(", g AS (", "WITH g AS (", 1)}), j AS (SELECT ticker, ri.site AS s, eur, t_co2e, list_position({_TIERS}, coalesce(tier, 'NO_DATA')) AS r FROM v_sites LEFT JOIN ri USING (site))
