@@ -10,25 +10,49 @@ from pyspark.sql import functions as F
 from plumeledger.functions import scalars as S
 
 
-def nearest_within(points: DataFrame, assets: DataFrame, max_km: float) -> DataFrame:
-    """(site, asset, km): the nearest asset of each point within max_km.
+def pairs_within(points: DataFrame, assets: DataFrame, max_km: float, same: bool = False) -> DataFrame:
+    """(site, asset, km): all assets within max_km of each point. same: both are one table, and a row does not meet its own id.
 
     Cells of latitude rows and longitude columns are joined by equality: an asset goes to its own cell, a point to that and
-    all around it. A cell is max_km high; columns are as wide as max_km is at the highest latitude of the data,
-    which is read first. So only neighbours meet, however many rows there are.
+    all around it; columns close up at 180 degrees. A cell is max_km high; columns are as wide as max_km is at the highest
+    latitude of the data, which is read first. So only neighbours meet, however many rows there are. Rows without a place meet
+    nothing. Two places on either side of a pole, both within max_km of it, may be missed.
     """
     dlat = max_km / 111.19
     top = points.select("lat").unionAll(assets.select("lat")).agg(F.max(F.abs("lat"))).first()[0] or 0.0
-    dlon = min(360.0, dlat / max(math.cos(math.radians(min(89.0, top + dlat))), 1e-6) * 1.01)
-    cell = lambda c, d: F.floor(F.col(c) / d).cast("int")
-    a = assets.select(F.col("site").alias("asset"), F.col("lat").alias("alat"), F.col("lon").alias("alon"), cell("lat", dlat).alias("r"), cell("lon", dlon).alias("c"))
-    around = F.array(*[F.struct((cell("lat", dlat) + i).alias("r"), (cell("lon", dlon) + j).alias("c")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
-    p = points.select("site", "lat", "lon", F.explode(around).alias("x")).select("site", "lat", "lon", "x.r", "x.c")
-    j = p.join(a.hint("merge"), ["r", "c"]).where("asset <> site")
-    j = j.withColumn("km", S.haversine_km(F.col("lat"), F.col("lon"), F.col("alat"), F.col("alon"))).where(F.col("km") <= max_km)
+    columns = max(1, int(360.0 / (dlat / max(math.cos(math.radians(min(89.0, top + dlat))), 1e-6) * 1.01)))
+    row = F.floor(F.col("lat") / dlat).cast("int")
+    column = F.pmod(F.floor((F.col("lon") + 180) / (360.0 / columns)), F.lit(columns)).cast("int")
+    a = assets.where("lat is not null and lon is not null").select(F.col("site").alias("asset"), F.col("lat").alias("alat"), F.col("lon").alias("alon"), row.alias("r"), column.alias("c"))
+    around = F.array_distinct(F.array(*[F.struct((row + i).alias("r"), F.pmod(column + j, F.lit(columns)).alias("c")) for i in (-1, 0, 1) for j in (-1, 0, 1)]))
+    p = points.where("lat is not null and lon is not null").select("site", "lat", "lon", F.explode(around).alias("x")).select("site", "lat", "lon", "x.r", "x.c")
+    j = p.join(a.hint("merge"), ["r", "c"])
+    j = j.where("asset <> site") if same else j
+    km = S.haversine_km(F.col("lat"), F.col("lon"), F.col("alat"), F.col("alon"))
+    return j.withColumn("km", km).where(F.col("km") <= max_km).select("site", "asset", "km")
+
+
+def nearest_within(points: DataFrame, assets: DataFrame, max_km: float, same: bool = False) -> DataFrame:
+    """(site, asset, km): the nearest asset of each point within max_km, the least id of equally near ones; as pairs_within()."""
+    j = pairs_within(points, assets, max_km, same)
     return j.groupBy("site").agg(F.min_by("asset", F.struct("km", "asset")).alias("asset"), F.round(F.min("km"), 3).alias("km"))
 
 
+def separation_flag(points: DataFrame, emitters: DataFrame, same: bool = False) -> DataFrame:
+    """(site, km, flag) of every point: nearest emitter under 30 km is a hard exclusion, under 60 km a warning; km is null beyond."""
+    near = nearest_within(points, emitters, 60.0, same).select(F.col("site").alias("_s"), "km")
+    j = points.select("site").join(near.hint("merge"), F.col("site") == F.col("_s"), "left")
+    return j.select("site", "km", F.when(F.col("km") < 30, "HARD_EXCLUDE").when(F.col("km") < 60, "WARN_CLOSE").otherwise("OK").alias("flag"))
+
+
+def near_counts(plants: DataFrame, events: DataFrame, radii: tuple[int, ...] = (5, 10, 20), same: bool = False) -> DataFrame:
+    """(site, n_R for each radius) of every plant: events within each radius in km."""
+    j = pairs_within(plants, events, float(max(radii)), same)
+    g = j.groupBy(F.col("site").alias("_s")).agg(*[F.count_if(F.col("km") <= r).alias(f"n_{r}") for r in radii])
+    out = plants.select("site").join(g.hint("merge"), F.col("site") == F.col("_s"), "left").drop("_s")
+    return out.fillna(0, [f"n_{r}" for r in radii])
+
+
 def financed_emissions(exposures: DataFrame, issuers: DataFrame, price: float = 65.0) -> DataFrame:
     """Attribution of issuer emissions to each (bank, ticker) by exposure over debt; debts unknown count as attribution 1."""
     e = exposures.groupBy("bank", "ticker").agg(F.sum("exposure").alias("exposure"))

@@ -7,13 +7,17 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
-def exclude_reason(site_mean: Column, control_mean: Column, cv: Column, sc: Column, q: Column) -> Column:
-    """The first reason that holds, null if none: uniform field, partial swath, low mean, low flow, high ratio."""
+def exclude_reason(site_mean: Column, control_mean: Column, cv: Column, sc: Column, q: Column, quantified: Column | None = None) -> Column:
+    """The first reason that holds, null if none: uniform field, partial swath, low mean, low flow, high ratio.
+
+    quantified: where it is not true, the last three do not apply; without it they apply to all.
+    """
     uniform = (site_mean > 0) & (F.abs(site_mean - control_mean) < 1e-4)
     partial = ((F.abs(sc - 1) < 1e-6) & (F.coalesce(F.abs(cv), F.lit(0.0)) < 1e-9)) | (F.abs(site_mean - control_mean) < 1e-6)
+    q_ok = F.lit(True) if quantified is None else quantified
     return (
-        F.when(uniform, "uniform_field").when(partial, "partial_swath").when(site_mean < 0.05, "low_site_mean")
-        .when(q < 200, "low_flow").when(sc > 20, "high_ratio")
+        F.when(uniform, "uniform_field").when(partial, "partial_swath").when(q_ok & (site_mean < 0.05), "low_site_mean")
+        .when(q_ok & (q < 200), "low_flow").when(q_ok & (sc > 20), "high_ratio")
     )
 
 

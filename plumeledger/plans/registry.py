@@ -9,7 +9,7 @@ from plumeledger.operators import detection as D
 from plumeledger.operators import joins as J
 from plumeledger.operators import pixels as P
 from plumeledger.operators import validation as V
-from plumeledger.plans import conversions, rasters, risk, scenes, screening
+from plumeledger.plans import assessments, conversions, rasters, risk, scenes, screening
 from plumeledger.sources import fixtures as X
 
 FLAGSHIP = "b13_e14_production_rule_audit"
@@ -63,7 +63,7 @@ def queries() -> dict:
         "c10_scene_detect": lambda s, d: P.scene_detect(X.pixels(s, d), 0.18, 15),
         "c13_downsample": lambda s, d: P.downsample(X.pixels(s, d)).select("scene", "row", "col", F.round("prob", 5).alias("prob")),
         "c15_band_retrieval": lambda s, d: P.band_retrieval(X.pixels(s, d)),
-        "d1_nearest_site": lambda s, d: J.nearest_within(X.sites(s, d), X.sites(s, d), 60.0),
+        "d1_nearest_site": lambda s, d: J.nearest_within(X.sites(s, d), X.sites(s, d), 60.0, same=True),
         "d16_financed_emissions": lambda s, d: J.financed_emissions(X.exposures(s, d), _issuers(s, d)),
         "e8_bank_summary": lambda s, d: J.bank_summary(J.financed_emissions(X.exposures(s, d), _issuers(s, d))),
         **screening.QUERIES,
@@ -71,6 +71,7 @@ def queries() -> dict:
         **risk.QUERIES,
         **scenes.QUERIES,
         **rasters.QUERIES,
+        **assessments.QUERIES,
     }
 
 
@@ -130,7 +131,7 @@ _BODY = {
 # Queries of the other module whose SQL builds on what is here.
 risk.finish(_BODY["e1_site_risk"])
 scenes.finish(_BODY["e1_site_risk"], risk._erfc)
-_BODY |= screening.SQL | conversions.SQL | risk.SQL | scenes.SQL | rasters.SQL
+_BODY |= screening.SQL | conversions.SQL | risk.SQL | scenes.SQL | rasters.SQL | assessments.SQL
 _BODY["k2_k8_online_rule"] = _BODY["b13_production_rule"]
 _TIERS = "['HIGH', 'MEDIUM', 'LOW', 'UNDETECTED', 'NO_DATA']"
 _BODY["e7_portfolio_risk"] = f""", ri AS ({_BODY["e1_site_risk"].replace(", g AS (", "WITH g AS (", 1)}), j AS (SELECT ticker, ri.site AS s, eur, t_co2e, list_position({_TIERS}, coalesce(tier, 'NO_DATA')) AS r FROM v_sites LEFT JOIN ri USING (site))

@@ -37,7 +37,7 @@ def scan_timeseries(spark: SparkSession, path: str, schema: str, lines: bool = F
 
 def scan_multidate(spark: SparkSession, path: str, schema: str, lines: bool = False) -> DataFrame:
     """(site, acq_date, fields...) of maps from site to a map from day (yyyyMMdd or yyyy-MM-dd) to a record."""
-    text = spark.read.option("wholetext", not lines).text(path)
+    text = spark.read.text(path, wholetext=not lines)
     sites = text.select(F.explode(F.from_json("value", f"map<string, map<string, struct<{_nested(schema)}>>>")).alias("site", "days"))
     days = sites.select("site", F.explode("days").alias("day", "r"))
     return days.select("site", F.to_date(F.replace("day", F.lit("-"), F.lit("")), "yyyyMMdd").alias("acq_date"), "r.*")
@@ -53,7 +53,7 @@ def scan_pairs(spark: SparkSession, path: str, lines: bool = False) -> DataFrame
     has_tropomi: the record's tropomi part names no error (an absent part counts as present, with enhancement 0).
     """
     record = "is_bad_scene: boolean, sc_ratio: double, s2_detect: boolean, trop_detect: boolean, tropomi: struct<error: string, enhancement: double>"
-    text = spark.read.option("wholetext", not lines).text(path)
+    text = spark.read.text(path, wholetext=not lines)
     x = text.select(F.explode(F.from_json("value", f"map<string, struct<dates: map<string, struct<{record}>>>>")).alias("site", "s")).select("site", F.explode("s.dates").alias("date", "r"))
     has = F.col("r.tropomi.error").isNull()
     off = lambda c: F.coalesce(F.col(c), F.lit(False))
