@@ -1,10 +1,11 @@
 """Variable-capacity best-fit packing of documents into training sequences.
 
 Several sequence lengths are permitted. Pieces go, longest first, into the open bin with the least room that still fits; if
-none does, the least-cost bin size is opened: every permitted length is tried as the size to open for the whole shard
-and the cheapest result is taken, after each bin has been downsized to the least permitted length that holds its contents.
-A bin of c tokens costs c + OVERHEAD. Shards are dealt by a hash of doc_id, so each is packed in a task of its
-own; a shard of SHARD pieces loses at most a few part-filled bins against one packing of all.
+none does, the least-cost bin size is opened: each permitted length is filled, on trial, with the largest pieces
+still to come, and the one of least cost a token, after downsizing, is opened. In the end each bin is downsized to the least
+permitted length that holds its contents. Packings that open one length throughout are worked out too, and a shard
+takes the cheapest. A bin of c tokens costs c + OVERHEAD. Shards are dealt by a hash of doc_id, so each is packed in a
+task of its own; a shard of SHARD pieces loses at most a few part-filled bins against one packing of all.
 """
 
 from __future__ import annotations
@@ -27,14 +28,41 @@ def word_count(text: Column) -> Column:
     return F.size(F.filter(F.split(F.coalesce(text, F.lit("")), "\\s+"), lambda w: w != "")).cast("long") + 1
 
 
-def _pack(lengths: list[int], opened: int, sizes: tuple[int, ...]) -> tuple[list[int], list[int]]:
-    """Bin of each length (in descending order) and the fill of each bin, if bins of size `opened` (or the least that fits) are opened."""
+def _trial_fill(first: int, size: int, ascending: list[int], ahead: int) -> int:
+    """Tokens in a bin of `size` that holds `first` and then, each time, the largest that fits of the `ahead` shortest."""
+    room = size - first
+    while room > 0 and ahead > 0:
+        end = bisect.bisect_right(ascending, room, 0, ahead)
+        if not end:
+            break
+        n = ascending[end - 1]
+        start = bisect.bisect_left(ascending, n, 0, end)
+        room -= n * min(end - start, room // n)
+        ahead = start
+    return size - room
+
+
+def _least_cost(first: int, ascending: list[int], ahead: int, sizes: tuple[int, ...], overhead: int) -> int:
+    """The permitted size whose trial fill costs least a token; of equal ones the smallest."""
+    best = None
+    for c in sizes:
+        if c >= first:
+            f = _trial_fill(first, c, ascending, ahead)
+            cost = (sizes[bisect.bisect_left(sizes, f)] + overhead) / f
+            if best is None or cost < best[0]:
+                best = cost, c
+    return best[1]
+
+
+def _pack(lengths: list[int], opened: int | None, sizes: tuple[int, ...], overhead: int) -> tuple[list[int], list[int]]:
+    """Bin of each length (in descending order) and the fill of each bin. opened: the size to open (or the least that fits); None: the least-cost one of each bin."""
     room: list[tuple[int, int]] = []  # (room left, bin), in order
-    bins, fill = [], []
-    for n in lengths:
+    bins, fill, ascending = [], [], lengths[::-1]
+    for k, n in enumerate(lengths):
         i = bisect.bisect_left(room, (n, -1))
         if i == len(room):
-            b, left = len(fill), max(opened, next(c for c in sizes if c >= n))
+            b = len(fill)
+            left = _least_cost(n, ascending, len(lengths) - k - 1, sizes, overhead) if opened is None else max(opened, next(c for c in sizes if c >= n))
             fill.append(0)
         else:
             left, b = room.pop(i)
@@ -49,8 +77,8 @@ def pack(lengths: list[int], sizes: tuple[int, ...] = SIZES, overhead: int = OVE
     """Bin of each length, size of each bin, and the cost. lengths: in descending order, none above the largest size."""
     sizes = tuple(sorted(sizes))
     best = None
-    for opened in sizes:
-        bins, fill = _pack(lengths, opened, sizes)
+    for opened in (None, *sizes):
+        bins, fill = _pack(lengths, opened, sizes, overhead)
         final = [sizes[bisect.bisect_left(sizes, f)] for f in fill]
         cost = sum(final) + overhead * len(final)
         if best is None or cost < best[2]:

@@ -276,3 +276,33 @@ def test_token_ids_of_other_white_space():
     texts = ["a\tb\tc\n\n", "un\u00a0mot\u00a0: oui  non ", "a b\nc d", "a\n\nb\rc", " a", "a \nb\tc", "\n", " ", "a\u2028b\n"]
     want = [enc.tok.encode(t, add_special_tokens=False).ids for t in texts]
     assert [np.frombuffer(x, f"<{enc.code}").tolist() for x in enc(texts)] == want
+
+
+def test_packing_opens_by_cost_and_matches_brute_force():
+    import itertools
+    import random
+
+    def least(lengths, sizes, overhead):
+        """The cheapest packing of a few lengths, over all ways to part them into bins."""
+        best = None
+        for bins in itertools.product(range(len(lengths)), repeat=len(lengths)):
+            fill = {}
+            for n, b in zip(lengths, bins):
+                fill[b] = fill.get(b, 0) + n
+            if max(fill.values()) <= max(sizes):
+                cost = sum(min(c for c in sizes if c >= f) + overhead for f in fill.values())
+                best = cost if best is None else min(best, cost)
+        return best
+
+    rnd = random.Random(5)
+    for _ in range(30):
+        lengths = sorted((rnd.randint(1, 16) for _ in range(5)), reverse=True)
+        bins, size, cost = packing.pack(lengths, (4, 8, 16), 1)
+        fill = [sum(n for n, b in zip(lengths, bins) if b == i) for i in range(len(size))]
+        assert all(f <= s and s == min(c for c in (4, 8, 16) if c >= f) for f, s in zip(fill, size))
+        best = least(lengths, (4, 8, 16), 1)
+        assert best <= cost <= 1.5 * best
+    joint = packing._pack([9, 9, 3, 3, 1], None, (4, 12), 1)
+    assert joint[1] == [12, 12, 1]  # a bin that can be filled whole is opened large, the last one small
+
+
