@@ -2,7 +2,7 @@
 
 A page's record is `response` with the html as payload, or `revisit`, which names the response with the same payload
 and carries none itself. Reading gives rows (record, chunk number, bytes) of bounded size, each with the payload bytes
-and the SHA-1 state so far, so that no record has to fit into memory at once; the last chunk of a record has the
+and the SHA-1 of the record's bytes up to its end, so that no record has to fit into memory at once; the last chunk of a record has the
 whole payload's digest.
 """
 
@@ -23,7 +23,7 @@ LEAST_REVISIT = 1000
 DATE = "2024-01-01T00:00:00Z"
 MAX_HEADER = 1 << 20
 
-CHUNKS = "page_id long, url string, record_type string, refers_to long, chunk_no long, chunk binary, bytes_so_far long, last boolean, payload_bytes long, payload_digest string, archive string"
+CHUNKS = "page_id long, url string, record_type string, refers_to long, chunk_no long, chunk binary, bytes_so_far long, sha1_so_far string, last boolean, payload_bytes long, payload_digest string, archive string"
 
 
 def revisits(pages: DataFrame, least: int = LEAST_REVISIT) -> DataFrame:
@@ -48,7 +48,7 @@ def revisits(pages: DataFrame, least: int = LEAST_REVISIT) -> DataFrame:
     return joined.select("page_id", "url", "html", "digest", "n_bytes", F.when(other, F.col("response_id")).alias("refers_to"))
 
 
-def _record(kind: str, page_id, url, payload: bytes, n_bytes: int, digest: str, refers_to) -> bytes:
+def _header(kind: str, page_id, url, n_bytes: int, digest: str, refers_to) -> bytes:
     head = {
         "WARC-Type": kind,
         "WARC-Record-ID": f"<urn:page:{'' if page_id is None else page_id}>",
@@ -62,8 +62,8 @@ def _record(kind: str, page_id, url, payload: bytes, n_bytes: int, digest: str,
     if refers_to is not None:
         head["WARC-Refers-To"] = f"<urn:page:{refers_to}>"
         head["WARC-Profile"] = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
-    head["Content-Length"] = str(len(payload))
-    return ("WARC/1.1\r\n" + "".join(f"{k}: {v}\r\n" for k, v in head.items()) + "\r\n").encode() + payload + b"\r\n\r\n"
+    head["Content-Length"] = str(n_bytes if refers_to is None else 0)
+    return ("WARC/1.1\r\n" + "".join(f"{k}: {v}\r\n" for k, v in head.items()) + "\r\n").encode()
 
 
 def write_warc(decided: DataFrame, folder: str, level: int = 1) -> DataFrame:
@@ -88,10 +88,10 @@ def write_warc(decided: DataFrame, folder: str, level: int = 1) -> DataFrame:
                 for page_id, url, html, digest, n_bytes, refers_to in zip(*(c.to_pylist() for c in b.columns)):
                     kind = "response" if refers_to is None else "revisit"
                     z = zlib.compressobj(level, zlib.DEFLATED, 31)
-                    raw = _record(kind, page_id, url, html.encode() if refers_to is None else b"", n_bytes, digest, refers_to)
-                    view = memoryview(raw)
-                    for i in range(0, len(raw), CHUNK):
-                        out.write(z.compress(view[i : i + CHUNK]))
+                    out.write(z.compress(_header(kind, page_id, url, n_bytes, digest, refers_to)))
+                    for i in range(0, len(html) if refers_to is None else 0, CHUNK):  # no copy of the whole payload
+                        out.write(z.compress(html[i : i + CHUNK].encode()))
+                    out.write(z.compress(b"\r\n\r\n"))
                     out.write(z.flush())
                     n += 1
 
@@ -165,7 +165,8 @@ def read_warc(archives: DataFrame, folder: str, chunk: int = CHUNK, keep_bytes:
 
     One row a chunk; every record has at least one, if empty then of no bytes. payload_bytes and payload_digest are of
     the full payload and stand on a record's last chunk: for a response as counted while it streamed, and checked
-    against the header; for a revisit, which has no payload of its own, as its header states.
+    against the header; for a revisit, which has no payload of its own, as its header states. sha1_so_far is of the record's
+    bytes up to the chunk's end.
     """
     names = [x.split()[0] for x in CHUNKS.split(", ")]
 
@@ -186,7 +187,7 @@ def read_warc(archives: DataFrame, folder: str, chunk: int = CHUNK, keep_bytes:
                                 raise ValueError("a payload's digest is not the one its header states")
                         url, to = head.get("warc-target-uri"), head.get("warc-refers-to")
                         url = url and url.replace("%0A", "\n").replace("%0D", "\r").replace("%25", "%")
-                        rows.append((_id(head["warc-record-id"]), url, kind, to and _id(to), number, data if keep_bytes else None, seen, last, total, digest, name))
+                        rows.append((_id(head["warc-record-id"]), url, kind, to and _id(to), number, data if keep_bytes else None, seen, sha.hexdigest(), last, total, digest, name))
                         held += len(data) * keep_bytes + 400
                         if held > 8 << 20:
                             yield pa.RecordBatch.from_pydict(dict(zip(names, map(list, zip(*rows)))), schema=SCHEMA)
@@ -200,7 +201,7 @@ def read_warc(archives: DataFrame, folder: str, chunk: int = CHUNK, keep_bytes:
 
 SCHEMA = pa.schema(
     [("page_id", pa.int64()), ("url", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("chunk_no", pa.int64()), ("chunk", pa.binary())]
-    + [("bytes_so_far", pa.int64()), ("last", pa.bool_()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("archive", pa.string())]
+    + [("bytes_so_far", pa.int64()), ("sha1_so_far", pa.string()), ("last", pa.bool_()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("archive", pa.string())]
 )
 
 
