@@ -10,7 +10,7 @@ their groups. (A node of the tree has 64 coordinates; what it lets through is bo
 coordinates or more, so little but links is left to verify.) Sets of a and b shingles that are similar enough differ in at most r = (a + b) * (1 - t) / (1 + t) shingles;
 cut into r + 1 groups by hash they agree in one group at least. Documents that agree in a group of their size band meet
 in a bucket. Of a bucket, every set is verified against the least one first; only sets that this leaves in
-different components are searched against each other, in a tree over the bucket, large buckets in pairs of blocks.
+different components are searched against each other, in a tree over the bucket, large buckets in pairs of blocks: first for as few pairs as join them, then for all.
 """
 
 from __future__ import annotations
@@ -193,10 +193,17 @@ class CountTree:
         return self.order[at]
 
 
+def expected(bound: np.ndarray, n: int, sizes: np.ndarray, coordinates: int) -> np.ndarray:
+    """The overlap to expect where points bound it: less what shingles that differ share of the coordinates by chance."""
+    return bound - (n - bound) * (sizes - bound) / coordinates
+
+
 def _tree_pairs(rows: DataFrame, num: int, den: int, best: bool) -> DataFrame:
     """Candidate pairs of rows (key, set_id, n, point, root) of one bucket but different roots.
 
-    best: of each other root only the candidate with the highest bound.
+    best: only what is likely to join the roots of a bucket, in place of all its pairs. Each row gives its candidate of the
+    highest bound in each other group of roots; one whose expected overlap suffices makes one group of the two, and no
+    further pair is sought between them. Whether they are joined indeed, the sets decide; the search after it misses nothing.
     """
     counts = rows.groupBy("key").agg(F.ceil(F.count("*") / F.lit(BLOCK)).cast("int").alias("blocks")).select(F.col("key").alias("k"), "blocks")
     r = rows.join(counts.hint("merge"), rows.key == counts.k).withColumn("own", F.pmod(F.xxhash64("set_id"), F.col("blocks")).cast("int"))
@@ -213,16 +220,22 @@ def _tree_pairs(rows: DataFrame, num: int, den: int, best: bool) -> DataFrame:
             points = folded(table.column("point").to_pylist())
             coarse = points.reshape(len(points), COORDINATES, -1).sum(axis=2)
             tree = CountTree(coarse[right], sizes[right])
+            group = np.unique(roots, return_inverse=True)[1]
             for x in left:
                 y = right[tree.search(coarse[x], sizes[x], num, den)]
                 y = y[(roots[y] != roots[x]) & (ids[y] != ids[x])]
                 bound = np.minimum(points[y], points[x]).sum(axis=1)
                 ok = (den + num) * bound >= num * (sizes[y] + sizes[x])
                 y, bound = y[ok], bound[ok]
-                if best and len(y) > 1:
-                    order = np.lexsort((-bound, roots[y]))
-                    y = y[order]
-                    y = y[np.flatnonzero(np.diff(roots[y], prepend=roots[y[0]] - 1))]
+                if best and len(y):
+                    y, bound = y[group[y] != group[x]], bound[group[y] != group[x]]
+                    order = np.lexsort((-bound, group[y]))
+                    y, bound = y[order], bound[order]
+                    first = np.flatnonzero(np.diff(group[y], prepend=-1))
+                    y, bound = y[first], bound[first]
+                    sure = (den + num) * expected(bound, sizes[x], sizes[y], points.shape[1]) >= num * (sizes[y] + sizes[x])
+                    if sure.any():
+                        group[np.isin(group, group[y[sure]])] = group[x]
                 elif i == j:
                     y = y[ids[y] > ids[x]]
                 a.append(np.minimum(ids[x], ids[y]))
@@ -270,8 +283,8 @@ def linked_components(docs: DataFrame, *, k: int = SHINGLE, similarity: tuple[in
     sets = written(_contents(sought, k), "jaccard-contents")
     roots = written(components(written(_verified(tried, sets, num, den), "jaccard-links")), "jaccard-roots")
 
-    # Sets of one bucket that are still in different components are searched in the bucket's tree: first for the best
-    # candidate in each other component, which joins most of what belongs together, then for all that are left.
+    # Sets of one bucket that are still in different components are searched in the bucket's tree: first for the
+    # candidates that are likely to join most of what belongs together, then for all that are left.
     points = sets.select(F.col("set_id").alias("s"), "n", "point")
     for best in (True, False):
         named = roots.select(F.col("node").alias("s"), "root")
