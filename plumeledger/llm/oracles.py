@@ -44,4 +44,22 @@ SELECT s.doc_id, CAST(len(s.g) AS BIGINT) AS n_shingles, coalesce(c.root, s.doc_
 FROM s LEFT JOIN u ON s.g = u.g LEFT JOIN c ON c.node = u.id
 """
 
-SQL = {"op9_jaccard_join": OP9, "op8_decontaminate": OP8, "op10_warc_chunks": OP10}
+#: The same digests, ranks and cuts by windows over the whole table; crc is the table of CRC-32, byte by byte.
+OP11 = """
+WITH t AS (SELECT [list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, x: xor(c >> 1, 3988292384 * (c & 1))) for i in range(0, 256)] AS crc),
+k AS (SELECT doc_id, coalesce('s' || source, 'n') AS stratum, coalesce(text, '') AS text,
+      md5(concat_ws(':', 'interleave-1', coalesce('d' || doc_id, 'n'), coalesce('s' || source, 'n'), md5(coalesce(text, '')))) AS key FROM documents),
+c AS (SELECT *, row_number() OVER (PARTITION BY key) AS copy FROM k),
+o AS (SELECT *, md5(concat_ws(':', 'interleave-1', key, copy)) AS turn FROM c),
+r AS (SELECT *, row_number() OVER (PARTITION BY stratum ORDER BY turn, key, copy) - 1 AS r, count(*) OVER (PARTITION BY stratum) AS n,
+      (('0x' || md5(concat_ws(':', 'interleave-1', stratum))[:5])::BIGINT + 0.5::DOUBLE) / 1048576::DOUBLE AS u FROM o),
+p AS (SELECT *, row_number() OVER (ORDER BY (r + u) / n, stratum, turn, key, copy) - 1 AS pos, count(*) OVER () AS rows FROM r),
+b AS (SELECT *, CAST(pos * 16 // rows AS INTEGER) AS shard FROM p)
+SELECT doc_id, CAST(strlen(text) + 1 AS BIGINT) AS size,
+       CAST(xor(list_reduce(list_prepend(4294967295, list_transform(regexp_extract_all(hex(encode(text)), '..'), lambda h: ('0x' || h)::BIGINT)),
+            lambda a, x: xor(a >> 8, t.crc[CAST(xor(a & 255, x) AS INTEGER) + 1])), 4294967295) AS BIGINT) AS text_crc32,
+       'rows' AS law, shard, pos - (shard * rows + 15) // 16 AS slot, CAST(NULL AS INTEGER) AS grown_shard
+FROM b, t
+"""
+
+SQL = {"op9_jaccard_join": OP9, "op8_decontaminate": OP8, "op10_warc_chunks": OP10, "op11_stratified_shards": OP11}

@@ -11,13 +11,14 @@ from plumeledger.llm.jaccard_join import op9_jaccard_join
 from plumeledger.llm.line_dedup import op1_line_dedup
 from plumeledger.llm.ngram_trie import op7_ngram_trie
 from plumeledger.llm.packing import op6_best_fit_packing
+from plumeledger.llm.sharding import op11_stratified_shards
 from plumeledger.llm.shared import importable
 from plumeledger.llm.token_records import op2_token_records
 from plumeledger.llm.toxicity import op4_toxicity
 from plumeledger.llm.warc_records import op10_warc_chunks
 
 
-QUERIES = (op1_line_dedup, op2_token_records, op3_fingerprints, op4_toxicity, op5_html_extract, op6_best_fit_packing, op7_ngram_trie, op8_decontaminate, op9_jaccard_join, op10_warc_chunks)
+QUERIES = (op1_line_dedup, op2_token_records, op3_fingerprints, op4_toxicity, op5_html_extract, op6_best_fit_packing, op7_ngram_trie, op8_decontaminate, op9_jaccard_join, op10_warc_chunks, op11_stratified_shards)
 
 
 def _ready(query):
