@@ -47,6 +47,15 @@ def _stratum(by: str) -> Column:
     return F.coalesce(F.concat(F.lit("s"), F.col(f"`{by}`").cast("string")), F.lit("n"))
 
 
+def _shard(n: int, shards: int) -> Column:
+    return F.expr(f"cast((pos * {shards}) div {max(n, 1)} as int)")
+
+
+def _slot(n: int, shards: int) -> Column:
+    """Position less the first position of its shard."""
+    return F.expr(f"pos - (((pos * {shards}) div {max(n, 1)}) * {n} + {shards - 1}) div {shards}")
+
+
 def placements(docs: DataFrame, shards: int = SHARDS, by: str = "source", seed: str = SEED) -> tuple[DataFrame, int, int]:
     """((key, copy, pos, shard, slot), rows, bytes): a place for each row of docs, known by key and number among its repeats.
 
@@ -75,31 +84,38 @@ def placements(docs: DataFrame, shards: int = SHARDS, by: str = "source", seed:
     sums = ranked.groupBy("cell").agg(F.count(F.lit(1)).alias("c")).select(F.col("cell").alias("at"), F.coalesce(F.sum("c").over(earlier), F.lit(0)).alias("before"))
     place = F.col("before") + F.row_number().over(W.partitionBy("cell").orderBy("fraction", "stratum", "turn", "key", "copy")) - 1
     placed = ranked.join(F.broadcast(sums), F.col("cell") == F.col("at")).select("key", "copy", place.alias("pos"))
-    placed = placed.withColumn("shard", F.expr(f"cast((pos * {shards}) div {max(n, 1)} as int)"))
-    slot = F.col("pos") - F.expr(f"(shard * cast({n} as bigint) + {shards - 1}) div {shards}")
-    return placed.withColumn("slot", slot), n, size
+    return placed.withColumns({"shard": _shard(n, shards), "slot": _slot(n, shards)}), n, size
+
+
+def _own(docs: DataFrame) -> list[str]:
+    """The columns of docs that its shards keep."""
+    return [c for c in dict.fromkeys(docs.columns) if c.lower() not in {"shard", "pos", "slot", "_key", "_kind", "_nth"}]
 
 
 def write_shards(docs: DataFrame, folder: str, shards: int = SHARDS, by: str = "source", seed: str = SEED) -> None:
     """docs with shard, pos and slot as Parquet in folder/shard=k, whose files hold runs of slots in order.
 
-    Columns of docs called shard, pos, slot, key or copy are left out. Of rows alike in id, source and text but not in
+    Columns of docs called shard, pos or slot (or _key, _kind, _nth) are left out. Of rows alike in id, source and text but not in
     further columns it is undefined which takes which of their places. A shard without rows has no folder.
+
+    Rows and places go through one shuffle: the nth row of a key comes right after the key's nth place and takes it.
     """
-    taken = {"shard", "pos", "slot", "key", "copy"}
-    d = with_columns_of(docs, *dict.fromkeys(c for c in docs.columns if c.lower() not in taken))
+    d = with_columns_of(docs, *_own(docs))
     placed, n, size = placements(d, shards, by, seed)
     parts = max(int(d.sparkSession.conf.get("spark.sql.shuffle.partitions")), size // TASK_BYTES + 1)
-    copy = F.row_number().over(W.partitionBy("key").orderBy(F.lit(0))).cast("long")
-    rows = d.withColumn("key", _key(by, seed)).repartition(parts, "key").withColumn("copy", copy)
-    rows = rows.join(placed.repartition(parts, "key").hint("merge"), ["key", "copy"]).drop("key", "copy")
-    rows = rows.repartitionById(parts, F.expr(f"cast((pos * {parts}) div {max(n, 1)} as int)")).sortWithinPartitions("shard", "slot")
+    places = placed.select(F.col("key").alias("_key"), F.lit(0).alias("_kind"), "pos")
+    both = d.select("*", _key(by, seed).alias("_key"), F.lit(1).alias("_kind")).unionByName(places, allowMissingColumns=True)
+    both = both.repartition(parts, "_key").withColumn("_nth", F.row_number().over(W.partitionBy("_key", "_kind").orderBy(F.lit(0))))
+    rows = both.withColumn("pos", F.lag("pos").over(W.partitionBy("_key").orderBy("_nth", "_kind"))).where("_kind = 1").drop("_key", "_kind", "_nth")
+    rows = rows.withColumns({"shard": _shard(n, shards), "slot": _slot(n, shards)})
+    rows = rows.repartitionById(parts, F.expr(f"cast((pos * {parts}) div {max(n, 1)} as int)")).sortWithinPartitions("pos")
     rows.write.partitionBy("shard").option("compression", "zstd").parquet(folder)
 
 
 def read_shards(spark, folder: str, like: DataFrame) -> DataFrame:
     """The rows that write_shards put there, with the columns of like, pos, slot and shard."""
-    kinds = [f"`{f.name}` {f.dataType.simpleString()}" for f in like.schema if f.name.lower() not in {"shard", "pos", "slot", "key", "copy"}]
+    own = set(_own(like))
+    kinds = [f"`{f.name}` {f.dataType.simpleString()}" for f in like.schema if f.name in own]
     return spark.read.schema(", ".join([*kinds, "pos long", "slot long", "shard int"])).parquet(folder)
 
 
