@@ -62,4 +62,71 @@ SELECT doc_id, CAST(strlen(text) + 1 AS BIGINT) AS size,
 FROM b, t
 """
 
-SQL = {"op9_jaccard_join": OP9, "op8_decontaminate": OP8, "op10_warc_chunks": OP10, "op11_stratified_shards": OP11}
+
+def _path(state: str, cost: str, letter: str, line: str) -> str:
+    """A path of edits (cost c, letters a, repaired lines t) with one more; null where there is no path."""
+    return f"CASE WHEN {state} IS NOT NULL THEN {{'c': {state}.c + {cost}, 'a': {state}.a || '{letter}', 't': {state}.t || {line}}} END"
+
+
+def _kept(state: str, initial: str) -> str:
+    return f"CASE WHEN NOT q.go AND q.i = '{initial}' THEN {_path(state, 'q.x', 'K', "chr(10) || q.role || ':' || q.text")} END"
+
+
+def _anew(state: str, role: str) -> str:
+    return f"CASE WHEN NOT q.go THEN {_path(state, '3 + q.x', 'R', f"chr(10) || '{role}:' || q.text")} END"
+
+
+def _gone(state: str) -> str:
+    return _path(state, "4", "D", "''")
+
+
+def _inserted(state: str, role: str) -> str:
+    return _path(state, "3", "I", f"chr(10) || '{role}:'")
+
+
+def _with_inserts(paths: str) -> str:
+    users, replies = ", ".join(_inserted(f"v[{s}]", "user") for s in (1, 2, 4)), _inserted("v[3]", "assistant")
+    return f"list_transform([{paths}], lambda v: [v[1], v[2], list_min([v[3], {users}]), list_min([v[4], {replies}])])[1]"
+
+
+_USER = ", ".join([*(_kept(f"b[{s}]", "u") for s in (1, 2, 4)), *(_anew(f"b[{s}]", "user") for s in (1, 2, 4))])
+_NO_PATH = "{'b': [NULL::STRUCT(c INTEGER, a VARCHAR, t VARCHAR)], 'i': '', 'role': '', 'text': '', 'go': NULL, 'x': 0}"
+_CRC_TABLE = "[list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, x: xor(c >> 1, 3988292384 * (c & 1))) for i in range(0, 256)]"
+
+
+def _crc32(text: str) -> str:
+    """CRC-32 of a string, byte by byte, with the table t.crc."""
+    return f"""xor(list_reduce(list_prepend(4294967295, list_transform(regexp_extract_all(hex(encode({text})), '..'), lambda h: ('0x' || h)::BIGINT)),
+            lambda a, x: xor(a >> 8, t.crc[CAST(xor(a & 255, x) AS INTEGER) + 1])), 4294967295)"""
+
+
+#: The least path to each of four states, turn by turn; the first and last item of the list carry the start and the closing inserts.
+OP13 = f"""
+WITH t AS (SELECT {_CRC_TABLE} AS crc),
+z AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+      {_crc32("coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ')")} % 20 AS k FROM conversations, t),
+d AS (SELECT conv_id, turn, CASE WHEN k = 4 THEN 'user' ELSE role END AS role,
+      CASE k WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, unnest(range(CASE WHEN k = 3 THEN 2 ELSE 1 END)) AS copy FROM z WHERE k <> 0),
+f AS (SELECT *, rtrim(text, E'\\t\\n\\x0b\\f\\r ') AS cut, row_number() OVER w AS r, left(role, 1) AS i, lag(left(role, 1)) OVER w AS before
+      FROM d WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text)),
+e AS (SELECT *, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY r) AS seen FROM f),
+g AS (SELECT *, cut = '' AS blank, cut <> '' AND seen > 1 AS duplicate, cut <> '' AND seen = 1 AND right(cut, 1) NOT IN ('.', '!', '?') AS truncated FROM e),
+h AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, sum(blank::INT) AS blank, sum(duplicate::INT) AS duplicate, sum(truncated::INT) AS truncated,
+      sum((before IS NOT NULL AND before || i NOT IN ('su', 'ua', 'au'))::INT) AS illegal,
+      list({{'i': i, 'role': role, 'text': text, 'go': blank OR duplicate, 'x': CASE WHEN truncated THEN 3 ELSE 0 END}} ORDER BY r) AS rows FROM g GROUP BY conv_id),
+s AS (SELECT *, list_reduce(list_prepend({{'b': [{{'c': 0, 'a': '', 't': ''}}, NULL, NULL, NULL], 'i': '', 'role': '', 'text': '', 'go': NULL, 'x': 0}},
+        list_append(list_transform(rows, lambda q: {{'b': [NULL::STRUCT(c INTEGER, a VARCHAR, t VARCHAR)], 'i': q.i, 'role': q.role, 'text': q.text, 'go': q.go, 'x': q.x}}), {_NO_PATH})),
+      lambda p, q: {{'b': list_transform([{_with_inserts(_with_inserts("p.b"))}], lambda b: CASE WHEN q.go IS NULL THEN b ELSE [
+        {_gone("b[1]")},
+        list_min([{_gone("b[2]")}, {_kept("b[1]", "s")}]),
+        list_min([{_gone("b[3]")}, {_USER}]),
+        list_min([{_gone("b[4]")}, {_kept("b[3]", "a")}, {_anew("b[3]", "assistant")}])] END)[1],
+      'i': '', 'role': '', 'text': '', 'go': NULL, 'x': 0}}).b AS b FROM h),
+m AS (SELECT *, list_min([b[1], b[4]]) AS w FROM s)
+SELECT o.conv_id, CAST(coalesce(gaps, 0) AS BIGINT) AS gaps, CAST(coalesce(blank, 0) AS BIGINT) AS blank, CAST(coalesce(duplicate, 0) AS BIGINT) AS duplicate,
+       CAST(coalesce(truncated, 0) AS BIGINT) AS truncated, CAST(coalesce(illegal, 0) AS BIGINT) AS illegal, CAST(coalesce(w.c, 0) AS BIGINT) AS cost,
+       coalesce(w.a, '') AS audit, sha256(coalesce(w.t[2:], '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) o LEFT JOIN m ON o.conv_id IS NOT DISTINCT FROM m.conv_id
+"""
+
+SQL = {"op9_jaccard_join": OP9, "op8_decontaminate": OP8, "op10_warc_chunks": OP10, "op11_stratified_shards": OP11, "op13_conversation_repair": OP13}
