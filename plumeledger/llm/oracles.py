@@ -129,4 +129,22 @@ SELECT o.conv_id, CAST(coalesce(gaps, 0) AS BIGINT) AS gaps, CAST(coalesce(blank
 FROM (SELECT DISTINCT conv_id FROM conversations) o LEFT JOIN m ON o.conv_id IS NOT DISTINCT FROM m.conv_id
 """
 
-SQL = {"op9_jaccard_join": OP9, "op8_decontaminate": OP8, "op10_warc_chunks": OP10, "op11_stratified_shards": OP11, "op13_conversation_repair": OP13}
+
+_PIECES = rf"regexp_split_to_array(replace({_LOWER}, chr(9), ' '), '[.,;:!?\x0A-\x0D]')"
+
+#: All phrases of 1 to 5 words by brute force.
+OP12 = f"""
+WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest({_PIECES}) AS piece FROM documents),
+w AS (SELECT lang, regexp_extract_all(piece, '[^ ]+') AS w FROM p),
+f AS (SELECT lang, m, array_to_string(w[i:i + m - 1], ' ') AS phrase, count(*) AS f FROM w, unnest(range(1, 6)) AS x(m), unnest(range(1, greatest(len(w) - m + 2, 1))) AS y(i) GROUP BY ALL),
+n AS (SELECT lang, sum(f) AS n FROM f WHERE m = 1 GROUP BY lang),
+c AS (SELECT *, string_split(phrase, ' ') AS w FROM f WHERE m > 1 AND f >= 100),
+k AS (SELECT c.lang, c.phrase, c.f AS a, k, l.f AS l, r.f AS r, CAST(n AS BIGINT) AS n, CAST((1000::HUGEINT * c.f * n::HUGEINT) // (l.f::HUGEINT * r.f) AS BIGINT) AS score
+      FROM c JOIN n USING (lang), unnest(range(1, m)) AS t(k)
+      JOIN f l ON l.lang = c.lang AND l.m = k AND l.phrase = array_to_string(w[:k], ' ') JOIN f r ON r.lang = c.lang AND r.m = c.m - k AND r.phrase = array_to_string(w[k + 1:], ' ')),
+b AS (SELECT * FROM k QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+g AS (SELECT * FROM b WHERE NOT EXISTS (SELECT 1 FROM c WHERE c.lang = b.lang AND c.f >= b.a AND c.m > len(string_split(b.phrase, ' ')) AND contains(' ' || c.phrase || ' ', ' ' || b.phrase || ' ')))
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score FROM g QUALIFY rank <= 2000
+"""
+
+SQL = {"op9_jaccard_join": OP9, "op8_decontaminate": OP8, "op10_warc_chunks": OP10, "op11_stratified_shards": OP11, "op12_collocations": OP12, "op13_conversation_repair": OP13}

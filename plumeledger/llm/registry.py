@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import functools
 
+from plumeledger.llm.collocations import op12_collocations
 from plumeledger.llm.conversation_repair import op13_conversation_repair
 from plumeledger.llm.decontaminate import op8_decontaminate
 from plumeledger.llm.fingerprints import op3_fingerprints
@@ -19,7 +20,7 @@ from plumeledger.llm.toxicity import op4_toxicity
 from plumeledger.llm.warc_records import op10_warc_chunks
 
 
-QUERIES = (op1_line_dedup, op2_token_records, op3_fingerprints, op4_toxicity, op5_html_extract, op6_best_fit_packing, op7_ngram_trie, op8_decontaminate, op9_jaccard_join, op10_warc_chunks, op11_stratified_shards, op13_conversation_repair)
+QUERIES = (op1_line_dedup, op2_token_records, op3_fingerprints, op4_toxicity, op5_html_extract, op6_best_fit_packing, op7_ngram_trie, op8_decontaminate, op9_jaccard_join, op10_warc_chunks, op11_stratified_shards, op12_collocations, op13_conversation_repair)
 
 
 def _ready(query):
