@@ -29,13 +29,15 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from plumeledger.llm.components import join_counted
-from plumeledger.llm.shared import file_system, importable, shared_dir
+from plumeledger.llm.shared import by_bytes, file_system, importable, shared_dir
 
 MIN_COUNT = 100
 LONGEST = 5
 TOP = 2000
 #: Words counted, or phrases gathered, before a task hands on what it has.
 WORDS_AT_ONCE, PHRASES_AT_ONCE = 400_000, 2_000_000
+#: Bytes of text that a task has in hand, and that become one row of ids.
+TEXT_AT_ONCE = 4 << 20
 #: Words of the corpus for each cut of a filter.
 CUT_WORDS = 4_000_000
 #: Salts of a language's ranking.
@@ -128,6 +130,11 @@ def tokens(text: bytes) -> list[bytes]:
     return text.translate(_FOLD).replace(b"\n", b" \n ").split(b" ")
 
 
+def _in_hand(batches):
+    for b in batches:
+        yield from by_bytes(b, "text", TEXT_AT_ONCE)
+
+
 def _count_words(batches):
     counts, names = {}, ["lang", "word", "c"]
 
@@ -139,7 +146,7 @@ def _count_words(batches):
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(words), pa.string()), pa.array(words, pa.string()), pa.array(list(c.values()), pa.int64())], names=names)
         counts.clear()
 
-    for b in batches:
+    for b in _in_hand(batches):
         for lang, text in zip(b.column("lang").to_pylist(), b.column("text").cast(pa.binary()).to_pylist()):
             c = counts.get(lang)
             if c is None:
@@ -185,7 +192,7 @@ def _level(folder: str) -> tuple[np.ndarray, int]:
 def _encode(batches, folder: str):
     ids, _ = _dictionary(folder)
     none = {b"": _DROP}
-    for b in batches:
+    for b in _in_hand(batches):
         parts = []
         for lang, text in zip(b.column("lang").to_pylist(), b.column("text").cast(pa.binary()).to_pylist()):
             t = tokens(text)
