@@ -22,7 +22,7 @@ from plumeledger.llm.shared import shared_dir, with_columns_of, written
 SHARDS = 16
 SEED = "interleave-1"
 #: Rows of a range or cell, and the most of these.
-ROWS, CELLS = 50_000, 65_536
+ROWS, CELLS = 8_192, 65_536
 #: Bytes of text a task writes.
 TASK_BYTES = 32 << 20
 
@@ -40,7 +40,7 @@ def text_size(text: Column) -> Column:
 def _key(by: str, seed: str) -> Column:
     """Digest of id, stratum and text: rows alike in all three are alike to the operator."""
     parts = [F.lit(seed), F.coalesce(F.concat(F.lit("d"), F.col("doc_id").cast("string")), F.lit("n")), _stratum(by), F.md5(F.coalesce(F.col("text"), F.lit("")))]
-    return F.md5(F.concat_ws(":", *parts))
+    return F.unhex(F.md5(F.concat_ws(":", *parts)))
 
 
 def _stratum(by: str) -> Column:
@@ -68,8 +68,8 @@ def placements(docs: DataFrame, shards: int = SHARDS, by: str = "source", seed:
     n, size = own.agg(F.coalesce(F.sum("copies"), F.lit(0)), F.coalesce(F.sum("size"), F.lit(0))).first()
     cells = min(CELLS, n // ROWS + 1)
     rows = own.select("key", "stratum", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))).alias("copy"))
-    rows = rows.withColumn("turn", F.md5(F.concat_ws(":", F.lit(seed), "key", F.col("copy").cast("string"))))
-    rows = rows.withColumn("range", F.shiftright(_number(F.col("turn"), 4) * cells, 16))
+    turn = F.md5(F.concat_ws(":", F.lit(seed), F.lower(F.hex("key")), F.col("copy").cast("string")))
+    rows = rows.select("*", F.unhex(turn).alias("turn"), F.shiftright(_number(turn, 4) * cells, 16).alias("range"))
 
     within, all_of = W.partitionBy("stratum").orderBy("range").rowsBetween(W.unboundedPreceding, W.currentRow), W.partitionBy("stratum")
     totals = rows.groupBy("stratum", "range").agg(F.count(F.lit(1)).alias("c"))
@@ -109,7 +109,7 @@ def write_shards(docs: DataFrame, folder: str, shards: int = SHARDS, by: str = "
     rows = both.withColumn("pos", F.lag("pos").over(W.partitionBy("_key").orderBy("_nth", "_kind"))).where("_kind = 1").drop("_key", "_kind", "_nth")
     rows = rows.withColumns({"shard": _shard(n, shards), "slot": _slot(n, shards)})
     rows = rows.repartitionById(parts, F.expr(f"cast((pos * {parts}) div {max(n, 1)} as int)")).sortWithinPartitions("pos")
-    rows.write.partitionBy("shard").option("compression", "zstd").parquet(folder)
+    rows.write.partitionBy("shard").option("compression", "zstd").option("parquet.compression.codec.zstd.level", "9").parquet(folder)
 
 
 def read_shards(spark, folder: str, like: DataFrame) -> DataFrame:
