@@ -5,7 +5,7 @@ of their class and id attributes, and its text (length, links, marks, place). La
 blocks depend on each other; the best sequence is found by Viterbi.
 
 The pages have no labels, so labelled pages are made from a bounded sample of them: the blocks of a sampled page's
-article element are main text by its own mark-up, the blocks of its navigation, adverts and footer are not. Each
+article element (or, where it has none, of the container of most running text) are main text, the blocks of its navigation, adverts and footer are not. Each
 sampled page is used as it is and set anew in other layouts, with the boilerplate that such layouts have, the label
 of every block being known by construction. The model is then fitted by the likelihood of those labels.
 """
@@ -49,16 +49,28 @@ def leaf_blocks(page: str | None) -> list[tuple[str, tuple[str, ...], float]]:
     page = page or ""
     out, buffer, stack, links, at = [], [], [], 0, 0
     linked = 0
+    marks: dict[str, int] = {}  # of the open elements, with their number, in order of first occurrence
+    opened: dict[str, int] = {}  # open elements by tag
 
     def flush():
         nonlocal buffer, linked
         if buffer:
             text = _SPACE.sub(" ", html.unescape("".join(buffer))).strip()
             if text:
-                marks = dict.fromkeys(m for _, own in stack for m in own)
                 out.append((text, tuple(marks), min(1.0, linked / len(text))))
             buffer, linked = [], 0
 
+    def close(i):
+        nonlocal links
+        for t, own in reversed(stack[i:]):
+            opened[t] -= 1
+            links -= t == "a"
+            for m in own:
+                marks[m] -= 1
+                if not marks[m]:
+                    del marks[m]
+        del stack[i:]
+
     n = len(page)
     while at < n:
         m = _TAG.search(page, at)
@@ -77,11 +89,11 @@ def leaf_blocks(page: str | None) -> list[tuple[str, tuple[str, ...], float]]:
         if m.group(1):
             if tag in BLOCK:
                 flush()
-            for i in range(len(stack) - 1, -1, -1):
+            for i in range(len(stack) - 1, -1, -1) if opened.get(tag) else ():
                 if stack[i][0] == tag:
-                    if tag in BLOCK or all(t not in BLOCK for t, _ in stack[i:]):
-                        links -= sum(t == "a" for t, _ in stack[i:])
-                        del stack[i:]
+                    close(i)
+                    break
+                if stack[i][0] in BLOCK and tag not in BLOCK:
                     break
             continue
         if tag in RAW and tag != "head":
@@ -95,8 +107,7 @@ def leaf_blocks(page: str | None) -> list[tuple[str, tuple[str, ...], float]]:
             if tag in _CLOSES_P:
                 for i in range(len(stack) - 1, -1, -1):
                     if stack[i][0] == "p" or tag == "li" and stack[i][0] == "li":
-                        links -= sum(t == "a" for t, _ in stack[i:])
-                        del stack[i:]
+                        close(i)
                         break
                     if stack[i][0] in BLOCK:
                         break
@@ -106,6 +117,9 @@ def leaf_blocks(page: str | None) -> list[tuple[str, tuple[str, ...], float]]:
         for a in _ATTR.finditer(m.group(3)):
             own += ["." + w for w in _NAME.findall((a[2] or a[3] or a[4] or "").lower())]
         stack.append((tag, own))
+        opened[tag] = opened.get(tag, 0) + 1
+        for w in own:
+            marks[w] = marks.get(w, 0) + 1
         links += tag == "a"
     flush()
     return out
@@ -195,12 +209,34 @@ def _layouts(body: list[str], spare: list[str], seed: int) -> list[list[tuple[st
     return pages
 
 
+def densest(blocks: list[tuple[str, tuple[str, ...], float]]) -> list[int]:
+    """Labels by text alone: main are the blocks of the container that has most words of running text.
+
+    Running text: blocks of ten words or more, few of them links, outside of what layouts name as other. A page without any has
+    its longest block as main text. Ties go to the container that comes first.
+    """
+    aside = {"nav", "aside", "footer", "form", "header"} | {"." + w for w in OTHER_NAMES}
+    free = [not aside & set(m) for _, m, _ in blocks]
+    sizes: dict[tuple[str, ...], int] = {}
+    for (text, marks, linked), ok in zip(blocks, free):
+        words = text.count(" ") + 1
+        if ok and words >= 10 and linked < 0.3:
+            sizes[marks[:-1]] = sizes.get(marks[:-1], 0) + words
+    if not sizes:
+        longest = max((len(t) for (t, _, _), ok in zip(blocks, free) if ok or not any(free)), default=0)
+        return [int(len(t) == longest and (ok or not any(free))) for (t, _, _), ok in zip(blocks, free)]
+    top = max(sizes, key=sizes.get)
+    return [int(ok and m[: len(top)] == top) for (_, m, _), ok in zip(blocks, free)]
+
+
 def labelled_pages(pages: list[str]) -> list[tuple[list[list[int]], list[int]]]:
-    """Feature sequences and labels of sampled pages with an article element, and of layouts made of them."""
+    """Feature sequences and labels of sampled pages and of layouts made of them. Pages without an article element are labelled by their densest blocks."""
     out = []
     for seed, page in enumerate(pages):
         blocks = leaf_blocks(page)
         label = [int("article" in m and not {"nav", "aside", "footer", "form", "header"} & set(m)) for _, m, _ in blocks]
+        if not any(label):
+            label = densest(blocks)
         body = [t for (t, _, _), y in zip(blocks, label) if y]
         if not body:
             continue
@@ -278,32 +314,38 @@ def viterbi(emissions: list[float], trans: list[list[float]]) -> list[int]:
 
 class Extractor:
     def __init__(self, w: np.ndarray, trans: np.ndarray):
-        self.w, self.trans = w.tolist(), trans.tolist()
+        self.w, self.trans, self.fitted = w.tolist(), trans.tolist(), bool(np.any(w))
 
     def __call__(self, page: str | None) -> str:
         blocks, w = leaf_blocks(page), self.w
-        label = viterbi([sum(w[i] for i in f) for f in features(blocks)], self.trans)
+        if not self.fitted:
+            label = densest(blocks)
+        else:
+            label = viterbi([sum(w[i] for i in f) for f in features(blocks)], self.trans)
         return "\n".join(t for (t, _, _), y in zip(blocks, label) if y)
 
 
 def train(pages: DataFrame, *, max_pages: int = TRAIN_PAGES, max_bytes: int = TRAIN_BYTES) -> tuple[np.ndarray, np.ndarray]:
-    """Fit on at most max_pages pages, first by a hash of page_id, of which those are used that fit into max_bytes in that order."""
-    p = with_columns_of(pages, "page_id", "html").where("page_id is not null and html is not null")
-    ids = p.select("page_id", F.xxhash64("page_id").alias("h"), F.octet_length("html").alias("n")).orderBy("h", "page_id").limit(max_pages).collect()
-    total, chosen = 0, []
-    for r in ids:
-        total += r["n"]
-        if total <= max_bytes:
-            chosen.append((r["page_id"], r["h"]))
+    """Fit on at most max_pages different pages, first by a hash of their content, of max_bytes together.
+
+    A page that does not fit into the bytes left is passed over and smaller ones after it are taken. Null and empty pages are not
+    sampled; repeated ones count once. Without any page the model is zero, and extraction falls back on densest().
+    """
+    p = with_columns_of(pages, "html").where("html <> ''").select("html", F.xxhash64("html").alias("h"))
+    sizes = p.select("h", F.octet_length("html").alias("n")).where(F.col("n") <= max_bytes).distinct()
+    left, chosen = max_bytes, []
+    for r in sizes.orderBy("h", "n").limit(max_pages).collect():
+        if r["n"] <= left:
+            left -= r["n"]
+            chosen.append(r["h"])
     if not chosen:
         return fit([])
-    few = F.broadcast(pages.sparkSession.createDataFrame(chosen, "page_id long, h long"))
-    rows = p.join(few, "page_id").dropDuplicates(["page_id"]).collect()  # max_pages rows of max_bytes together
-    return fit(labelled_pages([r["html"] for r in sorted(rows, key=lambda r: (r["h"], r["page_id"]))]))
+    rows = p.where(F.col("h").isin(chosen)).where(F.octet_length("html") <= max_bytes).dropDuplicates(["h"]).collect()  # max_pages rows of max_bytes together
+    return fit(labelled_pages([r["html"] for r in sorted(rows, key=lambda r: r["h"])]))
 
 
 def extract(pages: DataFrame, model: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """(page_id, url, text, n_chars) of each row. Null and empty html give empty text; repeated rows are read each."""
+    """(page_id, url, text, n_chars) of each row. Null and empty html give empty text; repeated rows are read each; ids and urls, of any type, stay as they are."""
     importable(pages.sparkSession)
     sent = pages.sparkSession.sparkContext.broadcast(model)
 
@@ -314,7 +356,9 @@ def extract(pages: DataFrame, model: tuple[np.ndarray, np.ndarray]) -> DataFrame
             rows = [b.column("page_id"), b.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())]
             yield pa.RecordBatch.from_arrays(rows, names=["page_id", "url", "text", "n_chars"])
 
-    return with_columns_of(pages, "page_id", "url", "html").mapInArrow(run, "page_id long, url string, text string, n_chars long")
+    own = with_columns_of(pages, "page_id", "url", "html")
+    kinds = ", ".join(f"{c} {own.schema[c].dataType.simpleString()}" for c in ("page_id", "url"))
+    return own.mapInArrow(run, f"{kinds}, text string, n_chars long")
 
 
 def op5_html_extract(spark, sf_dir) -> DataFrame:
