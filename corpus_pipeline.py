@@ -6,7 +6,7 @@ columns of documents. run() applies them to the table documents.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumeledger.llm.components import join_counted
@@ -23,14 +23,14 @@ def _columns(df: DataFrame, like: DataFrame) -> DataFrame:
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the model rejects go; it learns from the labelled ones among docs."""
+    """Documents that the model rejects go; it learns from the labelled ones among docs. Null and empty texts are scored too; repeated rows share their fate; an empty table gives no rows."""
     importable(spark)
     model = train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return _columns(score(docs, model).where("predicted = 0"), docs)
 
 
 def line_deduplication(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of duplicate lines one occurrence stays; n_chars follows the text. A document that loses its whole text goes."""
+    """Of duplicate lines one occurrence stays; n_chars follows the text. A document that loses its whole text goes; null, empty and blank ones stay."""
     got = line_dedup(docs, min_words=0)
     lost = (F.col("n_dropped") > 0) & (F.trim("text") == "")
     got = got.where(~lost)
@@ -40,15 +40,30 @@ def line_deduplication(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     return _columns(got, docs)
 
 
+def _row_key() -> Column:
+    """A string for id and text that sorts as the id does, nulls last."""
+    known = F.expr("lpad(hex(cast(doc_id as bigint) ^ (-9223372036854775807 - 1)), 16, '0')")
+    return F.concat(F.coalesce(known, F.lit("null")), F.lit(":"), F.md5(F.coalesce("text", F.lit(""))))
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group stays, that of the least doc_id; rows without id stay."""
-    got = linked_components(docs, k=5, similarity=(80, 100))
-    gone = written(got.where("component_id <> doc_id").select(F.col("doc_id").alias("gone_id")).distinct(), "pipeline-gone")
-    return _columns(join_counted(docs, gone, docs.doc_id == gone.gone_id, "left_anti"), docs)
+    """One row of each group of similar texts stays: that of the least doc_id, nulls last; of several texts of that id, that of the least digest.
+
+    Rows are judged each by its own text, so of an id with several texts only those go that are copies. Of repeated rows
+    one stays, of rows without id too. Null, empty and blank texts belong to no group and all stay. An empty table gives no rows.
+    """
+    keyed = docs.select(_row_key().alias("doc_id"), "text")
+    got = linked_components(keyed, k=5, similarity=(80, 100)).where("n_shingles > 0")
+    fate = got.groupBy("doc_id").agg(F.first(F.expr("component_id <> doc_id")).alias("gone"), F.count(F.lit(1)).alias("rows"))
+    fate = written(fate.where("gone or rows > 1").select(F.col("doc_id").alias("row_key"), "gone"), "pipeline-fate")
+    marked = join_counted(docs.withColumn("own_key", _row_key()), fate, F.col("own_key") == F.col("row_key"), "left")
+    kept = _columns(marked.where("row_key is null"), docs)
+    once = marked.where("not gone").dropDuplicates(["own_key"])
+    return kept.unionAll(_columns(once, docs))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that a benchmark contaminates go."""
+    """Documents that a benchmark contaminates go; those without words stay."""
     got = contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
     return _columns(got.where(~F.col("contaminated")), docs)
 
