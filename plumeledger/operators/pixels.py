@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumeledger.functions import scalars as S
@@ -39,16 +39,25 @@ def downsample(px: DataFrame) -> DataFrame:
     return px.where("row % 2 = 0 and col % 2 = 0").withColumns({"row": F.floor(F.col("row") / 2).cast("int"), "col": F.floor(F.col("col") / 2).cast("int")})
 
 
-def band_retrieval(px: DataFrame, mask: str = "prob >= 0.3", wind_ms: float = 3.5, least_background: int = 8) -> DataFrame:
-    """Background fit, column mass over the mask, plume length and flow of each scene; null mass where invalid.
+def band_retrieval(px: DataFrame, mask: str = "prob >= 0.3", wind_ms: float = 3.5, least_background: int = 100) -> DataFrame:
+    """(scene, n_px, mass_kg, flow_kgh) of every scene: background fit, column mass over the mask, plume length and flow.
 
+    A scene is invalid with fewer than least_background pixels outside the mask, or a mean b11 (under 1e-6) or sum of squares of b12
+    (under 1e-12) of these near 0: its mass is null and its flow 0. Without a pixel in the mask both are 0. Null conditions are false.
     The sum over the mask needs the fit of its own scene: fits are a row a scene and are joined back by scene.
     """
-    m = F.expr(mask)
-    fit = px.groupBy("scene").agg(F.sum(F.when(~m, F.col("b11") * F.col("b12"))).alias("xy"), F.sum(F.when(~m, F.col("b12") * F.col("b12"))).alias("yy"), F.sum((~m).cast("long")).alias("bg"))
-    fit = fit.where((F.col("bg") >= least_background) & (F.col("yy") >= 1e-12)).select(F.col("scene").alias("fs"), (F.col("xy") / F.col("yy")).alias("c"))
-    j = px.where(m).join(fit.hint("merge"), px.scene == fit.fs)
+    m = F.coalesce(F.expr(mask), F.lit(False))
+    fit = px.groupBy("scene").agg(F.sum(F.when(~m, F.col("b11") * F.col("b12"))).alias("xy"), F.sum(F.when(~m, F.col("b12") * F.col("b12"))).alias("yy"), F.avg(F.when(~m, F.col("b11"))).alias("m11"), F.count_if(~m).alias("bg"), F.count_if(m).alias("n_px"))
+    valid = (F.col("bg") >= least_background) & (F.col("m11") >= 1e-6) & (F.col("yy") >= 1e-12)
+    fit = fit.select(F.col("scene").alias("fs"), "n_px", F.when(valid, F.col("xy") / F.col("yy")).alias("c"))
+    j = px.where(m).join(fit.where("c is not null").select("fs", "c").hint("merge"), px.scene == F.col("fs"))
     dx = F.greatest(F.lit(0.0), -((F.col("c") * F.col("b12") - F.col("b11")) / F.col("b11")) / 4e-7)
-    g = j.groupBy("scene").agg(F.sum(dx * KG_PER_COLUMN).alias("mass"), F.greatest(F.max("row") - F.min("row"), F.max("col") - F.min("col")).alias("extent"), F.count("*").alias("n_px"))
-    length = F.greatest(F.col("extent") * 20, F.lit(1)).cast("double")
-    return g.select("scene", "n_px", F.round("mass", 4).alias("mass_kg"), F.round(S.flow_kgh(F.col("mass"), length, F.lit(wind_ms)), 2).alias("flow_kgh"))
+    g = j.groupBy("scene").agg(F.sum(dx * KG_PER_COLUMN).alias("mass"), plume_length().alias("length"))
+    g = fit.join(g.hint("merge"), F.col("fs") == F.col("scene"), "left").select(F.col("fs").alias("scene"), "n_px", F.when(F.col("c").isNotNull(), F.coalesce("mass", F.lit(0.0))).alias("mass"), "length")
+    flow = F.when(F.col("mass") > 0, S.flow_kgh(F.col("mass"), F.col("length"), F.lit(wind_ms))).otherwise(0.0)
+    return g.select("scene", "n_px", F.round("mass", 4).alias("mass_kg"), F.round(flow, 2).alias("flow_kgh"))
+
+
+def plume_length(pixel_m: float = 20.0, least: float = 1.0) -> Column:
+    """Metres of a group of pixels: its greater extent in rows or columns, `least` at least."""
+    return F.greatest(F.greatest(F.max("row") - F.min("row"), F.max("col") - F.min("col")) * pixel_m, F.lit(least)).cast("double")

@@ -9,7 +9,7 @@ from plumeledger.operators import detection as D
 from plumeledger.operators import joins as J
 from plumeledger.operators import pixels as P
 from plumeledger.operators import validation as V
-from plumeledger.plans import assessments, conversions, rasters, risk, scenes, screening
+from plumeledger.plans import assessments, conversions, rasters, retrievals, risk, scenes, screening
 from plumeledger.sources import fixtures as X
 
 FLAGSHIP = "b13_e14_production_rule_audit"
@@ -62,7 +62,7 @@ def queries() -> dict:
         "c8_threshold_sweep": lambda s, d: P.threshold_sweep(X.pixels(s, d)),
         "c10_scene_detect": lambda s, d: P.scene_detect(X.pixels(s, d), 0.18, 15),
         "c13_downsample": lambda s, d: P.downsample(X.pixels(s, d)).select("scene", "row", "col", F.round("prob", 5).alias("prob")),
-        "c15_band_retrieval": lambda s, d: P.band_retrieval(X.pixels(s, d)),
+        "c15_band_retrieval": lambda s, d: P.band_retrieval(X.pixels(s, d), least_background=8),
         "d1_nearest_site": lambda s, d: J.nearest_within(X.sites(s, d), X.sites(s, d), 60.0, same=True),
         "d16_financed_emissions": lambda s, d: J.financed_emissions(X.exposures(s, d), _issuers(s, d)),
         "e8_bank_summary": lambda s, d: J.bank_summary(J.financed_emissions(X.exposures(s, d), _issuers(s, d))),
@@ -72,6 +72,7 @@ def queries() -> dict:
         **scenes.QUERIES,
         **rasters.QUERIES,
         **assessments.QUERIES,
+        **retrievals.QUERIES,
     }
 
 
@@ -118,10 +119,10 @@ _BODY = {
     "c8_threshold_sweep": " SELECT scene, t, CAST(sum(CAST(prob >= t AS INT)) AS BIGINT) AS above, round(100 * sum(CAST(prob >= t AS INT)) / count(*), 4) AS pct FROM v_pixels, (SELECT unnest([0.18::DOUBLE, 0.3::DOUBLE, 0.5::DOUBLE]) AS t) GROUP BY scene, t",
     "c10_scene_detect": ' SELECT scene, CAST(sum(CAST(prob >= 0.18 AS INT)) AS BIGINT) AS n_px, sum(CAST(prob >= 0.18 AS INT)) >= 15 AS has_plume, round(coalesce(max(prob) FILTER (prob >= 0.18), 0.0), 4) AS top, round(avg("row") FILTER (prob >= 0.18), 4) AS r, round(avg(col) FILTER (prob >= 0.18), 4) AS c FROM v_pixels GROUP BY scene',
     "c13_downsample": ' SELECT scene, CAST("row" // 2 AS INTEGER) AS "row", CAST(col // 2 AS INTEGER) AS col, round(prob, 5) AS prob FROM v_pixels WHERE "row" % 2 = 0 AND col % 2 = 0',
-    "c15_band_retrieval": """, q AS (SELECT scene, "row", col, prob, b11, b12 FROM v_pixels),
- f AS (SELECT scene, sum(b11 * b12) / sum(b12 * b12) AS c, count(*) AS bg, sum(b12 * b12) AS yy FROM q WHERE NOT prob >= 0.3 GROUP BY scene),
- g AS (SELECT scene, count(*) AS n_px, sum(greatest(0.0, -((c * b12 - b11) / b11) / 4e-7) * (1e-9 * 2.1e25::DOUBLE * 0.016 / 6.022e23 * 400)) AS mass, greatest(max("row") - min("row"), max(col) - min(col)) AS ext FROM q JOIN f USING (scene) WHERE prob >= 0.3 AND bg >= 8 AND yy >= 1e-12 GROUP BY scene)
- SELECT scene, n_px, round(mass, 4) AS mass_kg, round(mass / (greatest(ext * 20, 1) / 3.5::DOUBLE) * 3600, 2) AS flow_kgh FROM g""",
+    "c15_band_retrieval": """, f AS (SELECT scene, sum(b11 * b12) FILTER (NOT prob >= 0.3) / sum(b12 * b12) FILTER (NOT prob >= 0.3) AS c, count(*) FILTER (NOT prob >= 0.3) AS bg, count(*) FILTER (prob >= 0.3) AS n_px, sum(b12 * b12) FILTER (NOT prob >= 0.3) AS yy, avg(b11) FILTER (NOT prob >= 0.3) AS m11 FROM v_pixels GROUP BY scene),
+ v AS (SELECT *, coalesce(bg >= 8 AND yy >= 1e-12 AND m11 >= 1e-6, false) AS ok FROM f),
+ g AS (SELECT scene, sum(greatest(0.0, -((c * b12 - b11) / b11) / 4e-7) * (1e-9 * 2.1e25::DOUBLE * 0.016 / 6.022e23 * 400)) AS mass, greatest(max("row") - min("row"), max(col) - min(col)) AS ext FROM v_pixels JOIN v USING (scene) WHERE prob >= 0.3 AND ok GROUP BY scene)
+ SELECT v.scene, n_px, CASE WHEN ok THEN round(coalesce(mass, 0), 4) END AS mass_kg, CASE WHEN ok AND mass > 0 THEN round(mass / (greatest(ext * 20, 1) / 3.5::DOUBLE) * 3600, 2) ELSE 0 END AS flow_kgh FROM v LEFT JOIN g ON v.scene = g.scene""",
     "d1_nearest_site": ", k AS (SELECT a.site, b.site AS asset, 2 * 6371.0 * asin(sqrt(least(1.0, pow(sin(radians(b.lat - a.lat) / 2), 2) + cos(radians(a.lat)) * cos(radians(b.lat)) * pow(sin(radians(b.lon - a.lon) / 2), 2)))) AS km FROM v_sites a, v_sites b WHERE a.site <> b.site) SELECT site, asset, round(km, 3) AS km FROM k WHERE km <= 60 QUALIFY row_number() OVER (PARTITION BY site ORDER BY km, asset) = 1",
     "d16_financed_emissions": f", {_FIN} SELECT * FROM f",
     "e8_bank_summary": f", {_FIN} SELECT bank, round(sum(financed_t), 2) AS financed_t, round(sum(eur), 0) AS eur, round(sum(exposure), 2) AS exposure, count(*) AS n_issuers FROM f GROUP BY ROLLUP (bank)",
@@ -131,7 +132,7 @@ _BODY = {
 # Queries of the other module whose SQL builds on what is here.
 risk.finish(_BODY["e1_site_risk"])
 scenes.finish(_BODY["e1_site_risk"], risk._erfc)
-_BODY |= screening.SQL | conversions.SQL | risk.SQL | scenes.SQL | rasters.SQL | assessments.SQL
+_BODY |= screening.SQL | conversions.SQL | risk.SQL | scenes.SQL | rasters.SQL | assessments.SQL | retrievals.SQL
 _BODY["k2_k8_online_rule"] = _BODY["b13_production_rule"]
 _TIERS = "['HIGH', 'MEDIUM', 'LOW', 'UNDETECTED', 'NO_DATA']"
 _BODY["e7_portfolio_risk"] = f""", ri AS ({_BODY["e1_site_risk"].replace(", g AS (", "WITH g AS (", 1)}), j AS (SELECT ticker, ri.site AS s, eur, t_co2e, list_position({_TIERS}, coalesce(tier, 'NO_DATA')) AS r FROM v_sites LEFT JOIN ri USING (site))
