@@ -1,4 +1,4 @@
-"""Running totals over a whole table without a window that holds all of it in one task."""
+"""Running totals and ranks without a window that holds a whole table, or a whole group, in one task."""
 
 from __future__ import annotations
 
@@ -9,21 +9,53 @@ from pyspark.sql import functions as F
 BUCKETS = 64
 
 
-def running_totals(df: DataFrame, key: str, names: list[str], descending: bool = True) -> DataFrame:
-    """df with, for each named column, upto_<name>: its sum over this key and all before it in the order asked for.
+def dealt_out(df: DataFrame, key: str) -> DataFrame:
+    """df with _range: which of at most BUCKETS ranges of the key a row is in, from 0; null keys are in the first.
 
-    Keys are distinct. They are dealt into at most BUCKETS ranges, whose bounds (63 numbers) the driver reads from an
-    approximate percentile: where they lie changes the work of the tasks only. The totals of the ranges, at most
-    BUCKETS rows, are sent to every task and added to the sums within a range. Null keys count as least.
+    The bounds (63 numbers) are read by the driver from an approximate percentile: where they lie changes the work of the tasks only.
     """
     got = df.agg(F.percentile_approx(key, [i / BUCKETS for i in range(1, BUCKETS)], 1000)).first()[0] or []
     bounds = F.array(*[F.lit(float(b)) for b in sorted(set(got))]).cast("array<double>")
-    dealt = df.withColumn("_range", F.size(F.filter(bounds, lambda b: b < F.col(key))))
+    return df.withColumn("_range", F.size(F.filter(bounds, lambda b: b < F.col(key))))
+
+
+def running_totals(df: DataFrame, key: str, names: list[str], descending: bool = True, by: tuple[str, ...] = ()) -> DataFrame:
+    """df with, for each named column, upto_<name>: its sum over this key and all before it, within its group of `by`.
+
+    Keys are distinct within a group. They are dealt into at most BUCKETS ranges; the totals of the ranges, at most BUCKETS
+    rows a group, are added to the sums within a range, so a hot group is worked on by as many tasks. Null keys count as least; null
+    groups are a group.
+    """
+    dealt = dealt_out(df, key)
     order = (lambda c: F.col(c).desc()) if descending else F.col
-    earlier = W.orderBy(order("_range")).rowsBetween(W.unboundedPreceding, -1)  # at most BUCKETS rows
-    sums = dealt.groupBy("_range").agg(*[F.sum(n).alias(f"_{n}") for n in names])
-    sums = sums.select(F.col("_range").alias("_at"), *[F.coalesce(F.sum(f"_{n}").over(earlier), F.lit(0)).alias(f"_{n}") for n in names])
-    within = W.partitionBy("_range").orderBy(order(key)).rowsBetween(W.unboundedPreceding, W.currentRow)
+    earlier = W.partitionBy(*by).orderBy(order("_range")).rowsBetween(W.unboundedPreceding, -1)  # at most BUCKETS rows a group
+    sums = dealt.groupBy(*by, "_range").agg(*[F.sum(n).alias(f"_{n}") for n in names])
+    sums = sums.select(*[F.col(b).alias(f"_by{i}") for i, b in enumerate(by)], F.col("_range").alias("_at"), *[F.coalesce(F.sum(f"_{n}").over(earlier), F.lit(0)).alias(f"_{n}") for n in names])
+    within = W.partitionBy(*by, "_range").orderBy(order(key)).rowsBetween(W.unboundedPreceding, W.currentRow)
     dealt = dealt.withColumns({f"upto_{n}": F.sum(n).over(within) for n in names})
-    both = dealt.join(F.broadcast(sums), dealt._range == sums._at)
+    same = dealt["_range"] == sums["_at"]
+    for i, b in enumerate(by):
+        same = same & dealt[b].eqNullSafe(sums[f"_by{i}"])
+    both = dealt.join(sums.hint("merge") if by else F.broadcast(sums), same)
     return both.select(*df.columns, *[(F.col(f"upto_{n}") + F.col(f"_{n}")).alias(f"upto_{n}") for n in names])
+
+
+def order_statistics(df: DataFrame, value: str, places: dict[str, str], by: str) -> DataFrame:
+    """(by, n, <name>...) of each group: values at fractional places 1..n of the group's order, between two neighbours linearly.
+
+    places: name -> SQL expression of n, such as "(n + 1) * 0.25"; it is held within 1 and n. Equal values are counted first and ranked by
+    ranges, so no group meets in one task or one state. Null values are left out, and groups without others.
+    """
+    c = df.where(F.col(value).isNotNull()).groupBy(F.col(by).alias("g"), F.col(value).cast("double").alias("v")).agg(F.count(F.lit(1)).alias("c"))
+    r = running_totals(c, "v", ["c"], descending=False, by=("g",))
+    n = c.groupBy(F.col("g").alias("g2")).agg(F.sum("c").alias("n"))
+    at = F.array(*[F.struct(F.lit(k).alias("k"), F.greatest(F.lit(1.0), F.least(F.expr(e).cast("double"), F.col("n").cast("double"))).alias("at")) for k, e in places.items()])
+    want = n.select("g2", "n", F.explode(at).alias("w")).select("g2", "n", "w.k", "w.at")
+    # the value at rank j is the one whose running count first reaches j
+    near = (F.col("upto_c") >= F.floor("at")) & (F.col("upto_c") - F.col("c") < F.floor("at") + 1)
+    j = r.join(want.hint("merge"), r.g.eqNullSafe(F.col("g2"))).where(near)
+    low = F.max(F.when(F.col("upto_c") - F.col("c") < F.floor("at"), F.col("v")))
+    high = F.max("v")
+    share = F.first(F.col("at") - F.floor("at"))
+    got = j.groupBy("g2", "n", "k").agg((low + F.when(share > 0, (high - low) * share).otherwise(0.0)).alias("x"))
+    return got.groupBy("g2", "n").agg(*[F.max(F.when(F.col("k") == k, F.col("x"))).alias(k) for k in places]).withColumnRenamed("g2", by)

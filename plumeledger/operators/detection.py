@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from plumeledger.functions import scalars as S
+from plumeledger.functions.running import order_statistics
 
 CLASSES = ["CFAR_SUPPRESSED", "DETECTION", "NOT_OK", "NO_COVERAGE", "SUB_TAU"]
 
@@ -54,17 +55,33 @@ def empirical_fpr(df: DataFrame, taus: DataFrame) -> DataFrame:
     return x.groupBy("alpha").agg(F.avg((F.col("sc_cfar") > F.col("tau")).cast("double")).alias("fpr"), F.avg((F.col("sc_cfar") > 1.15).cast("double")).alias("fpr_classic"))
 
 
-def site_risk(df: DataFrame, quantified_flow: float | None = None) -> DataFrame:
-    """Detection statistics, interval, annual tonnes and liability, and tier of each site; rounding in the stated order."""
-    ok = (F.col("status") == "ok") & F.col("sc_cfar").isNotNull()
+def site_risk(df: DataFrame, quantified: DataFrame | None = None, dual: DataFrame | None = None, bad: str = "false") -> DataFrame:
+    """Detection statistics, interval, flow, annual tonnes and liability with bounds, and tier of each site; rounding in the stated order.
+
+    quantified: (site, flow) of quantified plumes, whose mean comes before the estimate from the mean score; dual: (site, score) of the
+    second sensor, by which MEDIUM becomes HIGH_DUAL_SENSOR from 0.5 on; bad: a condition on scenes that are not valid.
+    Several rows of a site in these tables are averaged. Bounds are those of the rate, less and plus 30 %. A site without
+    valid scenes has rate and bounds 0.
+    """
+    bad_scene = F.coalesce(F.expr(bad), F.lit(False))
+    ok = (F.col("status") == "ok") & F.col("sc_cfar").isNotNull() & ~bad_scene
     hit = ok & (F.col("sc_cfar") > 1.15)
-    g = df.groupBy("site").agg(F.sum(ok.cast("long")).alias("n_valid"), F.sum(hit.cast("long")).alias("n_detect"), F.round(F.avg(F.when(hit, F.col("sc_cfar"))), 3).alias("mean_sc"))
+    g = df.groupBy("site").agg(F.count_if(ok).alias("n_valid"), F.count_if(hit).alias("n_detect"), F.round(F.avg(F.when(hit, F.col("sc_cfar"))), 3).alias("mean_sc"))
+    for table, value, name in ((quantified, "flow", "_flow"), (dual, "score", "_score")):
+        if table is None:
+            g = g.withColumn(name, F.lit(None).cast("double"))
+        else:
+            t = table.groupBy(F.col("site").alias("_of")).agg(F.avg(value).alias(name))
+            g = g.join(t.hint("merge"), F.col("site").eqNullSafe(F.col("_of")), "left").drop("_of")
     lo, hi = S.wilson(F.col("n_detect"), F.col("n_valid"))
     g = g.withColumn("p", F.round(F.when(F.col("n_valid") > 0, F.col("n_detect") / F.col("n_valid")).otherwise(0.0), 4)).withColumn("p_lo", F.round(lo, 4)).withColumn("p_hi", F.round(hi, 4))
-    flow = F.greatest(F.lit(0.0), F.coalesce("mean_sc", F.lit(1.0)) - 1) * 25
-    g = g.withColumn("flow", F.floor(flow * 10 + 0.5) / 10)  # one place, half up on the scaled double
-    g = g.withColumn("t_co2e", F.round(F.col("p") * F.col("flow") * 8760 * 0.85 * 29.8 / 1000, 1)).withColumn("eur", F.round(F.col("t_co2e") * 65, 0))
-    return g.withColumn("tier", S.risk_tier(F.col("n_valid"), F.col("p")))
+    estimate = F.floor(F.greatest(F.lit(0.0), F.coalesce("mean_sc", F.lit(1.0)) - 1) * 25 * 10 + 0.5) / 10  # one place, half up on the scaled double
+    g = g.withColumn("flow", F.coalesce("_flow", estimate)).withColumn("flow_source", F.when(F.col("_flow").isNotNull(), "quantified").otherwise("estimated"))
+    tonnes = lambda p, k: F.round(F.col(p) * F.col("flow") * k * 8760 * 0.85 * 29.8 / 1000, 1)
+    g = g.withColumns({"t_co2e": tonnes("p", 1.0), "t_lo": tonnes("p_lo", 0.7), "t_hi": tonnes("p_hi", 1.3)})
+    g = g.withColumns({e: F.round(F.col(t) * 65, 0) for e, t in (("eur", "t_co2e"), ("eur_lo", "t_lo"), ("eur_hi", "t_hi"))})
+    tier = S.risk_tier(F.col("n_valid"), F.col("p"))
+    return g.withColumn("tier", F.when((tier == "MEDIUM") & (F.col("_score") >= 0.5), "HIGH_DUAL_SENSOR").otherwise(tier)).drop("_flow", "_score")
 
 
 def annualise(df: DataFrame, floor: float = 300.0) -> DataFrame:
@@ -76,9 +93,12 @@ def annualise(df: DataFrame, floor: float = 300.0) -> DataFrame:
 
 
 def describe(df: DataFrame, by: str, x: str) -> DataFrame:
-    p = lambda q: F.percentile(x, F.lit(q))
-    g = df.groupBy(by).agg(F.count(x).alias("n"), F.avg(x).alias("mean"), p(0.5).alias("median"), F.stddev_pop(x).alias("sd"), p(0.25).alias("p25"), p(0.75).alias("p75"), F.min(x).alias("lo"), F.max(x).alias("hi"))
-    return g.select(by, "n", *[F.round(c, 4).alias(c) for c in ("mean", "median", "sd", "p25", "p75", "lo", "hi")])
+    """Number, mean, deviation, range and quartiles (inclusive, linear) of each group; groups without values have n 0 and nulls. Quartiles are ranked by ranges, so a hot group is no burden to one task."""
+    g = df.groupBy(by).agg(F.count(x).alias("n"), F.avg(x).alias("mean"), F.stddev_pop(x).alias("sd"), F.min(x).alias("lo"), F.max(x).alias("hi"))
+    places = {name: f"1 + (n - 1) * {q}D" for name, q in (("p25", 0.25), ("median", 0.5), ("p75", 0.75))}
+    q = order_statistics(df, x, places, by).drop("n").withColumnRenamed(by, "_of")
+    j = g.join(q.hint("merge"), g[by].eqNullSafe(F.col("_of")), "left")
+    return j.select(by, "n", *[F.round(c, 4).alias(c) for c in ("mean", "median", "sd", "p25", "p75", "lo", "hi")])
 
 
 def loo_scene(df: DataFrame) -> DataFrame:

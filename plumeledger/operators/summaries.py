@@ -7,12 +7,12 @@ from pyspark.sql import functions as F
 
 from plumeledger.operators.detection import site_risk
 
-TIERS = ["HIGH", "MEDIUM", "LOW", "UNDETECTED", "NO_DATA"]
+TIERS = ["HIGH_DUAL_SENSOR", "HIGH", "MEDIUM", "LOW", "UNDETECTED", "NO_DATA"]
 
 
-def portfolio_risk(scores: DataFrame, sites: DataFrame) -> DataFrame:
-    """(ticker, n_sites, n_covered, eur, t_co2e, tier, coverage_pct): sums over a ticker's sites, unknown ones as 0, and its worst tier."""
-    risk = site_risk(scores).select(F.col("site").alias("_site"), "eur", "t_co2e", "tier", "n_valid")
+def portfolio_risk(scores: DataFrame, sites: DataFrame, quantified: DataFrame | None = None, dual: DataFrame | None = None) -> DataFrame:
+    """(ticker, n_sites, n_covered, eur, t_co2e, tier, coverage_pct): sums over a ticker's sites, unknown ones as 0, and its worst tier. quantified and dual as in site_risk()."""
+    risk = site_risk(scores, quantified, dual).select(F.col("site").alias("_site"), "eur", "t_co2e", "tier", "n_valid")
     j = sites.select("ticker", "site").join(risk.hint("merge"), F.col("site") == F.col("_site"), "left")
     rank = F.array_position(F.array(*map(F.lit, TIERS)), F.coalesce("tier", F.lit("NO_DATA")))
     g = j.groupBy("ticker").agg(

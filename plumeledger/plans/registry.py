@@ -9,7 +9,7 @@ from plumeledger.operators import detection as D
 from plumeledger.operators import joins as J
 from plumeledger.operators import pixels as P
 from plumeledger.operators import validation as V
-from plumeledger.plans import assessments, conversions, rasters, retrievals, risk, scenes, screening
+from plumeledger.plans import assessments, calibration, conversions, rasters, retrievals, risk, scenes, screening, soundings
 from plumeledger.sources import fixtures as X
 
 FLAGSHIP = "b13_e14_production_rule_audit"
@@ -36,6 +36,14 @@ def _winds(spark, d):
     return w.select("event_id", F.round(speed, 4).alias("speed"), F.round(direction, 3).alias("dir"), F.round(away, 3).alias("away"), S.wind_regime(speed).alias("regime"))
 
 
+def _full_risk(spark, d):
+    """Site risk with quantified flows of even sites, a second sensor, and scenes left out."""
+    x = X.scores(spark, d)
+    flows = x.where("site % 2 = 0").select("site", (F.col("cloud") * 3.0).alias("flow"))
+    second = x.groupBy("site").agg((F.max(F.col("cloud") % 3) / 3.0).alias("score"))
+    return D.site_risk(x, flows, second, "cloud % 9 = 0")
+
+
 def queries() -> dict:
     return {
         "b13_e14_production_rule_audit": lambda s, d: D.rule_audit(D.production_rule(X.scores(s, d), _tau(s, d))),
@@ -44,6 +52,7 @@ def queries() -> dict:
         "f2_mondrian_threshold": lambda s, d: D.mondrian_threshold(X.scores(s, d), "site").select("site", "n", "tau", "lo", "hi", F.round("mean", 4).alias("mean"), "small_n"),
         "f3_empirical_fpr": lambda s, d: D.empirical_fpr(X.scores(s, d), D.conformal_threshold(X.scores(s, d), ALPHAS)).select("alpha", F.round("fpr", 6).alias("fpr"), F.round("fpr_classic", 6).alias("fpr_classic")),
         "e1_site_risk": lambda s, d: D.site_risk(X.scores(s, d)),
+        "e3_e6_site_risk_full": _full_risk,
         "e9_annualise": lambda s, d: D.annualise(X.scores(s, d)),
         "e16_describe": lambda s, d: D.describe(X.scores(s, d), "site", "sc_cfar"),
         "f19_loo_scene": lambda s, d: D.loo_scene(X.scores(s, d)),
@@ -73,6 +82,8 @@ def queries() -> dict:
         **rasters.QUERIES,
         **assessments.QUERIES,
         **retrievals.QUERIES,
+        **calibration.QUERIES,
+        **soundings.QUERIES,
     }
 
 
@@ -86,18 +97,28 @@ r AS (SELECT threshold, CAST(sum(p) OVER w AS BIGINT) AS tp, CAST(sum(q) OVER w
 _FIN = """e AS (SELECT bank, ticker, sum(exposure) AS exposure FROM v_exposures GROUP BY 1, 2), i AS (SELECT ticker, sum(exposure) * 2 AS debt FROM v_exposures GROUP BY 1),
 f AS (SELECT bank, ticker, round(exposure, 2) AS exposure, round(exposure / debt, 6) AS share, round(exposure / debt * 1000.0, 2) AS financed_t, round(exposure / debt * 1000.0 * 65, 0) AS eur FROM e JOIN i USING (ticker))"""
 _WL = "(p0 + z*z/(2*n_valid) {s} z*sqrt(p0*(1-p0)/n_valid + z*z/(4*n_valid*n_valid))) / (1 + z*z/n_valid)"
+
+
+def _risk(flow: str = "NULL::DOUBLE", has_flow: str = "false", second: str = "NULL::DOUBLE", bad: str = "false") -> str:
+    """Site risk; flow and second are aggregates that stand for the tables of quantified flows and of the second sensor."""
+    ok = f"status = 'ok' AND sc_cfar IS NOT NULL AND NOT ({bad})"
+    return f""", g AS (SELECT site, count(*) FILTER ({ok}) AS n_valid, count(*) FILTER ({ok} AND sc_cfar > 1.15) AS n_detect,
+ round(avg(CASE WHEN {ok} AND sc_cfar > 1.15 THEN sc_cfar END), 3) AS mean_sc, CASE WHEN {has_flow} THEN {flow} END AS given, {second} AS second FROM v_scores GROUP BY site), h AS (SELECT *, n_detect / n_valid::DOUBLE AS p0, 1.645::DOUBLE AS z FROM g),
+ k AS (SELECT site, n_valid, n_detect, mean_sc, second, CASE WHEN n_valid > 0 THEN round(p0, 4) ELSE 0.0 END AS p, CASE WHEN n_valid = 0 THEN 0.0 ELSE round(greatest(0.0, {_WL.format(s='-')}), 4) END AS p_lo,
+ CASE WHEN n_valid = 0 THEN 0.0 ELSE round(least(1.0, {_WL.format(s='+')}), 4) END AS p_hi, coalesce(given, round(greatest(0.0, coalesce(mean_sc, 1.0) - 1) * 25, 1)) AS flow, CASE WHEN given IS NULL THEN 'estimated' ELSE 'quantified' END AS flow_source FROM h),
+ t AS (SELECT *, round(p * flow * 8760 * 0.85 * 29.8 / 1000, 1) AS t_co2e, round(p_lo * flow * 0.7 * 8760 * 0.85 * 29.8 / 1000, 1) AS t_lo, round(p_hi * flow * 1.3 * 8760 * 0.85 * 29.8 / 1000, 1) AS t_hi FROM k)
+ SELECT * EXCLUDE (second), round(t_co2e * 65, 0) AS eur, round(t_lo * 65, 0) AS eur_lo, round(t_hi * 65, 0) AS eur_hi,
+ CASE WHEN n_valid = 0 THEN 'NO_DATA' WHEN p >= 0.6 THEN 'HIGH' WHEN p >= 0.3 AND second >= 0.5 THEN 'HIGH_DUAL_SENSOR' WHEN p >= 0.3 THEN 'MEDIUM' WHEN p > 0 THEN 'LOW' ELSE 'UNDETECTED' END AS tier FROM t"""
+
+
 _BODY = {
     "b13_e14_production_rule_audit": f", {_TAU}, {_CLASS} SELECT site, " + ", ".join(f"CAST(sum(CAST(class = '{c}' AS INT)) AS BIGINT) AS {c.lower()}" for c in D.CLASSES) + ", count(*) AS total FROM cl GROUP BY site",
     "b13_production_rule": f", {_TAU}, {_CLASS} SELECT event_id, class FROM cl",
     "f1_conformal_threshold": f", {_TAU} SELECT alpha, n, tau FROM taus",
     "f2_mondrian_threshold": ", r AS (SELECT *, count(*) OVER (PARTITION BY site) AS n, row_number() OVER (PARTITION BY site ORDER BY sc_cfar) AS k FROM v_scores WHERE sc_cfar IS NOT NULL) SELECT site, max(n) AS n, max(CASE WHEN k = least(ceil((n + 1) * (1 - 0.1::DOUBLE)), n) THEN sc_cfar END) AS tau, min(sc_cfar) AS lo, max(sc_cfar) AS hi, round(avg(sc_cfar), 4) AS mean, max(n) < 5 AS small_n FROM r GROUP BY site",
     "f3_empirical_fpr": f", {_TAU} SELECT alpha, round(avg(CAST(sc_cfar > tau AS INT)), 6) AS fpr, round(avg(CAST(sc_cfar > 1.15 AS INT)), 6) AS fpr_classic FROM v_scores, taus WHERE sc_cfar IS NOT NULL GROUP BY alpha",
-    "e1_site_risk": f""", g AS (SELECT site, CAST(sum(CAST(status = 'ok' AND sc_cfar IS NOT NULL AS INT)) AS BIGINT) AS n_valid, CAST(sum(CAST(status = 'ok' AND sc_cfar > 1.15 AS INT)) AS BIGINT) AS n_detect,
- round(avg(CASE WHEN status = 'ok' AND sc_cfar > 1.15 THEN sc_cfar END), 3) AS mean_sc FROM v_scores GROUP BY site), h AS (SELECT *, n_detect / n_valid::DOUBLE AS p0, 1.645::DOUBLE AS z FROM g),
- k AS (SELECT site, n_valid, n_detect, mean_sc, CASE WHEN n_valid > 0 THEN round(p0, 4) ELSE 0.0 END AS p, CASE WHEN n_valid = 0 THEN 0.0 ELSE round(greatest(0.0, {_WL.format(s='-')}), 4) END AS p_lo,
- CASE WHEN n_valid = 0 THEN 0.0 ELSE round(least(1.0, {_WL.format(s='+')}), 4) END AS p_hi, round(greatest(0.0, coalesce(mean_sc, 1.0) - 1) * 25, 1) AS flow FROM h),
- t AS (SELECT *, round(p * flow * 8760 * 0.85 * 29.8 / 1000, 1) AS t_co2e FROM k)
- SELECT *, round(t_co2e * 65, 0) AS eur, CASE WHEN n_valid = 0 THEN 'NO_DATA' WHEN p >= 0.6 THEN 'HIGH' WHEN p >= 0.3 THEN 'MEDIUM' WHEN p > 0 THEN 'LOW' ELSE 'UNDETECTED' END AS tier FROM t""",
+    "e1_site_risk": _risk(),
+    "e3_e6_site_risk_full": _risk("avg(cloud) * 3", "site % 2 = 0", "max(cloud % 3) / 3.0", "cloud % 9 = 0"),
     "e9_annualise": ", m AS (SELECT site, acq_date, max(CASE WHEN status = 'ok' AND cfar_detect THEN sc_cfar * 100 END) AS q FROM v_scores GROUP BY 1, 2) SELECT site, count(*) AS n_obs, count(q) AS n_det, round(avg(q), 4) AS mean_q, round(quantile_cont(q, 0.5), 4) AS median_q, round(avg(coalesce(q, 300.0)), 4) AS imputed_q, round(avg(coalesce(q, 0.0)), 4) AS lower_q FROM m GROUP BY site",
     "e16_describe": " SELECT site, count(sc_cfar) AS n, round(avg(sc_cfar), 4) AS mean, round(quantile_cont(sc_cfar, 0.5), 4) AS median, round(stddev_pop(sc_cfar), 4) AS sd, round(quantile_cont(sc_cfar, 0.25), 4) AS p25, round(quantile_cont(sc_cfar, 0.75), 4) AS p75, round(min(sc_cfar), 4) AS lo, round(max(sc_cfar), 4) AS hi FROM v_scores GROUP BY site",
     "f19_loo_scene": ", x AS (SELECT *, count(*) OVER w AS n, sum(CAST(cfar_detect AS INT)) OVER w AS k, sum(CASE WHEN cfar_detect THEN sc_cfar END) OVER w AS s FROM v_scores WINDOW w AS (PARTITION BY site)) SELECT event_id, site, round((k - 1) / (n - 1)::DOUBLE, 6) AS rate, round((s - sc_cfar) / (k - 1), 4) AS mean FROM x WHERE cfar_detect AND k > 1",
@@ -132,9 +153,9 @@ _BODY = {
 # Queries of the other module whose SQL builds on what is here.
 risk.finish(_BODY["e1_site_risk"])
 scenes.finish(_BODY["e1_site_risk"], risk._erfc)
-_BODY |= screening.SQL | conversions.SQL | risk.SQL | scenes.SQL | rasters.SQL | assessments.SQL | retrievals.SQL
+_BODY |= screening.SQL | conversions.SQL | risk.SQL | scenes.SQL | rasters.SQL | assessments.SQL | retrievals.SQL | calibration.SQL | soundings.SQL
 _BODY["k2_k8_online_rule"] = _BODY["b13_production_rule"]
-_TIERS = "['HIGH', 'MEDIUM', 'LOW', 'UNDETECTED', 'NO_DATA']"
+_TIERS = "['HIGH_DUAL_SENSOR', 'HIGH', 'MEDIUM', 'LOW', 'UNDETECTED', 'NO_DATA']"
 _BODY["e7_portfolio_risk"] = f""", ri AS ({_BODY["e1_site_risk"].replace(", g AS (", "WITH g AS (", 1)}), j AS (SELECT ticker, ri.site AS s, eur, t_co2e, list_position({_TIERS}, coalesce(tier, 'NO_DATA')) AS r FROM v_sites LEFT JOIN ri USING (site))
  SELECT ticker, count(*) AS n_sites, count(s) AS n_covered, round(sum(coalesce(eur, 0)), 0) AS eur, round(sum(coalesce(t_co2e, 0)), 1) AS t_co2e, {_TIERS}[CAST(min(r) AS INT)] AS tier, round(100 * count(s) / count(*)::DOUBLE, 2) AS coverage_pct FROM j GROUP BY ticker"""
 
