@@ -14,7 +14,7 @@ def _soundings(s, d):
     """Order lines as soundings over the sites' region."""
     l = s.read.parquet(f"{d}/lineitem.parquet").select("l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice", "l_suppkey")
     x = F.col("l_extendedprice").cast("double") % 100
-    return l.select((F.col("l_orderkey") % ORBITS).cast("int").alias("orbit"), (45 + (F.col("l_partkey") * 13 % 1000) / 100.0).alias("lat"), (-5 + ((F.col("l_orderkey") * 29 + F.col("l_linenumber") * 531) % 2500) / 100.0).alias("lon"), F.when(F.col("l_suppkey") % 7 > 0, 1850 + x).alias("xch4"), ((F.col("l_partkey") + F.col("l_linenumber")) % 11 / 10.0).alias("qa"))
+    return l.select((F.col("l_orderkey") % ORBITS).cast("int").alias("orbit"), (45 + (F.col("l_partkey") * 13 % 1000) / 100.0).alias("lat"), (-5 + ((F.col("l_orderkey") * 29 + F.col("l_linenumber") * 531) % 2500) / 100.0).alias("lon"), F.when(F.col("l_suppkey") % 7 > 0, 1850 + x * 0.97137).alias("xch4"), ((F.col("l_partkey") + F.col("l_linenumber")) % 11 / 10.0).alias("qa"))
 
 
 def _orbits(s, d):
@@ -43,7 +43,7 @@ QUERIES = {
 }
 
 _NEAR = f""", so AS (SELECT CAST(l_orderkey % {ORBITS} AS INTEGER) AS orbit, 45 + (l_partkey * 13 % 1000) / 100.0 AS lat, -5 + ((l_orderkey * 29 + l_linenumber * 531) % 2500) / 100.0 AS lon,
- CASE WHEN l_suppkey % 7 > 0 THEN 1850 + CAST(l_extendedprice AS DOUBLE) % 100 END AS xch4, (l_partkey + l_linenumber) % 11 / 10.0 AS qa FROM lineitem),
+ CASE WHEN l_suppkey % 7 > 0 THEN 1850 + CAST(l_extendedprice AS DOUBLE) % 100 * 0.97137 END AS xch4, (l_partkey + l_linenumber) % 11 / 10.0 AS qa FROM lineitem),
 pr AS (SELECT site, CAST(unnest(range({ORBITS})) AS INTEGER) AS orbit FROM v_sites),
 nr AS (SELECT orbit, site, round(so.lat - s.lat, 9) AS dlat, round(so.lon - s.lon, 9) AS dlon, xch4, qa FROM so JOIN v_sites s ON abs(so.lat - s.lat) < 1.01 AND abs(so.lon - s.lon) < 1.01 WHERE abs(round(so.lat - s.lat, 9)) <= 1 AND abs(round(so.lon - s.lon, 9)) <= 1)"""
 _RING = f"""{_NEAR}, v AS (SELECT *, sqrt(dlat * dlat + dlon * dlon) AS d FROM nr WHERE qa >= 0.5 AND xch4 IS NOT NULL),
