@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumeledger.functions import scalars as S
@@ -13,18 +13,26 @@ from plumeledger.functions import scalars as S
 def pairs_within(points: DataFrame, assets: DataFrame, max_km: float, same: bool = False) -> DataFrame:
     """(site, asset, km): all assets within max_km of each point. same: both are one table, and a row does not meet its own id.
 
-    Cells of latitude rows and longitude columns are joined by equality: an asset goes to its own cell, a point to that and
-    all around it; columns close up at 180 degrees. A cell is max_km high; columns are as wide as max_km is at the highest
-    latitude of the data, which is read first. So only neighbours meet, however many rows there are. Rows without a place meet
-    nothing. Two places on either side of a pole, both within max_km of it, may be missed.
+    Cells of latitude rows and longitude columns are joined by equality: an asset goes to its own cell, a point to those around
+    it in its own row and the two beside. A row is max_km high and has as many columns as max_km fits into a circle of
+    latitude there; a row from which the pole is within max_km is one cell all around. Columns close up at 180 degrees. So
+    only neighbours meet, however many rows there are and wherever they lie. Rows without a place meet nothing.
     """
-    dlat = max_km / 111.19
-    top = points.select("lat").unionAll(assets.select("lat")).agg(F.max(F.abs("lat"))).first()[0] or 0.0
-    columns = max(1, int(360.0 / (dlat / max(math.cos(math.radians(min(89.0, top + dlat))), 1e-6) * 1.01)))
-    row = F.floor(F.col("lat") / dlat).cast("int")
-    column = F.pmod(F.floor((F.col("lon") + 180) / (360.0 / columns)), F.lit(columns)).cast("int")
-    a = assets.where("lat is not null and lon is not null").select(F.col("site").alias("asset"), F.col("lat").alias("alat"), F.col("lon").alias("alon"), row.alias("r"), column.alias("c"))
-    around = F.array_distinct(F.array(*[F.struct((row + i).alias("r"), F.pmod(column + j, F.lit(columns)).alias("c")) for i in (-1, 0, 1) for j in (-1, 0, 1)]))
+    reach = max_km / 6371.0  # radians
+    height = math.degrees(reach) * 1.001
+
+    def columns(row: Column) -> Column:
+        """Columns of a row, from how far in longitude max_km reaches at its side next to the pole."""
+        side = F.radians(F.least(F.lit(90.0), F.greatest(F.abs(row * height), F.abs((row + 1) * height))))
+        wide = F.degrees(F.asin(F.least(F.lit(1.0), math.sin(min(reach, math.pi / 2)) / F.greatest(F.cos(side), F.lit(1e-12)))))
+        return F.when(side + reach >= math.pi / 2, 1).otherwise(F.greatest(F.lit(1), F.floor(360.0 / (wide * 1.001)))).cast("int")
+
+    def column(row: Column) -> Column:
+        return F.floor(F.pmod(F.col("lon") + 180, F.lit(360.0)) / (360.0 / columns(row))).cast("int")
+
+    row = F.floor(F.col("lat") / height).cast("int")
+    a = assets.where("lat is not null and lon is not null").select(F.col("site").alias("asset"), F.col("lat").alias("alat"), F.col("lon").alias("alon"), row.alias("r"), column(row).alias("c"))
+    around = F.array_distinct(F.array(*[F.struct((row + i).alias("r"), F.pmod(column(row + i) + j, columns(row + i)).alias("c")) for i in (-1, 0, 1) for j in (-1, 0, 1)]))
     p = points.where("lat is not null and lon is not null").select("site", "lat", "lon", F.explode(around).alias("x")).select("site", "lat", "lon", "x.r", "x.c")
     j = p.join(a.hint("merge"), ["r", "c"])
     j = j.where("asset <> site") if same else j

@@ -23,16 +23,51 @@ def threshold_sweep(px: DataFrame, ts: tuple[float, ...] = (0.18, 0.3, 0.5)) ->
     return g.select("scene", "n", rows.alias("x")).select("scene", "x.t", "x.above", F.round(100 * F.col("x.above") / F.col("n"), 4).alias("pct"))
 
 
-def site_contrast(px: DataFrame, lo: int = 3, hi: int = 4) -> DataFrame:
-    """Mean of the centre crop against the four control crops N, S, E, W of its scene; one grouped pass."""
-    mid = lambda c: F.col(c).between(lo, hi)
-    where = {"n": (F.col("row") < 2) & mid("col"), "s": (F.col("row") > 5) & mid("col"), "e": mid("row") & (F.col("col") > 5), "w": mid("row") & (F.col("col") < 2)}
-    g = px.groupBy("scene").agg(F.avg(F.when(mid("row") & mid("col"), F.col("prob"))).alias("site_mean"), *[F.avg(F.when(c, F.col("prob"))).alias(d) for d, c in where.items()])
-    all_ = F.array("n", "s", "e", "w")
-    mean = F.aggregate(all_, F.lit(0.0), lambda a, x: a + x) / 4
-    g = g.withColumn("mu", mean).withColumn("cv", F.sqrt(F.aggregate(all_, F.lit(0.0), lambda a, x: a + (x - F.col("mu")) * (x - F.col("mu"))) / 4) / F.col("mu"))
-    g = g.withColumn("sc_ratio", F.col("site_mean") / F.coalesce("n", "s", "e", "w")).withColumn("sc_cfar", F.col("site_mean") / F.col("mu")).withColumn("thresh", 1.15 + 3 * F.col("cv"))
-    return g.select("scene", *[F.round(c, 4).alias(c) for c in ("site_mean", "sc_ratio", "sc_cfar", "cv", "thresh")], (F.col("sc_cfar") > F.col("thresh")).alias("detect"))
+DIRECTIONS = ("n", "s", "e", "w")
+
+
+def site_contrast(px: DataFrame, sites: DataFrame, crop: int = 100, offsets: dict[str, tuple[int, int]] | None = None, edge: str = "drop", least: int = 20) -> DataFrame:
+    """Mean of the crop around each site (scene, site, row, col) against those of control crops around it.
+
+    Columns: scene, site, site_mean, n_controls, direction, sc_ratio, sc_cfar, cv, thresh, margin, detect, error. offsets: rows and columns from
+    the site to each control, by default two crops to each side. A crop is crop x crop pixels with the site's pixel as the
+    first of its second half. One that is not wholly on the scene is dropped; edge="clamp" cuts it to the scene, if `least` pixels each way are left.
+    sc_ratio is against the first direction of n, s, e, w that has a crop, sc_cfar against the mean of all; both are infinite where
+    that is 0. cv is the population deviation of the controls over their mean, 0 for one. error: site_oob or all_directions_oob.
+    A pixel meets only the crops whose cells, crop pixels wide, it lies in. Null prob is left out of means.
+    """
+    offsets = offsets or {"n": (-2 * crop, 0), "s": (2 * crop, 0), "e": (0, 2 * crop), "w": (0, -2 * crop)}
+    size = px.groupBy(F.col("scene").alias("_scene")).agg((F.max("row") + 1).alias("h"), (F.max("col") + 1).alias("w"))
+    s = sites.select("scene", "site", "row", "col").distinct()
+    s = s.join(size.hint("merge"), F.col("scene") == F.col("_scene"), "left").drop("_scene")
+    windows = F.array(*[F.struct(F.lit(d).alias("d"), F.lit(i).alias("rank"), (F.col("row") + o[0] - crop // 2).alias("r0"), (F.col("col") + o[1] - crop // 2).alias("c0")) for i, (d, o) in enumerate([("site", (0, 0)), *((d, offsets[d]) for d in DIRECTIONS if d in offsets)])])
+    v = s.select("scene", "site", "h", "w", F.explode(windows).alias("x")).select("scene", "site", "h", "w", "x.*")
+    v = v.withColumns({"r1": F.col("r0") + crop, "c1": F.col("c0") + crop})
+    if edge == "clamp":
+        v = v.withColumns({"r0": F.greatest("r0", F.lit(0)), "c0": F.greatest("c0", F.lit(0)), "r1": F.least("r1", "h"), "c1": F.least("c1", "w")})
+        v = v.where((F.col("r1") - F.col("r0") >= least) & (F.col("c1") - F.col("c0") >= least))
+    else:
+        v = v.where("r0 >= 0 and c0 >= 0 and r1 <= h and c1 <= w")
+    cells = F.explode(F.flatten(F.transform(F.sequence(F.floor(F.col("r0") / crop), F.floor((F.col("r1") - 1) / crop)), lambda r: F.transform(F.sequence(F.floor(F.col("c0") / crop), F.floor((F.col("c1") - 1) / crop)), lambda c: F.struct(r.alias("cr"), c.alias("cc"))))))
+    v = v.select(F.col("scene").alias("_scene"), "site", "d", "rank", "r0", "r1", "c0", "c1", cells.alias("cell")).select("*", "cell.cr", "cell.cc").drop("cell")
+    p = px.select("scene", "row", "col", "prob", F.floor(F.col("row") / crop).alias("pr"), F.floor(F.col("col") / crop).alias("pc"))
+    inside = (F.col("row") >= F.col("r0")) & (F.col("row") < F.col("r1")) & (F.col("col") >= F.col("c0")) & (F.col("col") < F.col("c1"))
+    j = p.join(v.hint("merge"), (F.col("scene") == F.col("_scene")) & (F.col("pr") == F.col("cr")) & (F.col("pc") == F.col("cc")) & inside)
+    m = j.groupBy("scene", "site", "d", "rank").agg(F.avg("prob").alias("m")).where("m is not null")
+    control = F.col("d") != "site"
+    g = m.groupBy(F.col("scene").alias("_scene"), F.col("site").alias("_site")).agg(
+        F.max(F.when(~control, F.col("m"))).alias("site_mean"), F.count_if(control).alias("n_controls"), F.min_by(F.when(control, F.col("d")), F.when(control, F.col("rank"))).alias("direction"),
+        F.min_by(F.when(control, F.col("m")), F.when(control, F.col("rank"))).alias("first"), F.avg(F.when(control, F.col("m"))).alias("mu"), F.stddev_pop(F.when(control, F.col("m"))).alias("sd"),
+    )
+    g = s.select("scene", "site").join(g.hint("merge"), (F.col("scene") == F.col("_scene")) & (F.col("site") == F.col("_site")), "left")
+    over = lambda c: F.when(F.col(c) > 1e-9, F.col("site_mean") / F.col(c)).otherwise(F.lit(float("inf")))
+    error = F.when(F.col("site_mean").isNull(), "site_oob").when(F.col("n_controls") == 0, "all_directions_oob")
+    g = g.withColumn("error", error)
+    ok = F.col("error").isNull()
+    g = g.withColumns({"sc_ratio": F.when(ok, over("first")), "sc_cfar": F.when(ok, over("mu")), "cv": F.when(ok, F.when(F.col("mu") > 1e-9, F.col("sd") / F.col("mu")).otherwise(0.0))})
+    g = g.withColumn("thresh", 1.15 + 3 * F.col("cv"))
+    shown = {c: F.round(c, 4) for c in ("site_mean", "sc_ratio", "sc_cfar", "cv", "thresh")}
+    return g.select("scene", "site", shown["site_mean"].alias("site_mean"), F.coalesce("n_controls", F.lit(0)).cast("long").alias("n_controls"), F.when(ok, F.col("direction")).alias("direction"), *[shown[c].alias(c) for c in ("sc_ratio", "sc_cfar", "cv", "thresh")], F.round(F.col("sc_cfar") - F.col("thresh"), 4).alias("margin"), (F.col("sc_cfar") > F.col("thresh")).alias("detect"), "error")
 
 
 def downsample(px: DataFrame) -> DataFrame:

@@ -73,8 +73,12 @@ def repair_coverage(df: DataFrame, fields: list[str], least: float = 0.5) -> Dat
 
 
 def mask_select(df: DataFrame, registry: DataFrame) -> DataFrame:
-    """df (site, has_bitemporal) with mask_source: none where the registry (site, policy) skips, bitemporal where it wants and has it, else original."""
-    r = registry.select(F.col("site").alias("_site"), "policy")
+    """df (site, has_bitemporal) with mask_source: none where the registry (site, policy) skips, bitemporal where it wants and has it, else original.
+
+    A site that the registry names several times counts once: skip comes before bitemporal, and that before others.
+    """
+    strength = F.when(F.col("policy") == "skip", 2).when(F.col("policy") == "bitemporal", 1).otherwise(0)
+    r = registry.groupBy(F.col("site").alias("_site")).agg(F.max_by("policy", strength).alias("policy"))
     j = df.join(r.hint("shuffle_hash"), F.col("site") == F.col("_site"), "left")
     source = F.when(F.col("policy") == "skip", "none").when((F.col("policy") == "bitemporal") & F.col("has_bitemporal"), "bitemporal").otherwise("original")
     missing = (F.col("policy") == "bitemporal") & ~F.col("has_bitemporal")

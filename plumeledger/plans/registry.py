@@ -9,7 +9,7 @@ from plumeledger.operators import detection as D
 from plumeledger.operators import joins as J
 from plumeledger.operators import pixels as P
 from plumeledger.operators import validation as V
-from plumeledger.plans import assessments, calibration, conversions, rasters, retrievals, risk, scenes, screening, soundings
+from plumeledger.plans import assessments, calibration, conversions, matching, rasters, retrievals, risk, scenes, screening, soundings
 from plumeledger.sources import fixtures as X
 
 FLAGSHIP = "b13_e14_production_rule_audit"
@@ -44,6 +44,19 @@ def _full_risk(spark, d):
     return D.site_risk(x, flows, second, "cloud % 9 = 0")
 
 
+_NEAR = {"n": (-3, 0), "s": (3, 0), "e": (0, 3), "w": (0, -3)}
+
+
+def _centres(spark, d):
+    return X.pixels(spark, d).select("scene", F.lit(0).alias("site"), F.lit(4).alias("row"), F.lit(4).alias("col")).distinct()
+
+
+def _corners(spark, d):
+    """Two sites a scene, some off the scene and most with controls off it."""
+    s = X.pixels(spark, d).select("scene").distinct()
+    return s.select("scene", F.explode(F.array(F.lit(1), F.lit(2))).alias("site")).select("scene", "site", (F.col("scene") * F.col("site") % 10).cast("int").alias("row"), (F.col("scene") * 3 % 8).cast("int").alias("col"))
+
+
 def queries() -> dict:
     return {
         "b13_e14_production_rule_audit": lambda s, d: D.rule_audit(D.production_rule(X.scores(s, d), _tau(s, d))),
@@ -67,7 +80,8 @@ def queries() -> dict:
         "f9_average_precision": lambda s, d: V.average_precision(X.pairs(s, d)),
         "f13_calibration_bins": lambda s, d: V.calibration_bins(X.pairs(s, d)),
         "f15_concordance": lambda s, d: V.concordance(X.pairs(s, d)),
-        "c4_site_contrast": lambda s, d: P.site_contrast(X.pixels(s, d)),
+        "c4_site_contrast": lambda s, d: P.site_contrast(X.pixels(s, d), _centres(s, d), 2, _NEAR).select("scene", "site_mean", "sc_ratio", "sc_cfar", "cv", "thresh", "detect"),
+        "c4_contrast_at_edges": lambda s, d: P.site_contrast(X.pixels(s, d), _corners(s, d), 2, _NEAR),
         "c8_threshold_sweep": lambda s, d: P.threshold_sweep(X.pixels(s, d)),
         "c10_scene_detect": lambda s, d: P.scene_detect(X.pixels(s, d), 0.18, 15),
         "c13_downsample": lambda s, d: P.downsample(X.pixels(s, d)).select("scene", "row", "col", F.round("prob", 5).alias("prob")),
@@ -84,6 +98,7 @@ def queries() -> dict:
         **retrievals.QUERIES,
         **calibration.QUERIES,
         **soundings.QUERIES,
+        **matching.QUERIES,
     }
 
 
@@ -137,6 +152,14 @@ _BODY = {
  avg(prob) FILTER ("row" BETWEEN 3 AND 4 AND col > 5) AS e, avg(prob) FILTER ("row" BETWEEN 3 AND 4 AND col < 2) AS w FROM v_pixels GROUP BY scene), h AS (SELECT *, (n + s + e + w) / 4 AS mu FROM g),
  k AS (SELECT *, sqrt(((n-mu)*(n-mu) + (s-mu)*(s-mu) + (e-mu)*(e-mu) + (w-mu)*(w-mu)) / 4) / mu AS cv FROM h)
  SELECT scene, round(site_mean, 4) AS site_mean, round(site_mean / n, 4) AS sc_ratio, round(site_mean / mu, 4) AS sc_cfar, round(cv, 4) AS cv, round(1.15 + 3 * cv, 4) AS thresh, site_mean / mu > 1.15 + 3 * cv AS detect FROM k""",
+    "c4_contrast_at_edges": """, st AS (SELECT scene, site, scene * site % 10 AS r, scene * 3 % 8 AS c FROM (SELECT DISTINCT scene FROM v_pixels), (SELECT unnest([1, 2]) AS site)),
+ o AS (SELECT * FROM (VALUES ('site', 0, 0, 0), ('n', 1, -3, 0), ('s', 2, 3, 0), ('e', 3, 0, 3), ('w', 4, 0, -3)) t(d, k, dr, dc)),
+ wi AS (SELECT scene, site, d, k, r + dr - 1 AS r0, c + dc - 1 AS c0 FROM st, o WHERE r + dr - 1 BETWEEN 0 AND 6 AND c + dc - 1 BETWEEN 0 AND 6),
+ m AS (SELECT scene, site, d, k, avg(prob) AS m FROM wi JOIN v_pixels USING (scene) WHERE "row" BETWEEN r0 AND r0 + 1 AND col BETWEEN c0 AND c0 + 1 GROUP BY ALL),
+ g AS (SELECT scene, site, max(m) FILTER (d = 'site') AS sm, count(*) FILTER (d <> 'site') AS n, first(d ORDER BY k) FILTER (d <> 'site') AS direction, first(m ORDER BY k) FILTER (d <> 'site') AS f, avg(m) FILTER (d <> 'site') AS mu, stddev_pop(m) FILTER (d <> 'site') AS sd FROM m GROUP BY ALL),
+ e AS (SELECT st.scene, st.site, sm, coalesce(n, 0) AS n, direction, sm / f AS ratio, sm / mu AS cfar, sd / mu AS cv, CASE WHEN sm IS NULL THEN 'site_oob' WHEN n = 0 THEN 'all_directions_oob' END AS error FROM st LEFT JOIN g ON g.scene = st.scene AND g.site = st.site)
+ SELECT CAST(scene AS BIGINT) AS scene, site, round(sm, 4) AS site_mean, n AS n_controls, CASE WHEN error IS NULL THEN direction END AS direction, CASE WHEN error IS NULL THEN round(ratio, 4) END AS sc_ratio, CASE WHEN error IS NULL THEN round(cfar, 4) END AS sc_cfar, CASE WHEN error IS NULL THEN round(cv, 4) END AS cv,
+ CASE WHEN error IS NULL THEN round(1.15 + 3 * cv, 4) END AS thresh, CASE WHEN error IS NULL THEN round(cfar - (1.15 + 3 * cv), 4) END AS margin, CASE WHEN error IS NULL THEN cfar > 1.15 + 3 * cv END AS detect, error FROM e""",
     "c8_threshold_sweep": " SELECT scene, t, CAST(sum(CAST(prob >= t AS INT)) AS BIGINT) AS above, round(100 * sum(CAST(prob >= t AS INT)) / count(*), 4) AS pct FROM v_pixels, (SELECT unnest([0.18::DOUBLE, 0.3::DOUBLE, 0.5::DOUBLE]) AS t) GROUP BY scene, t",
     "c10_scene_detect": ' SELECT scene, CAST(sum(CAST(prob >= 0.18 AS INT)) AS BIGINT) AS n_px, sum(CAST(prob >= 0.18 AS INT)) >= 15 AS has_plume, round(coalesce(max(prob) FILTER (prob >= 0.18), 0.0), 4) AS top, round(avg("row") FILTER (prob >= 0.18), 4) AS r, round(avg(col) FILTER (prob >= 0.18), 4) AS c FROM v_pixels GROUP BY scene',
     "c13_downsample": ' SELECT scene, CAST("row" // 2 AS INTEGER) AS "row", CAST(col // 2 AS INTEGER) AS col, round(prob, 5) AS prob FROM v_pixels WHERE "row" % 2 = 0 AND col % 2 = 0',
@@ -153,7 +176,7 @@ _BODY = {
 # Queries of the other module whose SQL builds on what is here.
 risk.finish(_BODY["e1_site_risk"])
 scenes.finish(_BODY["e1_site_risk"], risk._erfc)
-_BODY |= screening.SQL | conversions.SQL | risk.SQL | scenes.SQL | rasters.SQL | assessments.SQL | retrievals.SQL | calibration.SQL | soundings.SQL
+_BODY |= screening.SQL | conversions.SQL | risk.SQL | scenes.SQL | rasters.SQL | assessments.SQL | retrievals.SQL | calibration.SQL | soundings.SQL | matching.SQL
 _BODY["k2_k8_online_rule"] = _BODY["b13_production_rule"]
 _TIERS = "['HIGH_DUAL_SENSOR', 'HIGH', 'MEDIUM', 'LOW', 'UNDETECTED', 'NO_DATA']"
 _BODY["e7_portfolio_risk"] = f""", ri AS ({_BODY["e1_site_risk"].replace(", g AS (", "WITH g AS (", 1)}), j AS (SELECT ticker, ri.site AS s, eur, t_co2e, list_position({_TIERS}, coalesce(tier, 'NO_DATA')) AS r FROM v_sites LEFT JOIN ri USING (site))
