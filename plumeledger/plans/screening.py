@@ -8,6 +8,7 @@ from plumeledger.operators import screening as C
 from plumeledger.operators import summaries as M
 from plumeledger.operators import validation as V
 from plumeledger.sources import fixtures as X
+from plumeledger.sources.scratch import scratch_dir
 from plumeledger.streaming import monitor as T
 
 ALPHAS = [0.05, 0.1, 0.2]
@@ -61,6 +62,16 @@ def _labelled(s, d):
     return t.select(F.col("toxic").cast("int").alias("label"), F.when(F.col("doc_id") % 5 == 0, "val").otherwise("train").alias("split"))
 
 
+def _versioned(s, d):
+    """The rule by two versions of tau, which the test writes as a table."""
+    e = T.event_stream(s, f"{d}/events.parquet")
+    folder = scratch_dir(s, "tau-versions")
+    v = X.scores(s, d).select(F.explode(F.array(*[F.struct(F.lit(t).cast("timestamp").alias("since"), F.lit(x).alias("tau")) for t, x in (("2024-01-05", 2.0), ("2024-01-20", 3.0))])).alias("v")).select("v.*").distinct()
+    v.write.parquet(folder)
+    scores = X.score_columns(e.select("event_id", "user_id", "ts", "value", "event_type", "props"))
+    return T.versioned_rule(scores.withColumn("ts", F.col("acq_date").cast("timestamp")), folder)
+
+
 QUERIES = {
     "b15_exclude_reason": lambda s, d: _reasons(s, d).select("event_id", "reason"),
     "b14_calibration_exclusion": lambda s, d: _reasons(s, d).select("event_id", "kept_out"),
@@ -87,8 +98,13 @@ QUERIES = {
     "f22_flow_outliers": lambda s, d: M.flow_outliers(X.scores(s, d)),
     "k2_k8_online_rule": T.online_rule,
     "k5_running_status": T.running_status,
+    "k5_tier_changes": lambda s, d: T.tier_changes(X.score_columns(T.event_stream(s, f"{d}/events.parquet"))),
+    "k8_versioned_rule": _versioned,
 }
 
+_STATUS = ", st AS (SELECT site, CAST(sum(CAST(status = 'ok' AND sc_cfar IS NOT NULL AS INT)) AS BIGINT) AS n_valid, CAST(sum(CAST(status = 'ok' AND sc_cfar > 1.15 AS INT)) AS BIGINT) AS n_detect, max(acq_date) AS last_day FROM v_scores GROUP BY site), sp AS (SELECT *, CASE WHEN n_valid > 0 THEN round(n_detect / n_valid::DOUBLE, 4) ELSE 0 END AS p FROM st)"
+_TIER = "CASE WHEN n_valid = 0 THEN 'NO_DATA' WHEN p >= 0.6 THEN 'HIGH' WHEN p >= 0.3 THEN 'MEDIUM' WHEN p > 0 THEN 'LOW' ELSE 'UNDETECTED' END"
+
 SQL = {
     "b15_exclude_reason": f"{_REASONS} SELECT event_id, reason FROM rs",
     "b14_calibration_exclusion": f"{_REASONS} SELECT event_id, kept_out FROM rs",
@@ -117,5 +133,7 @@ SQL = {
     "f20_loo_month": """, m AS (SELECT site, CAST(date_trunc('month', acq_date) AS DATE) AS month, max(sc_cfar) FILTER (cfar_detect) AS q FROM v_scores GROUP BY 1, 2), g AS (SELECT *, count(*) OVER w AS n, count(q) OVER w AS k, sum(q) OVER w AS s FROM m WINDOW w AS (PARTITION BY site))
  SELECT site, month, round((k - CAST(q IS NOT NULL AS INT)) / nullif(n - 1, 0)::DOUBLE, 6) AS rate, round((coalesce(s, 0) - coalesce(q, 0)) / nullif(k - CAST(q IS NOT NULL AS INT), 0), 4) AS mean FROM g""",
     "f22_flow_outliers": ", g AS (SELECT *, quantile_cont(sc_cfar, 0.5) OVER (PARTITION BY site) AS mid FROM v_scores) SELECT event_id, site, sc_cfar FROM g WHERE sc_cfar > 2.5 * mid",
-    "k5_running_status": " SELECT site, CAST(sum(CAST(status = 'ok' AND sc_cfar IS NOT NULL AS INT)) AS BIGINT) AS n_valid, CAST(sum(CAST(status = 'ok' AND sc_cfar > 1.15 AS INT)) AS BIGINT) AS n_detect, max(acq_date) AS last_day FROM v_scores GROUP BY site",
+    "k5_running_status": f"{_STATUS} SELECT site, n_valid, n_detect, last_day, p, {_TIER} AS tier FROM sp",
+    "k5_tier_changes": f"{_STATUS} SELECT site, n_valid, n_detect, p, {_TIER} AS tier, NULL AS before FROM sp",
+    "k8_versioned_rule": """, x AS (SELECT *, CASE WHEN acq_date >= DATE '2024-01-20' THEN 3.0 WHEN acq_date >= DATE '2024-01-05' THEN 2.0 END::DOUBLE AS tau FROM v_scores) SELECT event_id, tau, CASE WHEN status <> 'ok' THEN 'NOT_OK' WHEN sc_cfar IS NULL THEN 'NO_COVERAGE' WHEN tau IS NULL THEN 'UNCALIBRATED' WHEN sc_cfar <= tau THEN 'SUB_TAU' WHEN cfar_detect THEN 'DETECTION' ELSE 'CFAR_SUPPRESSED' END AS class FROM x""",
 }

@@ -12,30 +12,31 @@ from pyspark.sql import functions as F
 
 from plumeledger.sources import stores
 from plumeledger.sources.scratch import scratch_dir
+from plumeledger.streaming.monitor import snapshots
 
 
-def log_stream(stream: DataFrame, name: str) -> DataFrame:
-    """Append a stream to a JSON-lines log, exactly once by its checkpoint, and read the log by the stream's schema."""
-    spark = stream.sparkSession
-    out, state = scratch_dir(spark, name), scratch_dir(spark, f"{name}-state")
-    stream.writeStream.format("json").option("path", out).option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
-    return spark.read.schema(stream.schema).json(out)
+def log_stream(stream: DataFrame, name: str, at: str | None = None) -> DataFrame:
+    """Append a stream to a JSON-lines log, exactly once by its checkpoint, and read the log by the stream's schema; `at` as in monitor."""
+    spark, root = stream.sparkSession, at or scratch_dir(stream.sparkSession, name)
+    query = stream.writeStream.format("json").option("path", f"{root}/out").option("checkpointLocation", f"{root}/state")
+    query.trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(stream.schema).json(f"{root}/out")
 
 
-def final(aggregate: DataFrame, name: str) -> DataFrame:
-    """The whole result of a streaming aggregate after its last batch.
+def final(aggregate: DataFrame, name: str, at: str | None = None) -> DataFrame:
+    """The whole result of a streaming aggregate after its last batch; `at` as in monitor.
 
-    Each batch writes a folder of its own, so a batch that runs again writes the same folder. Without batches: empty.
+    Each batch writes a folder of its own, so a batch that runs again writes the same folder; the last whole one is found in
+    the folder. Without batches: empty.
     """
-    spark = aggregate.sparkSession
-    out, last = scratch_dir(spark, name), []
+    spark, root = aggregate.sparkSession, at or scratch_dir(aggregate.sparkSession, name)
 
     def put(batch: DataFrame, n: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{out}/{n}")
-        last.append(n)
+        batch.write.mode("overwrite").parquet(f"{root}/out/{n}")
 
-    aggregate.writeStream.outputMode("complete").foreachBatch(put).option("checkpointLocation", scratch_dir(spark, f"{name}-state")).trigger(availableNow=True).start().awaitTermination()
-    return spark.read.schema(aggregate.schema).parquet(f"{out}/{last[-1]}") if last else spark.createDataFrame([], aggregate.schema)
+    aggregate.writeStream.outputMode("complete").foreachBatch(put).option("checkpointLocation", f"{root}/state").trigger(availableNow=True).start().awaitTermination()
+    done = snapshots(spark, f"{root}/out")
+    return spark.read.schema(aggregate.schema).parquet(f"{root}/out/{done[-1]}") if done else spark.createDataFrame([], aggregate.schema)
 
 
 def tumbling_counts(events: DataFrame, by: str, delay: str | None = None, size: str = "1 day", slide: str | None = None) -> DataFrame:
@@ -77,26 +78,46 @@ def near_in_time(left: DataFrame, right: DataFrame, key: str, minutes: int, dela
     return a.join(b, on & F.col("right_ts").between(F.col("left_ts") - span, F.col("left_ts") + span)).select("left_id", "right_id")
 
 
-def upsert_stream(stream: DataFrame, name: str, keys: list[str], order: str, prepare: Callable[[DataFrame], DataFrame] = lambda df: df) -> DataFrame:
-    """Snapshot of the row of each key that is last by order, whatever batch it came in; prepare is applied before the write.
+#: Parts of a snapshot; a batch rewrites those only that its keys are in.
+PARTS = 64
 
-    A batch writes the next snapshot from the one before, so a batch that runs again writes the same one. A late
-    correction with a smaller order changes nothing.
+
+def _newest(spark, out: str, before: int | None = None) -> dict[int, str]:
+    """The folder of the newest whole version of each part of a snapshot, of batches before one."""
+    fs_path = spark._jvm.org.apache.hadoop.fs.Path
+    found: dict[int, str] = {}
+    for n in snapshots(spark, out):
+        if before is None or n < before:
+            path = fs_path(f"{out}/{n}")
+            for f in path.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(path):
+                name = f.getPath().getName()
+                if name.startswith("_part="):
+                    found[int(name.removeprefix("_part="))] = f"{out}/{n}/{name}"
+    return found
+
+
+def upsert_stream(stream: DataFrame, name: str, keys: list[str], order: str, prepare: Callable[[DataFrame], DataFrame] = lambda df: df, at: str | None = None) -> DataFrame:
+    """Snapshot of the row of each key that is last by order, whatever batch it came in; prepare is applied before the write. `at` as in monitor.
+
+    Keys are dealt into PARTS parts. A batch writes anew the parts it has keys of, from their newest versions before it, so a
+    batch that runs again writes the same; other parts stay as they are. A late correction with a smaller order changes nothing.
     """
-    spark = stream.sparkSession
-    out, done = scratch_dir(spark, name), {}
+    spark, root = stream.sparkSession, at or scratch_dir(stream.sparkSession, name)
+    out = f"{root}/out"
     schema = prepare(spark.createDataFrame([], stream.schema)).schema
+    part = F.pmod(F.xxhash64(*keys), F.lit(PARTS)).cast("int")
 
     def put(batch: DataFrame, n: int) -> None:
         new = prepare(batch)
-        before = [k for k in done if k < n]
-        if before:
-            new = new.unionByName(spark.read.schema(schema).parquet(f"{out}/{max(before)}"))
-        stores.latest(new, keys, order).write.mode("overwrite").parquet(f"{out}/{n}")
-        done[n] = True
-
-    stream.writeStream.foreachBatch(put).option("checkpointLocation", scratch_dir(spark, f"{name}-state")).trigger(availableNow=True).start().awaitTermination()
-    return spark.read.schema(schema).parquet(f"{out}/{max(done)}") if done else spark.createDataFrame([], schema)
+        touched = {r["p"] for r in new.select(part.alias("p")).distinct().collect()}  # PARTS numbers at most
+        old = [folder for p, folder in _newest(spark, out, n).items() if p in touched]
+        if old:
+            new = new.unionByName(spark.read.schema(schema).parquet(*old))
+        stores.latest(new, keys, order).withColumn("_part", part).write.mode("overwrite").partitionBy("_part").parquet(f"{out}/{n}")
+
+    stream.writeStream.foreachBatch(put).option("checkpointLocation", f"{root}/state").trigger(availableNow=True).start().awaitTermination()
+    found = list(_newest(spark, out).values())
+    return spark.read.schema(schema).parquet(*found) if found else spark.createDataFrame([], schema)
 
 
 def flagged_before_write(flow: Column, degraded: Column) -> Callable[[DataFrame], DataFrame]:

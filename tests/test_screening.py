@@ -77,7 +77,7 @@ def test_flat_scene_has_no_mass(spark):
     from plumeledger.operators.pixels import band_retrieval
 
     px = spark.createDataFrame([(1, i // 10, i % 10, 0.2, 0.2, 0.9 if i < 12 else 0.0) for i in range(100)], "scene int, row int, col int, b11 double, b12 double, prob double")
-    assert [r.mass_kg for r in band_retrieval(px).collect()] == [0.0]
+    assert [r.mass_kg for r in band_retrieval(px, least_background=8).collect()] == [0.0]
 
 
 def test_draws_depend_on_their_keys_alone(spark):
