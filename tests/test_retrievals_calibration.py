@@ -201,3 +201,20 @@ def test_orbits_are_tried_in_order(spark):
     obs = spark.createDataFrame([(1, 1, day), (2, 2, day), (3, 1, dt.date(2024, 6, 1)), (4, 1, None), (5, 1, dt.date(2024, 1, 19))], "id int, site int, date date")
     got = {r.id: (r.orbit, r.n_tried, r.error) for r in S.orbit_colocation(obs, orbits, sound, sites).collect()}
     assert got == {1: (2, 2, None), 2: (3, 3, "few_background"), 3: (None, 0, "no_orbit"), 4: (None, 0, "no_orbit"), 5: (5, 1, "swath_miss")}
+
+
+def test_bootstrap_of_rank_statistics(spark):
+    rng = random.Random(8)
+    pairs = [(1, rng.randrange(6) / 2) for _ in range(12)] + [(0, rng.randrange(5) / 2) for _ in range(15)]
+    df = spark.createDataFrame([*pairs, (None, 1.0), (1, None), (2, 9.0)], "y int, score double")
+    got = {r.metric: r for r in C.stratified_bootstrap(df, 60).collect()}
+    pos, neg = [s for y, s in pairs if y == 1], [s for y, s in pairs if y == 0]
+    point = sum((p > q) + (p == q) / 2 for p in pos for q in neg) / len(pos) / len(neg)
+    assert got["auroc"].point == round(point, 6) and (got["auroc"].n_draws, got["auroc"].n_pos, got["auroc"].n_neg) == (60, 12, 15)
+    order = sorted(pairs, key=lambda r: (-r[1], -r[0]))
+    hits = [sum(y for y, _ in order[: i + 1]) / (i + 1) for i in range(len(order)) if order[i][0]]
+    assert got["ap"].point == round(statistics.fmean(hits), 6)
+    for r in got.values():
+        assert r.p025 <= r.p05 <= r.p25 <= r.p50 <= r.p75 <= r.p95 <= r.p975 and abs(r.mean - r.point) < 0.1 and r.sd > 0
+    one = {r.metric: (r.n_draws, r.point, r.mean) for r in C.stratified_bootstrap(df.where("y = 1"), 60).collect()}
+    assert one == {"auroc": (0, None, None), "ap": (0, None, None)}
