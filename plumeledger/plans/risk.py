@@ -51,7 +51,7 @@ def _sites(s, d):
 
 
 def _draws(s, d, scenario="orderly"):
-    return R.site_cost_draws(paths(s, d).where("path % 8 = 1"), _sites(s, d), scenario, YEARS)
+    return R.site_cost_draws(paths(s, d), _sites(s, d), scenario, YEARS)
 
 
 def _stress(s, d):
@@ -62,7 +62,7 @@ def _stress(s, d):
 
 
 def _records(s, d):
-    x = X.scores(s, d).where("event_id % 50 = 0")
+    x = X.scores(s, d)
     return x.select(F.col("event_id").alias("record"), (F.col("cloud") % 40).alias("wind"), F.lit(15).alias("coeff"), F.when(F.col("cloud") % 3 > 0, F.col("cloud") % 20).alias("mask"), (F.col("cv") * 10).alias("background"))
 
 
@@ -194,7 +194,7 @@ SQL = {
     "j7_tau_sensitivity": f""", u AS (SELECT {_u('o_orderkey', '11')} AS a, {_u('o_orderkey', '12')} AS b, {_u('o_orderkey', '13')} AS c FROM orders), t AS (SELECT least(greatest(3.3406::DOUBLE + 0.7056::DOUBLE * {_z('a')}, 1.15), 6.0) AS tau, exp({_MU!r}::DOUBLE + 0.35::DOUBLE * {_z('b')}) * pow(c, {1 / R.PASS_A!r}::DOUBLE) AS price FROM u),
  r AS (SELECT *, least(greatest(0.252::DOUBLE * CASE WHEN tau > 3.5796 THEN 1 - {_SLOPE!r}::DOUBLE * (tau - 3.5796::DOUBLE) ELSE 1 END, 0.10), 1.0) AS rate FROM t), b AS (SELECT *, 476.0::DOUBLE * 8760 / 1e3 * rate * price / 1e6 AS b FROM r)
  SELECT round(avg(tau), 4) AS tau_mean, round(avg(rate), 3) AS rate_mean, round(avg(b * 28), 3) AS gwp100_mean, round(avg(b * 83), 3) AS gwp20_mean, round(quantile_cont(b * 28, 0.99), 3) AS gwp100_var99, round(quantile_cont(b * 83, 0.99), 3) AS gwp20_var99 FROM b""",
-    "j8_combined_uncertainty": f""", r AS (SELECT event_id AS record, (cloud % 40) / 100.0::DOUBLE AS s0, 0.15::DOUBLE AS s1, coalesce(CASE WHEN cloud % 3 > 0 THEN cloud % 20 END, 0) / 100.0::DOUBLE AS s2, cv * 10 / 100 AS s3 FROM v_scores WHERE event_id % 50 = 0), i AS (SELECT *, unnest(range(200)) AS i FROM r),
+    "j8_combined_uncertainty": f""", r AS (SELECT event_id AS record, (cloud % 40) / 100.0::DOUBLE AS s0, 0.15::DOUBLE AS s1, coalesce(CASE WHEN cloud % 3 > 0 THEN cloud % 20 END, 0) / 100.0::DOUBLE AS s2, cv * 10 / 100 AS s3 FROM v_scores), i AS (SELECT *, unnest(range(200)) AS i FROM r),
  u AS (SELECT *, {", ".join(f"{_u('record', 'i', str(k))} AS u{k}" for k in range(4))} FROM i), f AS (SELECT *, {" * ".join(f"greatest(0.01, 1 + s{k} * {_z(f'u{k}')})" for k in range(4))} AS f FROM u)
  SELECT record, round(avg(f), 4) AS mean, round(stddev_samp(f), 4) AS sd, round(quantile_cont(f, 0.05), 4) AS p5, round(quantile_cont(f, 0.95), 4) AS p95, round(100 * stddev_samp(f) / avg(f), 1) AS mc_pct, round(100 * sqrt(s0*s0 + s1*s1 + s2*s2 + s3*s3), 1) AS quad_pct FROM f GROUP BY record, s0, s1, s2, s3""",
     "j9_variance_shares": f""", g AS (SELECT site, stddev_samp(sc_cfar) / sqrt(count(*)) / avg(sc_cfar) AS x FROM v_scores GROUP BY 1), s AS (SELECT site, 'sampling' AS source, x AS sigma FROM g UNION ALL SELECT site, 'wind', 0.10 FROM g UNION ALL SELECT site, 'mask', {0.15 / math.sqrt(3)!r} FROM g UNION ALL SELECT site, 'price', 0.35 FROM g)
@@ -214,7 +214,7 @@ def finish(site_risk_sql: str) -> None:
     draws = f""", ri AS ({site_risk_sql.replace(", g AS (", "WITH g AS (", 1)}),
  bm AS (SELECT site, p, flow, greatest(p_hi - p_lo, 0.01) / (2 * 1.96::DOUBLE) AS sd FROM ri), bk AS (SELECT *, p * (1 - p) / greatest(sd * sd, 1e-6) - 1 AS k FROM bm),
  bs AS (SELECT site, CASE WHEN p >= 1 THEN 10 WHEN p > 0 THEN greatest(p * k, 0.5) END AS a, CASE WHEN p >= 1 THEN 1 WHEN p > 0 THEN greatest((1 - p) * k, 0.5) END AS b, CASE WHEN flow > 0 THEN ln(flow) - 0.5::DOUBLE * 0.3 * 0.3 END AS mu FROM bk),
- {_price_steps('orderly', YEARS, 'WHERE o_orderkey % 8 = 1')}, dr AS (SELECT bs.*, path, {_u('path', 'site', '1')} AS u1, {_u('path', 'site', '2')} AS u2 FROM bs, y0), {_AB},
+ {_price_steps("orderly", YEARS, "")}, dr AS (SELECT bs.*, path, {_u('path', 'site', '1')} AS u1, {_u('path', 'site', '2')} AS u2 FROM bs, y0), {_AB},
  a6 AS (SELECT site, path, coalesce(CASE WHEN b = 1 THEN pow(u1, 1 / a) ELSE aa / (aa + bb * exp(2 * w)) END, 0) * coalesce(exp(mu + 0.3::DOUBLE * {_z('u2')}), 0) * 8760 * 0.85::DOUBLE / 1000 * 29.8::DOUBLE AS t FROM a5 WHERE a IS NOT NULL),
  co AS (SELECT site, path, CAST(year AS INTEGER) AS year, t * price * {_MULT} AS cost FROM a6 JOIN pp USING (path) UNION ALL SELECT site, path, CAST(year AS INTEGER), 0.0 FROM bs, pp WHERE a IS NULL)"""
     term = f"""{draws}, tp AS (SELECT site, path, sum(CASE WHEN year = {2023 + YEARS} THEN cost END) AS t, sum(cost / pow(1.05::DOUBLE, year - 2023)) AS npv FROM co GROUP BY 1, 2),

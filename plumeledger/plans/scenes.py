@@ -78,7 +78,7 @@ def _inventory(s, d):
 
 
 def _months(s, d):
-    x = X.scores(s, d).where("event_id % 40 = 0")
+    x = X.scores(s, d)
     return N.month_join(x, _inventory(s, d)).select("event_id", F.size("values").cast("long").alias("n"), F.round(F.try_element_at("values", F.lit(1)), 2).alias("least"))
 
 
@@ -162,7 +162,7 @@ SQL = {
  sc_cfar > 3.5796 AS above_t10, sc_cfar > 2.4901 AS above_t20, sc_cfar > 4.1052 AS above_rule FROM x""",
     "g4_search_cascade": f", l AS (SELECT event_id, site, {_CAS} AS level FROM (SELECT *, abs(acq_date - DATE '2024-01-15') AS away FROM v_scores)) SELECT event_id, site, CAST(level AS INTEGER) AS level FROM l WHERE level IS NOT NULL QUALIFY level = min(level) OVER (PARTITION BY site)",
     "g7_event_query": " SELECT event_id, site, acq_date FROM v_scores WHERE sc_cfar >= 2 AND acq_date BETWEEN DATE '2024-01-05' AND DATE '2024-01-25' AND site IN (SELECT site FROM v_sites WHERE site % 2 = 0) ORDER BY acq_date DESC, event_id LIMIT 200",
-    "d3_month_join": ", i AS (SELECT o_custkey % 10 AS site, 2024 AS y, month(o_orderdate) % 3 + 1 AS m, count(*) AS n, min(o_totalprice) AS v FROM orders GROUP BY 1, 2, 3) SELECT event_id, coalesce(n, 0) AS n, round(v, 2) AS least FROM v_scores s LEFT JOIN i ON i.site = s.site AND i.y = year(acq_date) AND i.m = month(acq_date) WHERE event_id % 40 = 0",
+    "d3_month_join": ", i AS (SELECT o_custkey % 10 AS site, 2024 AS y, month(o_orderdate) % 3 + 1 AS m, count(*) AS n, min(o_totalprice) AS v FROM orders GROUP BY 1, 2, 3) SELECT event_id, coalesce(n, 0) AS n, round(v, 2) AS least FROM v_scores s LEFT JOIN i ON i.site = s.site AND i.y = year(acq_date) AND i.m = month(acq_date)",
     "d5_wind_asof": f"""{_OBS}, o AS (SELECT id, date_trunc('hour', "at" + INTERVAL 30 MINUTE) AS h, lat, lon FROM ob WHERE event_type <> 'view'), w AS (SELECT date_trunc('hour', "at") AS h, lat, lon, u, v FROM ob WHERE event_type = 'view'),
  g AS (SELECT id, avg(u) AS u, avg(v) AS v FROM o LEFT JOIN w ON o.h = w.h AND abs(o.lat - w.lat) <= 0.25 AND abs(o.lon - w.lon) <= 0.25 GROUP BY id) SELECT id, round(coalesce(sqrt(u * u + v * v), 3.5), 4) AS speed, round(((270 - degrees(atan2(v, u))) % 360 + 360) % 360, 3) AS direction, CASE WHEN u IS NULL THEN 'fallback' ELSE 'era5' END AS source FROM g""",
     "d6_wind_window": f"""{_OBS}, j AS (SELECT o.id, w.u, w.v, ((270 - degrees(atan2(w.v, w.u))) % 360 + 360) % 360 AS d FROM ob o JOIN ob w ON o.site = w.site AND o.event_type = 'error' AND w.event_type = 'view' AND abs(epoch(date_trunc('second', w.at)) - epoch(date_trunc('second', o.at))) <= 3600)
