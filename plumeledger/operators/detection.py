@@ -32,6 +32,7 @@ def conformal_threshold(df: DataFrame, alphas: list[float], score: str = "sc_cfa
 
 
 def mondrian_threshold(df: DataFrame, by: str, alpha: float = 0.1, score: str = "sc_cfar") -> DataFrame:
+    """Threshold of each group by its own order statistic, with number, range and mean; small_n marks groups of fewer than five. Null scores are left out; null groups are a group."""
     w = W.partitionBy(by)
     r = df.where(F.col(score).isNotNull()).withColumn("n", F.count("*").over(w)).withColumn("r", F.row_number().over(w.orderBy(score)))
     hit = F.col("r") == F.least(F.ceil((F.col("n") + 1) * (1 - alpha)), F.col("n"))
@@ -46,11 +47,13 @@ def production_rule(df: DataFrame, tau: DataFrame) -> DataFrame:
 
 
 def rule_audit(classified: DataFrame) -> DataFrame:
+    """Rows of each class by site, and all of them; null sites are a site."""
     g = classified.groupBy("site").agg(*[F.sum((F.col("class") == c).cast("long")).alias(c.lower()) for c in CLASSES], F.count("*").alias("total"))
     return g
 
 
 def empirical_fpr(df: DataFrame, taus: DataFrame) -> DataFrame:
+    """Share of scores above each threshold (alpha, tau), and above 1.15; null scores are left out, without scores there are no rows."""
     x = df.where("sc_cfar is not null").crossJoin(F.broadcast(taus.select("alpha", "tau")))  # a row an alpha
     return x.groupBy("alpha").agg(F.avg((F.col("sc_cfar") > F.col("tau")).cast("double")).alias("fpr"), F.avg((F.col("sc_cfar") > 1.15).cast("double")).alias("fpr_classic"))
 
@@ -118,4 +121,5 @@ def best_scene(df: DataFrame, n: int = 1, ceiling: int | None = None) -> DataFra
 
 
 def best_overpass(df: DataFrame) -> DataFrame:
+    """The greatest score of each site and day and its event; of equal scores the greatest event_id. A day without scores has nulls."""
     return df.groupBy("site", "acq_date").agg(F.max("sc_cfar").alias("best"), F.max_by("event_id", F.struct("sc_cfar", "event_id")).alias("event_id"))

@@ -11,6 +11,7 @@ KG_PER_COLUMN = 1e-9 * 2.1e25 * 0.016 / 6.022e23 * 400
 
 
 def scene_detect(px: DataFrame, t: float = 0.18, least: int = 115) -> DataFrame:
+    """Pixels at or above t of each scene, their mean place and greatest value, and whether they are `least` or more. A scene without any has 0 pixels, value 0 and no place."""
     hit = F.col("prob") >= t
     g = px.groupBy("scene").agg(F.sum(hit.cast("long")).alias("n_px"), F.max(F.when(hit, F.col("prob"))).alias("top"), F.avg(F.when(hit, F.col("row"))).alias("r"), F.avg(F.when(hit, F.col("col"))).alias("c"))
     return g.select("scene", "n_px", (F.col("n_px") >= least).alias("has_plume"), F.round(F.coalesce("top", F.lit(0.0)), 4).alias("top"), F.round("r", 4).alias("r"), F.round("c", 4).alias("c"))
@@ -71,6 +72,7 @@ def site_contrast(px: DataFrame, sites: DataFrame, crop: int = 100, offsets: dic
 
 
 def downsample(px: DataFrame) -> DataFrame:
+    """Every second pixel of every second row."""
     return px.where("row % 2 = 0 and col % 2 = 0").withColumns({"row": F.floor(F.col("row") / 2).cast("int"), "col": F.floor(F.col("col") / 2).cast("int")})
 
 

@@ -30,10 +30,12 @@ def loose_date(text: Column) -> Column:
 
 
 def acquisition_key(name: Column) -> Column:
+    """Date of the acquisition and the first 60 characters of the name; the characters alone where there is no date."""
     return F.concat_ws("/", F.date_format(acquisition_date(name), "yyyy-MM-dd"), F.substring(name, 1, 60))
 
 
 def orbit_start(name: Column) -> Column:
+    """Start of an orbit from its product name; null where there is none."""
     return F.try_to_timestamp(F.nullif(F.regexp_extract(name, r"_(\d{8}T\d{6})", 1), F.lit("")), F.lit("yyyyMMdd'T'HHmmss"))
 
 
@@ -50,10 +52,12 @@ def catalogue_search(products: DataFrame, start: str, end: str, ceiling: float |
 
 
 def is_bad_scene(site_mean: Column) -> Column:
+    """Whether a scene's mean is that of a degenerate model output; null is not."""
     return F.coalesce(F.abs(site_mean - BAD_MEAN) < BAD_WIDTH, F.lit(False))
 
 
 def uniform_field(site_mean: Column, control_mean: Column) -> Column:
+    """Whether the site's mean is above 0 and within 1e-4 of the control's; unknown means are not."""
     return F.coalesce((site_mean > 0) & (F.abs(site_mean - control_mean) < 1e-4), F.lit(False))
 
 
@@ -93,11 +97,13 @@ def bitemporal_verdict(before: Column, after: Column, emitter: Column, t: float
 
 
 def dual_sensor(site_mean: Column, detected: Column, enhancement: Column, t: float = 5.0) -> Column:
+    """What both sensors say of a scene; a null enhancement is no detection of the second."""
     other = F.coalesce(enhancement >= t, F.lit(False))
     return F.when(is_bad_scene(site_mean), "bad_scene").when(detected & other, "dual").when(detected, "s2_only").when(other, "tropomi_only").otherwise("none")
 
 
 def flags_at(score: Column, taus: dict[str, float]) -> dict[str, Column]:
+    """A flag for each named threshold; a null score is above none."""
     return {f"above_{k}": F.coalesce(score > v, F.lit(False)) for k, v in taus.items()}
 
 

@@ -81,6 +81,7 @@ def auc_interval(df: DataFrame, y: str = "y", score: str = "score", z: float = 1
 
 
 def calibration_bins(df: DataFrame, n: int = 5) -> DataFrame:
+    """Mean predicted and observed rate in equal bins of the predicted one; bins without rows are absent."""
     p = S.logistic(F.col("score"), 0.5, 1.15)
     b = df.select(F.least(F.floor(p * n), F.lit(n - 1)).cast("int").alias("bin"), p.alias("p"), "y")
     g = b.groupBy("bin").agg(F.count("*").alias("n"), F.avg("p").alias("predicted"), F.avg("y").alias("observed"))
@@ -88,6 +89,7 @@ def calibration_bins(df: DataFrame, n: int = 5) -> DataFrame:
 
 
 def concordance(df: DataFrame) -> DataFrame:
+    """Agreement and chance-corrected agreement of two 0/1 labels."""
     a = df.agg(F.avg((F.col("y") == F.col("y2")).cast("double")).alias("po"), F.avg("y").alias("a"), F.avg("y2").alias("b"))
     pe = F.col("a") * F.col("b") + (1 - F.col("a")) * (1 - F.col("b"))
     return a.select(F.round("po", 6).alias("agreement"), F.round(F.when(F.abs(1 - pe) < 1e-12, 1.0).otherwise((F.col("po") - pe) / (1 - pe)), 6).alias("kappa"))
