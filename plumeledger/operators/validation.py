@@ -81,13 +81,22 @@ def auc_interval(df: DataFrame, y: str = "y", score: str = "score", z: float = 1
 
 
 def calibration_bins(df: DataFrame, n: int = 5) -> DataFrame:
-    """Mean predicted and observed rate in equal bins of the predicted one; bins without rows are absent."""
+    """Mean predicted and observed rate in n equal bins of the predicted one; a bin without rows predicts its middle and observes 0. Null scores are left out."""
     p = S.logistic(F.col("score"), 0.5, 1.15)
-    b = df.select(F.least(F.floor(p * n), F.lit(n - 1)).cast("int").alias("bin"), p.alias("p"), "y")
+    b = df.where("score is not null").select(F.least(F.floor(p * n), F.lit(n - 1)).cast("int").alias("bin"), p.alias("p"), "y")
     g = b.groupBy("bin").agg(F.count("*").alias("n"), F.avg("p").alias("predicted"), F.avg("y").alias("observed"))
+    bins = df.sparkSession.range(n).select(F.col("id").cast("int").alias("bin"))
+    g = bins.join(g.hint("shuffle_hash"), "bin", "left").withColumns({"n": F.coalesce("n", F.lit(0)).cast("long"), "predicted": F.coalesce("predicted", (F.col("bin") + 0.5) / n), "observed": F.coalesce("observed", F.lit(0.0))})
     return g.select("bin", "n", F.round("predicted", 6).alias("predicted"), F.round("observed", 6).alias("observed"))
 
 
+def calibration_errors(df: DataFrame, n: int = 5) -> DataFrame:
+    """One row: n, brier (mean squared distance of prediction and label) and ece (mean distance of a bin's rates, weighted by its rows); null figures without rows."""
+    brier = df.where("score is not null").agg(F.avg(F.pow(S.logistic(F.col("score"), 0.5, 1.15) - F.col("y"), F.lit(2))).alias("brier"))
+    g = calibration_bins(df, n).agg(F.sum("n").alias("n"), F.try_divide(F.sum(F.col("n") * F.abs(F.col("predicted") - F.col("observed"))), F.sum("n")).alias("ece"))
+    return g.crossJoin(F.broadcast(brier)).select("n", F.round("brier", 5).alias("brier"), F.round("ece", 5).alias("ece"))  # a row each
+
+
 def concordance(df: DataFrame) -> DataFrame:
     """Agreement and chance-corrected agreement of two 0/1 labels."""
     a = df.agg(F.avg((F.col("y") == F.col("y2")).cast("double")).alias("po"), F.avg("y").alias("a"), F.avg("y2").alias("b"))

@@ -79,6 +79,7 @@ def queries() -> dict:
         "f8_auroc": lambda s, d: V.auroc(X.pairs(s, d)),
         "f9_average_precision": lambda s, d: V.average_precision(X.pairs(s, d)),
         "f13_calibration_bins": lambda s, d: V.calibration_bins(X.pairs(s, d)),
+        "f13_calibration_errors": lambda s, d: V.calibration_errors(X.pairs(s, d)),
         "f15_concordance": lambda s, d: V.concordance(X.pairs(s, d)),
         "c4_site_contrast": lambda s, d: P.site_contrast(X.pixels(s, d), _centres(s, d), 2, _NEAR).select("scene", "site_mean", "sc_ratio", "sc_cfar", "cv", "thresh", "detect"),
         "c4_contrast_at_edges": lambda s, d: P.site_contrast(X.pixels(s, d), _corners(s, d), 2, _NEAR),
@@ -111,6 +112,8 @@ _ROC = """c AS (SELECT score AS threshold, sum(CAST(y = 1 AS INT)) AS p, sum(CAS
 r AS (SELECT threshold, CAST(sum(p) OVER w AS BIGINT) AS tp, CAST(sum(q) OVER w AS BIGINT) AS fp, CAST(sum(p) OVER () AS BIGINT) AS n1, CAST(sum(q) OVER () AS BIGINT) AS n0 FROM c WINDOW w AS (ORDER BY threshold DESC))"""
 _FIN = """e AS (SELECT bank, ticker, sum(exposure) AS exposure FROM v_exposures GROUP BY 1, 2), i AS (SELECT ticker, sum(exposure) * 2 AS debt FROM v_exposures GROUP BY 1),
 f AS (SELECT bank, ticker, round(exposure, 2) AS exposure, round(exposure / debt, 6) AS share, round(exposure / debt * 1000.0, 2) AS financed_t, round(exposure / debt * 1000.0 * 65, 0) AS eur FROM e JOIN i USING (ticker))"""
+_BINS = """, b AS (SELECT 1 / (1 + exp(-0.5 * (score - 1.15))) AS p, y FROM v_pairs), g AS (SELECT CAST(least(floor(p * 5), 4) AS INTEGER) AS bin, count(*) AS n, avg(p) AS predicted, avg(y) AS observed FROM b GROUP BY 1),
+bi AS (SELECT CAST(k AS INTEGER) AS bin, coalesce(n, 0) AS n, round(coalesce(predicted, (k + 0.5) / 5::DOUBLE), 6) AS predicted, round(coalesce(observed, 0), 6) AS observed FROM range(5) t(k) LEFT JOIN g ON g.bin = k)"""
 _WL = "(p0 + z*z/(2*n_valid) {s} z*sqrt(p0*(1-p0)/n_valid + z*z/(4*n_valid*n_valid))) / (1 + z*z/n_valid)"
 
 
@@ -146,7 +149,8 @@ _BODY = {
     "f7_auc": f", {_ROC}, s AS (SELECT tp / n1::DOUBLE AS t, fp / n0::DOUBLE AS f, threshold FROM r), l AS (SELECT t, f, coalesce(lag(t) OVER (ORDER BY threshold DESC), 0) AS t0, coalesce(lag(f) OVER (ORDER BY threshold DESC), 0) AS f0 FROM s) SELECT round(sum((f - f0) * (t + t0) / 2), 6) AS auc FROM l",
     "f8_auroc": " SELECT round(sum(CASE WHEN a.score > b.score THEN 1.0::DOUBLE WHEN a.score = b.score THEN 0.5::DOUBLE ELSE 0 END) / count(*), 6) AS auroc FROM v_pairs a, v_pairs b WHERE a.y = 1 AND b.y = 0",
     "f9_average_precision": ", r AS (SELECT y, sum(y) OVER w AS tp, count(*) OVER w AS k FROM v_pairs WINDOW w AS (ORDER BY score DESC, y DESC, doc_id ROWS UNBOUNDED PRECEDING)) SELECT round(sum(CASE WHEN y = 1 THEN tp / k::DOUBLE END) / sum(y), 6) AS ap FROM r",
-    "f13_calibration_bins": ", b AS (SELECT 1 / (1 + exp(-0.5 * (score - 1.15))) AS p, y FROM v_pairs) SELECT CAST(least(floor(p * 5), 4) AS INTEGER) AS bin, count(*) AS n, round(avg(p), 6) AS predicted, round(avg(y), 6) AS observed FROM b GROUP BY 1",
+    "f13_calibration_bins": f"{_BINS} SELECT bin, n, predicted, observed FROM bi",
+    "f13_calibration_errors": f"{_BINS} SELECT CAST(sum(n) AS BIGINT) AS n, round((SELECT avg((p - y) * (p - y)) FROM b), 5) AS brier, round(sum(n * abs(predicted - observed)) / sum(n), 5) AS ece FROM bi",
     "f15_concordance": ", a AS (SELECT avg(CAST(y = y2 AS INT)) AS po, avg(y) AS a, avg(y2) AS b FROM v_pairs), k AS (SELECT po, a * b + (1 - a) * (1 - b) AS pe FROM a) SELECT round(po, 6) AS agreement, round(CASE WHEN abs(1 - pe) < 1e-12 THEN 1.0 ELSE (po - pe) / (1 - pe) END, 6) AS kappa FROM k",
     "c4_site_contrast": """, g AS (SELECT scene, avg(prob) FILTER ("row" BETWEEN 3 AND 4 AND col BETWEEN 3 AND 4) AS site_mean, avg(prob) FILTER ("row" < 2 AND col BETWEEN 3 AND 4) AS n, avg(prob) FILTER ("row" > 5 AND col BETWEEN 3 AND 4) AS s,
  avg(prob) FILTER ("row" BETWEEN 3 AND 4 AND col > 5) AS e, avg(prob) FILTER ("row" BETWEEN 3 AND 4 AND col < 2) AS w FROM v_pixels GROUP BY scene), h AS (SELECT *, (n + s + e + w) / 4 AS mu FROM g),

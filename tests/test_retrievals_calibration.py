@@ -218,3 +218,14 @@ def test_bootstrap_of_rank_statistics(spark):
         assert r.p025 <= r.p05 <= r.p25 <= r.p50 <= r.p75 <= r.p95 <= r.p975 and abs(r.mean - r.point) < 0.1 and r.sd > 0
     one = {r.metric: (r.n_draws, r.point, r.mean) for r in C.stratified_bootstrap(df.where("y = 1"), 60).collect()}
     assert one == {"auroc": (0, None, None), "ap": (0, None, None)}
+
+
+def test_calibration_bins_without_rows(spark):
+    from plumeledger.operators import validation as V
+
+    df = spark.createDataFrame([(1, 20.0), (0, 20.0), (1, None)], "y int, score double")
+    got = sorted(map(tuple, V.calibration_bins(df).collect()))
+    assert [(b, n, p) for b, n, p, _ in got[:4]] == [(0, 0, 0.1), (1, 0, 0.3), (2, 0, 0.5), (3, 0, 0.7)] and got[4][1:2] + got[4][3:] == (2, 0.5)
+    one = V.calibration_errors(df).first()
+    assert one.n == 2 and one.ece == pytest.approx(0.4999, abs=1e-3) and one.brier == pytest.approx(0.5, abs=1e-3)
+    assert tuple(V.calibration_errors(df.limit(0)).first()) == (0, None, None)
