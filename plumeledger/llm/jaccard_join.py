@@ -9,7 +9,7 @@ search would hold each document against all of similar size. So points are first
 their groups. (A node of the tree has 64 coordinates; what it lets through is bounded once more by the minima over 256
 coordinates or more, so little but links is left to verify.) Sets of a and b shingles that are similar enough differ in at most r = (a + b) * (1 - t) / (1 + t) shingles;
 cut into r + 1 groups by hash they agree in one group at least. Documents that agree in a group of their size band meet
-in a bucket. Of a bucket, every set is verified against the least one first; only sets that this leaves in
+in a bucket. Of a bucket, every set is held against the least one first, by their points and then by themselves; only sets that this leaves in
 different components are searched against each other, in a tree over the bucket, large buckets in pairs of blocks: first for as few pairs as join them, then for all.
 """
 
@@ -246,7 +246,38 @@ def _tree_pairs(rows: DataFrame, num: int, den: int, best: bool) -> DataFrame:
     return r.groupBy("key", "i", "j").applyInArrow(run, "a long, b long").distinct()
 
 
+def overlap_bounds(left: list[bytes], right: list[bytes]) -> np.ndarray:
+    """For each pair of points, folded to the smaller of the two, the sum of its coordinate minima: no two such sets share more."""
+    out = np.zeros(len(left), np.int64)
+    sizes = np.array([(len(x), len(y)) for x, y in zip(left, right)], np.int64).reshape(-1, 2)
+    for a, b in np.unique(sizes, axis=0):
+        at = np.flatnonzero((sizes[:, 0] == a) & (sizes[:, 1] == b))
+        least = min(a, b) // 4
+        x, y = (np.frombuffer(b"".join(side[i] for i in at), "<u4").reshape(len(at), least, -1).sum(axis=2) for side in (left, right))
+        out[at] = np.minimum(x, y).sum(axis=1)
+    return out
+
+
+def _sifted(pairs: DataFrame, points: DataFrame, num: int, den: int) -> DataFrame:
+    """Pairs whose points leave the similarity possible; points are some tenth of the bytes of shingles, which need not be shuffled for the others."""
+    x = points.select(F.col("s").alias("a"), F.col("n").alias("n_a"), F.col("point").alias("p_a"))
+    y = points.select(F.col("s").alias("b"), F.col("n").alias("n_b"), F.col("point").alias("p_b"))
+    both = pairs.join(x.hint("merge"), "a").join(y.hint("merge"), "b").where(F.least("n_a", "n_b") * den >= F.greatest("n_a", "n_b") * num)
+
+    def run(batches):
+        for b in batches:
+            for c in in_blocks([b], 1000):
+                bound = overlap_bounds(c.column("p_a").to_pylist(), c.column("p_b").to_pylist())
+                n = c.column("n_a").to_numpy() + c.column("n_b").to_numpy()
+                yield c.select(["a", "b"]).filter(pa.array((den + num) * bound >= num * n))
+
+    return both.select("a", "b", "n_a", "n_b", "p_a", "p_b").mapInArrow(run, "a long, b long")
+
+
 def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """Pairs, a written table, that are links by their sets."""
+    wanted = written(pairs.select(F.col("a").alias("w")).unionAll(pairs.select("b")).distinct(), "jaccard-wanted")
+    sets = join_counted(sets, wanted, F.col("set_id") == F.col("w"), "left_semi")
     x = sets.select(F.col("set_id").alias("a"), F.col("n").alias("n_a"), F.col("shingles").alias("s_a"))
     y = sets.select(F.col("set_id").alias("b"), F.col("n").alias("n_b"), F.col("shingles").alias("s_b"))
     both = pairs.join(x.hint("merge"), "a").join(y.hint("merge"), "b").where(F.least("n_a", "n_b") * den >= F.greatest("n_a", "n_b") * num)
@@ -281,11 +312,12 @@ def linked_components(docs: DataFrame, *, k: int = SHINGLE, similarity: tuple[in
     reps = written(tops.join(needed.hint("merge"), "set_id", "left_semi").select(F.col("top").alias("rep")).distinct(), "jaccard-reps")
     sought = join_counted(d, reps, d.doc_id.eqNullSafe(reps.rep), "left_semi")
     sets = written(_contents(sought, k), "jaccard-contents")
-    roots = written(components(written(_verified(tried, sets, num, den), "jaccard-links")), "jaccard-roots")
+    points = sets.select(F.col("set_id").alias("s"), "n", "point")
+    near = written(_sifted(tried, points, num, den), "jaccard-near")
+    roots = written(components(written(_verified(near, sets, num, den), "jaccard-links")), "jaccard-roots")
 
     # Sets of one bucket that are still in different components are searched in the bucket's tree: first for the
     # candidates that are likely to join most of what belongs together, then for all that are left.
-    points = sets.select(F.col("set_id").alias("s"), "n", "point")
     for best in (True, False):
         named = roots.select(F.col("node").alias("s"), "root")
         hubs = roots.select(F.col("node").alias("h"), F.col("root").alias("hub_root"))

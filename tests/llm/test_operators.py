@@ -306,3 +306,14 @@ def test_packing_opens_by_cost_and_matches_brute_force():
     assert joint[1] == [12, 12, 1]  # a bin that can be filled whole is opened large, the last one small
 
 
+
+
+def test_points_bound_the_overlap_of_sets():
+    rng = np.random.default_rng(3)
+    sets = [np.unique(rng.integers(0, 1 << 64, n, dtype=np.uint64)) for n in (1, 5, 300, 9000, 40_000)]
+    left = [a for a in sets for _ in sets]
+    right = [np.unique(np.concatenate([b, a[::2]])) for a in sets for b in sets]
+    bounds = jaccard_join.overlap_bounds([jaccard_join.point(x) for x in left], [jaccard_join.point(x) for x in right])
+    assert all(bound >= len(np.intersect1d(x, y)) for bound, x, y in zip(bounds, left, right))
+    assert jaccard_join.overlap_bounds([jaccard_join.point(x) for x in sets], [jaccard_join.point(x) for x in sets]).tolist() == [len(x) for x in sets]
+    assert jaccard_join.overlap_bounds([], []).tolist() == []
