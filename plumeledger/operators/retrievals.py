@@ -160,3 +160,48 @@ def crop_fallback(px: DataFrame, sizes: tuple[int, ...] = (750, 500, 250), mask:
     attempts = F.array_join(F.transform("tries", lambda t: F.concat(t["crop"].cast("string"), F.lit(":"), t["said"])), " ")
     r = r.select(F.col("s").alias("scene"), won.alias("w"), attempts.alias("attempts"))
     return r.select("scene", "w.crop", F.coalesce("w.n_px", F.lit(0)).alias("n_px"), F.coalesce("w.mass_kg", F.lit(0.0)).alias("mass_kg"), F.coalesce("w.flow_kgh", F.lit(0.0)).alias("flow_kgh"), "attempts")
+
+
+def difference_retrieval(target: DataFrame, reference: DataFrame, thresholds: list[float], wind_ms: float = 3.5, least_background: int = 100, least_plume: int = 10) -> DataFrame:
+    """(scene, threshold, n_px, mass_kg, flow_kgh, warning) of every scene and threshold, from bands less those of a reference scene.
+
+    Plume pixels have prob above the threshold in the target; null and NaN are background. The plume counts by how far the differences' y lies
+    above the background's, over the target's own mean b11 of the background; its length is the square root of its area. Invalid ones have mass and flow 0 and a
+    warning: shape_mismatch (a pixel that one side lacks), too_few_plume, too_few_background, dark_background. Pixels are distinct in each
+    table. The background's sums are taken by level (how many thresholds a pixel is above), and a pixel meets all thresholds in one row.
+    """
+    t = sorted(set(map(float, thresholds)))
+    r = reference.select(F.col("scene").alias("s"), F.col("row").alias("r"), F.col("col").alias("c"), F.col("b11").alias("r11"), F.col("b12").alias("r12"))
+    x = target.join(r.hint("merge"), (F.col("scene") == F.col("s")) & (F.col("row") == F.col("r")) & (F.col("col") == F.col("c")), "full")
+    lacks = F.col("scene").isNull() | F.col("s").isNull()
+    level = F.when(F.isnan("prob"), 0).otherwise(sum((F.coalesce((F.col("prob") > v).cast("int"), F.lit(0)) for v in t), F.lit(0)))
+    y = (F.col("b12") - F.col("r12")) - 0.5 * (F.col("b11") - F.col("r11"))
+    x = x.select(F.coalesce("scene", "s").alias("scene"), level.alias("level"), y.alias("y"), F.col("b11").alias("raw"), lacks.alias("lacks"))
+    below = [F.col("level") < k for k in range(1, len(t) + 1)]
+    fit = x.groupBy(F.col("scene").alias("f")).agg(F.max("lacks").alias("lacks"), F.count("*").alias("n"), *[a for k, b in enumerate(below) for a in (F.count_if(b).alias(f"bg{k}"), F.avg(F.when(b, F.col("y"))).alias(f"y{k}"), F.avg(F.when(b, F.col("raw"))).alias(f"m{k}"))])
+    plume = x.join(fit.hint("merge"), F.col("scene") == F.col("f"))
+    plume = plume.groupBy(F.col("scene").alias("p")).agg(*[F.sum(F.when(~b, F.greatest(F.lit(0.0), F.col("y") - F.col(f"y{k}")))).alias(f"a{k}") for k, b in enumerate(below)])
+    each = F.array(*[F.struct(F.lit(v).alias("threshold"), F.col(f"bg{k}").alias("bg"), F.col(f"m{k}").alias("m11"), F.col(f"a{k}").alias("above")) for k, v in enumerate(t)])
+    got = fit.join(plume.hint("merge"), F.col("f") == F.col("p")).select(F.col("f").alias("scene"), "lacks", "n", F.inline(each)).withColumn("n_px", F.col("n") - F.col("bg"))
+    warning = F.when(F.col("lacks"), "shape_mismatch").when(F.col("n_px") < least_plume, "too_few_plume").when(F.col("bg") < least_background, "too_few_background").when(F.coalesce(F.col("m11") < 1e-6, F.lit(True)), "dark_background")
+    mass = F.coalesce("above", F.lit(0.0)) / (F.col("m11") * SENSITIVITY) * KG_PER_COLUMN
+    flow = F.coalesce(mass * wind_ms / F.sqrt(F.col("n_px") * PIXEL_M**2) * 3600, F.lit(0.0))
+    return got.select("scene", "threshold", "n_px", F.when(warning.isNull(), F.round(mass, 4)).otherwise(0.0).alias("mass_kg"), F.when(warning.isNull(), F.round(flow, 1)).otherwise(0.0).alias("flow_kgh"), warning.alias("warning"))
+
+
+def crop_stats(px: DataFrame, sites: DataFrame, height: int, width: int, size: int = 500, least: int = 100) -> DataFrame:
+    """(scene, site, n_rows, n_cols, edge, b11_mean, b12_mean, ratio) of the crop of `size` pixels around each site (scene, site, row, col).
+
+    A crop that the scene's edge cuts is taken as far as it goes, if it keeps `least` rows and columns; sites with less, or on scenes without pixels there, have no row. ratio: mean b12 over
+    mean b11, the latter at least 1.
+    """
+    half = size // 2
+    clip = lambda c, most: (F.greatest(F.lit(0), F.col(c) - half), F.least(F.lit(most), F.col(c) + half))
+    (r0, r1), (c0, c1) = clip("row", height), clip("col", width)
+    s = sites.select(F.col("scene").alias("s"), "site", r0.alias("r0"), r1.alias("r1"), c0.alias("c0"), c1.alias("c1")).distinct()
+    s = s.where((F.col("r1") - F.col("r0") >= least) & (F.col("c1") - F.col("c0") >= least))
+    inside = (F.col("row") >= F.col("r0")) & (F.col("row") < F.col("r1")) & (F.col("col") >= F.col("c0")) & (F.col("col") < F.col("c1"))
+    j = px.join(s.hint("merge"), (F.col("scene") == F.col("s")) & inside)
+    g = j.groupBy("scene", "site", (F.col("r1") - F.col("r0")).alias("n_rows"), (F.col("c1") - F.col("c0")).alias("n_cols")).agg(F.avg("b11").alias("x"), F.avg("b12").alias("y"))
+    edge = (F.col("n_rows") < 2 * half) | (F.col("n_cols") < 2 * half)
+    return g.select("scene", "site", "n_rows", "n_cols", edge.alias("edge"), F.round("x", 2).alias("b11_mean"), F.round("y", 2).alias("b12_mean"), F.round(F.col("y") / F.greatest("x", F.lit(1.0)), 4).alias("ratio"))
