@@ -113,10 +113,10 @@ def loo_scene(df: DataFrame) -> DataFrame:
     return x.select("event_id", "site", F.round((F.col("k") - 1) / (F.col("n") - 1), 6).alias("rate"), F.round((F.col("s") - F.col("sc_cfar")) / (F.col("k") - 1), 4).alias("mean"))
 
 
-def best_scene(df: DataFrame, n: int = 1, ceiling: int | None = None) -> DataFrame:
-    """The n scenes of least cloud of each (site, date); null and zero cloud rank as 99."""
+def best_scene(df: DataFrame, n: int = 1, ceiling: int | None = None, grain: str = "day") -> DataFrame:
+    """The n scenes of least cloud of each site and day, month or year (grain); null and zero cloud rank as 99, ties go to the earlier day, then to the least event_id."""
     d = df if ceiling is None else df.where(F.col("cloud") <= ceiling)
-    w = W.partitionBy("site", "acq_date").orderBy(F.coalesce(F.nullif("cloud", F.lit(0)), F.lit(99)), "event_id")
+    w = W.partitionBy("site", F.date_trunc(grain, "acq_date")).orderBy(F.coalesce(F.nullif("cloud", F.lit(0)), F.lit(99)), "acq_date", "event_id")
     return d.withColumn("place", F.row_number().over(w)).where(F.col("place") <= n)
 
 

@@ -8,6 +8,8 @@ from plumeledger.operators import detection as D
 from plumeledger.operators import joins as J
 from plumeledger.operators import reports as R
 from plumeledger.operators import retrievals as T
+from plumeledger.operators import soundings as N
+from plumeledger.plans.soundings import ORBITS, _soundings
 from plumeledger.sources import fixtures as X
 
 #: Thresholds of the scan, and what a background and a plume need in test scenes of 8 x 8 pixels.
@@ -15,6 +17,8 @@ SCAN = [0.01, 0.026, 0.05, 0.1, 0.15, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7]
 FEW_BACKGROUND, FEW_PLUME = 8, 4
 TAU = 2.5
 BOX = (47.0, 0.0, 52.0, 10.0)
+#: Boxes of soundings: west, south, east, north.
+EAST, WEST = (6.0, 46.0, 18.0, 54.0), (-4.0, 46.0, 5.0, 54.0)
 
 
 def _owners(s, d):
@@ -84,8 +88,13 @@ QUERIES = {
     "g8_sites_by_contrast": lambda s, d: R.ranked(X.scores(s, d).select("event_id", (F.col("sc_cfar") - 2.5).alias("delta")), "delta", absolute=True),
     "c30_difference_retrieval": _scan,
     "c21_crop_stats": _crops,
+    "c29_region_contrast": lambda s, d: N.region_contrast(_soundings(s, d), EAST, WEST),
+    "g1_best_scene_of_year": lambda s, d: D.best_scene(X.scores(s, d), grain="year").select("site", "acq_date", "event_id"),
+    "g2_top_n_per_month": lambda s, d: D.best_scene(X.scores(s, d), 3, 40, "month").select("site", "acq_date", "event_id", F.col("place").cast("long").alias("place")),
 }
 
+SOUNDINGS_SQL = f""", so AS (SELECT CAST(l_orderkey % {ORBITS} AS INTEGER) AS orbit, 45 + (l_partkey * 13 % 1000) / 100.0 AS lat, -5 + ((l_orderkey * 29 + l_linenumber * 531) % 2500) / 100.0 AS lon,
+ CASE WHEN l_suppkey % 7 > 0 THEN 1850 + CAST(l_extendedprice AS DOUBLE) % 100 * 0.97137 END AS xch4, (l_partkey + l_linenumber) % 11 / 10.0 AS qa FROM lineitem)"""
 _KG = "(1e-9::DOUBLE * 2.1e25 * 0.016 / 6.022e23 * 400)"
 _INV = "inv AS (SELECT o_custkey % 8 AS site, year(o_orderdate) AS year, CAST(o_totalprice AS DOUBLE) / 1000 AS quantity FROM orders)"
 SQL = {
@@ -118,4 +127,11 @@ SQL = {
     "c21_crop_stats": """, s AS (SELECT DISTINCT scene, CAST(scene % 9 AS INTEGER) AS r, CAST(scene * 5 % 8 AS INTEGER) AS c FROM v_pixels), k AS (SELECT scene, greatest(0, r - 3) AS r0, least(8, r + 3) AS r1, greatest(0, c - 3) AS c0, least(8, c + 3) AS c1 FROM s)
  SELECT scene, 1 AS site, r1 - r0 AS n_rows, c1 - c0 AS n_cols, r1 - r0 < 6 OR c1 - c0 < 6 AS edge, round(avg(b11 * 20), 2) AS b11_mean, round(avg(b12 * 20), 2) AS b12_mean, round(avg(b12 * 20) / greatest(avg(b11 * 20), 1), 4) AS ratio
  FROM v_pixels JOIN k USING (scene) WHERE r1 - r0 >= 4 AND c1 - c0 >= 4 AND "row" >= r0 AND "row" < r1 AND col >= c0 AND col < c1 GROUP BY scene, r0, r1, c0, c1""",
+    "g1_best_scene_of_year": " SELECT site, acq_date, event_id FROM v_scores QUALIFY row_number() OVER (PARTITION BY site, year(acq_date) ORDER BY coalesce(nullif(cloud, 0), 99), acq_date, event_id) = 1",
+    "g2_top_n_per_month": " SELECT site, acq_date, event_id, row_number() OVER (PARTITION BY site, date_trunc('month', acq_date) ORDER BY coalesce(nullif(cloud, 0), 99), acq_date, event_id) AS place FROM v_scores WHERE cloud <= 40 QUALIFY place <= 3",
 }
+_NAMES = {"mean": "avg(xch4)", "median": "quantile_cont(xch4, 0.5)", "std": "stddev_pop(xch4)", "p25": "quantile_cont(xch4, 0.25)", "p75": "quantile_cont(xch4, 0.75)", "least": "min(xch4)", "greatest": "max(xch4)"}
+_BOXES = {k: f"lon BETWEEN {w} AND {e} AND lat BETWEEN {s} AND {n} AND qa >= 0.5" for k, (w, s, e, n) in (("a", EAST), ("b", WEST))}
+SQL["c29_region_contrast"] = f"""{SOUNDINGS_SQL}, g AS (SELECT orbit, {", ".join(f"count(xch4) FILTER ({w}) AS n_{k}, " + ", ".join(f"round({x} FILTER ({w}), 2) AS {c}_{k}" for c, x in _NAMES.items()) for k, w in _BOXES.items())} FROM so GROUP BY orbit),
+ r AS (SELECT *, round(mean_a - mean_b, 2) AS enhancement, round(mean_a / mean_b, 3) AS ratio FROM g)
+ SELECT *, round(enhancement / mean_b * 100, 1) AS enhancement_pct, CASE WHEN ratio >= 1.05 THEN 'validated' WHEN ratio >= 1.01 THEN 'marginal' WHEN ratio IS NOT NULL THEN 'not_confirmed' ELSE 'no_data' END AS verdict FROM r"""

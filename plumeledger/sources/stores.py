@@ -165,3 +165,41 @@ def to_do(work: DataFrame, done: DataFrame, keys: list[str], retry: Column | Non
     """Work whose key is not done; rows of done that retry marks do not count."""
     d = (done if retry is None else done.where(~F.coalesce(retry, F.lit(False)))).select(*keys).distinct()
     return work.join(d.hint("merge"), keys, "left_anti")
+
+
+def load_sat_events(spark: SparkSession, path: str, site: str, lines: bool = False) -> DataFrame:
+    """(year, month, date, enhancement_ppb, n_near_pixels, validated, product_name): a site's events of the second sensor, of a JSON list or JSON lines.
+
+    Dates are year-month-day; events without a readable one go. validated is false and product_name empty where absent.
+    """
+    schema = "site string, date string, enhancement_ppb double, n_near_pixels long, validated boolean, product_name string"
+    e = spark.read.schema(schema).option("multiLine", not lines).json(path).where(F.col("site") == site)
+    day = F.when(F.col("date").rlike(r"^\d+-\d+-\d+$"), F.col("date").try_cast("date"))
+    e = e.withColumn("day", day).where("day is not null")
+    return e.select(F.year("day").alias("year"), F.month("day").alias("month"), "date", "enhancement_ppb", "n_near_pixels", F.coalesce("validated", F.lit(False)).alias("validated"), F.coalesce("product_name", F.lit("")).alias("product_name"))
+
+
+#: Parts of column names by which the columns of a wind file are known.
+WIND_COLUMNS = {"time": ["time", "datetime", "timestamp"], "speed": ["speed", "ws", "wind_s"], "direction": ["dir", "wd", "direction"]}
+
+
+def load_winds(spark: SparkSession, folder: str, year: int) -> DataFrame:
+    """(date, time, speed, direction) of a folder of MM_DD.csv files, a file a day; each file may name and order its columns in its own way.
+
+    A column is the first whose name, in lower case, contains one of the parts in WIND_COLUMNS. Times are HH:MM, HH:MM:SS or whole timestamps; what is unreadable or
+    absent is null. Files without a speed column, of other names or of no such day give no rows, nor do blank lines. A file is read as a whole: a day of one mast.
+    """
+    name = F.regexp_extract("_metadata.file_name", r"^(\d\d)_(\d\d)\.csv$", 0)
+    t = spark.read.text(folder, wholetext=True).select("value", F.try_to_date(F.concat(F.lit(f"{year:04d}_"), F.substring(name, 1, 5)), "yyyy_MM_dd").alias("date")).where("date is not null")
+    rows = F.split(F.regexp_replace("value", "^﻿", ""), r"\r?\n")
+    cells = lambda line: F.transform(F.split(line, r',(?=(?:[^"]*"[^"]*")*[^"]*$)'), lambda c: F.trim(F.regexp_replace(c, r'^\s*"|"\s*$', "")))
+    t = t.withColumns({"rows": rows, "head": F.transform(cells(F.element_at(rows, 1)), lambda c: F.lower(c))})
+    holds = lambda parts: F.transform("head", lambda c: c.rlike("|".join(parts)))
+    place = {k: F.array_position(holds(parts), F.lit(True)) for k, parts in WIND_COLUMNS.items()}
+    t = t.withColumns({f"at_{k}": v.cast("int") for k, v in place.items()}).where("at_speed > 0")
+    line = t.select("date", *[f"at_{k}" for k in place], F.explode(F.slice("rows", 2, F.greatest(F.size("rows") - 1, F.lit(0)))).alias("line")).where("trim(line) <> ''")
+    line = line.withColumn("cells", cells(F.col("line")))
+    cell = {k: F.when(F.col(f"at_{k}") > 0, F.nullif(F.get("cells", F.col(f"at_{k}") - 1), F.lit(""))) for k in place}
+    clock = F.concat(F.col("date").cast("string"), F.lit(" "), F.regexp_extract(cell["time"], r"^\d{1,2}:\d{2}(:\d{2})?", 0))
+    time = F.when(cell["time"].rlike(r"^\d{1,2}:\d{2}"), clock.try_cast("timestamp")).otherwise(cell["time"].try_cast("timestamp"))
+    return line.select("date", time.alias("time"), cell["speed"].try_cast("double").alias("speed"), cell["direction"].try_cast("double").alias("direction"))
