@@ -9,7 +9,7 @@ from plumeledger.operators import detection as D
 from plumeledger.operators import joins as J
 from plumeledger.operators import pixels as P
 from plumeledger.operators import validation as V
-from plumeledger.plans import assessments, calibration, conversions, influence, matching, portfolios, rasters, reports, retrievals, risk, scenes, screening, soundings
+from plumeledger.plans import assessments, calibration, conversions, footprints, influence, matching, portfolios, rasters, reports, retrievals, risk, scenes, screening, soundings
 from plumeledger.sources import fixtures as X
 
 FLAGSHIP = "b13_e14_production_rule_audit"
@@ -101,6 +101,7 @@ def queries() -> dict:
         **soundings.QUERIES,
         **matching.QUERIES,
         **reports.QUERIES,
+        **footprints.QUERIES,
         **influence.QUERIES,
         **portfolios.QUERIES,
     }
@@ -184,7 +185,7 @@ _BODY = {
 risk.finish(_BODY["e1_site_risk"])
 portfolios.finish(_BODY["e1_site_risk"])
 scenes.finish(_BODY["e1_site_risk"], risk._erfc)
-_BODY |= screening.SQL | conversions.SQL | risk.SQL | scenes.SQL | rasters.SQL | assessments.SQL | retrievals.SQL | calibration.SQL | soundings.SQL | matching.SQL | reports.SQL | influence.SQL | portfolios.SQL
+_BODY |= screening.SQL | conversions.SQL | risk.SQL | scenes.SQL | rasters.SQL | assessments.SQL | retrievals.SQL | calibration.SQL | soundings.SQL | matching.SQL | reports.SQL | footprints.SQL | influence.SQL | portfolios.SQL
 _BODY["k2_k8_online_rule"] = _BODY["b13_production_rule"]
 _TIERS = "['HIGH_DUAL_SENSOR', 'HIGH', 'MEDIUM', 'LOW', 'UNDETECTED', 'NO_DATA']"
 _BODY["e7_portfolio_risk"] = f""", ri AS ({_BODY["e1_site_risk"].replace(", g AS (", "WITH g AS (", 1)}), j AS (SELECT ticker, ri.site AS s, eur, t_co2e, list_position({_TIERS}, coalesce(tier, 'NO_DATA')) AS r FROM v_sites LEFT JOIN ri USING (site))
