@@ -429,10 +429,10 @@ def lm_scores(docs: DataFrame) -> DataFrame:
 
     Learns from rows whose crc32(doc_id as text) mod 7 is not 2; rows of null doc_id train and are not held out. Null
     and empty texts are one end token. Repeated rows count each. Without training tokens every word is unknown, with
-    probability 1. Words are known by a 64-bit hash.
+    probability 1. Words are known by a 64-bit hash. doc_id may be of any whole-number type and comes back as long.
     """
     importable(docs.sparkSession)
-    d = with_columns_of(docs, "doc_id", "text")
+    d = with_columns_of(docs, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long"))
     train = _training(d)
     vocabulary = build_vocabulary(train, shared_dir(d.sparkSession, "lm"))
     shards = build_bigrams(train, vocabulary) if vocabulary[2] else []
