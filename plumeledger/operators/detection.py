@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from plumeledger.functions import scalars as S
-from plumeledger.functions.running import order_statistics
+from plumeledger.functions.running import order_statistics, running_totals
 
 CLASSES = ["CFAR_SUPPRESSED", "DETECTION", "NOT_OK", "NO_COVERAGE", "SUB_TAU"]
 
@@ -15,15 +15,10 @@ CLASSES = ["CFAR_SUPPRESSED", "DETECTION", "NOT_OK", "NO_COVERAGE", "SUB_TAU"]
 def conformal_threshold(df: DataFrame, alphas: list[float], score: str = "sc_cfar") -> DataFrame:
     """(alpha, n, tau): the order statistic min(ceil((n + 1)(1 - alpha)), n) of the scores.
 
-    Equal scores are counted first, so the ranking runs over distinct scores; nulls are left out.
+    Equal scores are counted first, so the ranking runs over distinct scores, by ranges of like numbers of them; nulls are left out.
     """
     c = df.where(F.col(score).isNotNull()).groupBy(F.col(score).alias("s")).agg(F.count("*").alias("c"))
-    bucket = c.withColumn("b", F.floor("s"))  # two steps: totals by bucket, then ranks within buckets
-    totals = bucket.groupBy("b").agg(F.sum("c").alias("bc"))
-    w = W.orderBy("b").rowsBetween(W.unboundedPreceding, -1)
-    totals = totals.select(F.col("b").alias("tb"), F.coalesce(F.sum("bc").over(w), F.lit(0)).alias("before"))
-    within = F.sum("c").over(W.partitionBy("b").orderBy("s"))
-    ranked = bucket.join(totals.hint("merge"), bucket.b == totals.tb).select("s", (F.col("before") + within).alias("upto"))
+    ranked = running_totals(c, "s", ["c"], descending=False).select("s", F.col("upto_c").alias("upto"))
     n = c.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"))
     a = df.sparkSession.createDataFrame([(x,) for x in alphas], "alpha double")
     want = a.crossJoin(F.broadcast(n)).withColumn("rank", F.least(F.ceil((F.col("n") + 1) * (1 - F.col("alpha"))), F.col("n")))  # one row
@@ -32,11 +27,10 @@ def conformal_threshold(df: DataFrame, alphas: list[float], score: str = "sc_cfa
 
 
 def mondrian_threshold(df: DataFrame, by: str, alpha: float = 0.1, score: str = "sc_cfar") -> DataFrame:
-    """Threshold of each group by its own order statistic, with number, range and mean; small_n marks groups of fewer than five. Null scores are left out; null groups are a group."""
-    w = W.partitionBy(by)
-    r = df.where(F.col(score).isNotNull()).withColumn("n", F.count("*").over(w)).withColumn("r", F.row_number().over(w.orderBy(score)))
-    hit = F.col("r") == F.least(F.ceil((F.col("n") + 1) * (1 - alpha)), F.col("n"))
-    g = r.groupBy(by).agg(F.max("n").alias("n"), F.max(F.when(hit, F.col(score))).alias("tau"), F.min(score).alias("lo"), F.max(score).alias("hi"), F.avg(score).alias("mean"))
+    """Threshold of each group by its own order statistic, with number, range and mean; small_n marks groups of fewer than five. Scores are ranked by ranges, so a hot group is no window of one task. Null scores are left out; null groups are a group."""
+    g = df.where(F.col(score).isNotNull()).groupBy(F.col(by).alias("_by")).agg(F.min(score).alias("lo"), F.max(score).alias("hi"), F.avg(score).alias("mean"))
+    tau = order_statistics(df, score, {"tau": f"least(ceil((n + 1) * {1 - alpha!r}D), n)"}, by)
+    g = tau.join(g.hint("merge"), F.col(by).eqNullSafe(F.col("_by"))).select(by, "n", "tau", "lo", "hi", "mean")
     return g.withColumn("small_n", F.col("n") < 5)
 
 

@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumeledger.functions import hazard as H
+from plumeledger.functions.running import order_statistics
+from plumeledger.sources.scratch import scratch_dir
 
 # Carbon price in EUR a tonne and methane multiplier by anchor year, drift, volatility, and shock (year, size) of each scenario.
 SCENARIOS = {
@@ -102,25 +104,35 @@ def site_cost_draws(paths: DataFrame, sites: DataFrame, scenario: str, years: in
 
 
 def loss_stats(draws: DataFrame, by: list[str], rate: float = 0.05, first: int = 2024) -> DataFrame:
-    """(by, year, mean, p50, p95, p99) of the costs of each year; exact percentiles."""
-    p = lambda q: F.percentile("cost", F.lit(q))
-    g = draws.groupBy(*by, "year").agg(F.avg("cost").alias("mean"), p(0.5).alias("p50"), p(0.95).alias("p95"), p(0.99).alias("p99"))
-    return g.select(*by, "year", *[F.round(c, 2).alias(c) for c in ("mean", "p50", "p95", "p99")])
+    """(by, year, mean, p50, p95, p99) of the costs of each year; exact percentiles, ranked by ranges. The draws are written once."""
+    d = _kept(draws.select(F.struct(*by, "year").alias("_k"), F.col("cost").cast("double").alias("_v")), "loss-draws")
+    q = order_statistics(d, "_v", {n: _place(p) for n, p in (("p50", 0.5), ("p95", 0.95), ("p99", 0.99))}, "_k").drop("n")
+    g = d.groupBy(F.col("_k").alias("_of")).agg(F.avg("_v").alias("mean"))
+    j = g.join(q.hint("merge"), F.col("_of").eqNullSafe(F.col("_k")), "left")
+    return j.select("_of.*", *[F.round(c, 2).alias(c) for c in ("mean", "p50", "p95", "p99")])
+
+
+def _kept(df: DataFrame, name: str) -> DataFrame:
+    """df written to the shared folder and read back, so that what is dear to draw is drawn once."""
+    path = scratch_dir(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def terminal_losses(draws: DataFrame, by: list[str], rate: float = 0.05, first: int = 2024) -> DataFrame:
-    """(by, mean, var95, cvar95, npv_mean, npv_p95): the last year's cost and the discounted sum of all years, by path."""
+    """(by, mean, var95, cvar95, npv_mean, npv_p95): the last year's cost and the discounted sum of all years, by path; exact percentiles, ranked by ranges. The paths' figures are written once."""
     last = draws.agg(F.max("year").alias("last"))
     d = draws.join(F.broadcast(last), F.lit(True))  # one row
-    one = d.groupBy(*by, "path").agg(F.sum(F.when(F.col("year") == F.col("last"), F.col("cost"))).alias("t"), F.sum(F.col("cost") / F.pow(F.lit(1 + rate), F.col("year") - first + 1)).alias("npv"))
-    g = one.groupBy(*[F.col(b).alias(f"_{b}") for b in by]).agg(F.avg("t").alias("mean"), F.percentile("t", F.lit(0.95)).alias("var95"), F.avg("npv").alias("npv_mean"), F.percentile("npv", F.lit(0.95)).alias("npv_p95"))
-    on = F.lit(True)
-    for b in by:
-        on = on & F.col(b).eqNullSafe(F.col(f"_{b}"))
-    j = one.join(g.hint("merge"), on) if by else one.join(F.broadcast(g), on)
+    t, npv = F.sum(F.when(F.col("year") == F.col("last"), F.col("cost"))).alias("t"), F.sum(F.col("cost") / F.pow(F.lit(1 + rate), F.col("year") - first + 1)).alias("npv")
+    one = _kept(d.groupBy(*by, "path").agg(t, npv).select(F.struct(*by, F.lit(0).alias("_all")).alias("_k"), "t", "npv"), "terminal-losses")
+    g = one.groupBy(F.col("_k").alias("_of")).agg(F.avg("t").alias("mean"), F.avg("npv").alias("npv_mean"))
+    for value, name in (("t", "var95"), ("npv", "npv_p95")):
+        q = order_statistics(one, value, {name: _place(0.95)}, "_k").drop("n")
+        g = g.join(q.hint("merge"), F.col("_of").eqNullSafe(F.col("_k")), "left").drop("_k")
+    j = one.join(g.hint("merge"), F.col("_k").eqNullSafe(F.col("_of")))
     tail = F.avg(F.when(F.col("t") >= F.col("var95"), F.col("t")))
-    out = j.groupBy(*by).agg(*[F.first(c).alias(c) for c in ("mean", "var95", "npv_mean", "npv_p95")], tail.alias("cvar95"))
-    return out.select(*by, *[F.round(c, 2).alias(c) for c in ("mean", "var95", "cvar95", "npv_mean", "npv_p95")])
+    out = j.groupBy("_k").agg(*[F.first(c).alias(c) for c in ("mean", "var95", "npv_mean", "npv_p95")], tail.alias("cvar95"))
+    return out.select(*[F.col("_k")[b].alias(b) for b in by], *[F.round(c, 2).alias(c) for c in ("mean", "var95", "cvar95", "npv_mean", "npv_p95")])
 
 
 def issuer_stress(site_losses: DataFrame, issuers: DataFrame, scenario: str) -> DataFrame:
@@ -166,10 +178,16 @@ def carbon_price(u: Column) -> Column:
     return F.exp(math.log(PRICE) - 0.5 * LOG_VOL**2 + LOG_VOL * H.normal_point(u))
 
 
+def _place(share: float) -> str:
+    """The place of a percentile among n ordered values, between two of them linearly."""
+    return f"1 + (n - 1) * {share!r}D"
+
+
 def risk_metrics(draws: DataFrame, column: str) -> DataFrame:
-    """One row: mean, median, var_95, var_99, es_99 (mean of what reaches var_99), p5, p25, p75, three places."""
-    p = lambda q: F.percentile(column, F.lit(q))
-    g = draws.agg(F.avg(column).alias("mean"), p(0.5).alias("median"), p(0.95).alias("var_95"), p(0.99).alias("var_99"), p(0.05).alias("p5"), p(0.25).alias("p25"), p(0.75).alias("p75"))
+    """One row: mean, median, var_95, var_99, es_99 (mean of what reaches var_99), p5, p25, p75, three places; nulls without draws. Draws are ranked by ranges, so no state holds them all."""
+    d = draws.select(F.lit(0).alias("_g"), F.col(column).alias("_v"))
+    q = order_statistics(d, "_v", {n: _place(p) for n, p in (("median", 0.5), ("var_95", 0.95), ("var_99", 0.99), ("p5", 0.05), ("p25", 0.25), ("p75", 0.75))}, "_g").drop("n", "_g")
+    g = d.agg(F.avg("_v").alias("mean")).join(F.broadcast(q), F.lit(True), "left")  # one row each
     tail = draws.select(F.col(column).alias("_x")).join(F.broadcast(g), F.col("_x") >= F.col("var_99"))  # one row
     es = tail.agg(F.avg("_x").alias("es_99"))
     both = g.join(F.broadcast(es), F.lit(True))
@@ -185,9 +203,11 @@ def tau_sensitivity(paths: DataFrame) -> DataFrame:
     rate = DETECTION_RATE * F.when(F.col("tau") > TAU, 1 - slope * (F.col("tau") - TAU)).otherwise(1.0)
     d = d.withColumn("rate", F.least(F.greatest(rate, F.lit(0.10)), F.lit(1.0)))
     base = MEAN_FLOW * HOURS / 1e3 * F.col("rate") * F.col("price") / 1e6
-    d = d.select("tau", "rate", (base * GWP100).alias("a"), (base * GWP20).alias("b"))
-    p = lambda c: F.round(F.percentile(c, F.lit(0.99)), 3)
-    return d.agg(F.round(F.avg("tau"), 4).alias("tau_mean"), F.round(F.avg("rate"), 3).alias("rate_mean"), F.round(F.avg("a"), 3).alias("gwp100_mean"), F.round(F.avg("b"), 3).alias("gwp20_mean"), p("a").alias("gwp100_var99"), p("b").alias("gwp20_var99"))
+    d = d.select(F.lit(0).alias("_g"), "tau", "rate", base.alias("base"), (base * GWP100).alias("a"), (base * GWP20).alias("b"))
+    top = order_statistics(d, "base", {"top": _place(0.99)}, "_g").select("top")  # both liabilities are multiples of base
+    g = d.agg(F.round(F.avg("tau"), 4).alias("tau_mean"), F.round(F.avg("rate"), 3).alias("rate_mean"), F.round(F.avg("a"), 3).alias("gwp100_mean"), F.round(F.avg("b"), 3).alias("gwp20_mean"))
+    j = g.join(F.broadcast(top), F.lit(True), "left")  # one row each
+    return j.select(*g.columns, F.round(F.col("top") * GWP100, 3).alias("gwp100_var99"), F.round(F.col("top") * GWP20, 3).alias("gwp20_var99"))
 
 
 def combined_uncertainty(records: DataFrame, paths: DataFrame, n: int) -> DataFrame:
@@ -228,9 +248,12 @@ def tornado(paths: DataFrame, parameters: list[tuple[str, float, float, float]])
 
 
 def convergence(draws: DataFrame, column: str, sizes: list[int]) -> DataFrame:
-    """(n, var95): the 95th percentile over the paths below each size, all sizes in one pass."""
-    p = draws.agg(*[F.percentile(F.when(F.col("path") < n, F.col(column)), F.lit(0.95)).alias(f"n{n}") for n in sizes])
-    return p.select(F.explode(F.array(*[F.struct(F.lit(n).alias("n"), F.round(f"n{n}", 4).alias("var95")) for n in sizes])).alias("r")).select("r.*")
+    """(n, var95): the 95th percentile over the paths below each size, null where there are none; ranked by ranges, a group a size."""
+    reached = F.filter(F.array(*map(F.lit, sizes)), lambda n: F.col("path") < n)
+    d = draws.select(F.explode(reached).alias("_n"), F.col(column).alias("_v"))
+    got = order_statistics(d, "_v", {"var95": _place(0.95)}, "_n").select("_n", F.round("var95", 4).alias("var95"))
+    all_ = draws.sparkSession.createDataFrame([(n,) for n in sizes], "n int")
+    return all_.join(got.hint("merge"), F.col("n") == F.col("_n"), "left").select("n", "var95")
 
 
 def transition_table(annual: DataFrame, prices: list[tuple[str, float]], gwp: float = GWP100) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from plumeledger.functions.running import order_statistics
 from plumeledger.operators.detection import site_risk
 
 TIERS = ["HIGH_DUAL_SENSOR", "HIGH", "MEDIUM", "LOW", "UNDETECTED", "NO_DATA"]
@@ -82,8 +83,8 @@ def loo_month(df: DataFrame) -> DataFrame:
 
 
 def flow_outliers(df: DataFrame, times: float = 2.5) -> DataFrame:
-    """(event_id, site, sc_cfar): rows above so many times their site's median, which is joined back, not windowed."""
-    mid = df.groupBy(F.col("site").alias("_site")).agg(F.percentile("sc_cfar", 0.5).alias("mid"))
+    """(event_id, site, sc_cfar): rows above so many times their site's median, which is ranked by ranges and joined back, not windowed."""
+    mid = order_statistics(df, "sc_cfar", {"mid": "(n + 1) / 2.0"}, "site").select(F.col("site").alias("_site"), "mid")
     j = df.join(mid.hint("merge"), F.col("site") == F.col("_site"))
     return j.where(F.col("sc_cfar") > times * F.col("mid")).select("event_id", "site", "sc_cfar")
 

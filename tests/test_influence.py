@@ -94,3 +94,23 @@ def test_tornado_of_one_site(spark):
     assert rows["cfar_k", "low"].delta_var95 == 0  # neither threshold lies between the scores
     assert {n: r.place for (n, _), r in rows.items()} == {"price_eur": 1, "discount_rate": 2, "cfar_k": 2}
     assert I.portfolio_tornado(paths.where("false"), scores, years=3).count() == 0
+
+
+def test_percentiles_of_draws_are_exact_and_stand_empty_tables(spark):
+    import numpy as np
+
+    from plumeledger.operators import risk
+
+    v = [float(i * 37 % 101 // 3) for i in range(101)]  # ties
+    d = spark.createDataFrame([(i, x, "a", 2024 + i % 2) for i, x in enumerate(v)], "path long, cost double, site string, year int")
+    m = risk.risk_metrics(d, "cost").first()
+    assert (m.median, m.var_95, m.var_99, m.p25) == tuple(pytest.approx(np.percentile(v, p), abs=1e-3) for p in (50, 95, 99, 25))
+    assert m.es_99 == pytest.approx(np.mean([x for x in v if x >= np.percentile(v, 99)]), abs=1e-3)
+    assert {r.n: r.var95 for r in risk.convergence(d, "cost", [10, 50]).collect()} == {n: pytest.approx(np.percentile(v[:n], 95), abs=1e-4) for n in (10, 50)}
+    got = {r.year: r.p95 for r in risk.loss_stats(d, ["site"]).collect()}
+    assert got == {y: pytest.approx(np.percentile([x for i, x in enumerate(v) if i % 2 == y - 2024], 95), abs=1e-2) for y in (2024, 2025)}
+    t = risk.terminal_losses(d.withColumn("year", d.year * 0 + 2024), ["site"]).first()
+    assert (t.site, t.var95) == ("a", pytest.approx(np.percentile(v, 95), abs=1e-2))
+    none = d.where("false")
+    assert risk.risk_metrics(none, "cost").first().median is None and risk.loss_stats(none, ["site"]).count() == 0 and risk.terminal_losses(none, ["site"]).count() == 0
+    assert [r.var95 for r in risk.convergence(none, "cost", [10]).collect()] == [None]
