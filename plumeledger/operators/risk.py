@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from plumeledger.functions import hazard as H
 from plumeledger.functions.running import order_statistics
-from plumeledger.sources.scratch import scratch_dir
+from plumeledger.sources.scratch import kept
 
 # Carbon price in EUR a tonne and methane multiplier by anchor year, drift, volatility, and shock (year, size) of each scenario.
 SCENARIOS = {
@@ -105,26 +105,19 @@ def site_cost_draws(paths: DataFrame, sites: DataFrame, scenario: str, years: in
 
 def loss_stats(draws: DataFrame, by: list[str], rate: float = 0.05, first: int = 2024) -> DataFrame:
     """(by, year, mean, p50, p95, p99) of the costs of each year; exact percentiles, ranked by ranges. The draws are written once."""
-    d = _kept(draws.select(F.struct(*by, "year").alias("_k"), F.col("cost").cast("double").alias("_v")), "loss-draws")
+    d = kept(draws.select(F.struct(*by, "year").alias("_k"), F.col("cost").cast("double").alias("_v")), "loss-draws")
     q = order_statistics(d, "_v", {n: _place(p) for n, p in (("p50", 0.5), ("p95", 0.95), ("p99", 0.99))}, "_k").drop("n")
     g = d.groupBy(F.col("_k").alias("_of")).agg(F.avg("_v").alias("mean"))
     j = g.join(q.hint("merge"), F.col("_of").eqNullSafe(F.col("_k")), "left")
     return j.select("_of.*", *[F.round(c, 2).alias(c) for c in ("mean", "p50", "p95", "p99")])
 
 
-def _kept(df: DataFrame, name: str) -> DataFrame:
-    """df written to the shared folder and read back, so that what is dear to draw is drawn once."""
-    path = scratch_dir(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def terminal_losses(draws: DataFrame, by: list[str], rate: float = 0.05, first: int = 2024) -> DataFrame:
     """(by, mean, var95, cvar95, npv_mean, npv_p95): the last year's cost and the discounted sum of all years, by path; exact percentiles, ranked by ranges. The paths' figures are written once."""
     last = draws.agg(F.max("year").alias("last"))
     d = draws.join(F.broadcast(last), F.lit(True))  # one row
     t, npv = F.sum(F.when(F.col("year") == F.col("last"), F.col("cost"))).alias("t"), F.sum(F.col("cost") / F.pow(F.lit(1 + rate), F.col("year") - first + 1)).alias("npv")
-    one = _kept(d.groupBy(*by, "path").agg(t, npv).select(F.struct(*by, F.lit(0).alias("_all")).alias("_k"), "t", "npv"), "terminal-losses")
+    one = kept(d.groupBy(*by, "path").agg(t, npv).select(F.struct(*by, F.lit(0).alias("_all")).alias("_k"), "t", "npv"), "terminal-losses")
     g = one.groupBy(F.col("_k").alias("_of")).agg(F.avg("t").alias("mean"), F.avg("npv").alias("npv_mean"))
     for value, name in (("t", "var95"), ("npv", "npv_p95")):
         q = order_statistics(one, value, {name: _place(0.95)}, "_k").drop("n")

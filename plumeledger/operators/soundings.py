@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumeledger.functions.running import order_statistics
+from plumeledger.sources.scratch import kept
 
 #: Degrees and least numbers of the two methods.
 NEAREST, INNER, OUTER, LEAST_RING = 0.15, 0.25, 1.0, 10
@@ -13,23 +16,82 @@ BOX, LEVELS, RADII, LEAST_BOX, VALIDATED_PPB = 1.0, (0.5, 0.3, 0.0), (0.3, 0.5,
 DAY_HOURS = (11, 14)
 
 
-def around_sites(soundings: DataFrame, sites: DataFrame, reach: float = 1.0) -> DataFrame:
-    """(orbit, site, dlat, dlon, xch4, qa): soundings within reach degrees of a site in both directions, across 180 degrees too.
+#: Edge of a tile in reaches: a sounding goes to (1 + 2 / TILE) ** 2 tiles on the mean.
+TILE = 4
+_EDGE = 1e-6
+MOST_TILES = 100_000
 
-    Both sides go to cells of `reach` degrees: a sounding to its own, a site to that and all around it, so only neighbours meet.
-    Rows without a place meet nothing; one degree of longitude counts the same at every latitude.
+
+def around_sites(soundings: DataFrame, sites: DataFrame, pairs: DataFrame, figures, names: list[str], reach: float = 1.0) -> DataFrame:
+    """(orbit, site, <names>) of the asked pairs (orbit, site) that have soundings within reach degrees in both directions, across 180 degrees too.
+
+    figures(dlat, dlon, xch4, qa) gives the named numbers, NaN for none, of such soundings as arrays. A site goes to the tile of `TILE` reaches that it is in, a
+    sounding to all tiles that it can reach, and an orbit's tile is worked through place by place: pairs of sounding and site are never rows, and
+    sites at one place share their figures. Rows without a place meet nothing; one degree of longitude counts the same at every latitude.
+    Of several places of a site the least counts, as often as it is listed.
     """
-    columns = int(360 / reach)
-    row = F.floor((F.col("lat") + 90) / reach).cast("int")
-    column = F.pmod(F.floor((F.col("lon") + 180) / (360.0 / columns)), F.lit(columns)).cast("int")
-    near = F.array_distinct(F.array(*[F.struct((row + i).alias("r"), F.pmod(column + j, F.lit(columns)).alias("c")) for i in (-1, 0, 1) for j in (-1, 0, 1)]))
-    s = sites.where("lat is not null and lon is not null").select("site", F.col("lat").alias("slat"), F.col("lon").alias("slon"), F.explode(near).alias("x"))
-    s = s.select("site", "slat", "slon", F.col("x.r").alias("r"), F.col("x.c").alias("c"))
-    p = soundings.where("lat is not null and lon is not null").select("orbit", "lat", "lon", "xch4", "qa", row.alias("r"), column.alias("c"))
-    j = p.join(s.hint("merge"), ["r", "c"])
-    # rounded to a thousandth of a metre, so that a distance at the edge of a window does not hang on the last bit
-    dlat, dlon = F.round(F.col("lat") - F.col("slat"), 9), F.round(F.pmod(F.col("lon") - F.col("slon") + 180, F.lit(360.0)) - 180, 9)
-    return j.select("orbit", "site", dlat.alias("dlat"), dlon.alias("dlon"), "xch4", "qa").where((F.abs("dlat") <= reach) & (F.abs("dlon") <= reach))
+    spark, size = soundings.sparkSession, TILE * reach
+    columns = max(1, int(360 // size))
+    row = lambda lat: F.floor((lat + 90) / size).cast("int")
+    column = lambda lon: F.pmod(F.floor((lon + 180) / (360.0 / columns)), F.lit(columns)).cast("int")
+    lat, lon = (F.col(c).cast("double") for c in ("lat", "lon"))
+    placed = lat.isNotNull() & lon.isNotNull() & ~F.isnan(lat) & ~F.isnan(lon)
+    kind = soundings.schema["orbit"].dataType
+    kind = kind if kind == pairs.schema["orbit"].dataType else "string"
+    s = sites.where(placed).groupBy(F.col("site").alias("_site"), lat.alias("lat"), lon.alias("lon")).agg(F.count("*").alias("times"))
+    s = s.groupBy("_site").agg(F.min(F.struct("lat", "lon", "times")).alias("x")).select("_site", "x.*")
+    asked = pairs.where("orbit is not null").select(F.col("orbit").cast(kind).alias("orbit"), "site").distinct().join(s.hint("merge"), F.col("site") == F.col("_site")).drop("_site")
+    asked = kept(asked.withColumns({"r": row(F.col("lat")), "c": column(F.col("lon"))}), "asked-sites")
+    tiles = kept(asked.select("orbit", "r", "c").distinct(), "asked-tiles")
+
+    p = soundings.where(placed & F.col("orbit").isNotNull()).select(F.col("orbit").cast(kind).alias("orbit"), lat.alias("lat"), lon.alias("lon"), F.col("xch4").cast("double").alias("xch4"), F.col("qa").cast("double").alias("qa"))
+    far = reach + _EDGE
+    p = p.withColumns({"r1": row(F.col("lat") - far), "r2": row(F.col("lat") + far), "c1": column(F.col("lon") - far), "c2": column(F.col("lon") + far)})
+    at = lambda r, c: F.struct(F.col(r).alias("r"), F.col(c).alias("c"))
+    up, out = F.col("r1") != F.col("r2"), F.col("c1") != F.col("c2")
+    reached = F.array_compact(F.array(at("r1", "c1"), F.when(up, at("r2", "c1")), F.when(out, at("r1", "c2")), F.when(up & out, at("r2", "c2"))))
+    p = p.select("orbit", "lat", "lon", "xch4", "qa", F.explode(reached).alias("t")).select("orbit", "t.r", "t.c", "lat", "lon", "xch4", "qa")
+    p = p.join(tiles.hint("broadcast" if tiles.count() <= MOST_TILES else "merge"), ["orbit", "r", "c"], "left_semi")  # counted
+    types = {f.name: f.dataType.simpleString() for f in asked.schema}
+    schema = f"orbit {types['orbit']}, site {types['site']}, " + ", ".join(f"{n} double" for n in names)
+    return asked.groupBy("orbit", "r", "c").cogroup(p.groupBy("orbit", "r", "c")).applyInArrow(_by_place(figures, names, reach), schema)
+
+
+def _by_place(figures, names: list[str], reach: float):
+    def of(asked: pa.Table, soundings: pa.Table) -> pa.Table:
+        lat, lon, xch4, qa = (soundings[c].to_numpy() for c in ("lat", "lon", "xch4", "qa"))
+        order = np.argsort(lat)
+        lat, lon, xch4, qa = lat[order], lon[order], xch4[order], qa[order]
+        places, of_row = np.unique(np.stack([asked[c].to_numpy().astype(float) for c in ("lat", "lon", "times")], 1), axis=0, return_inverse=True)
+        far, got = reach + _EDGE, np.full((len(places), len(names)), np.nan)
+        found = np.zeros(len(places), bool)
+        turned = np.mod(lon + 180, 360)
+        for i, (slat, slon, times) in enumerate(places):
+            a, b = np.searchsorted(lat, slat - far), np.searchsorted(lat, slat + far, "right")
+            away = np.abs(turned[a:b] - (slon + 180) % 360)
+            k = a + np.flatnonzero((away <= far) | (away >= 360 - far))
+            # rounded to a thousandth of a metre, so that a distance at the edge of a window does not hang on the last bit
+            dlat, dlon = np.round(lat[k] - slat, 9), np.round(np.mod(lon[k] - slon + 180, 360) - 180, 9)
+            near = (np.abs(dlat) <= reach) & (np.abs(dlon) <= reach)
+            if near.any():
+                found[i] = True
+                got[i] = figures(*[np.repeat(v[near], int(times)) for v in (dlat, dlon, xch4[k], qa[k])])
+        rows = np.flatnonzero(found[of_row.ravel()])
+        values = got[of_row.ravel()[rows]]
+        ids = [asked[c].combine_chunks().take(pa.array(rows)) for c in ("orbit", "site")]
+        return pa.Table.from_arrays([*ids, *[pa.array(values[:, j], from_pandas=True) for j in range(len(names))]], names=["orbit", "site", *names])
+
+    return of
+
+
+def _percentile(values: np.ndarray, share: float) -> float:
+    """Between two neighbours linearly; NaN without values."""
+    if not len(values):
+        return np.nan
+    at = share * (len(values) - 1)
+    lo, hi = int(np.floor(at)), int(np.ceil(at))
+    low, high = np.partition(values, [lo, hi])[[lo, hi]]
+    return low if low == high else (hi - at) * low + (at - lo) * high
 
 
 def _asked(pairs: DataFrame, found: DataFrame) -> DataFrame:
@@ -37,6 +99,14 @@ def _asked(pairs: DataFrame, found: DataFrame) -> DataFrame:
     return pairs.select("orbit", "site").distinct().join(f.hint("merge"), (F.col("orbit") == F.col("_orbit")) & (F.col("site") == F.col("_site")), "left").drop("_orbit", "_site")
 
 
+def _ring(dlat, dlon, xch4, qa):
+    d = np.sqrt(dlat * dlat + dlon * dlon)
+    first = np.flatnonzero(d == d.min())
+    first = first[np.lexsort((xch4[first], dlon[first], dlat[first]))[0]]
+    ring = (d >= INNER) & (d <= OUTER)
+    return d[first], xch4[first], ring.sum(), _percentile(xch4[ring], 0.2)
+
+
 def annulus_enhancement(soundings: DataFrame, sites: DataFrame, pairs: DataFrame, least_qa: float = 0.5) -> DataFrame:
     """(orbit, site, site_xch4, bg_xch4, enhancement, n_bg, error) of each asked (orbit, site).
 
@@ -44,10 +114,8 @@ def annulus_enhancement(soundings: DataFrame, sites: DataFrame, pairs: DataFrame
     from least_qa on, with a value. error: swath_miss without a near sounding, few_background with fewer than 10 in the ring; figures
     are null then. Of equally near soundings the one further south, then west counts; repeated rows count each.
     """
-    a = around_sites(soundings, sites).where((F.col("qa") >= least_qa) & F.col("xch4").isNotNull() & ~F.isnan("xch4"))
-    a = a.withColumn("d", F.sqrt(F.col("dlat") * F.col("dlat") + F.col("dlon") * F.col("dlon")))
-    ring = F.col("d").between(INNER, OUTER)
-    g = a.groupBy("orbit", "site").agg(F.min("d").alias("d"), F.min_by("xch4", F.struct("d", "dlat", "dlon", "xch4")).alias("x"), F.count_if(ring).alias("n_bg"), F.percentile(F.when(ring, F.col("xch4")), F.lit(0.2)).alias("bg"))
+    valid = soundings.where((F.col("qa") >= least_qa) & F.col("xch4").isNotNull() & ~F.isnan("xch4"))
+    g = around_sites(valid, sites, pairs, _ring, ["d", "x", "n_bg", "bg"])
     j = _asked(pairs, g)
     error = F.when(F.col("d").isNull() | (F.col("d") > NEAREST), "swath_miss").when(F.col("n_bg") < LEAST_RING, "few_background")
     ok = error.isNull()
@@ -61,28 +129,29 @@ def _first(conditions: list[Column], values: list[Column], otherwise: Column) ->
     return out.otherwise(otherwise)
 
 
+def _box(dlat, dlon, xch4, qa):
+    away, known = np.maximum(np.abs(dlat), np.abs(dlon)), ~np.isnan(xch4)
+    enough = [i for i, q in enumerate(LEVELS) if np.count_nonzero(qa >= q) >= LEAST_BOX]
+    level = enough[0] if enough else len(LEVELS) - 1
+    good = qa >= LEVELS[level]
+    near = [good & (away <= r) for r in RADII]
+    means = [xch4[n & known].mean() if (n & known).any() else np.nan for n in near]
+    rated = qa[~np.isnan(qa)]
+    return rated.max() if len(rated) else np.nan, level, good.sum(), _percentile(xch4[good & known], 0.5), *[n.sum() for n in near], *means
+
+
 def box_enhancement(soundings: DataFrame, sites: DataFrame, pairs: DataFrame) -> DataFrame:
     """(orbit, site, background, near_mean, enhancement, n_box, n_near, radius, qa_level, validated, error) of each asked (orbit, site).
 
     The quality asked for relaxes from 0.5 over 0.3 to 0 until the box of 1 degree has three soundings; the near field widens from
-    0.3 over 0.5 to 0.75 degrees until it has one. All levels and radii are counted in one pass and the first that
-    suffices is chosen from the counts. Background is the median of the box, from 10 ppb above it on a site is validated. error: orbit_miss (empty box),
+    0.3 over 0.5 to 0.75 degrees until it has one. Background is the median of the box, from 10 ppb above it on a site is validated. error: orbit_miss (empty box),
     cloudy (no quality of 0.01), no_near_pixels. Soundings without a value count in the numbers, not in the figures.
     """
-    a = around_sites(soundings, sites, BOX).withColumn("away", F.greatest(F.abs("dlat"), F.abs("dlon")))
-    value = F.when(~F.isnan("xch4"), F.col("xch4"))
-    good = [F.col("qa") >= q for q in LEVELS]
-    agg = [F.max("qa").alias("top")]
-    for i, q in enumerate(good):
-        agg += [F.count_if(q).alias(f"n{i}"), F.percentile(F.when(q, value), F.lit(0.5)).alias(f"m{i}")]
-        for k, r in enumerate(RADII):
-            near = q & (F.col("away") <= r)
-            agg += [F.count_if(near).alias(f"n{i}_{k}"), F.avg(F.when(near, value)).alias(f"m{i}_{k}")]
-    j = _asked(pairs, a.groupBy("orbit", "site").agg(*agg))
-    level = F.when(F.col("n0") >= LEAST_BOX, 0).when(F.col("n1") >= LEAST_BOX, 1).otherwise(2)
-    j = j.withColumn("l", level)
-    at = lambda name: _first([F.col("l") == i for i in range(2)], [F.col(f"{name[0]}{i}{name[1:]}") for i in range(2)], F.col(f"{name[0]}2{name[1:]}"))
-    j = j.select("orbit", "site", "top", F.element_at(F.array(*map(F.lit, LEVELS)), F.col("l") + 1).alias("qa_level"), F.coalesce(at("n"), F.lit(0)).cast("long").alias("n_box"), at("m").alias("background"), *[at(f"{c}_{k}").alias(f"{c}_{k}") for c in "nm" for k in range(len(RADII))])
+    # NaN is the best quality, as in Spark's order; unknown quality reaches no level
+    s = soundings.withColumn("qa", F.when(F.isnan("qa"), float("inf")).otherwise(F.col("qa")))
+    names = ["top", "level", "n_box", "background", *[f"{c}_{k}" for c in "nm" for k in range(len(RADII))]]
+    j = _asked(pairs, around_sites(s, sites, pairs, _box, names, BOX))
+    j = j.withColumns({"qa_level": F.element_at(F.array(*map(F.lit, LEVELS)), F.coalesce("level", F.lit(2)).cast("int") + 1), "n_box": F.coalesce("n_box", F.lit(0)).cast("long")})
     has = [F.col(f"n_{k}") >= 1 for k in range(len(RADII))]
     pick = lambda values: _first(has, values, F.lit(None))
     j = j.withColumns({"radius": pick([F.lit(r) for r in RADII]), "n_near": pick([F.col(f"n_{k}") for k in range(3)]), "near_mean": pick([F.col(f"m_{k}") for k in range(3)])})

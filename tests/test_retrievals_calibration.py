@@ -1,4 +1,5 @@
 import datetime as dt
+import math
 import random
 import statistics
 
@@ -181,6 +182,32 @@ def test_annulus(spark):
     assert (got[8, 1].error, got[9, 1].error, got[7, 3].error, got[7, 4].error) == ("few_background", "swath_miss", "swath_miss", "swath_miss")
 
 
+def test_soundings_meet_sites_by_tile_not_as_pairs(spark):
+    rng = random.Random(4)
+    lon = lambda x: (x + 180) % 360 - 180
+    sound = [(rng.randrange(2), round(rng.uniform(48, 52.5), 2), round(lon(rng.uniform(177.5, 182)), 2), rng.uniform(1800, 1900) if rng.random() > 0.1 else None, rng.choice([None, 0.2, 0.4, 0.9])) for _ in range(3000)]
+    places = [(s, round(rng.uniform(49, 51.5), 2), round(lon(rng.uniform(178.5, 181)), 2)) for s in range(40)] + [(40, 50.0, 180.0), (41, 50.0, -180.0), (42, 50.0, 180.0)]
+    d, sites = spark.createDataFrame(sound, SOUND), spark.createDataFrame(places, SITES)
+    pairs = spark.createDataFrame([(o, s) for o in range(3) for s in range(43)], "orbit long, site int")
+    df = S.annulus_enhancement(d, sites, pairs)
+    assert "FlatMapCoGroupsInArrow" in df._jdf.queryExecution().toString()  # no row for each sounding and site
+    got = {(r.orbit, r.site): r for r in df.collect()}
+    box = {(r.orbit, r.site): r for r in S.box_enhancement(d, sites, pairs).collect()}
+    assert len(got) == len(box) == 129
+    for (o, s), r in got.items():
+        _, slat, slon = places[s]
+        near = [(round(a - slat, 9), round((b - slon + 180) % 360 - 180, 9), x, q) for k, a, b, x, q in sound if k == o]
+        near = [p for p in near if abs(p[0]) <= 1 and abs(p[1]) <= 1]
+        ok = sorted((math.hypot(a, b), a, b, x) for a, b, x, q in near if x is not None and (q or 0) >= 0.5)
+        ring = [x for k, _, _, x in ok if 0.25 <= k <= 1]
+        assert r.n_bg == len(ring) and (r.error == "swath_miss") == (not ok or ok[0][0] > 0.15)
+        if r.error is None:
+            assert (r.site_xch4, r.bg_xch4) == (pytest.approx(ok[0][3], abs=0.006), pytest.approx(np.percentile(ring, 20), abs=0.006))
+        good = [x for _, _, x, q in near if (q or 0) >= 0.5]
+        assert box[o, s].n_box == len(good) and (o == 2 or box[o, s].background == pytest.approx(np.median([x for x in good if x is not None]), abs=0.006))
+    assert {r[2:] for r in (got[0, 40], got[0, 41], got[0, 42])} == {got[0, 40][2:]}
+
+
 def test_box_relaxes(spark):
     sites = spark.createDataFrame([(1, 50.0, 10.0)], SITES)
     rows = [(1, 50.1, 10.1, 1900.0, 0.6), (1, 50.6, 10.0, 1850.0, 0.6), (1, 49.5, 10.0, 1860.0, 0.6)]  # good at once
