@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from plumeledger.sources.scratch import kept
+
 BUCKETS = 64
+MOST_BINS = 100_000
 
 
 def dealt_out(df: DataFrame, key: str) -> DataFrame:
@@ -40,20 +43,41 @@ def running_totals(df: DataFrame, key: str, names: list[str], descending: bool =
     return both.select(*df.columns, *[(F.col(f"upto_{n}") + F.col(f"_{n}")).alias(f"upto_{n}") for n in names])
 
 
+def with_few(df: DataFrame, few: DataFrame, on: Column, how: str = "inner") -> DataFrame:
+    """df joined with a written table that is mostly small: it is broadcast once its rows are counted as such, else both are shuffled."""
+    return df.join(few.hint("broadcast" if few.count() <= MOST_BINS else "merge"), on, how)
+
+
+def _bin(v: Column) -> Column:
+    """A whole number that grows with v: the logarithm of its size in steps of 1/128, below 0 for negative values; NaN is last."""
+    size = F.when(F.abs(v) == float("inf"), 10**6).otherwise(F.floor(F.log(F.abs(v)) * 128) + 200_000)  # ln of a double is within -746 and 710
+    return F.when(F.isnan(v), 10**6 + 1).when(v == 0, 0).when(v > 0, size).otherwise(-size).cast("int")
+
+
 def order_statistics(df: DataFrame, value: str, places: dict[str, str], by: str) -> DataFrame:
     """(by, n, <name>...) of each group: values at fractional places 1..n of the group's order, between two neighbours linearly.
 
-    places: name -> SQL expression of n, such as "(n + 1) * 0.25"; it is held within 1 and n. Equal values are counted first and ranked by
-    ranges, so no group meets in one task or one state. Null values are left out, and groups without others.
+    places: name -> SQL expression of n, such as "(n + 1) * 0.25"; it is held within 1 and n. Rows are first counted by bins, so that only those
+    of a bin that a place falls in are ranked; a group whose values share a bin is ranked whole. Equal values are counted first and ranked by
+    ranges, so no group meets in one task or one state. Null values are left out, and groups without others. df is read twice.
     """
-    c = df.where(F.col(value).isNotNull()).groupBy(F.col(by).alias("g"), F.col(value).cast("double").alias("v")).agg(F.count(F.lit(1)).alias("c"))
-    r = running_totals(c, "v", ["c"], descending=False, by=("g",))
-    n = c.groupBy(F.col("g").alias("g2")).agg(F.sum("c").alias("n"))
+    x = df.where(F.col(value).isNotNull()).select(F.col(by).alias("g"), F.col(value).cast("double").alias("v")).withColumn("b", _bin(F.col("v")))
+    bins = kept(x.groupBy("g", "b").agg(F.count(F.lit(1)).alias("c")), "value-bins")
+    upto = running_totals(bins, "b", ["c"], descending=False, by=("g",))
+    n = bins.groupBy(F.col("g").alias("g2")).agg(F.sum("c").alias("n"))
     at = F.array(*[F.struct(F.lit(k).alias("k"), F.greatest(F.lit(1.0), F.least(F.expr(e).cast("double"), F.col("n").cast("double"))).alias("at")) for k, e in places.items()])
     want = n.select("g2", "n", F.explode(at).alias("w")).select("g2", "n", "w.k", "w.at")
     # the value at rank j is the one whose running count first reaches j
     near = (F.col("upto_c") >= F.floor("at")) & (F.col("upto_c") - F.col("c") < F.floor("at") + 1)
-    j = r.join(want.hint("merge"), r.g.eqNullSafe(F.col("g2"))).where(near)
+    held = upto.join(want.hint("merge"), upto.g.eqNullSafe(F.col("g2"))).where(near)
+    held = kept(held.select("g", "b", "k", "n", "at", (F.col("upto_c") - F.col("c")).alias("before")), "value-places")
+    some = kept(held.select(F.col("g").alias("g1"), F.col("b").alias("b1"), "before").distinct(), "value-bins")
+    y = with_few(x, some, x.g.eqNullSafe(F.col("g1")) & (x.b == F.col("b1")), "left_semi")
+    c = y.groupBy(F.struct("g", "b").alias("gb"), "v").agg(F.count(F.lit(1)).alias("c"))
+    r = running_totals(kept(c, "values"), "v", ["c"], descending=False, by=("gb",))
+    r = r.join(some.hint("merge"), F.col("gb.g").eqNullSafe(F.col("g1")) & (F.col("gb.b") == F.col("b1"))).select("gb", "v", "c", (F.col("upto_c") + F.col("before")).alias("upto_c"))
+    want = held.select(F.col("g").alias("g2"), F.col("b").alias("b2"), "n", "k", "at")
+    j = r.join(want.hint("merge"), F.col("gb.g").eqNullSafe(F.col("g2")) & (F.col("gb.b") == F.col("b2"))).where(near)
     low = F.max(F.when(F.col("upto_c") - F.col("c") < F.floor("at"), F.col("v")))
     high = F.max("v")
     share = F.first(F.col("at") - F.floor("at"))

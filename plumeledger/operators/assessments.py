@@ -11,6 +11,8 @@ from pyspark.sql import Window as W
 
 from plumeledger.functions import hazard as H
 from plumeledger.functions import scalars as S
+from plumeledger.functions.running import with_few
+from plumeledger.sources.scratch import kept
 
 
 def annual_by_month(df: DataFrame, floor: float = 300.0) -> DataFrame:
@@ -47,14 +49,16 @@ def dual_score(n_dual: Column, n_valid: Column) -> Column:
 def leakage(evaluated: DataFrame, trained: DataFrame, days: int = 14) -> DataFrame:
     """(id, nearest, leak): days to the nearest training day of the site, and whether it is under `days`; null and false without one.
 
-    The training days before and after come from a window over both tables by site and day, so no pairs are made.
+    The training days before and after come from windows over the sites' days (a site has some hundreds a year), so neither pairs nor the
+    rows of a site meet. Both windows run up to the current day: one that runs from it to the end works out every row's end anew.
     """
-    e = evaluated.select("site", "day", "id", F.lit(None).cast("date").alias("t"))
-    t = trained.select("site", "day").distinct().select("site", "day", F.lit(None).cast(evaluated.schema["id"].dataType).alias("id"), F.col("day").alias("t"))
-    by = W.partitionBy("site").orderBy("day")
-    both = e.unionByName(t).withColumns({"before": F.last("t", True).over(by.rangeBetween(W.unboundedPreceding, W.currentRow)), "after": F.first("t", True).over(by.rangeBetween(W.currentRow, W.unboundedFollowing))})
-    gap = F.least(F.datediff("day", "before"), F.datediff("after", "day"))
-    return both.where("t is null").select("id", gap.alias("nearest"), F.coalesce(gap < days, F.lit(False)).alias("leak"))
+    t = trained.select("site", "day").distinct().select("site", "day", F.col("day").alias("t"))
+    days_of = evaluated.select("site", "day").distinct().withColumn("t", F.lit(None).cast("date")).unionByName(t)
+    upto = lambda order: W.partitionBy("site").orderBy(order).rangeBetween(W.unboundedPreceding, W.currentRow)
+    near = days_of.withColumns({"before": F.last("t", True).over(upto(F.col("day"))), "after": F.last("t", True).over(upto(F.col("day").desc()))})
+    near = near.where("t is null").select(F.col("site").alias("_site"), F.col("day").alias("_day"), F.least(F.datediff("day", "before"), F.datediff("after", "day")).alias("gap"))
+    j = with_few(evaluated, kept(near, "site-days"), F.col("site").eqNullSafe(F.col("_site")) & (F.col("day") == F.col("_day")), "left")
+    return j.select("id", F.col("gap").alias("nearest"), F.coalesce(F.col("gap") < days, F.lit(False)).alias("leak"))
 
 
 def model_pairing(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
