@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -81,6 +82,22 @@ def uniform(*keys: Column) -> Column:
     return (x + 0.5) / 2_147_483_647.0
 
 
+def uniforms(*keys) -> np.ndarray:
+    """uniform() of arrays of whole numbers, the same numbers."""
+    m, x = 2_147_483_647, np.int64(20_231)
+    for k in keys:
+        x = (x + np.mod(k, m) + 1) * 48_271 % m
+        x = ((x * x + 7) % m + 11) * 69_621 % m
+    return (x + 0.5) / 2_147_483_647.0
+
+
+def normal_points(u: np.ndarray) -> np.ndarray:
+    """normal_point() of an array."""
+    t = np.sqrt(-2 * np.log(np.minimum(u, 1 - u)))
+    t = t - (2.515517 + t * (0.802853 + t * 0.010328)) / (1 + t * (1.432788 + t * (0.189269 + t * 0.001308)))
+    return np.where(u > 0.5, t, -t)
+
+
 def default_frequency(distance: Column) -> Column:
     """Per cent."""
     return 50 * erfc(distance / 2**0.5)

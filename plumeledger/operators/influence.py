@@ -10,7 +10,6 @@ from plumeledger.functions import scalars as S
 from plumeledger.functions.running import order_statistics
 from plumeledger.operators import risk as R
 from plumeledger.operators.validation import roc_curve
-from plumeledger.sources.scratch import scratch_dir
 
 # What stands around the middle of n ordered values once one of them is taken out.
 _MIDDLE = {"m": "(n + 1) / 2.0", "a": "floor(n / 2.0)", "a1": "floor(n / 2.0) + 1", "b": "ceil(n / 2.0)", "b1": "ceil(n / 2.0) + 1"}
@@ -170,24 +169,21 @@ def portfolio_tornado(paths: DataFrame, scores: DataFrame, scenario: str = "orde
     a, b = H.beta_moments(F.col("p"), F.col("p_lo"), F.col("p_hi"))
     sites = _detections(scores, rules).join(F.broadcast(table), "rule").select("kind", "site", a.alias("a"), b.alias("b"), "sd", F.when(F.col("flow") > 0, F.log("flow") - F.col("sd") * F.col("sd") / 2).alias("mu"))
     # A path's last price and discounted prices, with the multipliers of the years.
-    weight = F.lit(0.0)
-    for y in range(first, first + years):
-        weight = F.when(F.col("year") == y, float(R.interpolated(R.SCENARIOS[scenario]["multiplier"], y))).otherwise(weight)
-    cost = F.col("price") * weight
-    last = F.sum(F.when(F.col("year") == first + years - 1, cost)).alias("last")
-    folded = R.price_paths(paths, scenario, years, first).groupBy("path").agg(last, *[F.sum(cost / F.pow(F.lit(1 + r), F.col("year") - first + 1)).alias(f"npv{i}") for i, r in enumerate(rates)])
+    cost = [F.col(f"price_{i}") * float(R.interpolated(R.SCENARIOS[scenario]["multiplier"], first + i)) for i in range(years)]
+    npv = [sum((c / (1 + r) ** (i + 1) for i, c in enumerate(cost)), F.lit(0.0)) for r in rates]
+    folded = R.priced(paths.select("path"), scenario, years, first).select("path", cost[-1].alias("last"), *[v.alias(f"npv{i}") for i, v in enumerate(npv)])
     # Every site meets every path, which is what is asked for; the sites are one row, so that no join without a key is needed.
     if scores.select("site").distinct().count() > R.MOST_SITES:
         raise ValueError(f"more than {R.MOST_SITES} sites: run them in parts")
-    held = sites.agg(F.collect_list(F.struct("*")).alias("all"))
-    d = folded.crossJoin(F.broadcast(held)).select("path", "last", *[f"npv{i}" for i in range(len(rates))], F.inline("all"))  # one row, of a checked number of sites
-    share = F.coalesce(R.beta_point(H.uniform(F.col("path"), F.col("site"), F.lit(1)), F.col("a"), F.col("b")), F.lit(0.0))
-    flow = F.coalesce(F.exp(F.col("mu") + F.col("sd") * H.normal_point(H.uniform(F.col("path"), F.col("site"), F.lit(2)))), F.lit(0.0))
+    held = sites.groupBy("site").agg(F.collect_list(F.struct("kind", "a", "b", "sd", "mu")).alias("kinds")).agg(F.collect_list(F.struct("site", "kinds")).alias("all"))
+    figures = ["path", "last", *[f"npv{i}" for i in range(len(rates))]]
+    d = folded.crossJoin(F.broadcast(held)).select(*figures, F.inline("all"))  # one row, of a checked number of sites
+    d = R.drawn(d).select(*figures, "site", "u1", "y1", "z2", F.inline("kinds"))  # all kinds share a site's draws
+    share = F.coalesce(R.beta_point(F.col("u1"), F.col("y1"), F.col("a"), F.col("b")), F.lit(0.0))
+    flow = F.coalesce(F.exp(F.col("mu") + F.col("sd") * F.col("z2")), F.lit(0.0))
     t = d.withColumn("t", share * flow * 8760 * 0.85 / 1000 * base.get("gwp100", 29.8))
+    # Not written: to draw again takes less than to keep a row for each path, site and kind.
     t = t.select((F.col("site") * len(kinds) + F.col("kind")).alias("group"), (F.col("t") * F.col("last")).alias("last"), *[(F.col("t") * F.col(f"npv{i}")).alias(f"npv{i}") for i in range(len(rates))])
-    path = scratch_dir(paths.sparkSession, "tornado-draws")  # drawn once, read by the ranking and by the means
-    t.write.parquet(path)
-    t = paths.sparkSession.read.schema(t.schema).parquet(path)
     tail = order_statistics(t, "last", {"var95": "1 + (n - 1) * 0.95D"}, "group").drop("n")
     mean = t.groupBy(F.col("group").alias("_of")).agg(*[F.avg(f"npv{i}").alias(f"npv{i}") for i in range(len(rates))])
     per = tail.join(mean.hint("merge"), F.col("group") == F.col("_of")).groupBy((F.col("group") % len(kinds)).cast("int").alias("kind")).agg(F.sum("var95").alias("var95"), *[F.sum(f"npv{i}").alias(f"npv{i}") for i in range(len(rates))])

@@ -6,11 +6,13 @@ leaves the other draws as they are. Sites, scenarios and parameters are small ta
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumeledger.functions import hazard as H
-from plumeledger.functions.running import order_statistics
+from plumeledger.functions.running import order_statistics, with_few
 from plumeledger.sources.scratch import kept
 
 # Carbon price in EUR a tonne and methane multiplier by anchor year, drift, volatility, and shock (year, size) of each scenario.
@@ -33,6 +35,7 @@ SCENARIOS = {
 }
 REVERSION, LEAST_PRICE = 0.3, 10.0
 MOST_SITES = 10_000
+DRAWS = 200_000
 
 # The liability layers.
 MEAN_T, LO_T, HI_T, N_OBS = 4174.0, 2987.0, 5360.0, 30
@@ -49,34 +52,36 @@ def interpolated(anchors: dict[int, float], year: int) -> float:
     return round(anchors[lo] + (anchors[hi] - anchors[lo]) * ((y - lo) / (hi - lo) if hi > lo else 0), 2)
 
 
-def price_paths(paths: DataFrame, scenario: str, years: int = 10, first: int = 2024) -> DataFrame:
-    """(path, year, price): each path's fold over the years, parallel over paths.
+def priced(paths: DataFrame, scenario: str, years: int = 10, first: int = 2024) -> DataFrame:
+    """paths with price_0, price_1, ... of the years from `first` on.
 
     The first year has the scenario's price. Each year's log return is the drift, a share of the way to the scenario's price,
-    the shock in its year, and noise; no price falls under the least.
+    the shock in its year, and noise; no price falls under the least. A step is a column of its own, so that it is worked out once.
     """
-    s = SCENARIOS[scenario]
-    steps = [F.struct(F.lit(y).alias("y"), F.lit(float(interpolated(s["price"], y))).alias("target"), F.lit(s["shock"][1] if y == s["shock"][0] else 0.0).alias("jump")) for y in range(first + 1, first + years)]
-    start = F.array(F.lit(float(interpolated(s["price"], first))))
+    s, later = SCENARIOS[scenario], range(1, years)
+    d = paths.withColumn("_z", _yearly(first, years)(F.col("path").cast("long"))) if years > 1 else paths
+    d = d.withColumn("price_0", F.lit(float(interpolated(s["price"], first))))
+    for i in later:
+        last, target, jump = F.col(f"price_{i - 1}"), F.lit(float(interpolated(s["price"], first + i))), F.lit(s["shock"][1] if first + i == s["shock"][0] else 0.0)
+        drift = s["drift"] + REVERSION * F.log(target / last) + jump
+        d = d.withColumn(f"price_{i}", F.greatest(F.lit(LEAST_PRICE), last * F.exp(drift - 0.5 * s["vol"] ** 2 + s["vol"] * F.col("_z")[i - 1])))
+    return d.select(*paths.columns, *[f"price_{i}" for i in range(years)])
 
-    def step(done: Column, x: Column) -> Column:
-        last = F.element_at(done, -1)
-        z = H.normal_point(H.uniform(F.col("path"), x["y"]))
-        drift = s["drift"] + REVERSION * F.log(x["target"] / last) + x["jump"]
-        return F.concat(done, F.array(F.greatest(F.lit(LEAST_PRICE), last * F.exp(drift - 0.5 * s["vol"] ** 2 + s["vol"] * z))))
 
-    prices = F.aggregate(F.array(*steps), start, step) if steps else start
-    return paths.select("path", F.posexplode(prices).alias("i", "price")).select("path", (F.col("i") + first).alias("year"), "price")
+def price_paths(paths: DataFrame, scenario: str, years: int = 10, first: int = 2024) -> DataFrame:
+    """(path, year, price) of priced(), parallel over paths."""
+    years = max(years, 1)
+    d = priced(paths.select("path"), scenario, years, first)
+    return d.select("path", F.posexplode(F.array(*[f"price_{i}" for i in range(years)])).alias("i", "price")).select("path", (F.col("i") + first).alias("year"), "price")
 
 
-def beta_point(u: Column, a: Column, b: Column) -> Column:
-    """Quantile of a beta distribution: u ** (1 / a) for b = 1, else by the normal approximation of its logit; shapes under 1 count as 1 there."""
+def beta_point(u: Column, y: Column, a: Column, b: Column) -> Column:
+    """Quantile of a beta distribution: u ** (1 / a) for b = 1, else by the normal approximation of its logit; shapes under 1 count as 1 there, unknown ones give null. y: normal_point(1 - u)."""
     a1, b1 = F.greatest(a, F.lit(1.0)), F.greatest(b, F.lit(1.0))
-    y = H.normal_point(1 - u)
     p, q = 1 / (2 * a1 - 1), 1 / (2 * b1 - 1)
     h, lam = 2 / (p + q), (y * y - 3) / 6
     w = y * F.sqrt(F.greatest(h + lam, F.lit(0.0))) / h - (q - p) * (lam + 5 / 6.0 - 2 / (3 * h))
-    return F.when(b == 1, F.pow(u, 1 / a)).otherwise(a1 / (a1 + b1 * F.exp(2 * w)))
+    return F.when(b == 1, F.pow(u, 1 / a)).when(a.isNotNull(), a1 / (a1 + b1 * F.exp(2 * w)))
 
 
 def site_cost_draws(paths: DataFrame, sites: DataFrame, scenario: str, years: int = 10, first: int = 2024, sigma: float = 0.30) -> DataFrame:
@@ -85,46 +90,76 @@ def site_cost_draws(paths: DataFrame, sites: DataFrame, scenario: str, years: in
     cost = p * flow * 8760 * 0.85 / 1000 * 29.8 * price * multiplier; a site's p and flow are drawn once a path, p from a beta
     distribution (0 where p is 0), flow from a lognormal one.
     """
-    prices = price_paths(paths, scenario, years, first)
     a, b = H.beta_moments(F.col("p"), F.col("p_lo"), F.col("p_hi"))
     d = sites.select("site", "ticker", a.alias("a"), b.alias("b"), H.lognormal_mu(F.col("flow"), sigma).alias("mu"))
     # The few sites go through the driver as one array, so that no join without a key is needed.
     rows = d.orderBy("site").take(MOST_SITES + 1)
     if len(rows) > MOST_SITES:
         raise ValueError(f"more than {MOST_SITES} sites: run them in parts")
-    d = paths.sparkSession.createDataFrame(rows, d.schema).agg(F.collect_list(F.struct("*")).alias("all"))
-    d = paths.select("path").crossJoin(F.broadcast(d)).select("path", F.explode("all").alias("x")).select("path", "x.*")  # one row
-    rate = F.coalesce(beta_point(H.uniform(F.col("path"), F.col("site"), F.lit(1)), F.col("a"), F.col("b")), F.lit(0.0))
-    flow = F.coalesce(F.exp(F.col("mu") + sigma * H.normal_point(H.uniform(F.col("path"), F.col("site"), F.lit(2)))), F.lit(0.0))
-    d = d.select("site", "ticker", "path", (rate * flow * 8760 * 0.85 / 1000 * 29.8).alias("t_co2e"))
-    mult = F.lit(0.0)
-    for y in range(first, first + years):
-        mult = F.when(F.col("year") == y, float(interpolated(SCENARIOS[scenario]["multiplier"], y))).otherwise(mult)
-    return d.join(prices.hint("merge"), "path").select("site", "ticker", "path", "year", (F.col("t_co2e") * F.col("price") * mult).alias("cost"))
+    spark = paths.sparkSession
+    few = spark.createDataFrame(rows, d.schema).agg(F.collect_list(F.struct("*")).alias("all"))
+    p = priced(paths.where("path is not null").select("path"), scenario, years, first)
+    mult = [float(interpolated(SCENARIOS[scenario]["multiplier"], y)) for y in range(first, first + years)]
+    p = p.select("path", F.array(*[F.struct(F.lit(first + i).alias("year"), F.col(f"price_{i}").alias("price"), F.lit(m).alias("mult")) for i, m in enumerate(mult)]).alias("years"))
+    d = p.crossJoin(F.broadcast(few)).select("path", "years", F.explode("all").alias("x")).select("path", "years", "x.*")  # one row
+    d = drawn(d)
+    rate = F.coalesce(beta_point(F.col("u1"), F.col("y1"), F.col("a"), F.col("b")), F.lit(0.0))
+    flow = F.coalesce(F.exp(F.col("mu") + sigma * F.col("z2")), F.lit(0.0))
+    d = d.select("site", "ticker", "path", "years", (rate * flow * 8760 * 0.85 / 1000 * 29.8).alias("t_co2e"))
+    d = d.select("site", "ticker", "path", "t_co2e", F.explode("years").alias("x"))
+    return d.select("site", "ticker", "path", "x.year", (F.col("t_co2e") * F.col("x.price") * F.col("x.mult")).alias("cost"))
+
+
+def drawn(d: DataFrame) -> DataFrame:
+    """d (path, site, ...) with u1, a path's uniform number for the rate of a site, y1 = normal_point(1 - u1), and z2, the normal number for its flow."""
+
+    @F.arrow_udf("u1 double, y1 double, z2 double")
+    def of(path: pa.Array, site: pa.Array) -> pa.Array:
+        unknown = np.asarray(path.is_null()) | np.asarray(site.is_null())
+        keys = [np.asarray(x.fill_null(0)) for x in (path, site)]
+        u1, u2 = H.uniforms(*keys, 1), H.uniforms(*keys, 2)
+        return pa.StructArray.from_arrays([pa.array(x, mask=unknown) for x in (u1, H.normal_points(1 - u1), H.normal_points(u2))], names=["u1", "y1", "z2"])
+
+    return d.withColumn("_draw", of(F.col("path").cast("long"), F.col("site").cast("long"))).select("*", "_draw.*").drop("_draw")
+
+
+def _yearly(first: int, years: int):
+    """The normal numbers of a path in the years after the first, as an array; null for an unknown path."""
+
+    @F.arrow_udf("array<double>")
+    def of(path: pa.Array) -> pa.Array:
+        keys, later = np.asarray(path.fill_null(0)), np.arange(first + 1, first + years)
+        z = H.normal_points(H.uniforms(keys[:, None], later[None, :]))
+        ends = pa.array(np.arange(len(keys) + 1) * len(later), pa.int32())
+        return pa.ListArray.from_arrays(ends, pa.array(z.ravel()), mask=path.is_null())
+
+    return of
 
 
 def loss_stats(draws: DataFrame, by: list[str], rate: float = 0.05, first: int = 2024) -> DataFrame:
-    """(by, year, mean, p50, p95, p99) of the costs of each year; exact percentiles, ranked by ranges. The draws are written once."""
-    d = kept(draws.select(F.struct(*by, "year").alias("_k"), F.col("cost").cast("double").alias("_v")), "loss-draws")
+    """(by, year, mean, p50, p95, p99) of the costs of each year; exact percentiles, ranked by ranges. The draws are read three times and not written, so they must be the same each time."""
+    d = draws.select(F.struct(*by, "year").alias("_k"), F.col("cost").cast("double").alias("_v"))
     q = order_statistics(d, "_v", {n: _place(p) for n, p in (("p50", 0.5), ("p95", 0.95), ("p99", 0.99))}, "_k").drop("n")
     g = d.groupBy(F.col("_k").alias("_of")).agg(F.avg("_v").alias("mean"))
     j = g.join(q.hint("merge"), F.col("_of").eqNullSafe(F.col("_k")), "left")
     return j.select("_of.*", *[F.round(c, 2).alias(c) for c in ("mean", "p50", "p95", "p99")])
 
 
-def terminal_losses(draws: DataFrame, by: list[str], rate: float = 0.05, first: int = 2024) -> DataFrame:
-    """(by, mean, var95, cvar95, npv_mean, npv_p95): the last year's cost and the discounted sum of all years, by path; exact percentiles, ranked by ranges. The paths' figures are written once."""
-    last = draws.agg(F.max("year").alias("last"))
-    d = draws.join(F.broadcast(last), F.lit(True))  # one row
+def terminal_losses(draws: DataFrame, by: list[str], rate: float = 0.05, first: int = 2024, last: int | None = None) -> DataFrame:
+    """(by, mean, var95, cvar95, npv_mean, npv_p95): the last year's cost and the discounted sum of all years, by path; exact percentiles, ranked by ranges. The paths' figures are written once; the last year is looked for where it is not given."""
+    if last is None:
+        d = draws.join(F.broadcast(draws.agg(F.max("year").alias("last"))), F.lit(True))  # one row
+    else:
+        d = draws.withColumn("last", F.lit(last))
     t, npv = F.sum(F.when(F.col("year") == F.col("last"), F.col("cost"))).alias("t"), F.sum(F.col("cost") / F.pow(F.lit(1 + rate), F.col("year") - first + 1)).alias("npv")
     one = kept(d.groupBy(*by, "path").agg(t, npv).select(F.struct(*by, F.lit(0).alias("_all")).alias("_k"), "t", "npv"), "terminal-losses")
     g = one.groupBy(F.col("_k").alias("_of")).agg(F.avg("t").alias("mean"), F.avg("npv").alias("npv_mean"))
     for value, name in (("t", "var95"), ("npv", "npv_p95")):
         q = order_statistics(one, value, {name: _place(0.95)}, "_k").drop("n")
         g = g.join(q.hint("merge"), F.col("_of").eqNullSafe(F.col("_k")), "left").drop("_k")
-    j = one.join(g.hint("merge"), F.col("_k").eqNullSafe(F.col("_of")))
-    tail = F.avg(F.when(F.col("t") >= F.col("var95"), F.col("t")))
-    out = j.groupBy("_k").agg(*[F.first(c).alias(c) for c in ("mean", "var95", "npv_mean", "npv_p95")], tail.alias("cvar95"))
+    g = kept(g, "terminal-groups")
+    tail = with_few(one.select("_k", F.col("t").alias("_t")), g.select("_of", "var95"), F.col("_k").eqNullSafe(F.col("_of"))).groupBy("_k").agg(F.avg(F.when(F.col("_t") >= F.col("var95"), F.col("_t"))).alias("cvar95"))
+    out = g.join(tail.hint("merge"), F.col("_of").eqNullSafe(F.col("_k")))
     return out.select(*[F.col("_k")[b].alias(b) for b in by], *[F.round(c, 2).alias(c) for c in ("mean", "var95", "cvar95", "npv_mean", "npv_p95")])
 
 
@@ -206,18 +241,50 @@ def tau_sensitivity(paths: DataFrame) -> DataFrame:
 def combined_uncertainty(records: DataFrame, paths: DataFrame, n: int) -> DataFrame:
     """A row a record (record, wind, coeff, mask, background in per cent): the product of four factors over the paths under n, and the quadrature.
 
-    Factors are normal around 1 and 0.01 at least; null and NaN are 0. The paths are a bounded table that every record is
-    exploded by, and combined before the shuffle.
+    Factors are normal around 1 and 0.01 at least; null and NaN are 0. A record that is listed again counts its draws again. A record's n draws are a
+    row of an array in a task, some DRAWS numbers at a time, and never rows of a table.
     """
     sigma = lambda c: F.nanvl(F.coalesce(F.col(c).cast("double"), F.lit(0.0)), F.lit(0.0)) / 100
     names = ("wind", "coeff", "mask", "background")
-    d = records.select("record", *names, F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("i"))
-    f = F.lit(1.0)
-    for k, c in enumerate(names):
-        f = f * F.greatest(F.lit(0.01), 1 + sigma(c) * H.normal_point(H.uniform(F.col("record"), F.col("i"), F.lit(k))))
-    g = d.withColumn("f", f).groupBy("record", *names).agg(F.avg("f").alias("m"), F.stddev_samp("f").alias("s"), F.percentile("f", F.lit(0.05)).alias("p5"), F.percentile("f", F.lit(0.95)).alias("p95"))
     quad = 100 * H.quadrature(*[sigma(c) for c in names])
-    return g.select("record", F.round("m", 4).alias("mean"), F.round("s", 4).alias("sd"), F.round("p5", 4).alias("p5"), F.round("p95", 4).alias("p95"), F.round(100 * F.col("s") / F.col("m"), 1).alias("mc_pct"), F.round(quad, 1).alias("quad_pct"))
+    d = records.groupBy("record", *names).agg(F.count("*").alias("times")).select("record", F.col("record").cast("long").alias("key"), "times", *[sigma(c).alias(c) for c in names], quad.alias("quad"))
+    kind = records.schema["record"].dataType.simpleString()
+    g = d.mapInArrow(_factor_figures(names, n), f"record {kind}, m double, s double, p5 double, p95 double, quad double")
+    return g.select("record", F.round("m", 4).alias("mean"), F.round("s", 4).alias("sd"), F.round("p5", 4).alias("p5"), F.round("p95", 4).alias("p95"), F.round(100 * F.col("s") / F.col("m"), 1).alias("mc_pct"), F.round("quad", 1).alias("quad_pct"))
+
+
+def _factor_figures(names: tuple[str, ...], n: int):
+    """For mapInArrow: mean, deviation and percentiles of each record's n products; null keys give nulls."""
+
+    def figures(keys, times, sigmas):
+        f = 1.0
+        for k in range(len(names)):
+            f = f * np.maximum(0.01, 1 + sigmas[:, k : k + 1] * H.normal_points(H.uniforms(keys[:, None], np.arange(n)[None, :], k)))
+        m = f.mean(axis=1)
+        count = n * times
+        s = np.sqrt(((f - m[:, None]) ** 2).sum(axis=1) * times / np.where(count > 1, count - 1, np.nan))
+        f.sort(axis=1)
+        out = [m, s]
+        for share in (0.05, 0.95):  # of n * times ordered values, each `times` over
+            at = share * (count - 1)
+            lo, hi = np.floor(at).astype(np.int64), np.ceil(at).astype(np.int64)
+            row = np.arange(len(f))
+            low, high = f[row, lo // times], f[row, hi // times]
+            out.append(np.where(lo == hi, low, (hi - at) * low + (at - lo) * high))
+        return out
+
+    def of(batches):
+        for b in batches:
+            unknown = b["key"].is_null().to_numpy(zero_copy_only=False)
+            keys, times = b["key"].fill_null(0).to_numpy(zero_copy_only=False), b["times"].to_numpy()
+            sigmas = np.stack([b[c].to_numpy() for c in names], 1)
+            step = max(1, DRAWS // n)
+            for i in range(0, len(keys), step):
+                got = figures(keys[i : i + step], times[i : i + step], sigmas[i : i + step])
+                got = [pa.array(x, mask=unknown[i : i + step], from_pandas=True) for x in got]
+                yield pa.RecordBatch.from_arrays([b["record"].slice(i, step), *got, b["quad"].slice(i, step)], names=["record", "m", "s", "p5", "p95", "quad"])
+
+    return of
 
 
 def variance_shares(sigmas: DataFrame, by: str) -> DataFrame:
@@ -230,14 +297,13 @@ def variance_shares(sigmas: DataFrame, by: str) -> DataFrame:
 def tornado(paths: DataFrame, parameters: list[tuple[str, float, float, float]]) -> DataFrame:
     """(param, level, var95, delta): the liability's 95th percentile with each parameter (name, base, low, high) at its low and high, and the change from the base run.
 
-    One pass: every path is exploded by the runs, whose factors multiply the base liability.
+    A run multiplies every path's liability by its factor and so the percentile, which is ranked once, by ranges.
     """
-    runs = [("base", "base", 1.0)] + [(n, tag, v / base) for n, base, low, high in parameters for tag, v in (("low", low), ("high", high))]
-    d = liability_draws(paths).select("gwp100", F.explode(F.array(*[F.struct(F.lit(p).alias("param"), F.lit(t).alias("level"), F.lit(float(k)).alias("k")) for p, t, k in runs])).alias("r"))
-    g = d.groupBy("r.param", "r.level").agg(F.percentile(F.col("gwp100") * F.col("r.k"), F.lit(0.95)).alias("v"))
-    base = g.where("param = 'base'").select(F.col("v").alias("v0"))
-    j = g.where("param <> 'base'").join(F.broadcast(base), F.lit(True))  # one row
-    return j.select("param", "level", F.round("v", 4).alias("var95"), F.round(F.col("v") - F.col("v0"), 4).alias("delta"))
+    runs = [(n, tag, v / base) for n, base, low, high in parameters for tag, v in (("low", low), ("high", high))]
+    d = liability_draws(paths).select(F.lit(0).alias("_g"), "gwp100")
+    g = order_statistics(d, "gwp100", {"v0": _place(0.95)}, "_g")
+    rows = F.array(*[F.struct(F.lit(p).alias("param"), F.lit(t).alias("level"), (F.col("v0") * float(k)).alias("v")) for p, t, k in runs])
+    return g.select("v0", F.explode(rows).alias("r")).select("r.param", "r.level", F.round("r.v", 4).alias("var95"), F.round(F.col("r.v") - F.col("v0"), 4).alias("delta"))
 
 
 def convergence(draws: DataFrame, column: str, sizes: list[int]) -> DataFrame:
