@@ -13,7 +13,9 @@ of useful width whole, so the greater part of near copies would never meet.
 
 A bucket of lines that share a key is not turned into all its pairs. Its lines are sorted by the pair that follows the key's
 run (of leave-one-out keys, by the word left out), which puts copies side by side. Each is held against the first of the bucket,
-then, where that leaves two neighbours in different groups, against its neighbour. So the work grows with the lines.
+then, where that leaves two neighbours in different groups, against its neighbour. That joins nearly all copies, and the work
+grows with the lines. What a bucket still holds in different groups is then held against each other pair by pair, in cells of
+CELL lines by CELL lines, so that no link between lines of a bucket is lost and no task holds a bucket.
 """
 
 from __future__ import annotations
@@ -35,6 +37,7 @@ END = 3
 MAX_BITS = 24
 MAX_BITS_SHORT = 30
 SHORT = 80
+CELL = 512
 
 _APART = "([\\p{IsHan}\\p{IsHiragana}\\p{IsKatakana}\\p{IsThai}\\p{IsLao}\\p{IsKhmer}\\p{IsMyanmar}])"
 
@@ -167,6 +170,29 @@ def _similar(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame
     return _edit_similar(pairs.join(x.hint("merge"), "a").join(y.hint("merge"), "b"), similarity)
 
 
+def _rest(members: DataFrame, roots: DataFrame, n_roots: int, marks: DataFrame, n_marks: int, similarity: float) -> DataFrame:
+    """Alike pairs (a, b) of the lines that share a bucket, lie in different groups and have not been held against each other.
+
+    members (key, at, lh, hub) are the lines of a bucket from its second (at 2) on. All have met the first line and their neighbours, so
+    buckets of four lines and more are left, and in them the lines that are not in the first one's group: each meets all others.
+    """
+    own, first = (roots.select(F.col("node").alias(f"n{c}"), F.col("root").alias(f"r{c}")) for c in "lh")
+    m = join_counted(join_counted(members, own, F.col("lh") == F.col("nl"), "left", rows=n_roots), first, F.col("hub") == F.col("nh"), "left", rows=n_roots)
+    m = m.select("key", "at", "lh", F.coalesce("rl", "lh").alias("root"), (F.coalesce("rl", "lh") != F.coalesce("rh", "hub")).alias("other"), F.floor((F.col("at") - 2) / CELL).alias("cell"))
+    m = written(m, "line-rooted")
+    of = m.groupBy("key").agg(F.max("at").alias("n"), F.collect_set(F.when(F.col("other"), F.col("cell"))).alias("cells")).where((F.col("n") >= 4) & (F.size("cells") > 0))
+    of = written(of.select(F.col("key").alias("k"), "cells", F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 2) / CELL)).alias("all")), "line-mixed")
+    m = join_counted(m, of, F.col("key") == F.col("k"))
+    m = join_counted(m, marks, F.col("lh") == F.col("h"), rows=n_marks)
+    fields = ("at", "lh", "root", "other", "sim", "size")
+    x = m.where("other").select("key", F.col("cell").alias("i"), F.explode("all").alias("j"), *[F.col(c).alias(f"{c}_x") for c in fields])
+    y = m.select("key", F.explode("cells").alias("i"), F.col("cell").alias("j"), *[F.col(c).alias(f"{c}_y") for c in fields])
+    once = ~F.col("other_y") | (F.col("at_x") < F.col("at_y"))  # of two such lines each would meet the other
+    far = (F.abs(F.col("at_x") - F.col("at_y")) > 1) & (F.col("root_x") != F.col("root_y"))
+    both = x.join(y.hint("merge"), ["key", "i", "j"]).where(once & far & _alike(F.col("size_x"), F.col("sim_x"), F.col("size_y"), F.col("sim_y"), similarity))
+    return both.select(F.least("lh_x", "lh_y").alias("a"), F.greatest("lh_x", "lh_y").alias("b")).distinct()
+
+
 def duplicate_lines(docs: DataFrame, *, min_words: int = MIN_WORDS, similarity: float = SIMILARITY) -> DataFrame:
     """(doc_id, dh, pos) of the lines to drop. docs: doc_id and text, without nulls in text."""
     occurrences = written(line_table(docs, min_words), "lines")
@@ -180,7 +206,7 @@ def duplicate_lines(docs: DataFrame, *, min_words: int = MIN_WORDS, similarity:
     is_first = F.col("again").isNull() | (F.col("first.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("first.pos") == F.col("pos")) & (F.col("first.dh") == F.col("dh")))
     keys = keyed.where(is_first).select("lh", F.explode("keys").alias("k")).select("lh", "k.key", "k.after")
     w = W.partitionBy("key").orderBy("after", "lh")
-    members = keys.select("lh", F.first("lh").over(w).alias("hub"), F.lag("lh").over(w).alias("before")).where("before is not null")
+    members = keys.select("key", F.row_number().over(w).alias("at"), "lh", F.first("lh").over(w).alias("hub"), F.lag("lh").over(w).alias("before")).where("before is not null")
     members = written(members, "line-members")
     ordered = lambda x: [F.least(x, "lh").alias("a"), F.greatest(x, "lh").alias("b")]
     tried = written(members.select(*ordered("hub")).where("a <> b").distinct(), "line-pairs")
@@ -199,9 +225,17 @@ def duplicate_lines(docs: DataFrame, *, min_words: int = MIN_WORDS, similarity:
     ra, rb = (roots.select(F.col("node").alias(f"n{c}"), F.col("root").alias(f"r{c}")) for c in "ab")
     apart = join_counted(join_counted(beside, ra, F.col("a") == F.col("na"), "left", rows=n_roots), rb, F.col("b") == F.col("nb"), "left", rows=n_roots)
     apart = written(alike(apart.where(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select("a", "b")), "line-apart")
+
+    def linked(roots, pairs):
+        more = written(_similar(pairs, texts, similarity), "line-links")
+        return written(components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionAll(more)), "line-roots")
+
     if not apart.isEmpty():
-        more = written(_similar(apart, texts, similarity), "line-links")
-        roots = written(components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionAll(more)), "line-roots")
+        roots = linked(roots, apart)
+        n_roots = roots.count()
+    rest = written(_rest(members, roots, n_roots, marks, n_texts, similarity), "line-rest")
+    if not rest.isEmpty():
+        roots = linked(roots, rest)
         n_roots = roots.count()
 
     grouped = join_counted(lines, roots, lines.lh == roots.node, "left", rows=n_roots).where("n > 1 or root is not null")

@@ -262,6 +262,23 @@ def test_line_dedup_recall_by_length(spark):
     assert all(found[n] >= 0.95 * sought[n] for n in sought), (found, sought)
 
 
+def test_line_dedup_of_a_bucket_of_unlike_lines(spark, monkeypatch):
+    """Copies that share one key alone, with unlike lines between them and another line first in their bucket, are found, whatever the cells' size."""
+    monkeypatch.setattr(line_dedup, "CELL", 7)
+    rng = np.random.default_rng(3)
+    word = lambda n: "".join(chr(97 + i) for i in rng.integers(0, 26, n))
+    shared = [word(20) for _ in range(4)]  # the longest pairs of every line
+    rows = []
+    for _ in range(40):
+        a = [word(rng.integers(4, 11)) for _ in range(40)]
+        b = [w[:-1] + ("a" if w[-1] != "a" else "b") if i % 6 == 0 else w for i, w in enumerate(a)]
+        rows += [(len(rows), " ".join(shared + a)), (len(rows) + 1, " ".join(shared + b))]
+    monkeypatch.setattr(line_dedup, "BLOCKS", 1)  # no key but that of the shared words
+    got = {r.doc_id: r.n_dropped for r in line_dedup.line_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(got[k] == 0 for k in range(0, 80, 2))
+    assert sum(got[k] for k in range(1, 80, 2)) >= 38, got  # SimHashes of a few may lie too far apart
+
+
 def test_line_dedup_of_every_line(spark, tmp_path):
     rows = [(1, "Share this\n今日は天気がいいですね\n---\n\nonly here"), (2, "share this\n今日は天気がいいですね\n***"), (3, "\nshare this!\n---\nonly there")]
     spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
