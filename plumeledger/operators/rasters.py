@@ -5,6 +5,8 @@ Nulls: a null band or probability is no hit and is left out of means. Empty tabl
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -12,6 +14,7 @@ from pyspark.sql import Window as W
 from plumeledger.sources.scratch import scratch_dir
 
 AT = ["scene", "row", "col"]
+TILE = 32
 
 
 def normalize_band(x: Column) -> Column:
@@ -133,11 +136,41 @@ def scene_contrast(px: DataFrame, pairs: DataFrame, ts: list[float]) -> DataFram
     return x.select("scene", "clean", t.alias("t"), "n_scene", F.get("m", "i").alias("n_clean")).withColumn("ratio", F.try_divide("n_scene", "n_clean"))
 
 
+def _tile_groups():
+    """Of each tile, an array of places row * TILE + col: the least place of the group that each is 4-connected to, in the same order."""
+
+    @F.arrow_udf("array<int>")
+    def of(tiles: pa.Array) -> pa.Array:
+        n, size = np.asarray(tiles.value_lengths(), np.int64), TILE * TILE
+        at = np.asarray(tiles.flatten(), np.int64)
+        keys, back = np.unique(np.repeat(np.arange(len(n)), n) * size + at, return_inverse=True)
+        a, b = [], []
+        for step, inside in ((1, keys % TILE < TILE - 1), (TILE, keys % size < size - TILE)):
+            x = np.flatnonzero(inside)
+            y = np.minimum(np.searchsorted(keys, keys[x] + step), len(keys) - 1)
+            met = keys[y] == keys[x] + step
+            a.append(x[met])
+            b.append(y[met])
+        a, b, to = np.concatenate(a), np.concatenate(b), np.arange(len(keys))
+        while True:
+            p, q = to[a], to[b]
+            if np.array_equal(p, q):
+                break
+            np.minimum.at(to, np.maximum(p, q), np.minimum(p, q))
+            while not np.array_equal(to, to[to]):
+                to = to[to]
+        ends = pa.array(np.append(0, np.cumsum(n)), pa.int32())
+        return pa.ListArray.from_arrays(ends, pa.array((keys[to][back] % size).astype(np.int32)))
+
+    return of
+
+
 def connected_events(px: DataFrame, hit: Column) -> DataFrame:
     """Hit pixels (scene, row, col, prob) with the event they belong to: the least place row * 2^32 + col of the 4-connected group.
 
-    Pixels of a row that touch are a run; runs are the nodes, and touching pixels of adjacent rows their edges. Each round
-    joins a run to its neighbour of least hash, under a hash of that round, which leaves a fixed share of the nodes on
+    Pixels are first grouped within tiles of TILE by TILE; a tile's groups, named by their least place, are the nodes, and touching pixels
+    of adjacent tiles their edges; without such edges, as in scenes of one tile, that is all. Each round
+    joins a node to its neighbour of least hash, under a hash of that round, which leaves a fixed share of the nodes on
     average whatever the shape; the tables of a round are written, so lost executors cost no earlier round.
     """
     spark = px.sparkSession
@@ -147,13 +180,24 @@ def connected_events(px: DataFrame, hit: Column) -> DataFrame:
         df.write.parquet(path)
         return spark.read.schema(df.schema).parquet(path)
 
-    place = lambda c: (F.col("row").cast("long") * (1 << 32) + c.cast("long"))
-    line = W.partitionBy("scene", "row").orderBy("col")
-    hits = px.where(hit).select(*AT, "prob").withColumn("_g", F.col("col") - F.row_number().over(line))
-    hits = put(hits.withColumn("run", place(F.min("col").over(W.partitionBy("scene", "row", "_g")))).drop("_g"), "event-runs")
-    below = hits.select("scene", (F.col("row") - 1).alias("row"), "col", F.col("run").alias("other"))
-    one = hits.select(*AT, "run").join(below.hint("merge"), AT).select("scene", F.col("run").alias("a"), F.col("other").alias("b")).distinct()
+    tile = lambda c: F.floor(F.col(c) / TILE).cast("long")
+    inner = (F.pmod(F.col("row"), F.lit(TILE)) * TILE + F.pmod(F.col("col"), F.lit(TILE))).cast("int")
+    own = px.where(hit).where("scene is not null and row is not null and col is not null")
+    own = own.groupBy("scene", tile("row").alias("_i"), tile("col").alias("_j")).agg(F.collect_list(F.struct("row", "col", "prob", inner.alias("at"))).alias("x"))
+    own = own.withColumn("to", _tile_groups()(F.col("x.at")))
+    of = own.select("scene", "_i", "_j", F.inline(F.arrays_zip("x", "to")))
+    run = (F.col("_i") * TILE + F.floor(F.col("to") / TILE)) * (1 << 32) + F.col("_j") * TILE + F.col("to") % TILE
+    hits = put(of.select("scene", "x.row", "x.col", "x.prob", run.alias("run")), "event-runs")
+    one = None
+    for c in ("row", "col"):
+        ends = hits.where(F.pmod(F.col(c), F.lit(TILE)) == TILE - 1).withColumn(c, F.col(c) + 1).select(*AT, F.col("run").alias("a"))
+        starts = hits.where(F.pmod(F.col(c), F.lit(TILE)) == 0).select(*AT, F.col("run").alias("b"))
+        met = ends.join(starts.hint("merge"), AT).select("scene", "a", "b")
+        one = met if one is None else one.unionAll(met)
+    one = one.distinct()
     edges = put(one, "event-edges")
+    if edges.isEmpty():
+        return hits.select(*AT, "prob", F.col("run").alias("event"))
     names, turn = put(hits.select("scene", "run", F.col("run").alias("event")).distinct(), "event-names"), 0
     while not edges.isEmpty():
         both = edges.unionAll(edges.select("scene", F.col("b").alias("a"), F.col("a").alias("b")))
