@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from plumeledger.functions.hazard import uniform
+from plumeledger.functions.hazard import uniform, uniforms
 from plumeledger.functions.running import dealt_out, order_statistics, running_totals
 from plumeledger.operators.validation import _reciprocals
 
 _NAMES = ["lo", "hi", "n", "s"]
+MOST_SCORES = 50_000
+PICKS = 1_000_000
 
 
 def pooled(blocks: list[tuple[float, float, float, float]]) -> list[tuple[float, float, float, float]]:
@@ -79,6 +82,40 @@ def flow_audit(df: DataFrame, by: str, flow: str, wind: str, outlier: float = 2.
     return a.select(F.col("g").alias(by), "n", *[F.round(c, 4).alias(c) for c in ("lo", "p25", "median", "p75", "hi", "mean", "sd")], "n_outliers", "n_low_wind", F.round("clean_mean", 4).alias("clean_mean"), F.round(skew, 4).alias("skew"), advice.alias("recommend"))
 
 
+def _joined_picks(c: DataFrame, n0: int, n1: int, some: int) -> DataFrame:
+    """(draw, s, p, q): each draw's picks of a score, positives and negatives; a pick is a row, joined with the row it picks. c: (y, s, c)."""
+    places = running_totals(c, "s", ["c"], descending=False, by=("y",))
+    places = places.select("y", "s", F.explode(F.sequence(F.col("upto_c") - F.col("c"), F.col("upto_c") - 1)).alias("k"))
+    picks = None
+    for label, n in ((0, n0), (1, n1)):
+        part = c.sparkSession.range(some).select(F.col("id").alias("draw"), F.explode(F.sequence(F.lit(0), F.lit(max(n, 1) - 1))).alias("i"))
+        part = part.select("draw", F.lit(label).alias("y"), F.floor(uniform(F.col("draw"), F.lit(label), F.col("i")) * n).alias("k"))
+        picks = part if picks is None else picks.unionAll(part)
+    return picks.join(places.hint("shuffle_hash"), ["y", "k"]).groupBy("draw", "s").agg(F.count_if(F.col("y") == 1).alias("p"), F.count_if(F.col("y") == 0).alias("q"))
+
+
+def _counted_picks(spark, counts: list, n0: int, n1: int, some: int) -> DataFrame:
+    """_joined_picks() from the ordered rows (y, s, c) of a bounded number of scores: a task counts PICKS picks at a time, which are no rows."""
+    sizes, pieces = (n0, n1), [(y, i, min(i + PICKS, n)) for y, n in ((0, n0), (1, n1)) for i in range(0, n, PICKS)]
+    scores = [np.array([r["s"] for r in counts if r["y"] == y], np.float64) for y in (0, 1)]
+    upto = [np.cumsum([r["c"] for r in counts if r["y"] == y], dtype=np.int64) for y in (0, 1)]
+    total = some * len(pieces)
+
+    def count(batches):
+        for b in batches:
+            for x in b.column(0).to_pylist():
+                draw, (y, lo, hi) = x // len(pieces), pieces[x % len(pieces)]
+                k = np.floor(uniforms(draw, y, np.arange(lo, hi)) * sizes[y]).astype(np.int64)
+                n = np.bincount(np.searchsorted(upto[y], k, "right"), minlength=len(upto[y]))
+                at = np.flatnonzero(n)
+                none = np.zeros(len(at), np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), draw)), pa.array(scores[y][at]), pa.array(n[at] if y else none), pa.array(none if y else n[at])], names=["draw", "s", "p", "q"])
+
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    one = spark.range(0, total, 1, max(1, min(total, parts, 1 + some * (n0 + n1) // PICKS))).mapInArrow(count, "draw long, s double, p long, q long")
+    return one.groupBy("draw", "s").agg(F.sum("p").alias("p"), F.sum("q").alias("q"))
+
+
 def stratified_bootstrap(df: DataFrame, draws: int = 2000, y: str = "y", score: str = "score") -> DataFrame:
     """Two rows, auroc and ap: n_draws, n_pos, n_neg, point, mean, sd and percentiles over resamples within each class.
 
@@ -86,21 +123,15 @@ def stratified_bootstrap(df: DataFrame, draws: int = 2000, y: str = "y", score:
     distinct score, and both statistics of a draw come from these counts. p05 to p95 is the interval of 90 %, p025 to p975 that of 95 %.
     Equal scores count half for auroc; for ap they go to positives. Rows without a score or a label of 0 or 1 are left out. With
     one class only there are no figures and n_draws is 0. The set is a validation set: draws x rows picks are made, and its
-    distinct scores are held by a task for each draw.
+    distinct scores are held by a task for each draw. Picks are rows only where there are more than MOST_SCORES scores.
     """
     spark = df.sparkSession
     c = df.where(F.col(score).isNotNull() & F.col(y).isin(0, 1)).groupBy(F.col(y).cast("int").alias("y"), F.col(score).cast("double").alias("s")).agg(F.count(F.lit(1)).alias("c"))
     sizes = {r["y"]: r["n"] for r in c.groupBy("y").agg(F.sum("c").alias("n")).collect()}  # two rows
     n1, n0 = sizes.get(1, 0), sizes.get(0, 0)
-    places = running_totals(c, "s", ["c"], descending=False, by=("y",))
-    places = places.select("y", "s", F.explode(F.sequence(F.col("upto_c") - F.col("c"), F.col("upto_c") - 1)).alias("k"))
     some = draws if n1 and n0 else 0
-    picks = None
-    for label, n in ((0, n0), (1, n1)):
-        part = spark.range(some).select(F.col("id").alias("draw"), F.explode(F.sequence(F.lit(0), F.lit(max(n, 1) - 1))).alias("i"))
-        part = part.select("draw", F.lit(label).alias("y"), F.floor(uniform(F.col("draw"), F.lit(label), F.col("i")) * n).alias("k"))
-        picks = part if picks is None else picks.unionAll(part)
-    both = picks.join(places.hint("shuffle_hash"), ["y", "k"]).groupBy("draw", "s").agg(F.count_if(F.col("y") == 1).alias("p"), F.count_if(F.col("y") == 0).alias("q"))
+    counts = c.orderBy("s", "y").take(MOST_SCORES + 1)
+    both = _counted_picks(spark, counts, n0, n1, some) if len(counts) <= MOST_SCORES else _joined_picks(c, n0, n1, some)
     point = c.groupBy(F.lit(-1).cast("long").alias("draw"), "s").agg(F.sum(F.when(F.col("y") == 1, F.col("c")).otherwise(0)).alias("p"), F.sum(F.when(F.col("y") == 0, F.col("c")).otherwise(0)).alias("q"))
     w = W.partitionBy("draw").orderBy("s")
     below, above = w.rowsBetween(W.unboundedPreceding, -1), W.partitionBy("draw").orderBy(F.desc("s")).rowsBetween(W.unboundedPreceding, -1)
