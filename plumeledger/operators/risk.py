@@ -90,24 +90,49 @@ def site_cost_draws(paths: DataFrame, sites: DataFrame, scenario: str, years: in
     cost = p * flow * 8760 * 0.85 / 1000 * 29.8 * price * multiplier; a site's p and flow are drawn once a path, p from a beta
     distribution (0 where p is 0), flow from a lognormal one.
     """
+    p = priced(paths.where("path is not null").select("path"), scenario, years, first)
+    d = _tonnes(p.select("path", _years(scenario, years, first).alias("years")), sites, sigma)
+    d = d.select("site", "ticker", "path", "t_co2e", F.explode("years").alias("x"))
+    return d.select("site", "ticker", "path", "x.year", (F.col("t_co2e") * F.col("x.price") * F.col("x.mult")).alias("cost"))
+
+
+def site_path_costs(paths: DataFrame, sites: DataFrame, scenario: str, years: int = 10, first: int = 2024, sigma: float = 0.30, rate: float = 0.05) -> DataFrame:
+    """(site, ticker, path, t, npv) of site_cost_draws(): the last year's cost and the discounted sum of all years.
+
+    A path's years are added up before it is exploded by the sites, so no draw is shuffled and no year is a row. Paths that are listed again
+    count again in the sums; sites are expected once.
+    """
+    years = max(years, 1)
+    own = paths.where("path is not null").groupBy("path").agg(F.count("*").alias("times"))
+    p = priced(own, scenario, years, first)
+    of_year = _years(scenario, years, first)
+    last = F.element_at(of_year, -1)
+    npv = sum((F.get(of_year, F.lit(i))["price"] * F.get(of_year, F.lit(i))["mult"] / (1 + rate) ** (i + 1) for i in range(years)), F.lit(0.0))
+    p = p.select("path", F.struct((last["price"] * last["mult"] * F.col("times")).alias("t"), (npv * F.col("times")).alias("npv")).alias("years"))
+    d = _tonnes(p, sites, sigma)
+    return d.select("site", "ticker", "path", (F.col("t_co2e") * F.col("years.t")).alias("t"), (F.col("t_co2e") * F.col("years.npv")).alias("npv"))
+
+
+def _years(scenario: str, years: int, first: int) -> Column:
+    """The array of (year, price, mult) of priced() rows."""
+    mult = [float(interpolated(SCENARIOS[scenario]["multiplier"], y)) for y in range(first, first + years)]
+    return F.array(*[F.struct(F.lit(first + i).alias("year"), F.col(f"price_{i}").alias("price"), F.lit(m).alias("mult")) for i, m in enumerate(mult)])
+
+
+def _tonnes(p: DataFrame, sites: DataFrame, sigma: float) -> DataFrame:
+    """(site, ticker, path, years, t_co2e): the paths (path, years) by the sites, with the tonnes drawn."""
     a, b = H.beta_moments(F.col("p"), F.col("p_lo"), F.col("p_hi"))
     d = sites.select("site", "ticker", a.alias("a"), b.alias("b"), H.lognormal_mu(F.col("flow"), sigma).alias("mu"))
     # The few sites go through the driver as one array, so that no join without a key is needed.
     rows = d.orderBy("site").take(MOST_SITES + 1)
     if len(rows) > MOST_SITES:
         raise ValueError(f"more than {MOST_SITES} sites: run them in parts")
-    spark = paths.sparkSession
-    few = spark.createDataFrame(rows, d.schema).agg(F.collect_list(F.struct("*")).alias("all"))
-    p = priced(paths.where("path is not null").select("path"), scenario, years, first)
-    mult = [float(interpolated(SCENARIOS[scenario]["multiplier"], y)) for y in range(first, first + years)]
-    p = p.select("path", F.array(*[F.struct(F.lit(first + i).alias("year"), F.col(f"price_{i}").alias("price"), F.lit(m).alias("mult")) for i, m in enumerate(mult)]).alias("years"))
+    few = p.sparkSession.createDataFrame(rows, d.schema).agg(F.collect_list(F.struct("*")).alias("all"))
     d = p.crossJoin(F.broadcast(few)).select("path", "years", F.explode("all").alias("x")).select("path", "years", "x.*")  # one row
     d = drawn(d)
     rate = F.coalesce(beta_point(F.col("u1"), F.col("y1"), F.col("a"), F.col("b")), F.lit(0.0))
     flow = F.coalesce(F.exp(F.col("mu") + sigma * F.col("z2")), F.lit(0.0))
-    d = d.select("site", "ticker", "path", "years", (rate * flow * 8760 * 0.85 / 1000 * 29.8).alias("t_co2e"))
-    d = d.select("site", "ticker", "path", "t_co2e", F.explode("years").alias("x"))
-    return d.select("site", "ticker", "path", "x.year", (F.col("t_co2e") * F.col("x.price") * F.col("x.mult")).alias("cost"))
+    return d.select("site", "ticker", "path", "years", (rate * flow * 8760 * 0.85 / 1000 * 29.8).alias("t_co2e"))
 
 
 def drawn(d: DataFrame) -> DataFrame:
@@ -152,7 +177,12 @@ def terminal_losses(draws: DataFrame, by: list[str], rate: float = 0.05, first:
     else:
         d = draws.withColumn("last", F.lit(last))
     t, npv = F.sum(F.when(F.col("year") == F.col("last"), F.col("cost"))).alias("t"), F.sum(F.col("cost") / F.pow(F.lit(1 + rate), F.col("year") - first + 1)).alias("npv")
-    one = kept(d.groupBy(*by, "path").agg(t, npv).select(F.struct(*by, F.lit(0).alias("_all")).alias("_k"), "t", "npv"), "terminal-losses")
+    return path_losses(d.groupBy(*by, "path").agg(t, npv), by)
+
+
+def path_losses(costs: DataFrame, by: list[str]) -> DataFrame:
+    """terminal_losses() of a path's last cost t and discounted sum npv, a row a path and group; they are written once."""
+    one = kept(costs.select(F.struct(*by, F.lit(0).alias("_all")).alias("_k"), "t", "npv"), "terminal-losses")
     g = one.groupBy(F.col("_k").alias("_of")).agg(F.avg("t").alias("mean"), F.avg("npv").alias("npv_mean"))
     for value, name in (("t", "var95"), ("npv", "npv_p95")):
         q = order_statistics(one, value, {name: _place(0.95)}, "_k").drop("n")

@@ -55,7 +55,7 @@ def _draws(s, d, scenario="orderly"):
 
 
 def _stress(s, d):
-    losses = R.terminal_losses(_draws(s, d), ["site", "ticker"], last=2023 + YEARS)
+    losses = R.path_losses(R.site_path_costs(paths(s, d), _sites(s, d), "orderly", YEARS), ["site", "ticker"])
     n = X.sites(s, d).groupBy(F.concat(F.lit("T"), (F.col("site") % 4).cast("string")).alias("ticker")).agg((F.count("*") * 1e9).alias("equity"))
     i = n.select("ticker", "equity", (F.col("equity") / 2).alias("debt"), F.lit(0.3).alias("volatility"), (F.col("equity") / 1000).alias("earnings"), (F.col("ticker") != "T0").alias("has_market_data"))
     return R.issuer_stress(losses, i, "orderly")
@@ -102,7 +102,7 @@ QUERIES = {
     "j1_price_paths": _paths_of,
     "j2_site_cost_draws": lambda s, d: _draws(s, d).select("site", "path", "year", F.round("cost", 2).alias("cost")),
     "j3_loss_stats": lambda s, d: R.loss_stats(_draws(s, d), ["site"]),
-    "j3_terminal_losses": lambda s, d: R.terminal_losses(_draws(s, d), ["site"], last=2023 + YEARS),
+    "j3_terminal_losses": lambda s, d: R.path_losses(R.site_path_costs(paths(s, d), _sites(s, d), "orderly", YEARS), ["site"]),
     "j4_issuer_stress": _stress,
     "j4_portfolio_stress": lambda s, d: R.portfolio_stress(_stress(s, d)),
     "j5_liability_draws": lambda s, d: R.liability_draws(paths(s, d)).select("path", F.round("t", 3).alias("t"), F.round("gwp100", 4).alias("gwp100"), F.round("gwp20", 4).alias("gwp20")),
