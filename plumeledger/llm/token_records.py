@@ -11,22 +11,28 @@ doc_id), so a reader can visit records in any order without a scan.
 from __future__ import annotations
 
 import array
+import json
 import os
-import re
 import struct
+import sys
 import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from plumeledger.llm.shared import file_system, in_blocks, put_file, shared_dir, with_columns_of, written
+from plumeledger.llm.shared import by_bytes, file_system, in_blocks, put_file, shared_dir, with_columns_of, written
 
 END_ID = 2
-CACHE_WORDS = 800_000
-LEARN_WORDS = 2_000
+CACHE_WORDS = 1_600_000
+LEARN_WORDS = 100
+#: Bytes of text that are cut and put together at once.
+RUN_BYTES = 8 << 20
+#: Marks that often end a word.
+MARKS = ".,;:!?"
 
 
 def _crc_table() -> list[int]:
@@ -120,86 +126,138 @@ class Encoder:
     """Token ids of whole texts by the tokenizers library, as little-endian unsigned integers of 16 or 32 bits.
 
     A byte-level tokenizer never joins what a single space between two non-spaces, or a single line feed, parts. So a
-    text whose white space is all of that kind is cut there, and each piece is encoded once per worker. Other texts,
-    and those that may hold an added token, are encoded whole.
+    text whose white space is all of that kind is cut there, and each piece is encoded once per worker; a run of texts is
+    cut, its pieces are told apart and their ids are put together as arrays. Other texts, and those that hold an added
+    token, are encoded whole.
     """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tok = Tokenizer.from_file(path)
         vocab = self.tok.get_vocab(with_added_tokens=True)
         self.added = [t.content for t in self.tok.get_added_tokens_decoder().values()]
-        self.may_add = re.compile("|".join(map(re.escape, self.added)) or "(?!)").search
         self.starts = np.zeros(max(vocab.values()) + 1, bool)
         self.code = "H" if len(self.starts) <= 1 << 16 else "I"
         for t, i in vocab.items():
             self.starts[i] = t.startswith("Ġ")  # the byte-level alphabet's space
-        self.newline = self._ids("\n")
-        self.spaced, self.bare = {}, {}
-
-    def _ids(self, text: str) -> bytes:
-        return array.array(self.code, self.tok.encode_batch_fast([text], add_special_tokens=False)[0].ids).tobytes()
-
-    def _learn(self, pieces: list[str]) -> None:
-        """One call for many pieces: only a piece's first token starts with a space."""
-        ids = np.array(self.tok.encode_batch_fast([" " + " ".join(pieces)], add_special_tokens=False)[0].ids, f"<{self.code}")
-        at = np.flatnonzero(self.starts[ids])
-        if len(at) != len(pieces):
-            raise ValueError("the tokenizer joined pieces that a space parts")
-        raw, at = ids.tobytes(), (np.append(at, len(ids)) * ids.itemsize).tolist()
-        self.spaced.update(zip(pieces, (raw[a:b] for a, b in zip(at, at[1:]))))
-
-    def _cut(self, text: str) -> list[str] | None:
-        """The pieces of a text whose white space is single spaces and line feeds between words, a line feed kept at its piece; else None."""
-        words = text.split()
-        if not words or sum(map(len, words)) + len(words) - 1 != len(text):  # some white space is not one character between two words
-            return None
-        feeds = text.count("\n")
-        if text.count(" ") + feeds != len(words) - 1:  # a character of other white space
-            return None
-        if self.added and self.may_add(text) is not None:
-            return None
-        return text.replace("\n", " \n").split(" ") if feeds else words
-
-    def _learn_missing(self, pieces: set[str]) -> None:
-        spaced = self.spaced
-        if len(spaced) + len(pieces) > CACHE_WORDS:
-            spaced.clear()
-        inner = [p for p in pieces if p[0] != "\n"]
-        for i in range(0, len(inner), LEARN_WORDS):
-            self._learn(inner[i : i + LEARN_WORDS])
+        self.newline = np.array(self._whole("\n"))
+        # A space and ASCII letters are one word of the byte-level pattern and stand for themselves in its alphabet: those go to the same merges without the pattern.
+        parts = json.loads(self.tok.to_str())
+        plain = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}
+        self.letters = None
+        if parts["pre_tokenizer"] == plain and parts["normalizer"] is None and parts["model"]["type"] == "BPE":
+            self.letters = Tokenizer.from_str(json.dumps(parts | {"pre_tokenizer": None}))
+            self.letters.pre_tokenizer = pre_tokenizers.CharDelimiterSplit(" ")
+        other = "".join(c for c in map(chr, range(sys.maxunicode + 1)) if c.isspace() and c not in " \n")
+        self.uncut = f"\\A[ \n]|[ \n]\\z|[ \n][ \n]|[{other}]"
+        self._forget()
+
+    def _whole(self, text: str, tok=None) -> list[int]:
+        return (tok or self.tok).encode_batch_fast([text], add_special_tokens=False)[0].ids
+
+    def _forget(self) -> None:
+        self.places: dict[str, int] = {}  # the ids of the piece at place i are store[ends[i]:ends[i + 1]]
+        self.store, self.ends = np.zeros(1 << 12, f"<{self.code}"), np.zeros(1 << 10, np.int64)
+
+    def _add(self, pieces: list[str], ids: np.ndarray, first: np.ndarray) -> None:
+        """New pieces, whose ids begin at first."""
+        n = len(self.places)
+        used, last = self.ends[n], n + len(pieces)
+        while used + len(ids) > len(self.store):
+            self.store = np.append(self.store, np.zeros_like(self.store))
+        while last >= len(self.ends):
+            self.ends = np.append(self.ends, np.zeros_like(self.ends))
+        self.store[used : used + len(ids)] = ids
+        self.ends[n + 1 : last + 1] = used + np.append(first[1:], len(ids))
+        self.places.update(zip(pieces, range(n, last)))
+
+    def _learn(self, pieces: list[str], tok=None) -> None:
+        """One call for many pieces, a space before each: only a piece's first token starts with a space."""
+        mark = " " if tok is None else "Ġ"
+        for i in range(0, len(pieces), LEARN_WORDS):
+            part = pieces[i : i + LEARN_WORDS]
+            ids = np.array(self._whole(mark + (" " + mark).join(part) if tok else " " + " ".join(part), tok))
+            first = np.flatnonzero(self.starts[ids])
+            if len(first) != len(part):
+                raise ValueError("the tokenizer joined pieces that a space parts")
+            self._add(part, ids, first)
+
+    def _learn_lines(self, pieces: list[str]) -> None:
+        """Pieces with a line feed before each."""
+        for i in range(0, len(pieces), LEARN_WORDS):
+            part = pieces[i : i + LEARN_WORDS]
+            ids = np.array(self._whole("".join(part)))
+            first = np.flatnonzero(ids == self.newline[0])
+            if len(self.newline) != 1 or len(first) != len(part):
+                raise ValueError("the tokenizer joined pieces that a line feed parts")
+            self._add(part, ids, first)
+
+    def _learn_new(self, pieces: set[str]) -> None:
+        lines, letters, ending, others = [], [], [], []
         for p in pieces:
             if p[0] == "\n":
-                spaced[p] = self.newline + self._bare(p[1:])
-
-    def _bare(self, word: str) -> bytes:
-        """Ids of a word at the start of a line."""
-        ids = self.bare.get(word)
-        if ids is None:
-            if len(self.bare) > CACHE_WORDS // 4:
-                self.bare.clear()
-            ids = self.bare[word] = self._ids(word)
-        return ids
-
-    def _joined(self, pieces: list[str]) -> bytes:
-        first, rest = self._bare(pieces[0]), pieces[1:]
-        try:
-            return first + b"".join(map(self.spaced.__getitem__, rest))
-        except KeyError:  # the text has new words
-            words = set(rest)
-            new = words - self.spaced.keys()
-            if len(self.spaced) + len(new) > CACHE_WORDS:
-                new = words  # the cache is emptied first
-            self._learn_missing(new)
-            return first + b"".join(map(self.spaced.__getitem__, rest))
+                lines.append(p)
+            elif self.letters is None or not p.isascii():
+                others.append(p)
+            elif p.isalpha():
+                letters.append(p)
+            else:
+                stem = p.rstrip(MARKS)
+                (ending if stem.isalpha() else others).append(p)
+        # Letters and the marks after them are words of their own to the pattern.
+        stems = {p: p.rstrip(MARKS) for p in ending}
+        letters += set(stems.values()) - self.places.keys() - set(letters)
+        self._learn(letters, self.letters)
+        self._learn(others)
+        self._learn_lines(lines)
+        if ending:
+            tails = {t: np.array(self._whole(t), self.store.dtype).tobytes() for t in {p[len(stems[p]) :] for p in ending}}
+            width, at, raw = self.store.itemsize, self.places, self.store.tobytes()
+            lo, hi = (self.ends[np.fromiter((at[stems[p]] + k for p in ending), np.int64, len(ending))] * width for k in (0, 1))
+            each = [raw[a:b] + tails[p[len(stems[p]) :]] for p, a, b in zip(ending, lo.tolist(), hi.tolist())]
+            sizes = np.array([len(x) for x in each]) // width
+            self._add(ending, np.frombuffer(b"".join(each), self.store.dtype), np.cumsum(sizes) - sizes)
+
+    def _cut_ids(self, texts: pa.LargeStringArray) -> list[bytes]:
+        """The ids of texts that can be cut."""
+        words = pc.split_pattern(pc.replace_substring(texts, "\n", " \n"), " ")
+        starts, pieces = words.offsets.to_numpy(), words.values.dictionary_encode()
+        heads = ["\n" + w for w in words.values.take(pa.array(starts[:-1])).to_pylist()]  # a text begins as a line does
+        known = pieces.dictionary.to_numpy(zero_copy_only=False).tolist() + heads
+        place = list(map(self.places.get, known))
+        new = {p for p, k in zip(known, place) if k is None}
+        if len(self.places) + 2 * len(new) > CACHE_WORDS:  # with the stems of new pieces
+            self._forget()
+            new, place = set(known), [None] * len(known)
+        if new:
+            self._learn_new(new)
+            place = [self.places[p] if k is None else k for p, k in zip(known, place)]
+        each = np.array(place, np.int64)
+        place = each[pieces.indices.to_numpy()]
+        place[starts[:-1]] = each[len(each) - len(heads) :]
+        first = self.ends[place]
+        n = self.ends[place + 1] - first
+        first[starts[:-1]] += len(self.newline)
+        n[starts[:-1]] -= len(self.newline)
+        past = np.cumsum(n)
+        raw = self.store[np.repeat(first - past + n, n) + np.arange(past[-1])].tobytes()
+        at = (np.append(0, past[starts[1:] - 1]) * self.store.itemsize).tolist()
+        return [raw[a:b] for a, b in zip(at, at[1:])]
 
     def __call__(self, texts: list[str]) -> list[bytes]:
-        cut = [self._cut(t) for t in texts]
-        missing = set().union(*[c[1:] for c in cut if c]) - self.spaced.keys()
-        self._learn_missing(missing)
-        return [b"" if not t else self._ids(t) if c is None else self._joined(c) for t, c in zip(texts, cut)]
+        out = []
+        for part in by_bytes(pa.RecordBatch.from_arrays([pa.array(texts, pa.large_string())], ["text"]), "text", RUN_BYTES):
+            column = part.column(0)
+            whole = pc.match_substring_regex(column, self.uncut)
+            for t in self.added:
+                whole = pc.or_(whole, pc.match_substring(column, t))
+            keep = pc.and_not(pc.not_equal(column, ""), whole)
+            cut = iter(self._cut_ids(column.filter(keep)) if pc.any(keep).as_py() else [])
+            for i, k in enumerate(keep.to_pylist()):
+                out.append(next(cut) if k else array.array(self.code, self._whole(column[i].as_py())).tobytes())
+        return out
 
 
 _ENCODERS: dict[str, Encoder] = {}
@@ -264,7 +322,7 @@ def write_token_records(docs: DataFrame, tokenizer: str, folder: str, *, shards:
                 yield first
                 yield from batches
 
-            for b in in_blocks(all_batches(), 500):
+            for b in in_blocks(all_batches(), 2500):
                 ids = b.column(0).to_pylist()
                 raws = enc([t or "" for t in b.column(1).to_pylist()])
                 for doc_id, raw, frame in zip(ids, raws, frames([struct.pack("<qB", i or 0, (i is None) + wide) + r + end for i, r in zip(ids, raws)])):

@@ -295,6 +295,30 @@ def test_token_ids_of_other_white_space():
     assert [np.frombuffer(x, f"<{enc.code}").tolist() for x in enc(texts)] == want
 
 
+def test_token_pieces_are_learned_in_few_calls():
+    """New words, at the start of lines too, go to the tokenizer many at a time, and all ids are those of whole texts, whether the cache is new, full or emptied."""
+    P = pytest.importorskip("public_tokenizers")
+    enc = tr.Encoder(P.path("byte_bpe_50k.json"))
+    word = lambda i: "".join(chr(97 + int(d)) for d in str(i * 7919)) + ["", ".", ",", "é", "'s", "9", "-x!", "?!"][i % 8]
+    texts = ["\n".join(f"{word(9 * i + j)} {word(9 * i + j + 4)}" for j in range(9)) for i in range(90)]
+    texts += ["", "a  b", "x <|endoftext|> y", " a", "b\n", "Don't.\nDon't", "\u00a0"]
+    want = [np.array(enc.tok.encode(t, add_special_tokens=False).ids, f"<{enc.code}").tobytes() for t in texts]
+
+    class Counted:
+        def __init__(self, tok):
+            self.tok, self.calls = tok, 0
+
+        def encode_batch_fast(self, *args, **kwargs):
+            self.calls += 1
+            return self.tok.encode_batch_fast(*args, **kwargs)
+
+    enc.tok = Counted(enc.tok)
+    assert enc(texts) == want and enc.tok.calls < 80
+    assert [enc([t])[0] for t in texts] == want
+    enc._forget()
+    assert enc(texts[50:]) == want[50:] and enc(texts) == want
+
+
 def test_packing_opens_by_cost_and_matches_brute_force():
     import itertools
     import random
