@@ -61,7 +61,7 @@ class BenchmarkIndex:
     """Fingerprints of benchmark items, their words, and the short items by length."""
 
     def __init__(self, items: list[tuple[str, str | None]], span: int = SPAN, k: int = K):
-        self.span, self.k, self.hashes = span, k, WordHashes(1 << 20)
+        self.span, self.k, self.hashes = span, k, WordHashes()
         self.items, self.words, self.prints, self.short = [], [], {}, {}
         for item_id, text in items:
             w = words(text)

@@ -8,6 +8,7 @@ import uuid
 from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
 import pyarrow.compute as pc
 import pyarrow.fs as pafs
 import xxhash
@@ -68,9 +69,12 @@ def with_columns_of(df: DataFrame, *names: str) -> DataFrame:
 
 
 class WordHashes(dict):
-    """Word to 64-bit hash; keeps at most `limit` words, the others are hashed each time."""
+    """Word to 64-bit hash; keeps at most `limit` words, the others are hashed each time.
 
-    def __init__(self, limit: int = 400_000):
+    Workers live on from stage to stage with what they keep; frequent words are seen early, so more words would add memory and save no time.
+    """
+
+    def __init__(self, limit: int = 1 << 16):
         self.limit = limit
 
     def __missing__(self, word):
@@ -125,10 +129,12 @@ def shingles(h: np.ndarray, lengths: np.ndarray, k: int) -> tuple[np.ndarray, np
 
 
 def in_blocks(batches, rows: int):
-    """Arrow batches cut to `rows` rows at most."""
+    """Arrow batches cut to `rows` rows at most. At the end Arrow's unused memory goes back to the machine: the worker waits for other stages' tasks."""
     for b in batches:
         for i in range(0, b.num_rows, rows):
             yield b.slice(i, rows)
+    b = None
+    pa.default_memory_pool().release_unused()
 
 
 def by_bytes(batch, column: str, most: int):

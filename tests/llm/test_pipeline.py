@@ -67,3 +67,18 @@ def test_run_packs_what_is_kept(spark, tmp_path, folder):
     got = corpus_pipeline.run(spark, d)
     assert {r.doc_id for r in got.select("doc_id").collect()} == {i for i, _ in rows} - {201}
     assert got.groupBy("bin_id").agg((F.sum("n_tokens") <= F.first("bin_size")).alias("ok")).where("not ok").isEmpty()
+
+
+def test_workers_keep_few_words():
+    """What a worker keeps from one stage to the next is bounded: its word hashes are some ten MB, however many words the texts have."""
+    from plumeledger.llm import decontaminate, jaccard_join
+
+    texts = [" ".join(f"w{i}x{j}" for j in range(1000)) for i in range(150)]
+    before = [s.tolist() for s in jaccard_join.shingle_sets(texts[:3])]
+    jaccard_join.shingle_sets(texts)
+    assert len(jaccard_join._HASHES) <= 1 << 16
+    index = decontaminate.BenchmarkIndex([("b", texts[149][:100])])
+    got = index.scan(texts)
+    assert len(index.hashes) <= 1 << 16
+    assert [s.tolist() for s in jaccard_join.shingle_sets(texts[:3])] == before
+    assert [sorted(x) for _, _, x in got] == [[]] * 149 + [["b"]]
