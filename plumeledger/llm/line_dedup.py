@@ -13,13 +13,17 @@ of useful width whole, so the greater part of near copies would never meet.
 
 A bucket of lines that share a key is not turned into all its pairs. Its lines are sorted by the pair that follows the key's
 run (of leave-one-out keys, by the word left out), which puts copies side by side. Each is held against the first of the bucket,
-then, where that leaves two neighbours in different groups, against its neighbour. That joins nearly all copies, and the work
-grows with the lines. What a bucket still holds in different groups is then held against each other pair by pair, in cells of
-CELL lines by CELL lines, so that no link between lines of a bucket is lost and no task holds a bucket.
+then, where that leaves lines in different groups, against its neighbour and the shortest lines of about its length, which have least
+besides what they share with the others. That joins nearly all copies, and the work grows with the lines. What a bucket still holds in
+different groups and has not met is then held against each other pair by pair, in cells of CELL lines by CELL lines, so that no
+link between lines of a bucket is lost and no task holds a bucket. Pairs whose letters alone ask for more edits than allowed go
+before that; it loses nothing. This last step is quadratic in the unlike lines of a bucket.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -38,6 +42,7 @@ MAX_BITS = 24
 MAX_BITS_SHORT = 30
 SHORT = 80
 CELL = 512
+LETTERS = "abcdefghijklmnopqrstuvwxyz "
 
 _APART = "([\\p{IsHan}\\p{IsHiragana}\\p{IsKatakana}\\p{IsThai}\\p{IsLao}\\p{IsKhmer}\\p{IsMyanmar}])"
 
@@ -115,7 +120,7 @@ def line_table(docs: DataFrame, min_words: int = MIN_WORDS, min_chars: int = MIN
     return t.select("doc_id", "dh", "pos", "lh", keys.alias("keys"))
 
 
-def _edit_similar(pairs: DataFrame, similarity: float) -> DataFrame:
+def _edit_similar(pairs: DataFrame, similarity: float, parts: tuple[int, ...] = (64, 8)) -> DataFrame:
     """Those of pairs (a, b, x, y) whose word arrays x and y, joined by spaces, are similar: their edit distance is at most (1 - similarity) of the longer.
 
     Words that both begin or end with add nothing to the distance, so it is that of what lies between. The verdict goes
@@ -130,12 +135,12 @@ def _edit_similar(pairs: DataFrame, similarity: float) -> DataFrame:
     p = p.withColumn("tail", F.least(F.coalesce(F.nullif(agree(F.reverse("x"), F.reverse("y")), F.lit(0)) - 1, shortest), shortest - F.col("head")).cast("int"))
     rest = lambda c: F.slice(c, F.col("head") + 1, F.greatest(F.size(c) - F.col("head") - F.col("tail"), F.lit(0)))
     p = p.withColumns({"mx": rest("x"), "my": rest("y")}).withColumns({"rx": joined("mx"), "ry": joined("my")})
-    # Word for word replaced, the distance is at most that of the words that differ; one pass tells. Otherwise the cost grows with the bound, and near copies are mostly nearer than they need be: smaller bounds are tried first. -1 is beyond the bound.
+    # Word for word replaced, the distance is at most that of the words that differ; one pass tells. Otherwise the cost grows with the bound, and near copies are mostly nearer than they need be: smaller bounds, these parts of it, are tried first. -1 is beyond the bound.
     near = F.when(F.abs(F.col("lx") - F.col("ly")) > F.col("most"), False)  # nothing lies between on one side: a space more than the rest goes
     near = near.when(F.greatest(F.length("rx"), F.length("ry")) <= F.col("most"), True)
     apart = F.zip_with("mx", "my", lambda a, b: F.when(a == b, 0).otherwise(F.greatest(F.length(a), F.length(b))))
     near = near.when((F.size("mx") == F.size("my")) & (F.aggregate(apart, F.lit(0), lambda a, x: a + x) <= F.col("most")), True)
-    for part in (64, 8):
+    for part in parts:
         near = near.when(F.expr(f"levenshtein(rx, ry, cast(most / {part} as int))") >= 0, True)
     near = near.otherwise(F.expr("levenshtein(rx, ry, most)") >= 0)
     return p.select("a", "b", F.explode(F.when(near, F.array(F.lit(True)))).alias("near")).select("a", "b")
@@ -163,34 +168,72 @@ def _alike(size_a: Column, sim_a: Column, size_b: Column, sim_b: Column, similar
     )
 
 
-def _similar(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
+def _similar(pairs: DataFrame, texts: DataFrame, similarity: float, parts: tuple[int, ...] = (64, 8)) -> DataFrame:
     """Those of the alike pairs (a, b) of line hashes whose lines are similar."""
     x = texts.select(F.col("lh").alias("a"), F.col("words").alias("x"))
     y = texts.select(F.col("lh").alias("b"), F.col("words").alias("y"))
-    return _edit_similar(pairs.join(x.hint("merge"), "a").join(y.hint("merge"), "b"), similarity)
+    return _edit_similar(pairs.join(x.hint("merge"), "a").join(y.hint("merge"), "b"), similarity, parts)
 
 
-def _rest(members: DataFrame, roots: DataFrame, n_roots: int, marks: DataFrame, n_marks: int, similarity: float) -> DataFrame:
-    """Alike pairs (a, b) of the lines that share a bucket, lie in different groups and have not been held against each other.
+def _letters(text: Column) -> Column:
+    """How often each of LETTERS occurs in a text, and all other characters together."""
+    counts = F.array(*[F.length(text) - F.length(F.replace(text, F.lit(c), F.lit(""))) for c in LETTERS])
+    return F.concat(counts, F.array(F.length(text) - F.aggregate(counts, F.lit(0), lambda a, x: a + x)))
 
-    members (key, at, lh, hub) are the lines of a bucket from its second (at 2) on. All have met the first line and their neighbours, so
-    buckets of four lines and more are left, and in them the lines that are not in the first one's group: each meets all others.
+
+def _within(size_a: Column, letters_a: Column, size_b: Column, letters_b: Column, similarity: float) -> Column:
+    """False only for pairs that are not similar: an edit takes one letter away at most and adds one at most."""
+    apart = F.aggregate(F.zip_with(letters_a, letters_b, lambda a, b: F.abs(a - b)), F.lit(0), lambda a, x: a + x)
+    return apart + F.abs(size_a - size_b) <= 2 * F.floor((1 - F.lit(similarity)) * F.greatest(size_a, size_b) + 1e-9)
+
+
+def _mixed(members: DataFrame, roots: DataFrame, n_roots: int, least: int) -> DataFrame:
+    """The members, with root and other, of buckets of that many lines in which a line is not in the first one's group (other).
+
+    members (key, at, lh, hub, ...) are the lines of a bucket from its second (at 2) on.
     """
     own, first = (roots.select(F.col("node").alias(f"n{c}"), F.col("root").alias(f"r{c}")) for c in "lh")
     m = join_counted(join_counted(members, own, F.col("lh") == F.col("nl"), "left", rows=n_roots), first, F.col("hub") == F.col("nh"), "left", rows=n_roots)
-    m = m.select("key", "at", "lh", F.coalesce("rl", "lh").alias("root"), (F.coalesce("rl", "lh") != F.coalesce("rh", "hub")).alias("other"), F.floor((F.col("at") - 2) / CELL).alias("cell"))
+    m = m.select(*members.columns, F.coalesce("rl", "lh").alias("root"), (F.coalesce("rl", "lh") != F.coalesce("rh", "hub")).alias("other"))
     m = written(m, "line-rooted")
-    of = m.groupBy("key").agg(F.max("at").alias("n"), F.collect_set(F.when(F.col("other"), F.col("cell"))).alias("cells")).where((F.col("n") >= 4) & (F.size("cells") > 0))
-    of = written(of.select(F.col("key").alias("k"), "cells", F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 2) / CELL)).alias("all")), "line-mixed")
-    m = join_counted(m, of, F.col("key") == F.col("k"))
-    m = join_counted(m, marks, F.col("lh") == F.col("h"), rows=n_marks)
-    fields = ("at", "lh", "root", "other", "sim", "size")
+    of = m.groupBy("key").agg(F.max("at").alias("n"), F.max("other").alias("any")).where((F.col("n") >= least) & F.col("any"))
+    of = written(of.select(F.col("key").alias("k")), "line-mixed")
+    return join_counted(m, of, F.col("key") == F.col("k"), "left_semi")
+
+
+def _shortest(mixed: DataFrame, similarity: float) -> DataFrame:
+    """Pairs (lh, short) of each line and, of the bucket's lines outside the first one's group, the shortest of its band of length and of the band below."""
+    step = -math.log(min(max(similarity, 0.01), 0.99))
+    m = mixed.withColumn("band", F.floor(F.log(F.greatest("size", F.lit(1))) / step))
+    least = m.where("other").groupBy("key", "band").agg(F.min(F.struct("size", "lh", "root")).alias("least"))
+    least = written(least.select(F.col("key").alias("k"), F.col("band").alias("of"), F.col("least.lh").alias("short"), F.col("least.root").alias("short_root")), "line-shortest")
+    both = m.select("key", "lh", "root", F.explode(F.array("band", F.col("band") - 1)).alias("band"))
+    return join_counted(both, least, (F.col("key") == F.col("k")) & (F.col("band") == F.col("of")) & (F.col("root") != F.col("short_root"))).select("lh", "short")
+
+
+def _rest(mixed: DataFrame, roots: DataFrame, n_roots: int, texts: DataFrame, met: DataFrame, similarity: float) -> DataFrame:
+    """Alike pairs (a, b) of the lines that share a bucket, lie in different groups and have not been held against each other, which are in met.
+
+    mixed (key, at, lh, hub, sim, size): lines of a bucket from its second on. All have met the first line and their neighbours, so
+    buckets of four lines and more are left, and in them the lines that are not in the first one's group: each meets all others.
+    """
+    m = written(_mixed(mixed, roots, n_roots, 4).withColumn("cell", F.floor((F.col("at") - 2) / CELL)), "line-left")
+    of = m.groupBy("key").agg(F.max("at").alias("n"), F.collect_set(F.when(F.col("other"), F.col("cell"))).alias("cells"))
+    of = written(of.select(F.col("key").alias("k"), "cells", F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 2) / CELL)).alias("all")), "line-cells")
+    left = written(m.select(F.col("lh").alias("h")).distinct(), "lines-left")
+    letters = join_counted(texts, left, F.col("lh") == F.col("h"), "left_semi").select(F.col("lh").alias("h"), F.array_join("words", " ").alias("text"))
+    letters = written(letters.select("h", _letters(F.col("text")).alias("letters")), "line-letters")
+    m = join_counted(join_counted(m, of, F.col("key") == F.col("k")), letters, F.col("lh") == F.col("h"))
+    fields = ("at", "lh", "root", "other", "sim", "size", "letters")
     x = m.where("other").select("key", F.col("cell").alias("i"), F.explode("all").alias("j"), *[F.col(c).alias(f"{c}_x") for c in fields])
     y = m.select("key", F.explode("cells").alias("i"), F.col("cell").alias("j"), *[F.col(c).alias(f"{c}_y") for c in fields])
     once = ~F.col("other_y") | (F.col("at_x") < F.col("at_y"))  # of two such lines each would meet the other
     far = (F.abs(F.col("at_x") - F.col("at_y")) > 1) & (F.col("root_x") != F.col("root_y"))
-    both = x.join(y.hint("merge"), ["key", "i", "j"]).where(once & far & _alike(F.col("size_x"), F.col("sim_x"), F.col("size_y"), F.col("sim_y"), similarity))
-    return both.select(F.least("lh_x", "lh_y").alias("a"), F.greatest("lh_x", "lh_y").alias("b")).distinct()
+    can = _alike(F.col("size_x"), F.col("sim_x"), F.col("size_y"), F.col("sim_y"), similarity) & _within(F.col("size_x"), F.col("letters_x"), F.col("size_y"), F.col("letters_y"), similarity)
+    both = x.join(y.hint("merge"), ["key", "i", "j"]).where(once & far & can)
+    pairs = both.select(F.least("lh_x", "lh_y").alias("a"), F.greatest("lh_x", "lh_y").alias("b")).distinct()
+    seen = met.select(F.col("a").alias("ma"), F.col("b").alias("mb"))
+    return join_counted(pairs, seen, (F.col("a") == F.col("ma")) & (F.col("b") == F.col("mb")), "left_anti")
 
 
 def duplicate_lines(docs: DataFrame, *, min_words: int = MIN_WORDS, similarity: float = SIMILARITY) -> DataFrame:
@@ -210,8 +253,7 @@ def duplicate_lines(docs: DataFrame, *, min_words: int = MIN_WORDS, similarity:
     members = written(members, "line-members")
     ordered = lambda x: [F.least(x, "lh").alias("a"), F.greatest(x, "lh").alias("b")]
     tried = written(members.select(*ordered("hub")).where("a <> b").distinct(), "line-pairs")
-    beside = written(members.where("before <> hub").select(*ordered("before")).where("a <> b").distinct(), "line-pairs")
-    texts, n_texts = _texts(tried.unionAll(beside), lines, docs)
+    texts, n_texts = _texts(tried, lines, docs)  # a bucket's lines have all met its first
     marks = texts.select(F.col("lh").alias("h"), "sim", "size")
     of_a, of_b = (marks.select(F.col("h").alias(f"h{c}"), F.col("sim").alias(f"sim{c}"), F.col("size").alias(f"size{c}")) for c in "ab")
 
@@ -219,23 +261,30 @@ def duplicate_lines(docs: DataFrame, *, min_words: int = MIN_WORDS, similarity:
         both = join_counted(join_counted(pairs, of_a, F.col("a") == F.col("ha"), rows=n_texts), of_b, F.col("b") == F.col("hb"), rows=n_texts)
         return both.where(_alike(F.col("sizea"), F.col("sima"), F.col("sizeb"), F.col("simb"), similarity)).select("a", "b")
 
-    links = written(_similar(alike(tried), texts, similarity), "line-links")
+    tried = written(alike(tried), "line-tried")
+    links = written(_similar(tried, texts, similarity), "line-links")
     roots = written(components(links), "line-roots")
     n_roots = roots.count()
+    mixed = join_counted(_mixed(members, roots, n_roots, 3), marks, F.col("lh") == F.col("h"), rows=n_texts)
+    mixed = written(mixed.select("key", "at", "lh", "before", "hub", "root", "other", "sim", "size"), "line-mixed-lines")
+    more = mixed.where("before <> hub").select(*ordered("before")).unionAll(_shortest(mixed, similarity).select(*ordered("short")))
+    more = written(more.where("a <> b").distinct(), "line-pairs")
     ra, rb = (roots.select(F.col("node").alias(f"n{c}"), F.col("root").alias(f"r{c}")) for c in "ab")
-    apart = join_counted(join_counted(beside, ra, F.col("a") == F.col("na"), "left", rows=n_roots), rb, F.col("b") == F.col("nb"), "left", rows=n_roots)
-    apart = written(alike(apart.where(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select("a", "b")), "line-apart")
+    apart = join_counted(join_counted(more, ra, F.col("a") == F.col("na"), "left", rows=n_roots), rb, F.col("b") == F.col("nb"), "left", rows=n_roots)
+    apart = alike(apart.where(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select("a", "b"))
+    apart = written(join_counted(apart, tried.select(F.col("a").alias("ta"), F.col("b").alias("tb")), (F.col("a") == F.col("ta")) & (F.col("b") == F.col("tb")), "left_anti"), "line-apart")
 
-    def linked(roots, pairs):
-        more = written(_similar(pairs, texts, similarity), "line-links")
+    def linked(roots, pairs, parts):
+        more = written(_similar(pairs, texts, similarity, parts), "line-links")
         return written(components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionAll(more)), "line-roots")
 
     if not apart.isEmpty():
-        roots = linked(roots, apart)
+        roots = linked(roots, apart, (64, 8))
         n_roots = roots.count()
-    rest = written(_rest(members, roots, n_roots, marks, n_texts, similarity), "line-rest")
+    mixed = mixed.drop("before", "root", "other")
+    rest = written(_rest(mixed, roots, n_roots, texts, tried.unionAll(apart), similarity), "line-rest")
     if not rest.isEmpty():
-        roots = linked(roots, rest)
+        roots = linked(roots, rest, ())  # mostly unlike: smaller bounds would be in vain
         n_roots = roots.count()
 
     grouped = join_counted(lines, roots, lines.lh == roots.node, "left", rows=n_roots).where("n > 1 or root is not null")

@@ -279,6 +279,36 @@ def test_line_dedup_of_a_bucket_of_unlike_lines(spark, monkeypatch):
     assert sum(got[k] for k in range(1, 80, 2)) >= 38, got  # SimHashes of a few may lie too far apart
 
 
+def test_line_dedup_of_a_passage_in_many_lines(spark, monkeypatch):
+    """Lines that are alike by a passage they all quote, and by the shortest of them, are not all compared with each other."""
+    rng = np.random.default_rng(4)
+    word = lambda low, high: "".join(chr(97 + i) for i in rng.integers(0, 26, rng.integers(low, high)))
+    passage = " ".join(word(8, 11) for _ in range(45))
+    some = lambda: " ".join(word(3, 6) for _ in range(17))
+    rows = [(0, passage)] + [(i, f"{some()} {passage}" if i % 2 else f"{passage} {some()}") for i in range(1, 61)]
+    compared, similar = [], line_dedup._edit_similar
+    monkeypatch.setattr(line_dedup, "_edit_similar", lambda pairs, *a: compared.append(pairs.count()) or similar(pairs, *a))
+    got = {r.doc_id: r.n_dropped for r in line_dedup.line_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: int(i > 0) for i, _ in rows}
+    assert sum(compared) <= 6 * len(rows), compared
+
+
+def test_letters_reject_no_similar_pair(spark):
+    rng = np.random.default_rng(5)
+    pairs = []
+    for i in range(200):
+        x = y = "".join(rng.choice(list("abcdeéñ жш漢9 "), rng.integers(1, 60)))
+        for _ in range(rng.integers(0, 16)):
+            k = rng.integers(len(y) + 1)
+            y = y[:k] + str(rng.choice(["", "a", "z", "é", " "])) + y[k + rng.integers(2) :]
+        pairs.append((i, x, y))
+    pairs += [(200, "a" * 30, "b" * 30), (201, "", "")]
+    t = spark.createDataFrame(pairs, "i int, x string, y string")
+    t = t.withColumns({"lx": line_dedup._letters(F.col("x")), "ly": line_dedup._letters(F.col("y"))})
+    kept = {r.i for r in t.where(line_dedup._within(F.length("x"), F.col("lx"), F.length("y"), F.col("ly"), 0.8)).collect()}
+    assert kept >= {i for i, x, y in pairs if _distance(x, y) <= int(0.2 * max(len(x), len(y)) + 1e-9)} and 200 not in kept
+
+
 def test_line_dedup_of_every_line(spark, tmp_path):
     rows = [(1, "Share this\n今日は天気がいいですね\n---\n\nonly here"), (2, "share this\n今日は天気がいいですね\n***"), (3, "\nshare this!\n---\nonly there")]
     spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
