@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -54,6 +57,17 @@ def _bin(v: Column) -> Column:
     return F.when(F.isnan(v), 10**6 + 1).when(v == 0, 0).when(v > 0, size).otherwise(-size).cast("int")
 
 
+def bins_of(v: np.ndarray) -> np.ndarray:
+    """_bin() of an array."""
+    with np.errstate(divide="ignore"):
+        size = np.floor(np.log(np.abs(v)) * 128) + 200_000
+    size[np.isinf(v)] = 10**6
+    size[v == 0] = 0
+    b = np.where(v < 0, -size, size)
+    b[np.isnan(v)] = 10**6 + 1
+    return b.astype(np.int32)
+
+
 def order_statistics(df: DataFrame, value: str, places: dict[str, str], by: str) -> DataFrame:
     """(by, n, <name>...) of each group: values at fractional places 1..n of the group's order, between two neighbours linearly.
 
@@ -63,6 +77,11 @@ def order_statistics(df: DataFrame, value: str, places: dict[str, str], by: str)
     """
     x = df.where(F.col(value).isNotNull()).select(F.col(by).alias("g"), F.col(value).cast("double").alias("v")).withColumn("b", _bin(F.col("v")))
     bins = kept(x.groupBy("g", "b").agg(F.count(F.lit(1)).alias("c")), "value-bins")
+    return binned_statistics(bins, lambda some: with_few(x, some, x.g.eqNullSafe(F.col("g1")) & (x.b == F.col("b1")), "left_semi"), places, by)
+
+
+def binned_statistics(bins: DataFrame, rows_of: Callable[[DataFrame], DataFrame], places: dict[str, str], by: str) -> DataFrame:
+    """order_statistics() of rows that were counted before. bins: a written table (g, b, c) of the counts c by group and bin; rows_of: the rows (g, b, v) of a written table (g1, b1) of bins."""
     upto = running_totals(bins, "b", ["c"], descending=False, by=("g",))
     n = bins.groupBy(F.col("g").alias("g2")).agg(F.sum("c").alias("n"))
     at = F.array(*[F.struct(F.lit(k).alias("k"), F.greatest(F.lit(1.0), F.least(F.expr(e).cast("double"), F.col("n").cast("double"))).alias("at")) for k, e in places.items()])
@@ -72,8 +91,7 @@ def order_statistics(df: DataFrame, value: str, places: dict[str, str], by: str)
     held = upto.join(want.hint("merge"), upto.g.eqNullSafe(F.col("g2"))).where(near)
     held = kept(held.select("g", "b", "k", "n", "at", (F.col("upto_c") - F.col("c")).alias("before")), "value-places")
     some = kept(held.select(F.col("g").alias("g1"), F.col("b").alias("b1"), "before").distinct(), "value-bins")
-    y = with_few(x, some, x.g.eqNullSafe(F.col("g1")) & (x.b == F.col("b1")), "left_semi")
-    c = y.groupBy(F.struct("g", "b").alias("gb"), "v").agg(F.count(F.lit(1)).alias("c"))
+    c = rows_of(some).groupBy(F.struct("g", "b").alias("gb"), "v").agg(F.count(F.lit(1)).alias("c"))
     r = running_totals(kept(c, "values"), "v", ["c"], descending=False, by=("gb",))
     r = r.join(some.hint("merge"), F.col("gb.g").eqNullSafe(F.col("g1")) & (F.col("gb.b") == F.col("b1"))).select("gb", "v", "c", (F.col("upto_c") + F.col("before")).alias("upto_c"))
     want = held.select(F.col("g").alias("g2"), F.col("b").alias("b2"), "n", "k", "at")

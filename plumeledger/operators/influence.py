@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumeledger.functions import hazard as H
 from plumeledger.functions import scalars as S
-from plumeledger.functions.running import order_statistics
+from plumeledger.functions.running import binned_statistics, bins_of, order_statistics
 from plumeledger.operators import risk as R
 from plumeledger.operators.validation import roc_curve
+from plumeledger.sources.scratch import kept
 
 # What stands around the middle of n ordered values once one of them is taken out.
 _MIDDLE = {"m": "(n + 1) / 2.0", "a": "floor(n / 2.0)", "a1": "floor(n / 2.0) + 1", "b": "ceil(n / 2.0)", "b1": "ceil(n / 2.0) + 1"}
@@ -150,6 +153,68 @@ def _detections(scores: DataFrame, rules: list[tuple[float, float]]) -> DataFram
     return r.select("rule", "site", F.when(F.col("n") > 0, F.col("k") / F.col("n")).otherwise(0.0).alias("p"), lo.alias("p_lo"), hi.alias("p_hi"), flow.alias("flow"))
 
 
+class _Draws:
+    """A path's tonnes of each site and kind, worked out as arrays in a task. held: (site, kind, a, b, mu) ordered by site and kind; a group is a site's place and a kind."""
+
+    def __init__(self, held: list[tuple], kinds: list[tuple[int, float]], n_rates: int, scale: float):
+        self.held, self.kinds, self.n_rates, self.scale = held, kinds, n_rates, scale
+
+    def _blocks(self, batches):
+        """The columns of some R.DRAWS paths at a time."""
+        some, n = [], 0
+        for b in batches:
+            some, n = some + [b], n + b.num_rows
+            if n >= R.DRAWS:
+                yield self._columns(some)
+                some, n = [], 0
+        if n:
+            yield self._columns(some)
+
+    @staticmethod
+    def _columns(some):
+        return [c.to_numpy() for c in pa.Table.from_batches(some).columns]
+
+    def _tonnes(self, path):
+        """(group, tonnes) of the paths, one group after the other; what kinds of a site share is worked out once."""
+        kinds = len(self.kinds)
+        for i in range(0, len(self.held), kinds):
+            u1, y1, z2 = R.site_draws(path, self.held[i][0])
+            shares = {}
+            for g, (_, kind, a, b, mu) in enumerate(self.held[i : i + kinds], i):
+                rule, sd = self.kinds[kind]
+                if rule not in shares:
+                    shares[rule] = R.beta_points(u1, y1, a, b)
+                yield g, shares[rule] * (0.0 if mu is None else np.exp(mu + sd * z2)) * self.scale
+
+    def counted(self, batches):
+        """For mapInArrow: (g, b, c) of the last year's costs by group and bin, with the sums of the discounted costs in a group's first row."""
+        for path, last, *npv in self._blocks(batches):
+            for g, t in self._tonnes(path):
+                b = bins_of(t * last)
+                low = int(b.min())
+                c = np.bincount(b - low)
+                at = np.flatnonzero(c)
+                rest = [None] * (len(at) - 1)
+                sums = [pa.array([float((t * x).sum()), *rest], pa.float64()) for x in npv]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), g)), pa.array((at + low).astype(np.int32)), pa.array(c[at]), *sums], names=["g", "b", "c", *[f"npv{i}" for i in range(self.n_rates)]])
+
+    def of_bins(self, bins: list[tuple[int, int]]):
+        """For mapInArrow: (g, b, v), the last year's costs that lie in one of the bins (g, b)."""
+        wanted = {}
+        for g, b in bins:
+            wanted.setdefault(g, []).append(b)
+
+        def of(batches):
+            for path, last, *_ in self._blocks(batches):
+                for g, t in self._tonnes(path):
+                    v = t * last
+                    b = bins_of(v)
+                    at = np.flatnonzero(np.isin(b, wanted.get(g, [])))
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), g)), pa.array(b[at]), pa.array(v[at])], names=["g", "b", "v"])
+
+        return of
+
+
 def portfolio_tornado(paths: DataFrame, scores: DataFrame, scenario: str = "orderly", years: int = 10, first: int = 2024, parameters: list[tuple] = PARAMETERS) -> DataFrame:
     """(parameter, level, value, var95, npv, delta_var95, delta_npv, place): the portfolio's last-year 95th percentile and mean discounted cost with each parameter at its low and high value.
 
@@ -165,29 +230,28 @@ def portfolio_tornado(paths: DataFrame, scores: DataFrame, scenario: str = "orde
     rules = sorted({(get(r, "sc_threshold"), get(r, "cfar_k")) for _, _, r in runs})
     rates = sorted({get(r, "discount_rate") for _, _, r in runs})
     kinds = sorted({(rules.index((get(r, "sc_threshold"), get(r, "cfar_k"))), get(r, "uncertainty_pct") / 100) for _, _, r in runs})
-    table = paths.sparkSession.createDataFrame([(i, rule, float(sd)) for i, (rule, sd) in enumerate(kinds)], "kind int, rule int, sd double")
+    of_kinds = F.array(*[F.struct(F.lit(i).alias("kind"), F.lit(rule).alias("rule"), F.lit(float(sd)).alias("sd")) for i, (rule, sd) in enumerate(kinds)])
     a, b = H.beta_moments(F.col("p"), F.col("p_lo"), F.col("p_hi"))
-    sites = _detections(scores, rules).join(F.broadcast(table), "rule").select("kind", "site", a.alias("a"), b.alias("b"), "sd", F.when(F.col("flow") > 0, F.log("flow") - F.col("sd") * F.col("sd") / 2).alias("mu"))
+    sites = _detections(scores, rules).where("site is not null").select(F.col("site").cast("long").alias("site"), a.alias("a"), b.alias("b"), "flow", F.inline(F.filter(of_kinds, lambda k: k["rule"] == F.col("rule"))))
+    sites = sites.select("site", "kind", "a", "b", F.when(F.col("flow") > 0, F.log("flow") - F.col("sd") * F.col("sd") / 2).alias("mu"))
     # A path's last price and discounted prices, with the multipliers of the years.
     cost = [F.col(f"price_{i}") * float(R.interpolated(R.SCENARIOS[scenario]["multiplier"], first + i)) for i in range(years)]
     npv = [sum((c / (1 + r) ** (i + 1) for i, c in enumerate(cost)), F.lit(0.0)) for r in rates]
-    folded = R.priced(paths.select("path"), scenario, years, first).select("path", cost[-1].alias("last"), *[v.alias(f"npv{i}") for i, v in enumerate(npv)])
-    # Every site meets every path, which is what is asked for; the sites are one row, so that no join without a key is needed.
-    if scores.select("site").distinct().count() > R.MOST_SITES:
+    dealt = paths.where("path is not null").select(F.col("path").cast("long").alias("path")).repartition(int(paths.sparkSession.conf.get("spark.sql.shuffle.partitions")))  # one small file would be one task
+    folded = R.priced(dealt, scenario, years, first).select("path", cost[-1].alias("last"), *[v.alias(f"npv{i}") for i, v in enumerate(npv)])
+    # Every site meets every path, which is what is asked for; the few sites go to the tasks through the driver.
+    held = sites.orderBy("site", "kind").take(R.MOST_SITES * len(kinds) + 1)
+    if len(held) > R.MOST_SITES * len(kinds):
         raise ValueError(f"more than {R.MOST_SITES} sites: run them in parts")
-    held = sites.groupBy("site").agg(F.collect_list(F.struct("kind", "a", "b", "sd", "mu")).alias("kinds")).agg(F.collect_list(F.struct("site", "kinds")).alias("all"))
-    figures = ["path", "last", *[f"npv{i}" for i in range(len(rates))]]
-    d = folded.crossJoin(F.broadcast(held)).select(*figures, F.inline("all"))  # one row, of a checked number of sites
-    d = R.drawn(d).select(*figures, "site", "u1", "y1", "z2", F.inline("kinds"))  # all kinds share a site's draws
-    share = F.coalesce(R.beta_point(F.col("u1"), F.col("y1"), F.col("a"), F.col("b")), F.lit(0.0))
-    flow = F.coalesce(F.exp(F.col("mu") + F.col("sd") * F.col("z2")), F.lit(0.0))
-    t = d.withColumn("t", share * flow * 8760 * 0.85 / 1000 * base.get("gwp100", 29.8))
-    # Not written: to draw again takes less than to keep a row for each path, site and kind.
-    t = t.select((F.col("site") * len(kinds) + F.col("kind")).alias("group"), (F.col("t") * F.col("last")).alias("last"), *[(F.col("t") * F.col(f"npv{i}")).alias(f"npv{i}") for i in range(len(rates))])
-    tail = order_statistics(t, "last", {"var95": "1 + (n - 1) * 0.95D"}, "group").drop("n")
-    mean = t.groupBy(F.col("group").alias("_of")).agg(*[F.avg(f"npv{i}").alias(f"npv{i}") for i in range(len(rates))])
-    per = tail.join(mean.hint("merge"), F.col("group") == F.col("_of")).groupBy((F.col("group") % len(kinds)).cast("int").alias("kind")).agg(F.sum("var95").alias("var95"), *[F.sum(f"npv{i}").alias(f"npv{i}") for i in range(len(rates))])
-    # Few rows from here on: one a kind, then one a run.
+    draws = _Draws([tuple(r) for r in held], kinds, len(rates), 8760 * 0.85 / 1000 * base.get("gwp100", 29.8))
+    # Drawn twice, since that takes less than to write a number for each path, site and kind: to count and add up, and to fetch the values of a few bins.
+    counted = folded.mapInArrow(draws.counted, "g long, b int, c long, " + ", ".join(f"npv{i} double" for i in range(len(rates))))
+    bins = kept(counted.groupBy("g", "b").agg(*[F.sum(c).alias(c) for c in counted.columns[2:]]), "tornado-bins")
+    rows_of = lambda some: folded.mapInArrow(draws.of_bins([tuple(r) for r in some.select("g1", "b1").collect()]), "g long, b int, v double")  # two bins a group at most
+    tail = binned_statistics(bins.select("g", "b", "c"), rows_of, {"var95": "1 + (n - 1) * 0.95D"}, "group")
+    mean = bins.groupBy(F.col("g").alias("_of")).agg(*[F.sum(f"npv{i}").alias(f"npv{i}") for i in range(len(rates))])
+    per = tail.join(mean.hint("merge"), F.col("group") == F.col("_of")).groupBy((F.col("group") % len(kinds)).cast("int").alias("kind")).agg(F.sum("var95").alias("var95"), *[F.sum(F.col(f"npv{i}") / F.col("n")).alias(f"npv{i}") for i in range(len(rates))])
+    per = kept(per, "tornado-kinds")  # few rows from here on: one a kind, then one a run
     rows = []
     for name, level, run in runs:
         kind = kinds.index((rules.index((get(run, "sc_threshold"), get(run, "cfar_k"))), get(run, "uncertainty_pct") / 100))

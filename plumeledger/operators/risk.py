@@ -84,6 +84,19 @@ def beta_point(u: Column, y: Column, a: Column, b: Column) -> Column:
     return F.when(b == 1, F.pow(u, 1 / a)).when(a.isNotNull(), a1 / (a1 + b1 * F.exp(2 * w)))
 
 
+def beta_points(u: np.ndarray, y: np.ndarray, a: float | None, b: float | None) -> np.ndarray:
+    """beta_point() of arrays for one pair of shapes; 0 for unknown ones."""
+    if a is None:
+        return np.zeros(len(u))
+    if b == 1:
+        return u ** (1 / a)
+    a1, b1 = max(a, 1.0), max(b, 1.0)
+    p, q = 1 / (2 * a1 - 1), 1 / (2 * b1 - 1)
+    h, lam = 2 / (p + q), (y * y - 3) / 6
+    w = y * np.sqrt(np.maximum(h + lam, 0.0)) / h - (q - p) * (lam + 5 / 6.0 - 2 / (3 * h))
+    return a1 / (a1 + b1 * np.exp(2 * w))
+
+
 def site_cost_draws(paths: DataFrame, sites: DataFrame, scenario: str, years: int = 10, first: int = 2024, sigma: float = 0.30) -> DataFrame:
     """(site, ticker, path, year, cost) of sites (site, ticker, p, p_lo, p_hi, flow), a small table that every path is exploded by.
 
@@ -142,12 +155,17 @@ def drawn(d: DataFrame) -> DataFrame:
     def of(path: pa.Array, site: pa.Array) -> pa.Array:
         unknown = np.asarray(path.is_null()) | np.asarray(site.is_null())
         keys = [np.asarray(x.fill_null(0)) for x in (path, site)]
-        u1, u2 = H.uniforms(*keys, 1), H.uniforms(*keys, 2)
-        return pa.StructArray.from_arrays([pa.array(x, mask=unknown) for x in (u1, H.normal_points(1 - u1), H.normal_points(u2))], names=["u1", "y1", "z2"])
+        return pa.StructArray.from_arrays([pa.array(x, mask=unknown) for x in site_draws(*keys)], names=["u1", "y1", "z2"])
 
     return d.withColumn("_draw", of(F.col("path").cast("long"), F.col("site").cast("long"))).select("*", "_draw.*").drop("_draw")
 
 
+def site_draws(path: np.ndarray, site: np.ndarray | int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(u1, y1, z2) of drawn()."""
+    u1, u2 = H.uniforms(path, site, 1), H.uniforms(path, site, 2)
+    return u1, H.normal_points(1 - u1), H.normal_points(u2)
+
+
 def _yearly(first: int, years: int):
     """The normal numbers of a path in the years after the first, as an array; null for an unknown path."""
 

@@ -83,3 +83,31 @@ def test_tornado_holds_no_state_of_all_draws(spark):
     got = {r.level: r for r in df.collect()}
     base = np.percentile(v, 95)
     assert (got["low"].var95, got["high"].delta) == (pytest.approx(base / 2, abs=1e-4), pytest.approx(base, abs=1e-4))
+
+
+def test_tornado_draws_are_arrays_and_paths_are_dealt_out(spark, monkeypatch):
+    from plumeledger.operators import influence as I
+
+    plans, plain = {}, I.kept
+    monkeypatch.setattr(I, "kept", lambda df, name: plans.update({name: plan(df)}) or plain(df, name))
+    rows = [(s, "ok", 1.0 + (i * 7 % 11) / 4 if s == 1 else 4.0 if s == 2 else 1.0, 0.1) for s in (1, 2, 3, None) for i in range(12)]  # some, all and no detections; an unknown site
+    scores = spark.createDataFrame(rows, "site int, status string, sc_cfar double, cv double")
+    known = spark.range(3000).select(F.col("id").alias("path"))
+    paths = known.unionAll(spark.sql("select cast(null as bigint) from range(500)")).coalesce(1)  # unknown paths are no draws, as in the SQL
+    got = {(r.parameter, r.level): r for r in I.portfolio_tornado(paths, scores, years=1).collect()}
+    assert "MapInArrow" in plans["tornado-bins"] and "RoundRobinPartitioning(4)" in plans["tornado-bins"] and "Generate inline" not in plans["tornado-bins"]
+    d = I._detections(scores.where("site is not null"), [(1.15, 3.0)])
+    a, b = H.beta_moments(F.col("p"), F.col("p_lo"), F.col("p_hi"))
+    d = R.drawn(known.crossJoin(d.select("site", a.alias("a"), b.alias("b"), H.lognormal_mu(F.col("flow"), 0.3).alias("mu"))))
+    share, flow = F.coalesce(R.beta_point(F.col("u1"), F.col("y1"), F.col("a"), F.col("b")), F.lit(0.0)), F.coalesce(F.exp(F.col("mu") + 0.3 * F.col("z2")), F.lit(0.0))
+    t = d.select("site", (share * flow * 8760 * 0.85 / 1000 * 29.8 * 65).alias("t")).toPandas().groupby("site").t
+    assert len(t) == 3 and t.mean().min() == 0
+    var95, npv = t.quantile(0.95).sum(), t.mean().sum() / 1.03
+    wind = got["wind", "high"]
+    assert (wind.var95, wind.npv, wind.delta_npv) == (pytest.approx(1.3 * var95, rel=1e-6), pytest.approx(1.3 * npv, rel=1e-6), pytest.approx(0.3 * npv, rel=1e-6))
+
+
+def test_bins_of_arrays(spark):
+    v = [0.0, -0.0, 1e-300, 0.3, 1.0, 7.5, 1e300, -2.5, -1e-9, float("inf"), float("-inf"), float("nan")]
+    want = [r.b for r in spark.createDataFrame([(x,) for x in v], "v double").select(running._bin(F.col("v")).alias("b")).collect()]
+    assert running.bins_of(np.array(v)).tolist() == want
