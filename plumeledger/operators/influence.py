@@ -138,6 +138,8 @@ PARAMETERS = [
     ("sensitivity", 4e-7, 3.2e-7, 4.8e-7), ("wind", 1.0, 0.7, 1.3), ("plume_length", 1.0, 0.8, 1.2), ("cfar_k", 3.0, 2.5, 3.5), ("sc_threshold", 1.15, 1.1, 1.2),
     ("uncertainty_pct", 30.0, 25.0, 35.0), ("price_eur", 65.0, 50.0, 80.0), ("gwp100", 29.8, 27.8, 31.8), ("discount_rate", 0.03, 0.02, 0.04), ("multiplier", 1.0, 0.8, 1.2),
 ]
+#: Draws, by site and path, of a task.
+TASK_DRAWS = 1_000_000
 #: Power with which a parameter enters a site's cost; the others enter otherwise.
 _POWERS = {"sensitivity": -1, "wind": 1, "plume_length": -1, "price_eur": 1, "gwp100": 1, "multiplier": 1}
 
@@ -234,15 +236,17 @@ def portfolio_tornado(paths: DataFrame, scores: DataFrame, scenario: str = "orde
     a, b = H.beta_moments(F.col("p"), F.col("p_lo"), F.col("p_hi"))
     sites = _detections(scores, rules).where("site is not null").select(F.col("site").cast("long").alias("site"), a.alias("a"), b.alias("b"), "flow", F.inline(F.filter(of_kinds, lambda k: k["rule"] == F.col("rule"))))
     sites = sites.select("site", "kind", "a", "b", F.when(F.col("flow") > 0, F.log("flow") - F.col("sd") * F.col("sd") / 2).alias("mu"))
-    # A path's last price and discounted prices, with the multipliers of the years.
-    cost = [F.col(f"price_{i}") * float(R.interpolated(R.SCENARIOS[scenario]["multiplier"], first + i)) for i in range(years)]
-    npv = [sum((c / (1 + r) ** (i + 1) for i, c in enumerate(cost)), F.lit(0.0)) for r in rates]
-    dealt = paths.where("path is not null").select(F.col("path").cast("long").alias("path")).repartition(int(paths.sparkSession.conf.get("spark.sql.shuffle.partitions")))  # one small file would be one task
-    folded = R.priced(dealt, scenario, years, first).select("path", cost[-1].alias("last"), *[v.alias(f"npv{i}") for i, v in enumerate(npv)])
     # Every site meets every path, which is what is asked for; the few sites go to the tasks through the driver.
     held = sites.orderBy("site", "kind").take(R.MOST_SITES * len(kinds) + 1)
     if len(held) > R.MOST_SITES * len(kinds):
         raise ValueError(f"more than {R.MOST_SITES} sites: run them in parts")
+    # A path's last price and discounted prices, with the multipliers of the years.
+    cost = [F.col(f"price_{i}") * float(R.interpolated(R.SCENARIOS[scenario]["multiplier"], first + i)) for i in range(years)]
+    npv = [sum((c / (1 + r) ** (i + 1) for i, c in enumerate(cost)), F.lit(0.0)) for r in rates]
+    # One small file would be one task, and tasks of few draws take longer to start than to run.
+    known = paths.where("path is not null").select(F.col("path").cast("long").alias("path"))
+    dealt = known.repartition(known.count() * (len(held) // len(kinds)) // TASK_DRAWS + 1)
+    folded = R.priced(dealt, scenario, years, first).select("path", cost[-1].alias("last"), *[v.alias(f"npv{i}") for i, v in enumerate(npv)])
     draws = _Draws([tuple(r) for r in held], kinds, len(rates), 8760 * 0.85 / 1000 * base.get("gwp100", 29.8))
     # Drawn twice, since that takes less than to write a number for each path, site and kind: to count and add up, and to fetch the values of a few bins.
     counted = folded.mapInArrow(draws.counted, "g long, b int, c long, " + ", ".join(f"npv{i} double" for i in range(len(rates))))

@@ -89,6 +89,7 @@ def test_tornado_draws_are_arrays_and_paths_are_dealt_out(spark, monkeypatch):
     from plumeledger.operators import influence as I
 
     plans, plain = {}, I.kept
+    monkeypatch.setattr(I, "TASK_DRAWS", 2500)  # of 9,000
     monkeypatch.setattr(I, "kept", lambda df, name: plans.update({name: plan(df)}) or plain(df, name))
     rows = [(s, "ok", 1.0 + (i * 7 % 11) / 4 if s == 1 else 4.0 if s == 2 else 1.0, 0.1) for s in (1, 2, 3, None) for i in range(12)]  # some, all and no detections; an unknown site
     scores = spark.createDataFrame(rows, "site int, status string, sc_cfar double, cv double")
